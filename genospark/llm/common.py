@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_in_process(key: str, make: Callable, version: str = ""):
+    """make(), once for each Python worker: what tasks of a reused worker can share. Another version
+    takes the place of the one before."""
+    holder = vars(sys.modules.setdefault("_genospark_kept", types.ModuleType("_genospark_kept")))
+    if key not in holder or holder[key][0] != version:
+        holder[key] = (version, make())
+    return holder[key][1]
+
+
+def shipped(spark: SparkSession, key: str, value) -> Callable:
+    """A function for the workers that gives value, sent as a broadcast and unpacked once for each worker.
+    value: of bounded size."""
+    data, version = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: kept_in_process(key, lambda: cloudpickle.loads(data.value), version)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of so many rows at most: a Python worker then holds a few MB of text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -70,3 +89,43 @@ def text_digest(text: Column) -> Column:
 def plus(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with these columns; one of df's own with such a name gives way."""
     return df.withColumns(columns)
+
+
+#: A key with more than this part of the rows counts as hot: there are fewer than HOT such keys.
+HOT = 1000
+
+
+def joined_by_key(rows: DataFrame, groups: DataFrame, by: list[str], n: str) -> DataFrame:
+    """rows joined with groups, which has one row for each key and in n how many of the rows have
+    it. Groups with more than 1 / HOT of all rows, fewer than HOT of them, are broadcast; so no
+    task of the other join gets many rows of one key. Both should be written tables or cheap."""
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(n) * HOT > total))
+    rest = rows.join(hot.select(*by), by, "left_anti").join(groups.filter(F.col(n) * HOT <= total).drop(n), by)
+    return rows.join(hot.drop(n), by).unionByName(rest)
+
+
+def runs(batches, by: int):
+    """From batches of a partition that is sorted by its first columns (`by` of them), tables of whole
+    groups: rows of a group never fall in two. Holds one batch and one group at most."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None or not held.num_rows else pa.concat_tables([held, t])
+        n = held.num_rows
+        if n < 2:
+            continue
+        last = pa.array([True] * n)
+        for c in range(by):
+            column = held.column(c).combine_chunks()
+            last = pc.and_(last, pc.equal(column, column[n - 1]))
+        start = pc.index(last, True).as_py()
+        if start:
+            yield held.slice(0, start).combine_chunks()
+            held = held.slice(start).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

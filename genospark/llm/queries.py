@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from genospark.llm import mixing, quality, sharding, sql
+from genospark.llm import gru_lm, jaccard_join, langid, media_png, mixing, quality, sharding, sp_tokens, sql, substring_dedup, token_counts
 from genospark.llm.common import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after three edits, which a hash of doc_id places."""
+    docs = token_counts.revision(documents(spark, sf_dir, "doc_id", "text"))
+    return token_counts.edited_counts(docs, token_counts.read_ranks(), keep_text=False).drop("text_edited")
+
+
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     return quality.judged(docs, keep=("doc_id",)).select("doc_id", *quality.RESULTS[:6], "kept", *quality.MEASURES)
@@ -24,9 +35,30 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_png.stored(documents(spark, sf_dir, "doc_id", "text"), keep_media=False)
+    return out.drop("media").withColumn("phash", F.lower(F.hex("phash"))).withColumnRenamed("phash", "feature")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(sp_tokens.MODEL, "rb") as f:
+        return sp_tokens.encoded(documents(spark, sf_dir, "doc_id", "text"), f.read(), keep_ids=False).drop("ids", "decoded")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.scored(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_quality_rules": op3_quality_rules,
-    "op4_virtual_slots": op4_virtual_slots,
-    "op7_weighted_mix": op7_weighted_mix,
+    f.__name__: f
+    for f in (op1_token_counts, op2_unit_dedup, op3_quality_rules, op4_virtual_slots, op5_png_media, op6_sentencepiece, op7_weighted_mix, op8_jaccard_join, op9_gru_scores, op10_language_mixture)
 }
 ORACLES = {"op3_quality_rules": sql.QUALITY, "op7_weighted_mix": sql.MIXING}
