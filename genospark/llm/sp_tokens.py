@@ -125,11 +125,14 @@ class Coder:
     Otherwise, or where the model changes characters, whole texts are encoded and tested.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 250_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 600_000):
         import sentencepiece
+        from tokenizers import pre_tokenizers
 
         m = Model(data)
         self.whole, self.bare, self.most, self.threads, self.verify = tokenizer(data), tokenizer(data, bare=True), most, threads, verify
+        self.line = tokenizer(data, bare=True)
+        self.line.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.byte = np.array([kind == BYTE for *_, kind in m.pieces])
         self.starts = np.array([p.startswith(MARK) for p, *_ in m.pieces])
@@ -149,14 +152,28 @@ class Coder:
         parts = text.split(" ")
         return parts if "" not in parts else [x[1:] for x in re.findall(r" +[^ ]+| +", " " + text)]
 
+    def _cut(self, ids: np.ndarray) -> list[bytes]:
+        """Ids, 4 bytes each, in parts that begin where a piece begins with a marker."""
+        raw, at = ids.tobytes(), (np.flatnonzero(self.starts[ids]) * 4).tolist()
+        if not raw:
+            return []
+        if not at or at[0]:
+            at.insert(0, 0)
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def _learn(self, new: list[str]) -> None:
-        mine = [e.ids for e in self.bare.encode_batch_fast([MARK + w.replace(" ", MARK) for w in new], add_special_tokens=False)]
+        """Ids of new words. Words with one marker go in lines of 64, which the splitter takes apart again."""
+        new.sort(key=lambda w: not w or " " in w)
+        odd = next((k for k, w in enumerate(new) if not w or " " in w), len(new))
+        lines = [MARK + MARK.join(new[k : min(k + 64, odd)]) for k in range(0, odd, 64)] + [MARK + w.replace(" ", MARK) for w in new[odd:]]
+        got = [np.array(e.ids, np.int32) for e in self.line.encode_batch_fast(lines[: -(-odd // 64)], add_special_tokens=False)]
+        mine = [x for ids in got for x in self._cut(ids)]
+        mine += [array("i", e.ids).tobytes() for e in self.bare.encode_batch_fast(lines[-(-odd // 64) :], add_special_tokens=False)]
         if self.verify:
-            theirs = self.library.encode(new, num_threads=self.threads)
-            theirs = [b if w else [self.mark] for w, b in zip(new, theirs, strict=True)]
+            theirs = [array("i", b if w else [self.mark]).tobytes() for w, b in zip(new, self.library.encode(new, num_threads=self.threads), strict=True)]
             self.odd.update(w for w, a, b in zip(new, mine, theirs, strict=True) if a != b)
             mine = theirs
-        self.ids.update(zip(new, (array("i", a).tobytes() for a in mine), strict=True))
+        self.ids.update(zip(new, mine, strict=True))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on it; where not, the ids are SentencePiece's."""
@@ -181,16 +198,7 @@ class Coder:
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         if not self.by_word:
             return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        cut = []
-        for x in ids:
-            raw, at = x.tobytes(), np.flatnonzero(self.starts[x]) * 4
-            ends = [*at[1:].tolist(), len(raw)]
-            starts = at.tolist()
-            if starts and starts[0]:
-                starts, ends = [0, *starts], [starts[0], *ends]
-            elif not starts and raw:
-                starts, ends = [0], [len(raw)]
-            cut.append([raw[a:b] for a, b in zip(starts, ends, strict=bool(starts))])
+        cut = [self._cut(x) for x in ids]
         new = list(set().union(*cut).difference(self.texts))
         self.texts.update(zip(new, self.bare.decode_batch([array("i", x).tolist() for x in new], skip_special_tokens=False), strict=True))
         out = ["".join(map(self.texts.__getitem__, parts)) for parts in cut]
