@@ -11,23 +11,23 @@ from genospark.llm.common import written
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root: the least node of its component.
 
-    Each round every node takes the least label among its own, its neighbours' and its label's
-    label, until none changes; labels then jump, so that rounds grow with the logarithm of a
-    component's width rather than with it. Least labels are partial aggregates: a node may
-    have any number of edges."""
-    both = edges.select("a", "b").filter("a <> b")
-    both = written(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    Each round every node steps to its least neighbour, if that is less than itself, and that
+    one's step as well; the edges are then drawn between the nodes stepped to, and those that have
+    closed fall away, so that the graph shrinks by half or more each time. Least neighbours are
+    partial aggregates: a node may have any number of edges."""
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = written(edges.filter("a <> b").select(a, b).distinct(), "edges")
+    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        # The label's neighbourhood hears of it too, then each label jumps to its own label.
-        hear = near.join(labels, F.col("a") == F.col("node")).select("node", "root", F.least("root", "m").alias("new"))
-        told = hear.select(F.col("root").alias("node"), "new").union(hear.select("node", "new")).groupBy("node").agg(F.min("new").alias("new"))
-        told = written(told, "told")
-        jump = told.join(told.select(F.col("node").alias("k"), F.col("new").alias("far")), F.col("new") == F.col("k"), "left")
-        new = written(jump.select("node", F.least("new", "far").alias("root")), "labels")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        labels = new
-        if not changed:
+        if edges.isEmpty():
             return labels
+        step = written(edges.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("k"), F.col("a").alias("to")), "steps")
+        far = step.select(F.col("k").alias("k2"), F.col("to").alias("to2"))
+        step = written(step.join(far, F.col("to") == F.col("k2"), "left").select("k", F.coalesce("to2", "to").alias("to")), "steps")
+        other = step.select(F.col("k").alias("k2"), F.col("to").alias("to2"))
+        moved = edges.join(step, F.col("b") == F.col("k")).select("a", F.col("to").alias("b")).filter("a <> b").distinct()
+        moved = moved.join(other, F.col("a") == F.col("k2"), "left").select(F.coalesce("to2", "a").alias("a"), "b").filter("a <> b")
+        moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        labels = written(labels.join(step, F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        edges = written(moved, "edges")
     raise RuntimeError("components did not settle")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from genospark.llm.common import joined_by_key, kept_in_process, runs, small_batches, text_digest, written
 from genospark.llm.components import components
 
-TREES, DEEPEST, N_WORDS, THRESHOLD, RECALL, BLOCK = 24, 6, 5, 0.8, 0.99999, 256
+TREES, DEEPEST, N_WORDS, THRESHOLD, RECALL, BLOCK = 24, 6, 5, 0.8, 0.99999, 128
 
 
 def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST) -> int:
@@ -136,13 +136,6 @@ def _chunked(df: DataFrame, n: str, block: int) -> DataFrame:
     return out.withColumns({"i": F.least("__m", "__o"), "j": F.greatest("__m", "__o"), "side": (F.col("__m") > F.col("__o")).cast("int")}).drop("__c", "__m", "__o", n)
 
 
-def _root(parent: list[int], k: int) -> int:
-    while parent[k] != k:
-        parent[k] = parent[parent[k]]
-        k = parent[k]
-    return k
-
-
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs within each of some small groups."""
     a, b = [], []
@@ -155,11 +148,12 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _descend(sig: np.ndarray, tree: int, depth: int, deepest: int, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the texts of one bucket that agree in `least` values or more: prefixes of
-    the tree's trie from the longest to the one that all share; texts joined before are not compared."""
+def _descend(sig: np.ndarray, tree: int, depth: int, deepest: int, least: int) -> np.ndarray:
+    """For each text of one bucket the first text of those it hangs together with by agreeing in `least`
+    values or more: prefixes of the tree's trie from the longest to the one that all share; texts
+    joined before are not compared."""
     m = len(sig)
-    root, found = np.arange(m), []
+    root = np.arange(m)
     for k in range(deepest, depth - 1, -1):
         prefix = np.ascontiguousarray(sig[:, tree * deepest : tree * deepest + k])
         node = np.unique(prefix, axis=0, return_inverse=True)[1].ravel()
@@ -167,13 +161,13 @@ def _descend(sig: np.ndarray, tree: int, depth: int, deepest: int, least: int) -
             y = np.flatnonzero((node[x + 1 :] == node[x]) & (root[x + 1 :] != root[x])) + x + 1
             for z in y[(sig[y] == sig[x]).sum(axis=1) >= least].tolist() if len(y) else ():
                 if root[z] != root[x]:
-                    root[root == root[z]] = root[x]
-                    found.append((x, z))
-    return found
+                    lo, hi = sorted((root[x], root[z]))
+                    root[root == hi] = lo
+    return root
 
 
 def candidate_links(texts: DataFrame, trees: int, deepest: int, depth: int, threshold: float, block: int) -> DataFrame:
-    """(a, b): links that hold together what may be similar. texts: (cls, sig), one row for each class."""
+    """(a, b): links to the first of those that may be similar. texts: (cls, sig), one row for each class."""
     keys = written(_keys(texts, trees, deepest, depth), "keys")
     shared = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("m", F.col("n"))
     rows = _chunked(joined_by_key(keys, shared, ["tree", "key"], "n"), "m", 2 * block)
@@ -189,21 +183,21 @@ def candidate_links(texts: DataFrame, trees: int, deepest: int, depth: int, thre
             keyed = np.stack([t.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
             starts = np.flatnonzero(np.r_[True, (keyed[1:] != keyed[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[starts, n])
-            small = sizes <= 8
+            small = sizes <= 3
             a, b = _pairs(starts[small], sizes[small])
             ok = np.zeros(len(a), bool)
             for at in range(0, len(a), 20_000):
                 ok[at : at + 20_000] = (sig[a[at : at + 20_000]] == sig[b[at : at + 20_000]]).sum(axis=1) >= least
             found = [(a[ok], b[ok])]
             for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                if pairs := _descend(sig[s : s + m], int(keyed[s, 0]), depth, deepest, least):
-                    x, y = np.array(pairs).T
-                    found.append((x + s, y + s))
+                root = _descend(sig[s : s + m], int(keyed[s, 0]), depth, deepest, least)
+                y = np.flatnonzero(root != np.arange(m))
+                found.append((root[y] + s, y + s))
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             cls = t.column("cls").combine_chunks()
             yield pa.RecordBatch.from_arrays([cls.take(pa.array(a)), cls.take(pa.array(b))], names=["a", "b"])
 
-    dealt = rows.repartition("tree", "key", "i", "j").sortWithinPartitions("tree", "key", "i", "j")
+    dealt = rows.repartition("tree", "key", "i", "j").sortWithinPartitions("tree", "key", "i", "j", "cls")
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
@@ -233,7 +227,7 @@ def _overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
 
 def verified_links(members: DataFrame, threshold: float, n_words: int, block: int) -> DataFrame:
     """(a, b, n) from (cluster, n, cls, text): rows without b count links of a within one block, rows
-    with b are links, as many as span what the block joins."""
+    with b join a to the first text of those it is linked to, over others too, in the block."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept_in_process("shingle_words", _Hashes)
@@ -262,13 +256,12 @@ def verified_links(members: DataFrame, threshold: float, n_words: int, block: in
                         linked &= side[s:e, None] != side[None, s:e]
                     counts = linked.sum(axis=1)
                     out += [(cls[s + k], None, int(counts[k])) for k in np.flatnonzero(counts)]
-                    parent = list(range(e - s))
+                    root = np.arange(e - s)
                     for x in np.flatnonzero(counts).tolist():
-                        for y in np.flatnonzero(linked[x, x + 1 :]).tolist():
-                            a, b = _root(parent, x), _root(parent, x + 1 + y)
-                            if a != b:
-                                parent[max(a, b)] = min(a, b)
-                                out.append((cls[s + x], cls[s + x + 1 + y], 0))
+                        near = np.r_[x, np.flatnonzero(linked[x])]
+                        if (root[near] != root[near[0]]).any():
+                            root[np.isin(root, root[near])] = root[near].min()
+                    out += [(cls[s + root[k]], cls[s + k], 0) for k in np.flatnonzero(root != np.arange(e - s)).tolist()]
                 s = e
             if out:
                 a, b, c = zip(*out, strict=True)
@@ -276,7 +269,7 @@ def verified_links(members: DataFrame, threshold: float, n_words: int, block: in
 
     ready = members.select("cluster", "n", "cls", "text").mapInArrow(hashed, "cluster binary, n long, cls binary, sets binary")
     dealt = _chunked(ready, "n", block).select("cluster", "i", "j", "side", "cls", "sets")
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a binary, b binary, n long")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cls").mapInArrow(run, "a binary, b binary, n long")
 
 
 def record_key(doc_id, th):
