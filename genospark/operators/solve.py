@@ -44,16 +44,16 @@ def _with_kernel(a: DataFrame, b: DataFrame | None, kernel: Callable, schema: st
     """kernel(A, B) in one task, with the matrices dense; A is square."""
     n = size_of(a)
     parts = a.select(F.lit(0).alias("which"), F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.col("v").cast("double"))
-    width = 0
-    if b is not None:
+    width, two = 0, b is not None
+    if two:
         width = (b.agg(F.max("j")).first()[0] or 0) + 1
         parts = parts.unionByName(b.select(F.lit(1).alias("which"), F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.col("v").cast("double")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = _dense(rows[rows["which"] == 0], n)
-        return kernel(first, _dense(rows[rows["which"] == 1], n, width) if b is not None else None)
+        return kernel(first, _dense(rows[rows["which"] == 1], n, width) if two else None)
 
-    return parts.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, schema)
 
 
 def cholesky_np(a: np.ndarray) -> np.ndarray:
@@ -145,9 +145,19 @@ def normal_draws(a: DataFrame, draws: int, seed: int) -> DataFrame:
     return _with_kernel(a, z, lambda x, y: _coordinates(cholesky_np(x) @ y))
 
 
-def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False) -> DataFrame:
-    """op(A)^-1 B for a triangular A (i, j, v) of any size, rows of like depth at once: row i waits for those that it
-    refers to. As many rounds as the longest chain."""
+def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False, most: int = MOST) -> DataFrame:
+    """op(A)^-1 B for a triangular A (i, j, v). Up to `most` rows one task substitutes; beyond, rows of like depth go at
+    once, where a row waits for those that it refers to, in as many rounds as the longest chain."""
+    if (a.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) < most:
+
+        def substituted(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+            t = np.tril(x) if lower else np.triu(x)
+            t, out = (t.T if transposed else t), np.zeros_like(y)
+            for k in range(len(t)) if lower != transposed else range(len(t) - 1, -1, -1):
+                out[k] = (y[k] - t[k] @ out) / t[k, k]
+            return _coordinates(out)
+
+        return _with_kernel(a, b, substituted)
     t = a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if transposed else a.select("i", "j", "v")
     if lower == transposed:  # upper: rows refer to later ones, which the order below does not mind
         t = t.filter("j >= i")

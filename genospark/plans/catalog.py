@@ -1,4 +1,717 @@
-"""The queries of the package's own operators with the SQL that checks them."""
+"""The queries of the package's own operators with the SQL that checks them.
+
+Genotypes are a panel made of line items: SNP and individual from two keys, the dosage from the
+quantities' sum. Dense matrices are the embeddings.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from genospark import model
+from genospark.functions import scalar
+from genospark.model import DOSAGE, INDIV, SNP
+from genospark.operators import products, select, sim, solve, stats
+from genospark.plans.tables import written
+from genospark.sources import codec, plink
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def panel(spark: SparkSession, sf: str, snps: int = 64, individuals: int = 50) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % snps).alias(SNP), (F.col("l_orderkey") % individuals).alias(INDIV), F.col("l_quantity").cast("bigint").alias("q"))
+    return rows.groupBy(SNP, INDIV).agg((F.sum("q") % 3).cast("int").alias(DOSAGE))
+
+
+def full_panel(spark: SparkSession, sf: str, snps: int = 64, individuals: int = 50) -> DataFrame:
+    """The panel with NULL where no line item is."""
+    cells = model.zero_matrix(spark, snps, individuals).select(SNP, INDIV)
+    return cells.join(panel(spark, sf, snps, individuals), [SNP, INDIV], "left")
+
+
+def haplos(spark: SparkSession, sf: str) -> DataFrame:
+    g = panel(spark, sf)
+    return g.select(SNP, INDIV, F.posexplode(F.array((F.col(DOSAGE) >= 1).cast("int"), (F.col(DOSAGE) >= 2).cast("int"))).alias("hap", "allele"))
+
+
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", F.col("j").cast("bigint").alias("j"), F.round(F.col("x").cast("double") * 100).cast("bigint").alias("v"))
+
+
+def b_matrix(spark: SparkSession, n: int, columns: int = 10) -> DataFrame:
+    return spark.range(n * columns).select(F.expr(f"id div {columns}").alias("idx"), F.expr(f"id % {columns} + 1").alias("col")).withColumn("v", -(10 * F.col("idx") + F.col("col")))
+
+
+def spd(spark: SparkSession, n: int = 24) -> DataFrame:
+    return spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j")).withColumn("v", F.exp(-F.abs(F.col("i") - F.col("j")) / F.lit(float(n))))
+
+
+def temporary(name: str) -> str:
+    return os.path.join(tempfile.mkdtemp(prefix="genospark-"), name)
+
+
+def _g(snps: int = 64, individuals: int = 50) -> str:
+    return f"g AS (SELECT l_partkey % {snps} AS snp_idx, l_orderkey % {individuals} AS indiv_idx, CAST(SUM(CAST(l_quantity AS BIGINT)) % 3 AS INT) AS dosage FROM lineitem GROUP BY 1, 2)"
+
+
+G = "WITH " + _g()
+FULL = G + ", cells AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(64) a(s), range(50) b(i)), full_g AS (SELECT * FROM cells LEFT JOIN g USING (snp_idx, indiv_idx))"
+H = G + ", h AS (SELECT snp_idx, indiv_idx, k AS hap, CASE WHEN dosage >= k + 1 THEN 1 ELSE 0 END AS allele FROM g, range(2) r(k))"
+D = "WITH d AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS j, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 100) AS BIGINT) AS v FROM embeddings)"
+F_ = "f AS (SELECT snp_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(dosage)) AS p FROM g GROUP BY 1)"
+BS = "b AS (SELECT i AS idx, c + 1 AS col, -(10 * i + c + 1) AS v FROM range({n}) a(i), range(10) t(c))"
+
+
+# Aggregates
+
+
+@query(G + " SELECT snp_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(dosage)) AS freq FROM g GROUP BY 1")
+def allele_freq(spark, sf):
+    return stats.allele_freq(panel(spark, sf))
+
+
+@query(FULL + " SELECT snp_idx, CAST(SUM(coalesce(dosage, 0)) AS DOUBLE) / 100 AS freq FROM full_g GROUP BY 1")
+def freq_popcount(spark, sf):
+    geno = model.settled(full_panel(spark, sf), "zero")
+    return codec.popcount_freq(codec.packed(geno, "plink"), 50)
+
+
+@query(G + " SELECT snp_idx, CAST(SUM(dosage) AS BIGINT) AS allele_sum FROM g GROUP BY 1")
+def allele_sum(spark, sf):
+    return stats.allele_sum(panel(spark, sf))
+
+
+@query(G + " SELECT indiv_idx, CAST(SUM(dosage) AS BIGINT) AS total FROM g GROUP BY ROLLUP (indiv_idx)")
+def sum_geno(spark, sf):
+    return stats.sum_geno(panel(spark, sf))
+
+
+@query(G + " SELECT indiv_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(*)) AS freq FROM g GROUP BY 1")
+def pseudo_freq(spark, sf):
+    return stats.pseudo_freq(panel(spark, sf))
+
+
+@query(G + ", s AS (SELECT snp_idx, SUM(dosage) AS s, COUNT(*) AS n FROM g GROUP BY 1) SELECT round(sum(s / (2 * n)), 6) AS sum_freq, round(sum(2 * (s / (2 * n)) * (1 - s / (2 * n))), 6) AS sigma2, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * s) AS BIGINT) AS sq_total FROM s")
+def derived_stats(spark, sf):
+    return stats.derived(panel(spark, sf)).select(F.round("sum_freq", 6).alias("sum_freq"), F.round("sigma2", 6).alias("sigma2"), "total", "sq_total")
+
+
+@query(G + ", " + F_ + " SELECT indiv_idx, round(sum(p * dosage), 6) AS v FROM g JOIN f USING (snp_idx) GROUP BY 1")
+def freq_times_geno(spark, sf):
+    return stats.freq_times_geno(panel(spark, sf)).select(INDIV, F.round("v", 6).alias("v"))
+
+
+@query("WITH " + _g(53, 4700) + ", c AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(53) a(s), range(4700) b(i)) SELECT c.* FROM c ANTI JOIN g USING (snp_idx, indiv_idx)")
+def missing_cells(spark, sf):
+    return stats.missing_cells(full_panel(spark, sf, 53, 4700))
+
+
+@query(D + " SELECT j, max(v) AS v FROM d GROUP BY 1")
+def col_maxs(spark, sf):
+    return stats.col_maxs(dense(spark, sf))
+
+
+@query(D + " SELECT i, CAST(sum(v * (j + 1)) AS DOUBLE) / 64 AS v FROM d GROUP BY 1")
+def row_means(spark, sf):
+    return stats.row_means(dense(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("w")))
+
+
+@query(D + " SELECT i, round(product(1 + v / 1000.0), 6) AS v FROM d GROUP BY 1")
+def row_prod(spark, sf):
+    return stats.row_prod(dense(spark, sf).withColumn("v", 1 + F.col("v") / 1000)).select("i", F.round("v", 6).alias("v"))
+
+
+@query(D + " SELECT round(product(1 + v / 1000.0), 6) AS prod, round(sum(ln(1 + v / 1000.0)), 6) AS log_det FROM d WHERE i = j")
+def diagonal_products(spark, sf):
+    m = dense(spark, sf).withColumn("v", 1 + F.col("v") / 1000)
+    a, b = stats.diagonal_product(m), stats.diagonal_product(m, log=True)
+    return a.select(F.round("v", 6).alias("prod")).join(b.select(F.round("v", 6).alias("log_det")))
+
+
+@query(G + " SELECT round(corr(a.dosage, b.dosage), 6) AS corr, round(sqrt(sum((a.dosage - b.dosage) ** 2)), 6) AS residual, round(sqrt(sum(a.dosage * a.dosage)), 6) AS norm FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx AND a.snp_idx = 3 AND b.snp_idx = 4")
+def agreement(spark, sf):
+    g = panel(spark, sf)
+    x, y = (g.filter(F.col(SNP) == k).select(INDIV, F.col(DOSAGE).cast("double").alias(c)) for k, c in ((3, "x"), (4, "y")))
+    out = stats.agreement(x.join(y, INDIV))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+# Selection and reshaping
+
+
+@query(G + ", s AS (SELECT unnest([5, 5, 63, 0, 99]) AS snp_idx, unnest(range(5)) AS sp), i AS (SELECT unnest([7, 70, -1, 3]) AS indiv_idx, unnest(range(4)) AS ip) SELECT sp AS snp_idx, ip AS indiv_idx, dosage FROM g JOIN s USING (snp_idx) JOIN i USING (indiv_idx) UNION ALL SELECT sp, 2, 0 FROM s WHERE snp_idx < 64")
+def select_geno(spark, sf):
+    snps, indiv = select.index_list(spark, [5, 5, 63, 0, 99], "idx"), select.index_list(spark, [7, 70, -1, 3], "idx")
+    return select.selected(panel(spark, sf), snps, indiv)
+
+
+@query(H + " SELECT CASE snp_idx WHEN 9 THEN 0 ELSE 1 END AS snp_idx, indiv_idx, hap, allele FROM h WHERE snp_idx IN (9, 4) AND hap = 1")
+def select_haplo(spark, sf):
+    return select.selected_haplo(haplos(spark, sf), select.index_list(spark, [9, 4], "idx"), which=2).withColumn("hap", F.col("hap").cast("bigint"))
+
+
+@query(G + " SELECT CASE snp_idx WHEN 60 THEN 0 WHEN 61 THEN 1 END AS snp_idx, indiv_idx, dosage FROM g WHERE snp_idx IN (60, 61)")
+def trimmed_selection(spark, sf):
+    return select.selected(panel(spark, sf), select.index_list(spark, select.trimmed([60, 61, 64, 65], 64), "idx"))
+
+
+@query(G + " SELECT snp_idx, indiv_idx, CASE WHEN snp_idx IN (1, 2, 3) AND indiv_idx IN (0, 49) THEN 0 ELSE dosage END AS dosage FROM g")
+def zero_geno(spark, sf):
+    return select.zeroed(panel(spark, sf), select.index_list(spark, [1, 2, 3, 400], "idx"), select.index_list(spark, [0, 49, 77], "idx"))
+
+
+@query(G + " SELECT snp_idx, indiv_idx, dosage FROM g WHERE indiv_idx NOT IN (4, 6) UNION ALL SELECT snp_idx, CASE indiv_idx WHEN 0 THEN 4 ELSE 6 END, 2 - dosage FROM g WHERE indiv_idx < 2")
+def fill_geno(spark, sf):
+    g = panel(spark, sf)
+    places = spark.createDataFrame([(1, 5), (2, 7)], "pos bigint, idx bigint")
+    return select.filled(g, g.filter(F.col(INDIV) < 2).withColumn(DOSAGE, 2 - F.col(DOSAGE)), places)
+
+
+@query(G + " SELECT indiv_idx AS snp_idx, snp_idx AS indiv_idx, dosage FROM g")
+def transpose(spark, sf):
+    return select.transposed(panel(spark, sf))
+
+
+@query(G + " SELECT * FROM g")
+def haplo2geno(spark, sf):
+    return select.haplo_to_geno(haplos(spark, sf))
+
+
+@query(H + " SELECT snp_idx * 2 + hap AS i, indiv_idx AS j, allele AS v FROM h")
+def haplo_layout(spark, sf):
+    return select.haplo_layout(haplos(spark, sf), "snp_rows_doubled")
+
+
+@query(H + " SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, allele FROM h")
+def haplo_layout_back(spark, sf):
+    return select.haplo_from_layout(select.haplo_layout(haplos(spark, sf), "indiv_rows"), "indiv_rows")
+
+
+@query(G + " SELECT snp_idx, indiv_idx, dosage - snp_idx / 64.0 AS v FROM g")
+def subtract_centre(spark, sf):
+    return select.centred(panel(spark, sf), spark.range(64).select(F.col("id").alias(SNP), (F.col("id") / 64).alias("centre")))
+
+
+@query("SELECT o_orderkey, ((o_orderkey % 64) << 26) + ((o_orderkey % 2) << 25) + ((o_custkey % 4194304) << 3) + o_custkey % 8 AS code, CAST(o_orderkey % 64 + 1 AS INT) AS generation, CAST(o_custkey % 4194304 + 1 AS INT) AS nr FROM orders")
+def origin_codes(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    code = select.origin_code(generation=F.col("o_orderkey") % 64 + 1, sex=F.col("o_orderkey") % 2 + 1, nr=F.col("o_custkey") % 4194304 + 1, haplo=F.col("o_custkey") % 8 + 1)
+    out = o.withColumn("code", code)
+    parts = select.origin_parts(F.col("code"))
+    return out.select("o_orderkey", "code", parts["generation"].alias("generation"), parts["nr"].alias("nr"))
+
+
+@query("WITH s AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders) SELECT x FROM s ORDER BY x NULLS FIRST LIMIT 500 OFFSET 2000")
+def sort_x(spark, sf):
+    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"))
+    return select.sorted_slice(o, "x", 2001, 2500, nulls_last=False)
+
+
+@query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place, c_custkey AS index FROM customer")
+def order_x(spark, sf):
+    return select.order_of(table(spark, sf, "customer"), ["c_acctbal"], "c_custkey")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey) AS place, p_partkey AS index FROM part")
+def order_keys(spark, sf):
+    return select.order_of(table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+# Products
+
+_DOT_N = "SELECT idx, col, round(v - 2 * t, 4) AS v FROM (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(p * v) AS t FROM b JOIN f ON snp_idx = idx GROUP BY 1) USING (col)"
+_DOT_T = "SELECT idx, col, round(v - 2 * p * t, 4) AS v FROM (SELECT snp_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON indiv_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(v) AS t FROM b GROUP BY 1) USING (col) JOIN f ON snp_idx = idx"
+
+
+def _rounded(df: DataFrame, digits: int = 4, column: str = "v") -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+@query(G + ", " + F_ + ", " + BS.format(n=64) + " " + _DOT_N)
+def dgemm_n(spark, sf):
+    return _rounded(products.geno_product(panel(spark, sf), b_matrix(spark, 64), model.transposed_flag("N")))
+
+
+@query(G + ", " + F_ + ", " + BS.format(n=50) + " " + _DOT_T)
+def dgemm_t(spark, sf):
+    return _rounded(products.geno_product(panel(spark, sf), b_matrix(spark, 50), model.transposed_flag("Y")))
+
+
+@query(G + ", " + BS.format(n=64) + " SELECT indiv_idx AS idx, col, CAST(sum(dosage * v) AS BIGINT) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2")
+def dgemm_plink(spark, sf):
+    return products.geno_product(panel(spark, sf), b_matrix(spark, 64), False, center=False)
+
+
+@query(G + ", " + BS.format(n=50) + " SELECT snp_idx AS idx, col, CAST(sum(dosage * v) AS BIGINT) AS v FROM g JOIN b ON indiv_idx = idx GROUP BY 1, 2")
+def geno_vector_raw(spark, sf):
+    return products.geno_product(panel(spark, sf), b_matrix(spark, 50), True, center=False)
+
+
+@query(G + ", a AS (SELECT l_suppkey % 10 AS row, l_orderkey % 50 AS col, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2) SELECT row, snp_idx AS idx, CAST(sum(v * dosage) AS BIGINT) AS v FROM a JOIN g ON col = indiv_idx GROUP BY 1, 2")
+def sparse_times_plink(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("row"), (F.col("l_orderkey") % 50).alias("col"), F.round(F.col("l_discount") * 100).cast("bigint").alias("v"))
+    return products.sparse_product(rows.groupBy("row", "col").agg(F.sum("v").alias("v")), panel(spark, sf))
+
+
+@query(D + " SELECT i, CAST(sum(v * (j % 3)) AS BIGINT) AS v FROM d GROUP BY 1")
+def matrixvector012(spark, sf):
+    x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("v"))
+    return products.times_012(dense(spark, sf), x, strict=True).withColumn("v", F.col("v").cast("bigint"))
+
+
+@query(D + " SELECT j AS i, CAST(sum(CASE WHEN i % 5 < 3 THEN v * (i % 5) ELSE 0 END) AS BIGINT) AS v FROM d GROUP BY 1")
+def vector012matrix(spark, sf):
+    m = dense(spark, sf)
+    x = m.select("i").distinct().select("i", (F.col("i") % 5).cast("double").alias("v"))
+    return products.times_012(m, x, transposed=True).withColumn("v", F.col("v").cast("bigint"))
+
+
+@query(G + " SELECT a.indiv_idx AS i, b.indiv_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2")
+def crossprod(spark, sf):
+    return products.crossprod(panel(spark, sf))
+
+
+@query(G + " SELECT a.snp_idx AS i, b.snp_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2")
+def crossprod_snps_blocked(spark, sf):
+    return products.crossprod(panel(spark, sf), INDIV, "blocked", width=32)
+
+
+_M = ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2), r AS (SELECT i, CAST(SUM(v) AS BIGINT) AS s FROM m GROUP BY 1), t AS (SELECT CAST(SUM(v) AS BIGINT) AS tot, COUNT(DISTINCT i) AS n FROM m)"
+
+
+@query(G + _M + ", " + F_ + ", c AS (SELECT SUM(2 * p * (1 - p)) AS c FROM f) SELECT m.i, m.j, n * n * m.v - n * (ri.s + rj.s) + tot AS g_int, ROUND(CAST(n * n * m.v - n * (ri.s + rj.s) + tot AS DOUBLE) / (n * n) / c, 6) AS g FROM m JOIN r ri ON m.i = ri.i JOIN r rj ON m.j = rj.i CROSS JOIN t CROSS JOIN c")
+def grm(spark, sf):
+    return _rounded(products.grm(panel(spark, sf)), 6, "g")
+
+
+_LD = ", m AS (SELECT a.snp_idx AS i, b.snp_idx AS j, corr(a.dosage, b.dosage) AS r FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2) "
+
+
+@query("WITH " + _g(53, 47) + _LD + "SELECT i, j, round(r, 6) AS r FROM m")
+def ld(spark, sf):
+    return _rounded(products.ld(panel(spark, sf, 53, 47)), 6, "r")
+
+
+@query("WITH " + _g(53, 47) + _LD + "SELECT i, j, round(r * r, 6) AS r FROM m")
+def ld_squared(spark, sf):
+    return _rounded(products.ld(panel(spark, sf, 53, 47), squared=True), 6, "r")
+
+
+@query(G + _M + " SELECT m.i, m.j, round(CAST(n * n * v - n * (ri.s + rj.s) + tot AS DOUBLE) / (n * n), 6) AS v FROM m JOIN r ri ON m.i = ri.i JOIN r rj ON m.j = rj.i CROSS JOIN t")
+def crossprod_row_centred(spark, sf):
+    return _rounded(products.centred_crossprod(panel(spark, sf)), 6)
+
+
+@query(G + ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, corr(a.dosage, b.dosage) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2) SELECT i, j, round(v, 6) AS v FROM m")
+def crossprod_correlated(spark, sf):
+    return _rounded(products.centred_crossprod(panel(spark, sf), centring="column", normalize="centring"), 6)
+
+
+@query(G + _M + " SELECT m.i, CAST(sum(m.v * (m.j + 1)) AS BIGINT) AS v FROM m GROUP BY 1")
+def rel_matrix_vector(spark, sf):
+    x = spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+    return products.relationship_vector(panel(spark, sf), x)
+
+
+@query(D + " SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY 1, 2")
+def crossprod_int(spark, sf):
+    m = dense(spark, sf)
+    return products.matmul(m, m, ta=True)
+
+
+@query(D + " SELECT a.j AS i, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM d a JOIN d b ON a.i = b.i AND b.j = (a.j + 1) % 64 GROUP BY 1")
+def scalar_products(spark, sf):
+    m = dense(spark, sf)
+    y = m.select("i", F.pmod(F.col("j") - 1, F.lit(64)).alias("j"), F.col("v").alias("y"))
+    return m.join(y, ["i", "j"]).groupBy(F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("y")).alias("v"))
+
+
+@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a")
+def quadratic_form(spark, sf):
+    x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+    return products.quadratic(x, dense(spark, sf).filter("i < 64"))
+
+
+@query(D + " SELECT i, j, v * (i + 2) AS v FROM d")
+def dot_xv(spark, sf):
+    m = dense(spark, sf)
+    return products.scaled_rows(m, m.select("i").distinct().select("i", (F.col("i") + 2).alias("v")))
+
+
+@query(D + " SELECT i, j, v / (j + 1) AS v FROM d")
+def div_by_row(spark, sf):
+    return products.divided_columns(dense(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("v")))
+
+
+@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.j = y.j GROUP BY 1, 2")
+def matmul_transposed(spark, sf):
+    m = dense(spark, sf).filter("i < 64")
+    return products.matmul(m, m, tb=True)
+
+
+@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT i, CAST(sum(v * (j - 7)) AS BIGINT) AS v FROM a GROUP BY 1")
+def matrix_vector(spark, sf):
+    return products.matvec(dense(spark, sf).filter("i < 64"), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
+
+
+# Byte formats and files
+
+_BYTES = " SELECT snp_idx, indiv_idx // {per} AS byte_idx, CAST(sum({code}) AS INT) AS code FROM full_g GROUP BY 1, 2"
+
+
+@query(FULL + _BYTES.format(per=4, code="coalesce(dosage, 0) * CAST(4 ** (indiv_idx % 4) AS INT)"))
+def pack_2bit(spark, sf):
+    return codec.packed_bytes(model.settled(full_panel(spark, sf), "zero"), "2bit")
+
+
+@query(FULL + _BYTES.format(per=4, code="CASE dosage WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END * CAST(4 ** (indiv_idx % 4) AS INT)"))
+def pack_plink(spark, sf):
+    return codec.packed_bytes(full_panel(spark, sf), "plink")
+
+
+@query(FULL + _BYTES.format(per=5, code="coalesce(dosage, 0) * CAST(3 ** (indiv_idx % 5) AS INT)"))
+def pack_5codes(spark, sf):
+    return codec.packed_bytes(full_panel(spark, sf), "5codes")
+
+
+@query(FULL + " SELECT indiv_idx AS snp_idx, snp_idx // 5 AS byte_idx, CAST(sum(coalesce(dosage, 0) * CAST(3 ** (snp_idx % 5) AS INT)) AS INT) AS code FROM full_g GROUP BY 1, 2")
+def pack_5codes_transposed(spark, sf):
+    return codec.packed_bytes(select.transposed(full_panel(spark, sf)), "5codes")
+
+
+@query(FULL + " SELECT snp_idx, indiv_idx, dosage FROM full_g")
+def unpack_plink(spark, sf):
+    return codec.unpacked(codec.packed(full_panel(spark, sf), "plink"), 50, "plink")
+
+
+@query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
+def unpack_5codes(spark, sf):
+    return codec.unpacked(codec.packed(full_panel(spark, sf), "5codes"), 50, "5codes")
+
+
+@query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
+def convert_plink_2bit(spark, sf):
+    plain = codec.packed(model.settled(full_panel(spark, sf), "zero"), "plink")
+    return codec.unpacked(codec.converted(plain, "plink", "2bit"), 50, "2bit")
+
+
+@query(G + " SELECT CAST(0 AS BIGINT) AS snp_idx, indiv_idx, dosage FROM g WHERE snp_idx = 2")
+def transform_selection(spark, sf):
+    return codec.recoded(panel(spark, sf), select.index_list(spark, [2], "idx"))
+
+
+@query("SELECT s AS snp_idx, i AS indiv_idx, 0 AS dosage FROM range(37) a(s), range(11) b(i)")
+def create_zero(spark, sf):
+    return model.zero_matrix(spark, 37, 11)
+
+
+@query("WITH " + _g(53, 47) + ", c AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(53) a(s), range(47) b(i)) SELECT c.snp_idx, c.indiv_idx, dosage FROM c LEFT JOIN g USING (snp_idx, indiv_idx)")
+def bed_round_trip(spark, sf):
+    stem = temporary("panel")
+    plink.write_bed(full_panel(spark, sf, 53, 47), stem, 47, 53)
+    return plink.read_bed(spark, stem + ".bed")
+
+
+@query(FULL + ", f AS (SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(dosage)) AS p FROM full_g GROUP BY 1) SELECT snp_idx, indiv_idx, CASE WHEN dosage IS NULL THEN 3.0 WHEN p >= 0.5 THEN 2.0 - dosage ELSE CAST(dosage AS DOUBLE) END AS v FROM full_g JOIN f USING (snp_idx)")
+def bed_as_doubles(spark, sf):
+    stem = temporary("panel")
+    plink.write_bed(full_panel(spark, sf), stem, 50, 64)
+    out = plink.with_threes(plink.minor_recoded(plink.read_bed(spark, stem + ".bed")))
+    return out.withColumn("v", F.col("v").cast("double"))
+
+
+@query(G + " SELECT snp_idx, indiv_idx, dosage FROM g")
+def text_genotypes(spark, sf):
+    lines = panel(spark, sf).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct(INDIV, DOSAGE))).alias("c"))
+    text = F.concat(F.lit("snp 7 "), F.array_join(F.transform("c", lambda x: F.substring(F.lit("ABC"), x["dosage"] + 1, F.lit(1))), " "))
+    parsed = plink.parsed_lines(lines.select(F.col(SNP).alias("line_idx"), text.alias("value")), codes="ABC", na="-", leading=2, sep=" ")
+    return parsed
+
+
+@query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
+def binary_file(spark, sf):
+    path = temporary("panel.bin")
+    rows = codec.packed(model.settled(full_panel(spark, sf), "zero"), "2bit").orderBy(SNP)
+    with open(path, "wb") as f:
+        f.write(b"header..")
+        for row in rows.toLocalIterator():
+            f.write(row["codes"])
+    return plink.read_binary(spark, path, 64, 50, header=8)
+
+
+@query(FULL + " SELECT indiv_idx AS i, CAST(sum(coalesce(dosage, 0) * (snp_idx + 1)) AS BIGINT) AS v FROM full_g GROUP BY 1")
+def file_dot(spark, sf):
+    stem = temporary("panel")
+    plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
+    return plink.file_product(spark, stem + ".bed", spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")))
+
+
+@query(FULL + " SELECT snp_idx AS i, CAST(sum(coalesce(dosage, 0) * (indiv_idx + 1)) AS BIGINT) AS v FROM full_g GROUP BY 1")
+def dot_file(spark, sf):
+    stem = temporary("panel")
+    plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
+    return plink.file_product(spark, stem + ".bed", spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), transposed=True)
+
+
+@query(D + " SELECT sum(v) AS total, count(*) AS n FROM d")
+def matrix_file(spark, sf):
+    path = temporary("matrix")
+    plink.write_matrix(dense(spark, sf), "file://" + path)
+    cells = spark.read.text("file://" + path).select(F.explode(F.split("value", "\t")).alias("v"))
+    return cells.agg(F.sum(F.col("v").cast("bigint")).alias("total"), F.count("*").alias("n"))
+
+
+@query(D + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM d WHERE v <> 0 AND i < 64")
+def coo_file(spark, sf):
+    path = "file://" + temporary("coo")
+    rows = dense(spark, sf).filter("v <> 0 AND i < 64").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    rows.write.text(path)
+    return plink.read_coo(spark, path)
+
+
+@query(G + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / 128 AS freq FROM g GROUP BY 1")
+def freq_file(spark, sf):
+    path = "file://" + temporary("freq")
+    f = panel(spark, sf).groupBy(SNP).agg((F.sum(DOSAGE) / 128).alias("freq"))
+    f.select(F.concat(F.lit("  "), F.concat_ws("   ", F.col(SNP), F.col("freq"))).alias("value")).write.text(path)
+    return plink.read_freq(spark, path).withColumnRenamed("snp_ord", SNP)
+
+
+# Simulation
+
+
+@query("SELECT s AS snp_idx, i AS indiv_idx, [0,1,1,0,2,2,2,2,1,0,0,1,0,0,0,1,2][(i * 40 + s) % 17 + 1] AS dosage FROM range(40) a(s), range(30) b(i)")
+def pattern_fixture(spark, sf):
+    return sim.patterned(spark, 40, 30)
+
+
+@query("SELECT s AS snp_idx, i AS indiv_idx, CAST(k AS INT) AS hap, CAST(CASE WHEN s % 3 = 2 OR k = 0 THEN s % 2 ELSE (s + 1) % 2 END AS INT) AS allele FROM range(40) a(s), range(30) b(i), range(2) c(k)")
+def certain_haplotypes(spark, sf):
+    s = F.col("id")
+    f = spark.range(40).select(s.alias(SNP), (s % 2).cast("double").alias("freq1"), F.when(s % 3 != 2, ((s + 1) % 2).cast("double")).alias("freq2"))
+    return sim.random_haplotypes(f, 30, 5)
+
+
+_POS = "p AS (SELECT CAST(s AS BIGINT) AS snp_idx, s * 1.5 + (s % 3) * 0.25 AS pos FROM range(200) t(s))"
+
+
+def _positions(spark):
+    return spark.range(200).select(F.col("id").alias(SNP), (F.col("id") * 1.5 + (F.col("id") % 3) * 0.25).alias("pos"))
+
+
+@query("WITH " + _POS + ", q AS (SELECT o_orderkey AS k, o_orderkey % 311 - 2.5 AS x FROM orders) SELECT k, CAST(x AS DOUBLE) AS x, coalesce((SELECT max(snp_idx) FROM p WHERE pos <= q.x), -1) AS till FROM q")
+def snp_lookup(spark, sf):
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 311 - 2.5).alias("x"))
+    return sim.last_at_or_before(points, _positions(spark), 10.0)
+
+
+@query("WITH " + _POS + ", br AS (SELECT i AS indiv_idx, k AS hap, n AS number, n * (60.0 + i) AS x FROM range(40) a(i), range(2) b(k), range(4) c(n)), seg AS (SELECT a.indiv_idx, a.hap, b.number, a.x AS lo, b.x AS hi FROM br a JOIN br b ON a.indiv_idx = b.indiv_idx AND a.hap = b.hap AND b.number = a.number + 1) SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, CAST(xor((snp_idx * 7 + (number + hap) * 3) % 2, CASE WHEN snp_idx = indiv_idx THEN 1 ELSE 0 END) AS INT) AS allele FROM seg JOIN p ON (pos > lo OR lo <= 0 AND pos >= lo) AND pos <= hi")
+def compute_snps(spark, sf):
+    breaks = spark.range(40 * 8).select(F.expr("id div 8").alias(INDIV), F.expr("cast(id div 4 % 2 as int)").alias("hap"), F.expr("id % 4").alias("number")).withColumn("x", F.col("number") * (F.lit(60.0) + F.col(INDIV)))
+    origins = breaks.filter("number > 0").select(INDIV, "hap", "number", (F.col("number") + F.col("hap")).alias("origin"))
+    founders = spark.range(200 * 5).select(F.expr("id % 5").alias("origin"), F.expr("id div 5").alias(SNP)).withColumn("allele", ((F.col(SNP) * 7 + F.col("origin") * 3) % 2).cast("int"))
+    flips = breaks.filter("number = 0").select(INDIV, "hap", F.col(INDIV).alias(SNP))
+    return sim.haplotypes(breaks, origins, founders, flips, _positions(spark), 10.0)
+
+
+@query()
+def simulation_input(spark, sf):
+    return sim.simulation_input(spark, 1000, 3)
+
+
+# Functions of a column
+
+_X = "SELECT o_orderkey AS k, o_totalprice / 100000 AS x FROM orders"
+
+
+def _x(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 100000).alias("x"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(exp(-x * x), 6) AS d0, round(-2 * x * exp(-x * x), 6) AS d1, round((4 * x * x - 2) * exp(-x * x), 6) AS d2, round((12 * x - 8 * x ** 3) * exp(-x * x), 6) AS d3, round((12 - 48 * x * x + 16 * x ** 4) * exp(-x * x), 6) AS d4, round(-x * x, 6) AS lg FROM t")
+def gauss(spark, sf):
+    x = F.col("x")
+    return _x(spark, sf).select("k", *[F.round(scalar.gauss(x, d), 6).alias(f"d{d}") for d in range(5)], F.round(scalar.log_gauss(x), 6).alias("lg"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(exp(-0.5 * (x * x / 2 + (x - 1) * (x - 1) / 3)) / (2 * pi() * sqrt(6)), 6) AS v FROM t")
+def binormal(spark, sf):
+    return _x(spark, sf).select("k", F.round(scalar.binormal_density(F.col("x"), F.col("x") - 1, 2.0, 3.0), 6).alias("v"))
+
+
+@query(f"WITH t AS (SELECT k, (x - 2) * 4 AS y FROM ({_X})) SELECT k, CASE WHEN y < 0 THEN -floor(0.5 - y) ELSE floor(y + 0.5) END AS r, round(y - floor(y / 3) * 3, 6) AS m FROM t")
+def rounding(spark, sf):
+    y = (F.col("x") - 2) * 4
+    return _x(spark, sf).select("k", scalar.half_away(y).alias("r"), F.round(scalar.positive_mod(y, F.lit(3.0)), 6).alias("m"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round((1 + x) * exp(-x), 6) AS v, round(-x * exp(-x), 6) AS d FROM t")
+def matern_three_halves(spark, sf):
+    return _x(spark, sf).select("k", F.round(scalar.matern(F.col("x"), F.lit(1.5)), 6).alias("v"), F.round(scalar.matern(F.col("x"), F.lit(1.5), order=1), 6).alias("d"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(sqrt(pi() / (2 * x)) * exp(-x) * (1 + 1 / x), 6) AS v FROM t WHERE x > 0.01")
+def bessel_k(spark, sf):
+    return _x(spark, sf).filter("x > 0.01").select("k", F.round(scalar.bessel_k(F.col("x"), F.lit(1.5)), 6).alias("v"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round((1 + 0.5) * exp(-0.5) - (1 + 0.5 + x) * exp(-0.5 - x), 6) AS v FROM t")
+def incomplete_gamma(spark, sf):
+    return _x(spark, sf).select("k", F.round(scalar.incomplete_gamma(F.lit(0.5), F.lit(0.5) + F.col("x"), F.lit(2.0)), 6).alias("v"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(sqrt(2 / (pi() * x)) * (1 - cos(x)), 6) AS v FROM t WHERE x > 0.01")
+def struve_half(spark, sf):
+    return _x(spark, sf).filter("x > 0.01").select("k", F.round(scalar.struve(F.col("x"), F.lit(0.5)), 6).alias("v"))
+
+
+@query()
+def i0_minus_l0(spark, sf):
+    return _x(spark, sf).select("k", F.round(scalar.i0_minus_l0(F.col("x")), 6).alias("v"))
+
+
+# Systems
+
+
+@query()
+def dense_solve(spark, sf):
+    b = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), (F.col("id") + 1).cast("double").alias("v"))
+    return _rounded(solve.solved(spd(spark), b), 6)
+
+
+@query()
+def cholesky_factor(spark, sf):
+    return _rounded(solve.cholesky(spd(spark)), 6)
+
+
+@query()
+def spd_inverse(spark, sf):
+    return _rounded(solve.solved(spd(spark)), 6)
+
+
+@query()
+def log_determinant(spark, sf):
+    return _rounded(solve.log_determinant(spd(spark)), 6)
+
+
+@query("SELECT true AS v")
+def positive_definite(spark, sf):
+    return solve.is_positive_definite(spd(spark))
+
+
+@query()
+def x_inverse_y(spark, sf):
+    x = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
+    return x_inverse_y_rounded(solve.x_inverse_y(x, spd(spark), x))
+
+
+def x_inverse_y_rounded(df: DataFrame) -> DataFrame:
+    return df.select(F.round("v", 6).alias("v"), F.round("log_det", 6).alias("log_det"))
+
+
+@query()
+def root_times(spark, sf):
+    x = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
+    return _rounded(solve.root_times(spd(spark), x), 6)
+
+
+@query("SELECT CAST(a AS BIGINT) AS i, round(sum((b + 1) / 2.0 ** (a - b + 1)), 6) AS v FROM range(31) x(a) JOIN range(31) y(b) ON b <= a GROUP BY 1")
+def triangular_solve(spark, sf):
+    n = 31
+    a = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v")).unionByName(spark.range(1, n).select(F.col("id").alias("i"), (F.col("id") - 1).alias("j"), F.lit(-1.0).alias("v")))
+    b = spark.range(n).select(F.col("id").alias("i"), F.lit(0).alias("j"), (F.col("id") + 1).cast("double").alias("v"))
+    return _rounded(solve.triangular(a, b, lower=True), 6).select("i", "v")
+
+
+@query("SELECT p_partkey AS k, round((p_size + 3) / ((p_size + 3) * 5.0 - 4), 6) AS a, round(-2 / ((p_size + 3) * 5.0 - 4), 6) AS b FROM part")
+def closed_2x2(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
+    inv = solve.inverse_2x2(F.lit(5.0), F.lit(2.0), F.lit(2.0), F.col("s") + 3)
+    return p.select("k", F.round(inv["a"], 6).alias("a"), F.round(inv["b"], 6).alias("b"))
+
+
+@query("SELECT p_partkey AS k, round((6 * (p_size + 4) - 1) / (4.0 * (6 * (p_size + 4) - 1) - (p_size + 4)), 6) AS a FROM part")
+def closed_3x3(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    inv = solve.inverse_3x3([[F.lit(4.0), one, zero], [one, F.lit(6.0), one], [zero, one, F.col("s") + 4]])
+    return p.select("k", F.round(inv[0][0], 6).alias("a"))
+
+
+def _relationship(spark, sf) -> DataFrame:
+    return written(products.grm(panel(spark, sf)).select("i", "j", F.col("g").alias("v")))
+
+
+def _phenotype(spark) -> DataFrame:
+    return spark.range(50).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11).cast("double").alias("v"))
+
+
+@query()
+def solve_rel_mat(spark, sf):
+    out = solve.solve_relationship(_relationship(spark, sf), _phenotype(spark), 1.0, 2.0)
+    return out.select("i", F.round("rest", 5).alias("rest"), F.round("yhat", 5).alias("yhat"))
+
+
+@query()
+def population_values(spark, sf):
+    """Haplotypes of a population, their genotypes, the relationship and its system, in one."""
+    geno = written(select.haplo_to_geno(compute_snps(spark, sf)))
+    g = written(products.grm(geno).select("i", "j", F.col("g").alias("v")))
+    y = spark.range(40).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11).cast("double").alias("v"))
+    return _rounded(solve.solve_relationship(g, y, 0.5), 5, "rest")
+
+
+@query()
+def conjugate_gradient(spark, sf):
+    geno = written(panel(spark, sf))
+
+    def times(x: DataFrame) -> DataFrame:
+        g = products.relationship_vector(geno, x)
+        return g.unionByName(x.select("i", (F.col("v") * 1000.0).alias("v"))).groupBy("i").agg(F.sum("v").alias("v"))
+
+    return _rounded(solve.conjugate_gradient(times, _phenotype(spark), tolerance=1e-4, most=40), 4)
+
+
+@query()
+def principal_components(spark, sf):
+    vectors, _ = solve.principal_components(written(panel(spark, sf)), 3)
+    return vectors.select("idx", "col", F.round(F.abs("v"), 4).alias("v"))
+
+
+@query()
+def gblup(spark, sf):
+    x = spark.range(50).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
+    _, values = solve.gblup(_relationship(spark, sf), x, _phenotype(spark))
+    return _rounded(values, 5)
+
+
+@query()
+def capabilities(spark, sf):
+    return model.capabilities(spark)
+
+
+@query("SELECT * FROM (VALUES ('center', 'True'), ('centring', 'row'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False')) t(name, value)")
+def options(spark, sf):
+    return model.Options.matched(norm="global", miss="zero").rows(spark)
 
-QUERIES: dict = {}
-ORACLES: dict = {}
