@@ -34,15 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+_made: list[str] = []
+
+
+def written(df: DataFrame, name: str = "table", result: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and
-    a lost executor costs no more than the stage at hand."""
+    a lost executor costs no more than the stage at hand. result: clear() leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not result:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that operators of this process have written. Only for when all results
+    made from them are written themselves."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def kept_in_process(key: str, make: Callable, version: str = ""):
     """make(), once for each Python worker: what tasks of a reused worker can share. Another version
     takes the place of the one before."""

@@ -123,7 +123,8 @@ def fences(sketch: DataFrame, *by: str, reach: int = 3) -> DataFrame:
 
 def thresholds(counts: DataFrame, language: str, source: str, reach: int = 3, least_docs: int = 50) -> DataFrame:
     """(language, source, lo_..., hi_...). A group of under least_docs documents that pass the base
-    takes the fences of its language, and of the whole corpus if that has as few."""
+    takes the fences of its language, and of the whole corpus if that has as few. A written table: its size is known, so the planner
+    broadcasts it while it is small and deals both sides out by its keys when it is not."""
     fine = written(sketches(counts, language, source), "sketch")
     groups = counts.groupBy(language, source).agg(F.count("*").alias("__rows")).select(language, source)
     names = [f"{x}_{m}" for m in MEASURES for x in ("lo", "hi")]
@@ -139,7 +140,7 @@ def thresholds(counts: DataFrame, language: str, source: str, reach: int = 3, le
         .join(F.broadcast(c).alias("c"), F.lit(True), "left")
     )
     pick = [F.when(enough("a"), F.col(f"a.{n}")).when(enough("b"), F.col(f"b.{n}")).otherwise(F.col(f"c.{n}")).alias(n) for n in names]
-    return joined.select(f"g.{language}", f"g.{source}", *pick)
+    return written(joined.select(f"g.{language}", f"g.{source}", *pick), "limits")
 
 
 def judged(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, reach: int = 3, least_docs: int = 50) -> DataFrame:
