@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five operators, each stage a table of its own."""
+"""The corpus pipeline: documents through five operators, each stage a table of its own.
+
+A stage's result is written before the next stage begins, which therefore first deletes the
+tables that the stage before has needed.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from genospark.llm import jaccard_join, mixing, quality, sp_tokens, substring_dedup
-from genospark.llm.common import written
+from genospark.llm.common import clear, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,11 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first record of each group of texts linked by similar sets of word 5-grams."""
+    clear(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the units that an earlier one has; n_chars follows the text."""
+    clear(spark)
     out = substring_dedup.deduplicated(docs)
     columns = {c: "coalesce(length(text), 0)" if c == "n_chars" else c for c in docs.columns}
     return out.selectExpr(*[f"CAST({x} AS BIGINT) AS {c}" if c == "n_chars" else c for c, x in columns.items()])
@@ -29,11 +35,13 @@ def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken."""
+    clear(spark)
     return mixing.mixed(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document."""
+    clear(spark)
     with open(sp_tokens.MODEL, "rb") as f:
         return sp_tokens.encoded(docs, f.read()).select("doc_id", "ids", "n_tokens", "round_trip", "parity")
 
@@ -55,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}")
+            docs = written(docs, f"stage{k}", result=True)
     return docs
