@@ -6,7 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,27 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_made: list[str] = []
+_collecting: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str = "table", result: bool = False) -> DataFrame:
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    made: list[str] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and
-    a lost executor costs no more than the stage at hand. result: clear() leaves it."""
+    a lost executor costs no more than the stage at hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not result:
-        _made.append(path)
+    for made in _collecting:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that operators of this process have written. Only for when all results
-    made from them are written themselves."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+def discarded(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these tables; what was made from them must be written itself."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
 
 
 def kept_in_process(key: str, make: Callable, version: str = ""):
