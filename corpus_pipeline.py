@@ -7,46 +7,68 @@ tables that the stage before has needed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from genospark.llm import jaccard_join, mixing, quality, sp_tokens, substring_dedup
-from genospark.llm.common import clear, written
+from genospark.llm.common import collected, discarded, written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that the result of the latest stage reads.
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if f.__name__ == "quality_rules":  # a new run; another one's tables are not ours to delete
+            _left.clear()
+        discarded(spark, _left)
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return begun
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
     return quality.judged(docs).filter("kept").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first record of each group of texts linked by similar sets of word 5-grams."""
-    clear(spark)
     return jaccard_join.one_of_each(docs)
 
 
+@stage
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the units that an earlier one has; n_chars follows the text."""
-    clear(spark)
     out = substring_dedup.deduplicated(docs)
     columns = {c: "coalesce(length(text), 0)" if c == "n_chars" else c for c in docs.columns}
     return out.selectExpr(*[f"CAST({x} AS BIGINT) AS {c}" if c == "n_chars" else c for c, x in columns.items()])
 
 
+@stage
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken."""
-    clear(spark)
     return mixing.mixed(docs)
 
 
+@stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document."""
-    clear(spark)
     with open(sp_tokens.MODEL, "rb") as f:
         return sp_tokens.encoded(docs, f.read()).select("doc_id", "ids", "n_tokens", "round_trip", "parity")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", near_duplicates),
     ("substring dedup", repeated_units),
@@ -60,8 +82,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}", result=True)
+            docs = written(docs, f"stage{k}")
     return docs
