@@ -70,11 +70,16 @@ def discarded(spark: SparkSession, paths: list[str]) -> None:
 
 def kept_in_process(key: str, make: Callable, version: str = ""):
     """make(), once for each Python worker: what tasks of a reused worker can share. Another version
-    takes the place of the one before."""
-    holder = vars(sys.modules.setdefault("_genospark_kept", types.ModuleType("_genospark_kept")))
-    if key not in holder or holder[key][0] != version:
-        holder[key] = (version, make())
-    return holder[key][1]
+    takes the place of the one before, and only the two used last are kept."""
+    holder = vars(sys.modules.setdefault("_genospark_kept", types.ModuleType("_genospark_kept"))).setdefault("kept", {})
+    found = holder.pop(key, None)
+    if found is None or found[0] != version:
+        found = None
+        while len(holder) > 1:
+            del holder[next(iter(holder))]
+        found = (version, make())
+    holder[key] = found
+    return found[1]
 
 
 def shipped(spark: SparkSession, key: str, value) -> Callable:

@@ -45,7 +45,7 @@ def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, d
 class _Hashes(dict):
     """8 bytes for each word; keeps up to `most`."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self._most = most
 
     def __missing__(self, word: bytes) -> bytes:

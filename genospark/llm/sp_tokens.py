@@ -125,7 +125,7 @@ class Coder:
     Otherwise, or where the model changes characters, whole texts are encoded and tested.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 600_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 450_000):
         import sentencepiece
         from tokenizers import pre_tokenizers
 
