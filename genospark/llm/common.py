@@ -68,16 +68,17 @@ def discarded(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def kept_in_process(key: str, make: Callable, version: str = ""):
+def kept_in_process(key: str, make: Callable, version: str = "", large: bool = False):
     """make(), once for each Python worker: what tasks of a reused worker can share. Another version
-    takes the place of the one before, and only the two used last are kept."""
+    takes the place of the one before, only the two used last are kept, and a large one only
+    until something else is made."""
     holder = vars(sys.modules.setdefault("_genospark_kept", types.ModuleType("_genospark_kept"))).setdefault("kept", {})
     found = holder.pop(key, None)
     if found is None or found[0] != version:
         found = None
-        while len(holder) > 1:
-            del holder[next(iter(holder))]
-        found = (version, make())
+        for old in [k for k, x in holder.items() if x[2]] + list(holder)[:-1]:
+            holder.pop(old, None)
+        found = (version, make(), large)
     holder[key] = found
     return found[1]
 

@@ -125,7 +125,7 @@ class Coder:
     Otherwise, or where the model changes characters, whole texts are encoded and tested.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 450_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 400_000):
         import sentencepiece
         from tokenizers import pre_tokenizers
 
@@ -218,7 +218,7 @@ def encoded(docs: DataFrame, model: bytes, keep_ids: bool = True, verify: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
-        coder = kept_in_process(f"coder_{zlib.crc32(sent.value)}_{threads}_{verify}", lambda: Coder(sent.value, threads, verify))
+        coder = kept_in_process(f"coder_{zlib.crc32(sent.value)}_{threads}_{verify}", lambda: Coder(sent.value, threads, verify), large=True)
 
         def rows(ids: list, texts: list[str | None]) -> pa.RecordBatch:
             at = [k for k, x in enumerate(texts) if x is not None]
