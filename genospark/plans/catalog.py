@@ -59,6 +59,11 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", F.col("j").cast("bigint").alias("j"), F.round(F.col("x").cast("double") * 100).cast("bigint").alias("v"))
 
 
+def settled_panel(spark: SparkSession, sf: str, snps: int = 64, individuals: int = 50) -> DataFrame:
+    """The panel with 0 where no line item is."""
+    return model.settled(full_panel(spark, sf, snps, individuals), "zero")
+
+
 def b_matrix(spark: SparkSession, n: int, columns: int = 10) -> DataFrame:
     return spark.range(n * columns).select(F.expr(f"id div {columns}").alias("idx"), F.expr(f"id % {columns} + 1").alias("col")).withColumn("v", -(10 * F.col("idx") + F.col("col")))
 
@@ -75,6 +80,11 @@ def _g(snps: int = 64, individuals: int = 50) -> str:
     return f"g AS (SELECT l_partkey % {snps} AS snp_idx, l_orderkey % {individuals} AS indiv_idx, CAST(SUM(CAST(l_quantity AS BIGINT)) % 3 AS INT) AS dosage FROM lineitem GROUP BY 1, 2)"
 
 
+def _settled(snps: int = 64, individuals: int = 50) -> str:
+    cells = f"cells AS (SELECT s AS snp_idx, i AS indiv_idx FROM range({snps}) a(s), range({individuals}) b(i))"
+    return "WITH " + _g(snps, individuals).replace("g AS", "g0 AS", 1) + f", {cells}, g AS (SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM cells LEFT JOIN g0 USING (snp_idx, indiv_idx))"
+
+
 G = "WITH " + _g()
 FULL = G + ", cells AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(64) a(s), range(50) b(i)), full_g AS (SELECT * FROM cells LEFT JOIN g USING (snp_idx, indiv_idx))"
 H = G + ", h AS (SELECT snp_idx, indiv_idx, k AS hap, CASE WHEN dosage >= k + 1 THEN 1 ELSE 0 END AS allele FROM g, range(2) r(k))"
@@ -308,14 +318,14 @@ def grm(spark, sf):
 _LD = ", m AS (SELECT a.snp_idx AS i, b.snp_idx AS j, corr(a.dosage, b.dosage) AS r FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2) "
 
 
-@query("WITH " + _g(53, 47) + _LD + "SELECT i, j, round(r, 6) AS r FROM m")
+@query(_settled(53, 47) + _LD + "SELECT i, j, round(r, 6) AS r FROM m")
 def ld(spark, sf):
-    return _rounded(products.ld(panel(spark, sf, 53, 47)), 6, "r")
+    return _rounded(products.ld(settled_panel(spark, sf, 53, 47)), 6, "r")
 
 
-@query("WITH " + _g(53, 47) + _LD + "SELECT i, j, round(r * r, 6) AS r FROM m")
+@query(_settled(53, 47) + _LD + "SELECT i, j, round(r * r, 6) AS r FROM m")
 def ld_squared(spark, sf):
-    return _rounded(products.ld(panel(spark, sf, 53, 47), squared=True), 6, "r")
+    return _rounded(products.ld(settled_panel(spark, sf, 53, 47), squared=True), 6, "r")
 
 
 @query(G + _M + " SELECT m.i, m.j, round(CAST(n * n * v - n * (ri.s + rj.s) + tot AS DOUBLE) / (n * n), 6) AS v FROM m JOIN r ri ON m.i = ri.i JOIN r rj ON m.j = rj.i CROSS JOIN t")
@@ -323,9 +333,9 @@ def crossprod_row_centred(spark, sf):
     return _rounded(products.centred_crossprod(panel(spark, sf)), 6)
 
 
-@query(G + ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, corr(a.dosage, b.dosage) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2) SELECT i, j, round(v, 6) AS v FROM m")
+@query(_settled() + ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, corr(a.dosage, b.dosage) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2) SELECT i, j, round(v, 6) AS v FROM m")
 def crossprod_correlated(spark, sf):
-    return _rounded(products.centred_crossprod(panel(spark, sf), centring="column", normalize="centring"), 6)
+    return _rounded(products.centred_crossprod(settled_panel(spark, sf), centring="column", normalize="centring"), 6)
 
 
 @query(G + _M + " SELECT m.i, CAST(sum(m.v * (m.j + 1)) AS BIGINT) AS v FROM m GROUP BY 1")
@@ -441,9 +451,9 @@ def bed_as_doubles(spark, sf):
     return out.withColumn("v", F.col("v").cast("double"))
 
 
-@query(G + " SELECT snp_idx, indiv_idx, dosage FROM g")
+@query(_settled() + " SELECT snp_idx, indiv_idx, dosage FROM g")
 def text_genotypes(spark, sf):
-    lines = panel(spark, sf).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct(INDIV, DOSAGE))).alias("c"))
+    lines = settled_panel(spark, sf).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct(INDIV, DOSAGE))).alias("c"))
     text = F.concat(F.lit("snp 7 "), F.array_join(F.transform("c", lambda x: F.substring(F.lit("ABC"), x["dosage"] + 1, F.lit(1))), " "))
     parsed = plink.parsed_lines(lines.select(F.col(SNP).alias("line_idx"), text.alias("value")), codes="ABC", na="-", leading=2, sep=" ")
     return parsed
@@ -549,10 +559,10 @@ def _x(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 100000).alias("x"))
 
 
-@query(f"WITH t AS ({_X}) SELECT k, round(exp(-x * x), 6) AS d0, round(-2 * x * exp(-x * x), 6) AS d1, round((4 * x * x - 2) * exp(-x * x), 6) AS d2, round((12 * x - 8 * x ** 3) * exp(-x * x), 6) AS d3, round((12 - 48 * x * x + 16 * x ** 4) * exp(-x * x), 6) AS d4, round(-x * x, 6) AS lg FROM t")
+@query(f"WITH t AS ({_X}) SELECT k, round(exp(-x * x), 6) + 0.0 AS d0, round(-2 * x * exp(-x * x), 6) + 0.0 AS d1, round((4 * x * x - 2) * exp(-x * x), 6) + 0.0 AS d2, round((12 * x - 8 * x ** 3) * exp(-x * x), 6) + 0.0 AS d3, round((12 - 48 * x * x + 16 * x ** 4) * exp(-x * x), 6) + 0.0 AS d4, round(-x * x, 6) + 0.0 AS lg FROM t")
 def gauss(spark, sf):
     x = F.col("x")
-    return _x(spark, sf).select("k", *[F.round(scalar.gauss(x, d), 6).alias(f"d{d}") for d in range(5)], F.round(scalar.log_gauss(x), 6).alias("lg"))
+    return _x(spark, sf).select("k", *[(F.round(scalar.gauss(x, d), 6) + 0.0).alias(f"d{d}") for d in range(5)], (F.round(scalar.log_gauss(x), 6) + 0.0).alias("lg"))
 
 
 @query(f"WITH t AS ({_X}) SELECT k, round(exp(-0.5 * (x * x / 2 + (x - 1) * (x - 1) / 3)) / (2 * pi() * sqrt(6)), 6) AS v FROM t")
