@@ -303,6 +303,20 @@ def windows(codes: list[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[n
         yield part[0], part[1], part[2] >= 0, part[2]
 
 
+def streams(codes: list[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, fresh, real) for training: documents end to end, cut into lanes of one length. Where a cut falls within a
+    document, its rest starts without a state; scoring never cuts."""
+    stream = np.concatenate(codes)
+    begins = np.zeros(len(stream), bool)
+    begins[np.cumsum([0, *map(len, codes[:-1])])] = True
+    rows = max(1, min(lanes, len(stream) // steps))
+    length = -(-len(stream) // rows)
+    pad = rows * length - len(stream)
+    x, fresh, real = (np.r_[v, np.zeros(pad, v.dtype)].reshape(rows, length) for v in (stream, begins, np.ones(len(stream), bool)))
+    for at in range(0, length, steps):
+        yield tuple(np.ascontiguousarray(v[:, at : at + steps].T) for v in (x, fresh, real))
+
+
 def train(gru: Gru, codes: list[np.ndarray], state: dict | None = None) -> tuple[int, float]:
     """Adam over the windows of these documents; how many tokens there were, and their mean loss."""
     s = gru.s
@@ -311,14 +325,14 @@ def train(gru: Gru, codes: list[np.ndarray], state: dict | None = None) -> tuple
     state = {} if state is None else state
     m = state.setdefault("m", [np.zeros_like(p) for p in gru.parts])
     v = state.setdefault("v", [np.zeros_like(p) for p in gru.parts])
-    h, n, lost = np.zeros((0, s.hidden), np.float32), 0, 0.0
-    for x, fresh, real, _ in windows(codes, s.lanes, s.steps):
-        h = np.zeros((x.shape[1], s.hidden), np.float32) if not len(h) else h[: x.shape[1]]
+    h, n, lost = None, 0, 0.0
+    for x, fresh, real in streams(codes, s.lanes, s.steps):
+        h = np.zeros((x.shape[1], s.hidden), np.float32) if h is None else h
         grads, h, loss = gru.gradients(x, fresh, real, h)
         state["t"] = t = state.get("t", 0) + 1
         norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
         clip = min(1.0, 1.0 / (norm + 1e-9))
-        rate = s.rate * min(1.0, t / 20) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        rate = s.rate * min(1.0, t / 20) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * real.sum() / (s.steps * s.lanes)
         for p, g, a, b in zip(gru.parts, grads, m, v, strict=True):
             g *= clip
             a += 0.1 * (g - a)
