@@ -8,9 +8,9 @@ class comes from the counts, (c + 1) / (N_b + V_b + 1) with its class's tokens a
 start from the counts, so training starts from a unigram model.
 
 Training: truncated backpropagation over windows of `steps` tokens, state carried from one window
-to the next. A share of the training documents, chosen by hash and growing with the corpus, is
-read in `rounds`; in each round all partitions start from the same parameters, train on their own
-documents and are averaged, sixteen at a time until one is left.
+to the next. Every training document is read, in one of `rounds` that its hash picks; in each round all
+partitions start from the same parameters, train on their own documents and are averaged,
+sixteen at a time until one is left.
 
 Scoring: documents lie end to end in lanes, the state starts anew with each document and
 runs through all of it. Counts of tokens beyond the `known` most frequent ones come by a join.
@@ -49,7 +49,6 @@ class Settings:
     steps: int = 32
     lanes: int = 32
     rate: float = 0.01
-    share: float = 0.125
     rounds: int = 3
     known: int = 131072
     chunk: int = 1_000_000
@@ -368,16 +367,15 @@ def trained(docs: DataFrame, v: Vocabulary) -> bytes:
     """Parameters after all rounds. docs: doc_id and text of the training documents."""
     spark, s = docs.sparkSession, v.s
     sent = shipped(spark, "vocabulary", (v, v.index()))
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(10_000))
-    chosen = docs.withColumn("p", part).filter(F.col("p") < int(10_000 * s.share))
+    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(s.rounds)).cast("int")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, index = sent()
         for batch in batches:
             out = [_coded(voc, index, x)[2].astype(np.int16).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(batch.column("p").to_pylist(), np.int32) % s.rounds), pa.array(out, pa.binary())], names=["round", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(out, pa.binary())], names=["round", "codes"])
 
-    coded = written(chosen.select("p", "text").mapInArrow(code, "round int, codes binary"), "lm_codes")
+    coded = written(docs.select(part.alias("round"), "text").mapInArrow(code, "round int, codes binary"), "lm_codes")
     params = Gru(v).to_bytes()
     for k in range(s.rounds):
         start = spark.sparkContext.broadcast(params)

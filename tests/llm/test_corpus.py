@@ -321,7 +321,7 @@ def test_sentencepiece_parity(docs, rows, empty):
 
 
 def test_language_model(docs, rows, empty, spark):
-    s = gru_lm.Settings(head=64, members=8, buckets=4, hidden=8, share=1.0, rounds=2, known=100)
+    s = gru_lm.Settings(head=64, members=8, buckets=4, hidden=8, rounds=2, known=100)
     got = gru_lm.scored(docs, s).collect()
     assert len(got) == len(rows)
     lower = lambda t: [w.encode().lower() for w in words(t)] + [b""]
