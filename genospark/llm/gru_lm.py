@@ -10,7 +10,8 @@ start from the counts, so training starts from a unigram model.
 Training: truncated backpropagation over windows of `steps` tokens, state carried from one window
 to the next. Every training document is read, in one of `rounds` that its hash picks; in each round all
 partitions start from the same parameters, train on their own documents and are averaged,
-sixteen at a time until one is left.
+sixteen at a time until one is left. A chunk of documents is cut into so many lanes (at most
+`lanes`) that it gives `updates` windows or more.
 
 Scoring: documents lie end to end in lanes, the state starts anew with each document and
 runs through all of it. Counts of tokens beyond the `known` most frequent ones come by a join.
@@ -38,6 +39,8 @@ from genospark.llm.common import shipped, small_batches, written
 from genospark.llm.quality import bucket, bucket_top
 
 END = b""
+#: Lanes that a short stream is cut into; windows of fewer than twice as many take shorter steps.
+LEAST_LANES = 16
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,8 @@ class Settings:
     buckets: int = 64
     hidden: int = 32
     steps: int = 32
-    lanes: int = 32
+    lanes: int = 256
+    updates: int = 128
     rate: float = 0.01
     rounds: int = 3
     known: int = 131072
@@ -165,100 +169,132 @@ class Gru:
         self.emb, self.rec, self.wc, self.bc, self.ww, self.bw = self.parts
 
     def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States before each token and after the last. x, fresh (a document begins): (steps, lanes)."""
-        n = self.s.hidden
-        before = np.empty((*x.shape, n), np.float32)
-        gates = self.emb[x]
+        """States before each token, (steps, lanes, hidden), and after the last, (hidden, lanes): within the loop
+        units come first, so that each gate is one block. x, fresh (a document begins): (steps, lanes)."""
+        n, lanes = self.s.hidden, x.shape[1]
+        before = np.empty((len(x), n, lanes), np.float32)
+        gates = np.take(np.ascontiguousarray(self.emb.T), x, axis=1)
+        rec = np.ascontiguousarray(self.rec.T)
         for t in range(len(x)):
             if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t], np.float32(0), h)
             before[t] = h
-            u = h @ self.rec
-            g = gates[t]
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + u[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
+            u = rec @ h
+            zr = u[: 2 * n] + gates[: 2 * n, t]
+            zr *= np.float32(-1)
+            np.exp(zr, out=zr)
+            zr += np.float32(1)
+            np.reciprocal(zr, out=zr)
+            z, r, uc = zr[:n], zr[n:], u[2 * n :]
+            c = r * uc
+            c += gates[2 * n :, t]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((z, r, c, u[:, 2 * n :]))
-            h = c + z * (h - c)
-        return before, h
-
-    def _by_class(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, places) of the head tokens."""
-        at = np.flatnonzero(codes < self.s.head)
-        kind = codes[at] // self.members
-        order = np.argsort(kind, kind="stable")
-        at, kind = at[order], kind[order]
-        cuts = np.searchsorted(kind, np.arange(self.classes + 1))
-        for k in range(self.classes):
-            if cuts[k] < cuts[k + 1]:
-                yield k, at[cuts[k] : cuts[k + 1]]
+                keep.append((z, r, c, uc))
+            h = h - c
+            h *= z
+            h += c
+        return before.transpose(0, 2, 1), h
 
     def _kind(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < self.s.head, codes // self.members, self.classes + codes - self.s.head)
 
+    def _sorted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(order, kinds in that order, where each class begins and the last ends): head tokens first, by class."""
+        kind = self._kind(codes).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
+        return order, kind, np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+
     def log_probs(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Natural logs: of the class, and of the token in it for head tokens."""
-        a = states @ self.wc
+        order, kind, cuts = self._sorted(codes)
+        st, cd = states[order], codes[order]
+        a = st @ self.wc
         a += self.bc
-        out = a[np.arange(len(codes)), self._kind(codes)]
-        out -= np.log(np.exp(a).sum(axis=1))
-        for k, at in self._by_class(codes):
-            b = states[at] @ self.ww[k]
-            b += self.bw[k]
-            out[at] += b[np.arange(len(at)), codes[at] % self.members] - np.log(np.exp(b).sum(axis=1))
+        got = a[np.arange(len(cd)), kind]
+        got -= np.log(np.exp(a, out=a).sum(axis=1))
+        for k in range(self.classes):
+            i, j = cuts[k], cuts[k + 1]
+            if i < j:
+                b = st[i:j] @ self.ww[k]
+                b += self.bw[k]
+                got[i:j] += b[np.arange(j - i), cd[i:j] % self.members]
+                got[i:j] -= np.log(np.exp(b, out=b).sum(axis=1))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
+    @staticmethod
+    def _errors(a: np.ndarray, at: np.ndarray, scale) -> float:
+        """Turns logits, in place, into gradients of minus the mean log probability of the columns at; gives
+        minus the sum of those."""
+        rows = np.arange(len(a))
+        a -= a.max(axis=1, keepdims=True)
+        true = a[rows, at]
+        np.exp(a, out=a)
+        sums = a.sum(axis=1)
+        a *= (scale / sums)[:, None]
+        a[rows, at] -= scale
+        return float(np.log(sums).sum() - true.sum())
+
     def gradients(self, x: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
         """Of minus the mean log probability over the window's real tokens; the state after it; that mean."""
         n, keep = self.s.hidden, []
         before, after = self._run(x, fresh, h, keep)
-        flat, codes, ok = before.reshape(-1, n), x.ravel(), real.ravel()
-        use = np.flatnonzero(ok)
+        flat, codes = before.reshape(-1, n), x.ravel()
+        use = np.flatnonzero(real.ravel())
+        order, kind, cuts = self._sorted(codes[use])
+        use = use[order]
         st, cd = flat[use], codes[use]
-        scale = np.float32(1 / max(1, len(use)))
-        a = st @ self.wc + self.bc
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        p = e / e.sum(axis=1, keepdims=True)
-        rows, kind = np.arange(len(cd)), self._kind(cd)
-        loss = -np.log(p[rows, kind] + 1e-20).sum()
-        p[rows, kind] -= 1
-        p *= scale
+        scale = st.dtype.type(1 / max(1, len(use)))
         grads = [np.zeros_like(w) for w in self.parts]
+        p = st @ self.wc
+        p += self.bc
+        loss = self._errors(p, kind, scale)
         grads[2], grads[3] = st.T @ p, p.sum(axis=0)
         ds = p @ self.wc.T
-        for k, at in self._by_class(cd):
-            b = st[at] @ self.ww[k] + self.bw[k]
-            b -= b.max(axis=1, keepdims=True)
-            q = np.exp(b)
-            q /= q.sum(axis=1, keepdims=True)
-            r, m = np.arange(len(at)), cd[at] % self.members
-            loss -= np.log(q[r, m] + 1e-20).sum()
-            q[r, m] -= 1
-            q *= scale
-            grads[4][k], grads[5][k] = st[at].T @ q, q.sum(axis=0)
-            ds[at] += q @ self.ww[k].T
+        for k in range(self.classes):
+            i, j = cuts[k], cuts[k + 1]
+            if i < j:
+                q = st[i:j] @ self.ww[k]
+                q += self.bw[k]
+                loss += self._errors(q, cd[i:j] % self.members, scale)
+                grads[4][k], grads[5][k] = st[i:j].T @ q, q.sum(axis=0)
+                ds[i:j] += q @ self.ww[k].T
         dh_out = np.zeros_like(flat)
         dh_out[use] = ds
-        dh_out = dh_out.reshape(before.shape)
-        dg = np.empty((*x.shape, 3 * n), np.float32)
-        dh = np.zeros_like(h)
+        dh_out = np.ascontiguousarray(dh_out.reshape(before.shape).transpose(0, 2, 1))
+        prev = before.transpose(0, 2, 1)
+        dg, du = (np.empty((len(x), 3 * n, x.shape[1]), flat.dtype) for _ in range(2))
+        dh = np.zeros_like(dh_out[0])
         for t in range(len(x) - 1, -1, -1):
             z, r, c, uc = keep[t]
-            prev = before[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (prev - c) * z * (1 - z)
-            dr = dc * uc * r * (1 - r)
-            dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :] = dz, dr, dc
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            grads[1] += prev.T @ du
-            dh = dh * z + du @ self.rec.T + dh_out[t]
-            dh[fresh[t]] = 0
-        order = np.argsort(codes, kind="stable")
+            g = dg[t]
+            dz, dr, dc = g[:n], g[n : 2 * n], g[2 * n :]
+            np.subtract(1, z, out=dz)
+            np.multiply(dh, dz, out=dc)
+            dz *= z
+            dz *= dh
+            dz *= prev[t] - c
+            dc *= 1 - c * c
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= uc
+            dr *= dc
+            du[t, : 2 * n] = g[: 2 * n]
+            np.multiply(dc, r, out=du[t, 2 * n :])
+            dh *= z
+            dh += self.rec @ du[t]
+            dh += dh_out[t]
+            if fresh[t].any():
+                dh[:, fresh[t]] = 0
+        grads[1] += np.matmul(prev, du.transpose(0, 2, 1)).sum(axis=0)
+        order = np.argsort(codes.astype(np.int16), kind="stable")
         firsts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-        grads[0][codes[order][firsts]] = np.add.reduceat(dg.reshape(-1, 3 * n)[order], firsts, axis=0)
-        return grads, after, float(loss * scale)
+        rows = dg.transpose(0, 2, 1).reshape(-1, 3 * n)[order]
+        grads[0][codes[order][firsts]] = np.add.reduceat(rows, firsts, axis=0)
+        return grads, after, loss * float(scale)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -302,13 +338,13 @@ def windows(codes: list[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[n
         yield part[0], part[1], part[2] >= 0, part[2]
 
 
-def streams(codes: list[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def streams(codes: list[np.ndarray], lanes: int, steps: int, updates: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, fresh, real) for training: documents end to end, cut into lanes of one length. Where a cut falls within a
     document, its rest starts without a state; scoring never cuts."""
     stream = np.concatenate(codes)
     begins = np.zeros(len(stream), bool)
     begins[np.cumsum([0, *map(len, codes[:-1])])] = True
-    rows = max(1, min(lanes, len(stream) // steps))
+    rows = max(1, min(lanes, max(LEAST_LANES, len(stream) // (steps * updates)), len(stream) // steps))
     length = -(-len(stream) // rows)
     pad = rows * length - len(stream)
     x, fresh, real = (np.r_[v, np.zeros(pad, v.dtype)].reshape(rows, length) for v in (stream, begins, np.ones(len(stream), bool)))
@@ -325,13 +361,13 @@ def train(gru: Gru, codes: list[np.ndarray], state: dict | None = None) -> tuple
     m = state.setdefault("m", [np.zeros_like(p) for p in gru.parts])
     v = state.setdefault("v", [np.zeros_like(p) for p in gru.parts])
     h, n, lost = None, 0, 0.0
-    for x, fresh, real in streams(codes, s.lanes, s.steps):
-        h = np.zeros((x.shape[1], s.hidden), np.float32) if h is None else h
+    for x, fresh, real in streams(codes, s.lanes, s.steps, s.updates):
+        h = np.zeros((s.hidden, x.shape[1]), np.float32) if h is None else h
         grads, h, loss = gru.gradients(x, fresh, real, h)
         state["t"] = t = state.get("t", 0) + 1
         norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
         clip = min(1.0, 1.0 / (norm + 1e-9))
-        rate = s.rate * min(1.0, t / 20) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * real.sum() / (s.steps * s.lanes)
+        rate = s.rate * min(1.0, t / 20) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * min(1.0, real.sum() / (s.steps * 2 * LEAST_LANES))
         for p, g, a, b in zip(gru.parts, grads, m, v, strict=True):
             g *= clip
             a += 0.1 * (g - a)
@@ -348,7 +384,7 @@ def scores(gru: Gru, codes: list[np.ndarray], lanes: int = 256) -> np.ndarray:
     lanes = int(max(32, min(lanes, lengths.sum() // max(1, lengths.max()))))
     out, h = np.zeros(len(codes)), None
     for x, fresh, real, doc in windows(codes, lanes, gru.s.steps):
-        h = np.zeros((x.shape[1], gru.s.hidden), np.float32) if h is None else h[: x.shape[1]]
+        h = np.zeros((gru.s.hidden, x.shape[1]), np.float32) if h is None else h[:, : x.shape[1]]
         before, h = gru._run(x, fresh, h)
         use = real.ravel()
         lp = gru.log_probs(before.reshape(-1, gru.s.hidden)[use], x.ravel()[use])

@@ -349,7 +349,7 @@ def test_language_model_is_a_distribution_and_has_right_gradients():
     assert np.allclose(sum(np.exp(g.log_probs(states, np.full(8, k))) for k in range(8)), 1)
     x, fresh, real = rng.integers(0, 8, (5, 4)), np.zeros((5, 4), bool), np.ones((5, 4), bool)
     fresh[0], fresh[3, 1], real[4, 2] = True, True, False
-    h = np.zeros((4, 3))
+    h = np.zeros((3, 4))
     grads, _, loss = g.gradients(x, fresh, real, h)
     for p, d in zip(g.parts, grads, strict=True):
         for _ in range(4):
