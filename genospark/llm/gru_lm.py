@@ -24,6 +24,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zlib
 from collections import Counter
@@ -148,6 +149,19 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     return Vocabulary([bytes(r.token) for r in top], [r.c for r in top], total[0], total[1], {r[0]: (r[1], r[2]) for r in rest}, s)
 
 
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
+def keep_freed_memory() -> None:
+    """Lets this worker's allocator reuse the arrays of one window for the next, where it is glibc's; it
+    would else give them back and have every page cleared anew."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 class Gru:
     """Parameters and passes. Inputs are codes: head tokens, then buckets."""
 
@@ -173,21 +187,21 @@ class Gru:
         units come first, so that each gate is one block. x, fresh (a document begins): (steps, lanes)."""
         n, lanes = self.s.hidden, x.shape[1]
         before = np.empty((len(x), n, lanes), np.float32)
-        gates = np.take(np.ascontiguousarray(self.emb.T), x, axis=1)
+        gates = np.ascontiguousarray(self.emb[x].transpose(0, 2, 1))
         rec = np.ascontiguousarray(self.rec.T)
         for t in range(len(x)):
             if fresh[t].any():
                 h = np.where(fresh[t], np.float32(0), h)
             before[t] = h
             u = rec @ h
-            zr = u[: 2 * n] + gates[: 2 * n, t]
+            zr = u[: 2 * n] + gates[t, : 2 * n]
             zr *= np.float32(-1)
             np.exp(zr, out=zr)
             zr += np.float32(1)
             np.reciprocal(zr, out=zr)
             z, r, uc = zr[:n], zr[n:], u[2 * n :]
             c = r * uc
-            c += gates[2 * n :, t]
+            c += gates[t, 2 * n :]
             np.tanh(c, out=c)
             if keep is not None:
                 keep.append((z, r, c, uc))
@@ -213,14 +227,14 @@ class Gru:
         a = st @ self.wc
         a += self.bc
         got = a[np.arange(len(cd)), kind]
-        got -= np.log(np.exp(a, out=a).sum(axis=1))
+        got -= np.log(_row_sums(np.exp(a, out=a)))
         for k in range(self.classes):
             i, j = cuts[k], cuts[k + 1]
             if i < j:
                 b = st[i:j] @ self.ww[k]
                 b += self.bw[k]
                 got[i:j] += b[np.arange(j - i), cd[i:j] % self.members]
-                got[i:j] -= np.log(np.exp(b, out=b).sum(axis=1))
+                got[i:j] -= np.log(_row_sums(np.exp(b, out=b)))
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -230,10 +244,10 @@ class Gru:
         """Turns logits, in place, into gradients of minus the mean log probability of the columns at; gives
         minus the sum of those."""
         rows = np.arange(len(a))
-        a -= a.max(axis=1, keepdims=True)
+        np.minimum(a, 80, out=a)
         true = a[rows, at]
         np.exp(a, out=a)
-        sums = a.sum(axis=1)
+        sums = _row_sums(a)
         a *= (scale / sums)[:, None]
         a[rows, at] -= scale
         return float(np.log(sums).sum() - true.sum())
@@ -252,7 +266,7 @@ class Gru:
         p = st @ self.wc
         p += self.bc
         loss = self._errors(p, kind, scale)
-        grads[2], grads[3] = st.T @ p, p.sum(axis=0)
+        grads[2], grads[3] = st.T @ p, _row_sums(p.T)
         ds = p @ self.wc.T
         for k in range(self.classes):
             i, j = cuts[k], cuts[k + 1]
@@ -260,7 +274,7 @@ class Gru:
                 q = st[i:j] @ self.ww[k]
                 q += self.bw[k]
                 loss += self._errors(q, cd[i:j] % self.members, scale)
-                grads[4][k], grads[5][k] = st[i:j].T @ q, q.sum(axis=0)
+                grads[4][k], grads[5][k] = st[i:j].T @ q, _row_sums(q.T)
                 ds[i:j] += q @ self.ww[k].T
         dh_out = np.zeros_like(flat)
         dh_out[use] = ds
@@ -417,6 +431,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> bytes:
         start = spark.sparkContext.broadcast(params)
 
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            keep_freed_memory()
             gru, state, held, n = Gru(sent()[0], Gru.parts_of(start.value)), {}, [], 0
 
             def learn() -> None:
@@ -470,6 +485,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sent = shipped(spark, "language_model", (v, v.index(), trained(learnt, v) if v.n else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         voc, index, params = sent()
         gru = Gru(voc, Gru.parts_of(params)) if params else None
         base = np.log10((voc.counts + 1) / (voc.n + voc.v + 1))
