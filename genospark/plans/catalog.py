@@ -385,6 +385,27 @@ def matrix_vector(spark, sf):
     return products.matvec(dense(spark, sf).filter("i < 64"), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
 
 
+# The three above and coo_file take the first 64 vectors, as their SQL does; these take the whole table.
+
+
+@query(D + ", a AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY 1, 2) SELECT CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a")
+def quadratic_form_all(spark, sf):
+    x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+    m = dense(spark, sf)
+    return products.quadratic(x, products.matmul(m, m, ta=True))
+
+
+@query(D + " SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM d x JOIN d y ON x.j = y.j GROUP BY 1, 2")
+def matmul_transposed_all(spark, sf):
+    m = dense(spark, sf)
+    return products.matmul(m, m, tb=True)
+
+
+@query(D + " SELECT i, CAST(sum(v * (j - 7)) AS BIGINT) AS v FROM d GROUP BY 1")
+def matrix_vector_all(spark, sf):
+    return products.matvec(dense(spark, sf), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
+
+
 # Byte formats and files
 
 _BYTES = " SELECT snp_idx, indiv_idx // {per} AS byte_idx, CAST(sum({code}) AS INT) AS code FROM full_g GROUP BY 1, 2"
@@ -500,6 +521,14 @@ def coo_file(spark, sf):
     return plink.read_coo(spark, path)
 
 
+@query(D + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM d WHERE v <> 0")
+def coo_file_all(spark, sf):
+    path = "file://" + temporary("coo")
+    rows = dense(spark, sf).filter("v <> 0").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    rows.write.text(path)
+    return plink.read_coo(spark, path)
+
+
 @query(G + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / 128 AS freq FROM g GROUP BY 1")
 def freq_file(spark, sf):
     path = "file://" + temporary("freq")

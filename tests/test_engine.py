@@ -72,6 +72,19 @@ def test_query_against_sql(spark, name):
     assert got == want
 
 
+@needs_data
+def test_products_of_whole_tables(spark):
+    n = catalog.table(spark, SF, "embeddings").count()
+    assert n > 64
+    for name in ("matrix_vector_all", "matmul_transposed_all", "coo_file_all"):
+        assert catalog.QUERIES[name](spark, SF).select("i").distinct().count() == n
+    a = np.zeros((n, 64))
+    for r in catalog.dense(spark, SF).collect():
+        a[r.i, r.j] = r.v
+    x = np.arange(1, 65)
+    assert catalog.QUERIES["quadratic_form_all"](spark, SF).first()[0] == round(x @ (a.T @ a) @ x)
+
+
 def test_products_against_numpy(spark, geno, m):
     p = m.mean(axis=1) / 2
     b = np.random.default_rng(2).normal(size=(13, 3))
