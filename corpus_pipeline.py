@@ -49,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the units that an earlier one has; n_chars follows the text."""
-    out = substring_dedup.deduplicated(docs)
+    """All documents, without the units and passages that an earlier one has; n_chars follows the text."""
+    out = substring_dedup.deduplicated(docs, passages=True)
     columns = {c: "coalesce(length(text), 0)" if c == "n_chars" else c for c in docs.columns}
     return out.selectExpr(*[f"CAST({x} AS BIGINT) AS {c}" if c == "n_chars" else c for c, x in columns.items()])
 

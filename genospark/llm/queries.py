@@ -18,7 +18,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"))
+    return substring_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"), passages=True)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

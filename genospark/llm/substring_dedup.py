@@ -2,12 +2,18 @@
 
 A text is cut into units: lines ("line"), runs of lines between blank ones ("paragraph") or,
 within lines, sentences, long ones in parts ("sentence"). A unit is normalised (lower case, runs of spaces to one,
-trimmed) and digested. Over all documents the earliest occurrence of a digest stays, in order of
+trimmed) and digested (96 bits). Over all documents the earliest occurrence of a digest stays, in order of
 rank, doc_id, the text's own digest and place; every other one is removed, with the offsets of
 what goes given in the original text. Units of under min_words words are never removed: such
 short ones repeat by chance. Digests are grouped with the least occurrence as a partial
 aggregate, so that a unit may stand in any share of the rows.
 
+Passages are found besides units where `passages` asks for it: runs of PASSAGE words or more, over lines and
+sentences, that repeat an earlier text word by word wherever they begin and end. Of the runs of GRAM words
+those whose hash is least among WINDOW successive ones are digested too, so that any two equal runs
+of PASSAGE words share one; from there each occurrence is compared with the earliest, word by word to
+both sides, and goes if they agree in PASSAGE words. In scripts without spaces a character is a word.
+
 Defined results: a null text stays null and has no units; rows that agree in doc_id and text
 are one record and lose the same spans; a null doc_id comes last in order; a text all of whose
 units go becomes empty; an empty table gives an empty table; columns of the input named
@@ -21,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +48,86 @@ LONG, ANCHOR, LEAST = 24, 4, 6
 WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
+#: A passage has so many words; GRAM + WINDOW - 1 of them: such a run contains a gram that is picked.
+PASSAGE, GRAM = 50, 16
+WINDOW = PASSAGE - GRAM + 1
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_UNSPACED}]")
+PASSAGE_WORD = re.compile(rf"[{_UNSPACED}]|[^ \t\n\x0b\f\r{_UNSPACED}]+")
+
+
+def _word(text: str) -> re.Pattern:
+    return WORD if text.isascii() or not UNSPACED.search(text) else PASSAGE_WORD
+
+
+def passage_words(text: str) -> list[str]:
+    """The words in lower case."""
+    return _word(text).findall(text.lower())
+
+
+def picked(words: list[str]) -> list[int]:
+    """The places of the grams that are least in some window, in order; every window has one of its least."""
+    if len(words) < PASSAGE:
+        return []
+    try:
+        x = np.array(list(map(zlib.crc32, map(str.encode, words))), np.uint64)
+    except UnicodeEncodeError:
+        x = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    n = 1
+    while n < GRAM:  # GRAM is a power of 2
+        x = (x[:-n] ^ (x[:-n] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (x[n:] ^ (x[n:] >> np.uint64(32)))
+        n *= 2
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    least, width = x, 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    most, width = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)]), 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        most, width = np.maximum(most[:-step], most[step:]), width + step
+    places = np.flatnonzero(most == x).tolist()
+    out: list[int] = []
+    value, a = x[places].tolist(), 0
+    while a < len(places):  # of equal ones in a row the first two, the last, one PASSAGE before the end and some between do
+        b = a + 1
+        while b < len(places) and value[b] == value[a]:
+            b += 1
+        end = places[b - 1] - WINDOW + 1
+        for k in range(a, b):
+            p = places[k]
+            if k < a + 2 or k == b - 1 or places[k + 1] - out[-1] > WINDOW or p <= end < places[k + 1]:
+                out.append(p)
+        a = b
+    return out
+
+
+def _agree(a: list[str], b: list[str]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def agreeing(text: str, hits: list) -> list[tuple[int, int]]:
+    """The spans in which text agrees with what stands around earlier grams; hits: place of a gram among its words, the
+    words before the earlier one and after it."""
+    words, found = passage_words(text), set()
+    for h in hits:
+        k = h["start"]
+        a = _agree(words[max(k - WINDOW + 1, 0) : k][::-1], h["before"].split(" ")[::-1])
+        b = _agree(words[k + GRAM : k + GRAM + WINDOW - 1], h["after"].split(" "))
+        if a + GRAM + b >= PASSAGE:
+            found.add((k - a, k + GRAM + b))
+    if not found:
+        return []
+    starts = [m.start() for m in _word(text).finditer(text)] + [len(text)]
+    return [(starts[a], starts[b]) for a, b in found]
+
+
 def _anchored(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     words = list(WORD.finditer(text, a, b))
     last, n = a, 0
@@ -60,11 +147,12 @@ def units(text: str, unit: str = "sentence") -> list[tuple[int, int]]:
 
 
 def digest(unit: str) -> bytes:
-    return hashlib.blake2b(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
-def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column) -> DataFrame:
-    """(digest, rank, doc_id, th, start, stop) of each unit with min_words words."""
+def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passages: bool = False) -> DataFrame:
+    """(digest, rank, doc_id, th, start, stop) of each unit with min_words words; with passages also of each
+    picked gram, its place among the words for start and a null stop."""
     small_batches(docs.sparkSession)
     rows = docs.select(rank.cast("double").alias("rank"), "doc_id", text_digest(F.col("text")).alias("th"), "text").filter("text IS NOT NULL")
     names = ["digest", "rank", "doc_id", "th", "start", "stop"]
@@ -77,31 +165,99 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column) -> Dat
                 for a, b in units(text, unit):
                     words = text[a:b].lower().split()
                     if len(words) >= min_words:
-                        d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=12).digest()
                         for column, x in zip(out, (d, r, doc_id, th, a, b), strict=True):
                             column.append(x)
+                if passages:
+                    words = passage_words(text)
+                    for k in picked(words):
+                        d = hashlib.blake2b(" ".join(words[k : k + GRAM]).encode("utf-8", "surrogatepass"), digest_size=12, person=b"gram").digest()
+                        for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     return rows.mapInArrow(run, "digest binary, rank double, doc_id long, th long, start int, stop int")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, th, spans): of each record the spans that repeat an earlier occurrence, in order.
-    found: occurrences(), written."""
+def repeated(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, th, spans): of each record the spans that repeat an earlier occurrence, in order; with docs
+    also hits, its repeated grams with the words around the earliest. found: occurrences(), written."""
     place = F.struct(F.col("rank").isNull().alias("a"), "rank", F.col("doc_id").isNull().alias("b"), "doc_id", "th", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = joined_by_key(found.withColumn("place", place), first, ["digest"], "n").filter("place <> first")
-    spans = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return spans.select("doc_id", "th", F.size("spans").alias("n_removed"), "spans")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max(F.col("stop").isNull()).alias("gram")).filter("n > 1")
+    if docs is None:
+        later = joined_by_key(found, first.drop("gram"), ["digest"], "n").filter(place != F.col("first"))
+        spans = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+        return spans.select("doc_id", "th", F.size("spans").alias("n_removed"), "spans")
+    later = written(joined_by_key(found, first, ["digest"], "n").filter(place != F.col("first")).select(F.when(F.col("gram"), F.col("digest")).alias("digest"), "doc_id", "th", "start", "stop", F.when(F.col("gram"), F.col("first")).alias("first")), "later")
+    grams = later.filter("stop IS NULL")
+    around = joined_by_key(grams.select("digest", "doc_id", "th", "start"), _surroundings(grams, docs), ["digest"], "n")
+    hit = F.struct("start", "before", "after")
+    rows = later.filter("stop IS NOT NULL").select("doc_id", "th", F.struct("start", "stop").alias("span"), F.lit(None).cast("struct<start:int,before:string,after:string>").alias("hit"))
+    rows = rows.unionByName(around.select("doc_id", "th", F.lit(None).cast("struct<start:int,stop:int>").alias("span"), hit.alias("hit")))
+    return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("hit").alias("hits"))
+
+
+def _surroundings(grams: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, n, before, after): the words around the earliest occurrence of each gram."""
+    firsts = grams.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    by = firsts.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("digest", "n", F.col("first.start").alias("start"))).alias("grams"))
+    texts = docs.filter("text IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("th"), "text")
+    both = texts.join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("text", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = passage_words(text)
+                for g in found:
+                    k = g["start"]
+                    around = " ".join(words[max(k - WINDOW + 1, 0) : k]), " ".join(words[k + GRAM : k + GRAM + WINDOW - 1])
+                    for column, x in zip(out, (g["digest"], g["n"], *around), strict=True):
+                        column.append(x)
+            types = pa.binary(), pa.int64(), pa.string(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["digest", "n", "before", "after"])
+
+    found = both.mapInArrow(run, "digest binary, n long, before string, after string")
+    return found.groupBy("digest").agg(F.max("n").alias("n"), F.max("before").alias("before"), F.max("after").alias("after"))
+
+
+def _joint(joined: DataFrame) -> DataFrame:
+    """Spans of units and of what agrees around the hits as one list: spans that overlap become one."""
+
+    @F.pandas_udf("array<int>")
+    def flat(text, spans, hits):
+        out = []
+        for x, own, h in zip(text, spans, hits, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            ends: list[int] = []
+            for a, b in sorted([(s["start"], s["stop"]) for s in own] + agreeing(x, h)):
+                if ends and a < ends[-1]:
+                    ends[-1] = max(ends[-1], b)
+                else:
+                    ends += a, b
+            out.append(ends)
+        return type(text)(out, dtype=object)
+
+    hit = F.size("hits") > 0
+    found = joined.withColumn("__flat", flat(F.when(hit, F.col("text")), "spans", "hits"))
+    pairs = F.expr("transform(sequence(0, size(__flat) div 2 - 1), k -> named_struct('start', __flat[2 * k], 'stop', __flat[2 * k + 1]))")
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+    spans = F.when(hit, F.when(F.size("__flat") > 0, pairs).otherwise(empty)).otherwise(F.col("spans"))
+    return found.withColumn("spans", spans).withColumn("n_removed", F.when(F.col("spans").isNotNull(), F.size("spans")))
 
 
-def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = 6, rank: Column | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = 6, rank: Column | None = None, passages: bool = False) -> DataFrame:
     """docs with text without its repeated units, spans (what went: start and stop in the original
-    text, in code points) and n_removed. The smallest rank comes first; then doc_id."""
-    found = written(occurrences(docs, unit, min_words, F.lit(0) if rank is None else rank), "units")
-    gone = repeated(found).withColumnRenamed("doc_id", "__id")
+    text, in code points) and n_removed. The smallest rank comes first; then doc_id. passages: repeated
+    passages go too."""
+    found = written(occurrences(docs, unit, min_words, F.lit(0) if rank is None else rank, passages), "units")
+    gone = repeated(found, docs if passages else None).withColumnRenamed("doc_id", "__id")
     keyed = docs.drop("spans", "n_removed").withColumn("__th", text_digest(F.col("text")))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("th")), "left")
+    if passages:
+        joined = _joint(joined)
 
     @F.pandas_udf("string")
     def cut(text, spans):

@@ -193,6 +193,44 @@ def test_dedup_by_brute_force(docs, rows, empty):
     assert substring_dedup.deduplicated(empty).count() == 0
 
 
+def _later_windows(texts):
+    """Of each text the places of words in runs of 50 that an earlier place has too."""
+    seen, out = {}, []
+    for k, t in enumerate(texts):
+        w, gone = [x.lower() for x in words(t)], set()
+        for i in range(len(w) - 49):
+            if seen.setdefault(tuple(w[i : i + 50]), (k, i)) != (k, i):
+                gone.update(range(i, i + 50))
+        out.append(gone)
+    return out
+
+
+def test_passages_by_windows(spark):
+    rnd = random.Random(8)
+    some = lambda n, tag: [f"{tag}{rnd.randrange(10**6)}" for _ in range(n)]
+    three = ". ".join(" ".join(some(20, "p")) for _ in range(3)) + "."
+    long, lines = " ".join(some(55, "q")), "\n".join(" ".join(some(5, "r")) for _ in range(12))
+    lone = " ".join(some(50, "t"))
+    texts = []
+    for k in range(3):
+        for x in (three, long, lines, lone):
+            texts += [" ".join(some(7 + k, "h")) + " " + x + " " + " ".join(some(9, "h")) + " end."]
+    texts += [three, long.upper(), lines, " ".join(some(49, "u")), " ".join(some(300, "v"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.deduplicated(df, passages=True).collect()}
+    for k, want in enumerate(_later_windows(texts)):
+        stay = [w for i, w in enumerate(words(texts[k])) if i not in want]
+        assert words(got[k].text) == stay
+        assert got[k].n_removed == len(got[k].spans) == (1 if want else 0)
+
+
+def test_passages_without_spaces(spark):
+    passage = "".join(chr(0x4E00 + 37 * k) for k in range(80))
+    df = spark.createDataFrame([(0, passage), (1, "vorher " + passage + " nachher"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicated(df, passages=True).collect()}
+    assert got == {0: passage, 1: "vorher nachher", 2: None}
+
+
 def _sets(text):
     w = words(text)
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
