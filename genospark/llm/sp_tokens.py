@@ -3,8 +3,9 @@
 The model file is read field by field from its wire format: pieces with scores and kinds, the
 kind of model, and what the normaliser does. From that come a normaliser (prefix marker,
 spaces to markers, the compiled character map where the model has one), a Unigram or BPE
-model with byte fallback, user-defined pieces, and a decoder. Parity with the SentencePiece
-library is tested on whole texts, and ids of a text on which both differ are that library's.
+model with byte fallback, user-defined pieces, and a decoder. All ids and decoded texts are
+the tokenizers library's; the SentencePiece library encodes the same only to tell, in `parity`,
+whether both agree: on whole texts, or word by word where no piece spans words.
 
 Defined results: a null text has null ids; an empty text has none; ids decode to the text that
 the model's normaliser leaves; special pieces written out in a text are ordinary text; repeated
@@ -116,16 +117,17 @@ def tokenizer(data: bytes, bare: bool = False):
 
 
 class Coder:
-    """Encodes and decodes texts, batch by batch, with the tokenizers library; each answer is held
-    against the SentencePiece library's.
+    """Encodes and decodes texts, batch by batch, with the tokenizers library, and tests each answer against
+    the SentencePiece library's.
 
     Where no piece of the model has a marker after another character, none crosses from one
-    word to the next: words (with the markers before them) are then encoded and decoded
-    apart, each distinct one once while it is kept, and parity is tested word by word.
-    Otherwise, or where the model changes characters, whole texts are encoded and tested.
+    word to the next: words (with the markers before them) are then encoded, decoded and tested
+    apart, each distinct one once while it is kept. New words go through both libraries in lines of
+    64; only where a line differs, its words are taken one by one. Otherwise, or where the
+    model changes characters, whole texts are encoded and tested.
     """
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 400_000):
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most: int = 600_000):
         import sentencepiece
         from tokenizers import pre_tokenizers
 
@@ -140,8 +142,9 @@ class Coder:
         self.by_word = m.prefix and m.escape and not (m.charsmap or m.squeeze or inner or any(kind == USER for *_, kind in m.pieces))
         self.mark = self.library.piece_to_id(MARK)
         self.ids: dict[str, bytes] = {}
-        self.texts: dict[bytes, str] = {}
+        #: Words on which the libraries differ, and those that do not decode to themselves with what they decode to.
         self.odd: set[str] = set()
+        self.changed: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         """The words of a text, each without the first of its markers."""
@@ -155,55 +158,71 @@ class Coder:
     def _cut(self, ids: np.ndarray) -> list[bytes]:
         """Ids, 4 bytes each, in parts that begin where a piece begins with a marker."""
         raw, at = ids.tobytes(), (np.flatnonzero(self.starts[ids]) * 4).tolist()
-        if not raw:
-            return []
         if not at or at[0]:
             at.insert(0, 0)
         return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of new words. Words with one marker go in lines of 64, which the splitter takes apart again."""
-        new.sort(key=lambda w: not w or " " in w)
-        odd = next((k for k, w in enumerate(new) if not w or " " in w), len(new))
-        lines = [MARK + MARK.join(new[k : min(k + 64, odd)]) for k in range(0, odd, 64)] + [MARK + w.replace(" ", MARK) for w in new[odd:]]
-        got = [np.array(e.ids, np.int32) for e in self.line.encode_batch_fast(lines[: -(-odd // 64)], add_special_tokens=False)]
-        mine = [x for ids in got for x in self._cut(ids)]
-        mine += [array("i", e.ids).tobytes() for e in self.bare.encode_batch_fast(lines[-(-odd // 64) :], add_special_tokens=False)]
+        """Ids of new words, and what they decode to. Words of one marker go in lines, which the splitter takes apart."""
+        plain, rest = [], []
+        for w in new:
+            (plain if w and " " not in w else rest).append(w)
+        lines = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        got = [e.ids for e in self.line.encode_batch_fast([MARK + MARK.join(ws) for ws in lines], add_special_tokens=False)]
+        back = self.bare.decode_batch(got, skip_special_tokens=False)
+        theirs = self.library.encode([" ".join(ws) for ws in lines], num_threads=self.threads) if self.verify else got
+        for ws, ids, text, other in zip(lines, got, back, theirs, strict=True):
+            parts = self._cut(np.array(ids, np.int32))
+            self.ids.update(zip(ws, parts, strict=True))
+            if ids != other or text != " " + " ".join(ws):
+                self._test(ws, parts)
+        if rest:
+            parts = [array("i", e.ids).tobytes() for e in self.bare.encode_batch_fast([MARK + w.replace(" ", MARK) for w in rest], add_special_tokens=False)]
+            self.ids.update(zip(rest, parts, strict=True))
+            self._test(rest, parts)
+
+    def _test(self, words: list[str], parts: list[bytes]) -> None:
+        """Notes, word by word, where the libraries differ and what does not decode to itself."""
+        mine = [array("i", x).tolist() for x in parts]
         if self.verify:
-            theirs = [array("i", b if w else [self.mark]).tobytes() for w, b in zip(new, self.library.encode(new, num_threads=self.threads), strict=True)]
-            self.odd.update(w for w, a, b in zip(new, mine, theirs, strict=True) if a != b)
-            mine = theirs
-        self.ids.update(zip(new, mine, strict=True))
+            theirs = self.library.encode(words, num_threads=self.threads)
+            self.odd.update(w for w, a, b in zip(words, mine, theirs, strict=True) if a != (b if w else [self.mark]))
+        self.changed.update((w, x) for w, x in zip(words, self.bare.decode_batch(mine, skip_special_tokens=False), strict=True) if x != " " + w)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on it; where not, the ids are SentencePiece's."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        """Ids of each text by the tokenizers library, whether the other library gives the same, and what the ids decode to."""
         if not self.by_word:
             mine = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = self.library.encode(texts, num_threads=self.threads) if self.verify else mine
-            return [np.array(b, np.int32) for b in theirs], [a == b for a, b in zip(mine, theirs, strict=True)]
+            return [np.array(a, np.int32) for a in mine], [a == b for a, b in zip(mine, theirs, strict=True)], self.whole.decode_batch(mine, skip_special_tokens=False)
         split = [self.words(x) for x in texts]
-        new = list(set().union(*split).difference(self.ids))
-        self._learn(new)
-        ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, ws)), np.int32) for ws in split]
+        get, new, found = self.ids.get, set(), []
+        for ws in split:
+            parts = list(map(get, ws))
+            if None in parts:
+                new.update([w for w, x in zip(ws, parts, strict=True) if x is None])
+                parts = None
+            found.append(parts)
+        new = list(new)
+        if new:
+            self._learn(new)
+        ids = [np.frombuffer(b"".join(parts or map(self.ids.__getitem__, ws)), np.int32) for ws, parts in zip(split, found, strict=True)]
         agree = [not self.odd or self.odd.isdisjoint(ws) for ws in split]
-        self._shrink(self.ids, new)
-        return ids, agree
-
-    def _shrink(self, kept: dict, new: list) -> None:
-        """Once there are enough, what came last goes: frequent words came early."""
-        if len(kept) > self.most:
+        decoded = [self._decoded(x, ws) for x, ws in zip(texts, split, strict=True)]
+        if len(self.ids) > self.most:  # what came last goes: frequent words came early
             for x in new:
-                del kept[x]
+                del self.ids[x]
+            self.odd.difference_update(new)
+            for x in self.changed.keys() & new:
+                del self.changed[x]
+        return ids, agree, decoded
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        if not self.by_word:
-            return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        cut = [self._cut(x) for x in ids]
-        new = list(set().union(*cut).difference(self.texts))
-        self.texts.update(zip(new, self.bare.decode_batch([array("i", x).tolist() for x in new], skip_special_tokens=False), strict=True))
-        out = ["".join(map(self.texts.__getitem__, parts)) for parts in cut]
-        self._shrink(self.texts, new)
-        return [x[1:] if x.startswith(" ") else x for x in out]
+    def _decoded(self, text: str, words: list[str]) -> str:
+        """The decoded words on end, without the first space."""
+        if self.changed and not self.changed.keys().isdisjoint(words):
+            out = "".join([self.changed.get(w, " " + w) for w in words])
+            return out[1:] if out.startswith(" ") else out
+        return text if MARK not in text else text.replace(MARK, " ")
 
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens int, n_byte_tokens int, ids_crc32 long, decoded string, round_trip boolean, parity boolean"
@@ -222,8 +241,7 @@ def encoded(docs: DataFrame, model: bytes, keep_ids: bool = True, verify: bool =
 
         def rows(ids: list, texts: list[str | None]) -> pa.RecordBatch:
             at = [k for k, x in enumerate(texts) if x is not None]
-            mine, same = coder.encode([texts[k] for k in at])
-            decoded = coder.decode(mine)
+            mine, same, decoded = coder.encode([texts[k] for k in at])
             out: list[list] = [[None] * len(texts) for _ in _TYPES]
             out[0] = ids
             for k, a, ok, back in zip(at, mine, same, decoded, strict=True):
