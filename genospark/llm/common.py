@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genospark.plans.tables import written
+
 #: The six code points that separate words.
 SPACES = " \t\n\x0b\f\r"
 #: A run of them, for split().
@@ -25,49 +25,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one spark.checkpoint.dir names; a
-    temporary one is set where that is unset (local sessions)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="genospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_collecting: list[list[str]] = []
-
-
-@contextmanager
-def collected() -> Iterator[list[str]]:
-    """The paths of the tables that are written meanwhile."""
-    made: list[str] = []
-    _collecting.append(made)
-    try:
-        yield made
-    finally:
-        _collecting.remove(made)
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and
-    a lost executor costs no more than the stage at hand."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for made in _collecting:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discarded(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes these tables; what was made from them must be written itself."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    paths.clear()
-
-
 def kept_in_process(key: str, make: Callable, version: str = "", large: bool = False):
     """make(), once for each Python worker: what tasks of a reused worker can share. Another version
     takes the place of the one before, only the two used last are kept, and a large one only
@@ -117,46 +74,42 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
-def plus(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with these columns; one of df's own with such a name gives way."""
-    return df.withColumns(columns)
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by number, so that no name of its own can clash with an operator's or needs
+    quoting, and the number of each name (case as Spark takes it: the first of like names)."""
+    names = [f"_c{k}_" for k in range(len(docs.columns))]
+    places: dict[str, str] = {}
+    for name, place in zip(docs.columns, names, strict=True):
+        places.setdefault(name, place)
+        places.setdefault(name.lower(), place)
+    return docs.toDF(*names), places
+
+
+def restored(df: DataFrame, docs: DataFrame, results: dict[str, Column], keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The numbered columns (those in keep, if given) under their own names again, then the results; a column of docs whose
+    name, but for case, is a result's gives way."""
+    given = {r.lower() for r in results}
+    own = [(f"_c{k}_", name) for k, name in enumerate(docs.columns) if name.lower() not in given and (keep is None or name in keep)]
+    return df.select(*[F.col(c) for c, _ in own], *[c.alias(r) for r, c in results.items()]).toDF(*[name for _, name in own], *results)
+
+
+def record_key(doc_id: Column, th: Column) -> Column:
+    """A string that names a record; never null."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), th.cast("string"))
 
 
 #: A key with more than this part of the rows counts as hot: there are fewer than HOT such keys.
 HOT = 1000
 
 
-def joined_by_key(rows: DataFrame, groups: DataFrame, by: list[str], n: str) -> DataFrame:
-    """rows joined with groups, which has one row for each key and in n how many of the rows have
-    it. Groups with more than 1 / HOT of all rows, fewer than HOT of them, are broadcast; so no
+def joined_by_key(rows: DataFrame, groups: DataFrame, by: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups, which has one row for each key and in n how many of the rows have
+    it, or about. Groups with more than 1 / HOT of all rows, fewer than HOT of them, are broadcast; so no
     task of the other join gets many rows of one key. Both should be written tables or cheap."""
     groups = written(groups, "groups")
-    total = groups.agg(F.sum(n)).first()[0] or 0
+    total, most = (x or 0 for x in groups.agg(F.sum(n), F.max(n)).first())
+    if most * HOT <= total:
+        return rows.join(groups.drop(n), by, how)
     hot = F.broadcast(groups.filter(F.col(n) * HOT > total))
-    rest = rows.join(hot.select(*by), by, "left_anti").join(groups.filter(F.col(n) * HOT <= total).drop(n), by)
+    rest = rows.join(hot.select(*by), by, "left_anti").join(groups.filter(F.col(n) * HOT <= total).drop(n), by, how)
     return rows.join(hot.drop(n), by).unionByName(rest)
-
-
-def runs(batches, by: int):
-    """From batches of a partition that is sorted by its first columns (`by` of them), tables of whole
-    groups: rows of a group never fall in two. Holds one batch and one group at most."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None or not held.num_rows else pa.concat_tables([held, t])
-        n = held.num_rows
-        if n < 2:
-            continue
-        last = pa.array([True] * n)
-        for c in range(by):
-            column = held.column(c).combine_chunks()
-            last = pc.and_(last, pc.equal(column, column[n - 1]))
-        start = pc.index(last, True).as_py()
-        if start:
-            yield held.slice(0, start).combine_chunks()
-            held = held.slice(start).combine_chunks()
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()

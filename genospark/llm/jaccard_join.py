@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import joined_by_key, kept_in_process, runs, small_batches, text_digest, written
+from genospark.llm.common import joined_by_key, kept_in_process, numbered, record_key, restored, small_batches, text_digest
 from genospark.llm.components import components
+from genospark.plans.batches import runs
+from genospark.plans.tables import tidy, written
 
 TREES, DEEPEST, N_WORDS, THRESHOLD, RECALL, BLOCK = 24, 6, 5, 0.8, 0.99999, 128
 
@@ -272,11 +274,7 @@ def verified_links(members: DataFrame, threshold: float, n_words: int, block: in
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "cls").mapInArrow(run, "a binary, b binary, n long")
 
 
-def record_key(doc_id, th):
-    """A string that names a record; never null."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), th.cast("string"))
-
-
+@tidy
 def similar(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = N_WORDS, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """For each row of docs: doc_id, th (with doc_id, the record), class_id (least doc_id of its group of
     linked texts), copy_id (least doc_id with its set of shingles), n_copies (rows with that set),
@@ -292,7 +290,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = N_WORD
     sized = joined_by_key(clusters.withColumnRenamed("root", "cluster"), clusters.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "cluster").withColumn("m", F.col("n")), ["cluster"], "n").withColumnRenamed("m", "n")
     wanted = sized.join(classes, F.col("node") == F.col("cls")).select("cluster", "n", "cls", record_key(F.col("rep.doc_id"), F.col("rep.th")).alias("rk"))
     texts = docs.select(record_key(F.col("doc_id"), text_digest(F.col("text"))).alias("rk"), "text")
-    members = written(wanted.join(texts, "rk").dropDuplicates(["rk"]).drop("rk"), "members")
+    members = written(wanted.join(texts.dropDuplicates(["rk"]), "rk").drop("rk"), "members")
     checked = written(verified_links(members, threshold, n_words, block), "checked")
 
     counts = checked.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
@@ -300,8 +298,10 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = N_WORD
     info = classes.drop("sig").join(counts, F.col("cls") == F.col("a"), "left").drop("a").join(groups, F.col("cls") == F.col("node"), "left").drop("node")
     info = written(info.withColumn("root", F.coalesce("root", "cls")), "class_info")
     top = info.groupBy("root").agg(F.min("rep").alias("top"), F.count("*").alias("n"))
-    info = written(joined_by_key(info, top, ["root"], "n").drop("root", "sig"), "class_info")
-    out = rows.drop("sig").join(info, "cls", "left")
+    info = joined_by_key(info, top, ["root"], "n").drop("root", "sig").withColumn("n", F.col("n_copies"))
+    empty = rows.filter("cls IS NULL").drop("sig")
+    known = joined_by_key(rows.filter("cls IS NOT NULL").drop("sig"), info, ["cls"], "n")
+    out = known.unionByName(empty, allowMissingColumns=True)
     mine = record_key(F.col("doc_id"), F.col("th"))
     return out.select(
         "doc_id",
@@ -314,8 +314,11 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = N_WORD
     )
 
 
+@tidy
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The first record of each group, with the columns of docs."""
-    keepers = similar(docs, **options).select(F.col("keeper").alias("__rk")).distinct()
-    keyed = docs.withColumn("__rk", record_key(F.col("doc_id"), text_digest(F.col("text"))))
-    return keyed.join(keepers, "__rk").dropDuplicates(["__rk"]).drop("__rk").select(*docs.columns)
+    """The first record of each group, once, all columns its own."""
+    plain = docs.select("doc_id", "text")
+    keepers = similar(plain, **options).select(F.col("keeper").alias("__rk")).distinct()
+    numbers, at = numbered(docs)
+    keyed = numbers.withColumn("__rk", record_key(F.col(at["doc_id"]), text_digest(F.col(at["text"]))))
+    return restored(keyed.dropDuplicates(["__rk"]).join(keepers, "__rk", "left_semi"), docs, {})
