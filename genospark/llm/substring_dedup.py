@@ -1,23 +1,23 @@
-"""Repeated lines and sentences, found by digests of normalised units.
-
-A text is cut into units: lines ("line"), runs of lines between blank ones ("paragraph") or,
-within lines, sentences, long ones in parts ("sentence"). A unit is normalised (lower case, runs of spaces to one,
-trimmed) and digested (96 bits). Over all documents the earliest occurrence of a digest stays, in order of
-rank, doc_id, the text's own digest and place; every other one is removed, with the offsets of
-what goes given in the original text. Units of under min_words words are never removed: such
-short ones repeat by chance. Digests are grouped with the least occurrence as a partial
-aggregate, so that a unit may stand in any share of the rows.
-
-Passages are found besides units where `passages` asks for it: runs of PASSAGE words or more, over lines and
-sentences, that repeat an earlier text word by word wherever they begin and end. Of the runs of GRAM words
-those whose hash is least among WINDOW successive ones are digested too, so that any two equal runs
-of PASSAGE words share one; from there each occurrence is compared with the earliest, word by word to
+"""Repeated lines and paragraphs, found by digests of normalised units.
+
+A text is cut into units: lines ("line"), runs of lines between blank ones ("paragraph"), both ("block": lines and the
+paragraphs of several lines, the default) or, within lines, sentences, long ones in parts ("sentence"). A unit is
+normalised (lower case, runs of spaces to one, trimmed) and digested (96 bits). Over all documents the earliest
+occurrence of a digest stays, in order of rank, doc_id, the text's own digest and place; every other one is
+removed, with the offsets of what goes given in the original text. Units of under min_words words are never removed:
+such short ones repeat by chance. Digests are grouped with the least occurrence as a partial aggregate, so that a unit
+may stand in any share of the rows.
+
+Whole units miss a passage that is set into other lines, so passages are found besides (unless passages=False): runs
+of PASSAGE words or more, over lines and sentences, that repeat an earlier text word by word wherever they begin
+and end. Of the runs of GRAM words those whose hash is least among WINDOW successive ones are digested too, so that any
+two equal runs of PASSAGE words share one; from there each occurrence is compared with the earliest, word by word to
 both sides, and goes if they agree in PASSAGE words. In scripts without spaces a character is a word.
 
 Defined results: a null text stays null and has no units; rows that agree in doc_id and text
 are one record and lose the same spans; a null doc_id comes last in order; a text all of whose
-units go becomes empty; an empty table gives an empty table; columns of the input named
-spans, n_units or n_removed give way to the results.
+units go becomes empty; an empty table gives an empty table; spans that overlap are given as one;
+columns of the input named spans or n_removed give way to the results, and stripped() keeps them.
 """
 
 from __future__ import annotations
@@ -28,18 +28,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import SPACES, joined_by_key, small_batches, text_digest, written
+from genospark.llm.common import SPACES, joined_by_key, numbered, record_key, restored, small_batches, text_digest
+from genospark.plans.tables import tidy, written
 
-#: A sentence ends at these marks, with what closes after them, before white space.
-CUTS = {
-    "line": re.compile(r"[^\n]*\n?"),
-    "paragraph": re.compile(r"(?:[^\n]*\S[^\n]*(?:\n|$))+|[^\n]*\n?"),
-    "sentence": re.compile(r"(?:[^\n.!?]|[.!?]+(?![.!?\"')\]]*(?:\s|$)))*(?:[.!?]+[\"')\]]*[ \t]*\n?|\n|$)"),
-}
+UNITS = ("line", "paragraph", "block", "sentence")
+LINE = re.compile(r"[^\n]+\n?|\n")
+#: A sentence ends at one of its marks, with the marks and what closes after it, before white space. No part is matched twice.
+SENTENCE = re.compile(r"(?:[^\n.!?]++|[.!?][.!?\"')\]]*+(?!\s|$))*+(?:[.!?][.!?\"')\]]*+[ \t]*+\n?|\n|$)")
 
 
 #: A longer sentence is cut before words that their own hash picks (one in ANCHOR), LEAST words apart or more:
@@ -60,19 +60,18 @@ def _word(text: str) -> re.Pattern:
     return WORD if text.isascii() or not UNSPACED.search(text) else PASSAGE_WORD
 
 
-def passage_words(text: str) -> list[str]:
-    """The words in lower case."""
-    return _word(text).findall(text.lower())
+def passage_words(text: str) -> list[bytes]:
+    """The words in lower case, as UTF-8."""
+    if _word(text) is WORD:
+        return text.lower().encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces only
+    return [w.encode("utf-8", "surrogatepass") for w in PASSAGE_WORD.findall(text.lower())]
 
 
-def picked(words: list[str]) -> list[int]:
+def picked(words: list[bytes]) -> list[int]:
     """The places of the grams that are least in some window, in order; every window has one of its least."""
     if len(words) < PASSAGE:
         return []
-    try:
-        x = np.array(list(map(zlib.crc32, map(str.encode, words))), np.uint64)
-    except UnicodeEncodeError:
-        x = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    x = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     n = 1
     while n < GRAM:  # GRAM is a power of 2
@@ -103,7 +102,7 @@ def picked(words: list[str]) -> list[int]:
     return out
 
 
-def _agree(a: list[str], b: list[str]) -> int:
+def _agree(a: list[bytes], b: list[bytes]) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
@@ -118,8 +117,8 @@ def agreeing(text: str, hits: list) -> list[tuple[int, int]]:
     words, found = passage_words(text), set()
     for h in hits:
         k = h["start"]
-        a = _agree(words[max(k - WINDOW + 1, 0) : k][::-1], h["before"].split(" ")[::-1])
-        b = _agree(words[k + GRAM : k + GRAM + WINDOW - 1], h["after"].split(" "))
+        a = _agree(words[max(k - WINDOW + 1, 0) : k][::-1], h["before"].split()[::-1])
+        b = _agree(words[k + GRAM : k + GRAM + WINDOW - 1], h["after"].split())
         if a + GRAM + b >= PASSAGE:
             found.add((k - a, k + GRAM + b))
     if not found:
@@ -140,21 +139,34 @@ def _anchored(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     yield last, b
 
 
-def units(text: str, unit: str = "sentence") -> list[tuple[int, int]]:
-    """(start, stop) of each unit that has a word, in order; they include the space that follows."""
-    found = [m.span() for m in CUTS[unit].finditer(text) if m.group().strip(SPACES)]
-    return [x for s in found for x in _anchored(text, *s)] if unit == "sentence" else found
-
-
-def digest(unit: str) -> bytes:
-    return hashlib.blake2b(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"), digest_size=12).digest()
+def units(text: str, unit: str = "block") -> list[tuple[int, int]]:
+    """(start, stop) of each unit that has a word; they include the space that follows. In order, but the paragraphs
+    of "block" come after its lines."""
+    if unit not in UNITS:
+        raise ValueError(f"{unit!r} is not one of {UNITS}")
+    if unit == "sentence":
+        found = [m.span() for m in SENTENCE.finditer(text) if m.group().strip(SPACES)]
+        return [x for s in found for x in _anchored(text, *s)]
+    lines, runs, joins = [], [], False
+    for m in LINE.finditer(text):
+        filled = bool(m.group().strip(SPACES))
+        if filled:
+            lines.append(m.span())
+            if joins:
+                runs[-1][1:] = m.end(), True
+            else:
+                runs.append([m.start(), m.end(), False])
+        joins = filled
+    if unit == "line":
+        return lines
+    return [(a, b) for a, b, _ in runs] if unit == "paragraph" else lines + [(a, b) for a, b, several in runs if several]
 
 
 def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passages: bool = False) -> DataFrame:
     """(digest, rank, doc_id, th, start, stop) of each unit with min_words words; with passages also of each
     picked gram, its place among the words for start and a null stop."""
     small_batches(docs.sparkSession)
-    rows = docs.select(rank.cast("double").alias("rank"), "doc_id", text_digest(F.col("text")).alias("th"), "text").filter("text IS NOT NULL")
+    rows = docs.select(rank.alias("rank"), "doc_id", text_digest(F.col("text")).alias("th"), "text").filter("text IS NOT NULL")
     names = ["digest", "rank", "doc_id", "th", "start", "stop"]
     types = [pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -171,7 +183,7 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passag
                 if passages:
                     words = passage_words(text)
                     for k in picked(words):
-                        d = hashlib.blake2b(" ".join(words[k : k + GRAM]).encode("utf-8", "surrogatepass"), digest_size=12, person=b"gram").digest()
+                        d = hashlib.blake2b(b" ".join(words[k : k + GRAM]), digest_size=12, person=b"gram").digest()
                         for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
@@ -179,30 +191,30 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passag
     return rows.mapInArrow(run, "digest binary, rank double, doc_id long, th long, start int, stop int")
 
 
-def repeated(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, th, spans): of each record the spans that repeat an earlier occurrence, in order; with docs
-    also hits, its repeated grams with the words around the earliest. found: occurrences(), written."""
+def repeated(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rk, spans, hits, n): of each record the units that repeat an earlier occurrence, its repeated grams with the words around
+    the earliest, and about how many rows it has. found: occurrences(), written; texts: doc_id, text."""
     place = F.struct(F.col("rank").isNull().alias("a"), "rank", F.col("doc_id").isNull().alias("b"), "doc_id", "th", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max(F.col("stop").isNull()).alias("gram")).filter("n > 1")
-    if docs is None:
-        later = joined_by_key(found, first.drop("gram"), ["digest"], "n").filter(place != F.col("first"))
-        spans = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-        return spans.select("doc_id", "th", F.size("spans").alias("n_removed"), "spans")
-    later = written(joined_by_key(found, first, ["digest"], "n").filter(place != F.col("first")).select(F.when(F.col("gram"), F.col("digest")).alias("digest"), "doc_id", "th", "start", "stop", F.when(F.col("gram"), F.col("first")).alias("first")), "later")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max(F.col("stop").isNull()).alias("gram")).filter("n > 1").withColumn("m", F.col("n"))
+    later = joined_by_key(found, first, ["digest"], "n").filter(place != F.col("first"))
+    only = lambda c: F.when(F.col("gram"), F.col(c)).alias(c)
+    later = written(later.select(only("digest"), "doc_id", "th", "start", "stop", only("first"), only("m")), "later")
     grams = later.filter("stop IS NULL")
-    around = joined_by_key(grams.select("digest", "doc_id", "th", "start"), _surroundings(grams, docs), ["digest"], "n")
-    hit = F.struct("start", "before", "after")
-    rows = later.filter("stop IS NOT NULL").select("doc_id", "th", F.struct("start", "stop").alias("span"), F.lit(None).cast("struct<start:int,before:string,after:string>").alias("hit"))
+    around = joined_by_key(grams.select("digest", "doc_id", "th", "start"), _surroundings(grams, texts), ["digest"], "n")
+    span, hit = F.struct("start", "stop"), F.struct("start", "before", "after")
+    rows = later.filter("stop IS NOT NULL").select("doc_id", "th", span.alias("span"), F.lit(None).cast("struct<start:int,before:binary,after:binary>").alias("hit"))
     rows = rows.unionByName(around.select("doc_id", "th", F.lit(None).cast("struct<start:int,stop:int>").alias("span"), hit.alias("hit")))
-    return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("hit").alias("hits"))
+    sums = rows.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"), F.collect_set("hit").alias("hits"), F.count("*").alias("all"))
+    each = (F.col("all") / (F.size("spans") + F.size("hits"))).cast("bigint")
+    return sums.select(record_key(F.col("doc_id"), F.col("th")).alias("rk"), "spans", "hits", each.alias("n"))
 
 
-def _surroundings(grams: DataFrame, docs: DataFrame) -> DataFrame:
+def _surroundings(grams: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, n, before, after): the words around the earliest occurrence of each gram."""
-    firsts = grams.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n"))
-    by = firsts.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("digest", "n", F.col("first.start").alias("start"))).alias("grams"))
-    texts = docs.filter("text IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("th"), "text")
-    both = texts.join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("text", "grams")
+    firsts = grams.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n"), F.max("m").alias("m"))
+    by = firsts.groupBy(record_key(F.col("first.doc_id"), F.col("first.th")).alias("rk")).agg(F.collect_list(F.struct("digest", "n", F.col("first.start").alias("start"))).alias("grams"), F.max("m").alias("m"))
+    keyed = texts.filter("text IS NOT NULL").select(record_key(F.col("doc_id"), text_digest(F.col("text"))).alias("rk"), "text")
+    both = joined_by_key(keyed, by, ["rk"], "m").select("text", "grams")  # no record has more rows than its gram has places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,73 +223,73 @@ def _surroundings(grams: DataFrame, docs: DataFrame) -> DataFrame:
                 words = passage_words(text)
                 for g in found:
                     k = g["start"]
-                    around = " ".join(words[max(k - WINDOW + 1, 0) : k]), " ".join(words[k + GRAM : k + GRAM + WINDOW - 1])
+                    around = b" ".join(words[max(k - WINDOW + 1, 0) : k]), b" ".join(words[k + GRAM : k + GRAM + WINDOW - 1])
                     for column, x in zip(out, (g["digest"], g["n"], *around), strict=True):
                         column.append(x)
-            types = pa.binary(), pa.int64(), pa.string(), pa.string()
+            types = pa.binary(), pa.int64(), pa.binary(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["digest", "n", "before", "after"])
 
-    found = both.mapInArrow(run, "digest binary, n long, before string, after string")
+    found = both.mapInArrow(run, "digest binary, n long, before binary, after binary")
     return found.groupBy("digest").agg(F.max("n").alias("n"), F.max("before").alias("before"), F.max("after").alias("after"))
 
 
-def _joint(joined: DataFrame) -> DataFrame:
-    """Spans of units and of what agrees around the hits as one list: spans that overlap become one."""
-
-    @F.pandas_udf("array<int>")
-    def flat(text, spans, hits):
-        out = []
-        for x, own, h in zip(text, spans, hits, strict=True):
+def joint(spans: list[tuple[int, int]]) -> list[int]:
+    """Starts and stops in turn; spans that overlap become one."""
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            ends += a, b
+    return ends
+
+
+def _cut(docs: DataFrame, unit: str, min_words: int, rank: Column | None, passages: bool) -> DataFrame:
+    """The numbered columns, with __cut (the text that stays), spans and n_removed."""
+    plain = docs.select("doc_id", "text", (F.lit(0.0) if rank is None else rank.cast("double")).alias("rank"))
+    found = written(occurrences(plain, unit, min_words, F.col("rank"), passages), "units")
+    gone = repeated(found, plain).withColumnRenamed("rk", "__rk")
+    numbers, at = numbered(docs)
+    text = F.col(at["text"])
+    keyed = numbers.withColumn("__rk", record_key(F.col(at["doc_id"]), text_digest(text)))
+    joined = joined_by_key(keyed, gone, ["__rk"], "n", "left")
+
+    @F.pandas_udf("text string, ends array<int>")
+    def cut(text: pd.Series, spans: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        left, gone = [], []
+        for x, own, grams in zip(text, spans, hits, strict=True):
             if x is None:
-                out.append(None)
+                left.append(None)
+                gone.append(None)
                 continue
-            ends: list[int] = []
-            for a, b in sorted([(s["start"], s["stop"]) for s in own] + agreeing(x, h)):
-                if ends and a < ends[-1]:
-                    ends[-1] = max(ends[-1], b)
-                else:
-                    ends += a, b
-            out.append(ends)
-        return type(text)(out, dtype=object)
-
-    hit = F.size("hits") > 0
-    found = joined.withColumn("__flat", flat(F.when(hit, F.col("text")), "spans", "hits"))
-    pairs = F.expr("transform(sequence(0, size(__flat) div 2 - 1), k -> named_struct('start', __flat[2 * k], 'stop', __flat[2 * k + 1]))")
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    spans = F.when(hit, F.when(F.size("__flat") > 0, pairs).otherwise(empty)).otherwise(F.col("spans"))
-    return found.withColumn("spans", spans).withColumn("n_removed", F.when(F.col("spans").isNotNull(), F.size("spans")))
-
-
-def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = 6, rank: Column | None = None, passages: bool = False) -> DataFrame:
+            ends = joint([(s["start"], s["stop"]) for s in own] + agreeing(x, grams))
+            stay = [0, *ends, len(x)]
+            left.append("".join([x[a:b] for a, b in zip(stay[::2], stay[1::2], strict=True)]))
+            gone.append(ends)
+        return pd.DataFrame({"text": left, "ends": gone})
+
+    touched = F.col("spans").isNotNull()
+    out = joined.withColumn("__new", cut(F.when(touched, text), "spans", "hits"))
+    ends = F.coalesce("__new.ends", F.array().cast("array<int>"))
+    pairs = F.transform(F.filter(ends, lambda x, k: k % 2 == 0), lambda x, k: F.struct(x.alias("start"), ends[2 * k + 1].alias("stop")))
+    return out.withColumns({"__cut": F.when(touched, F.col("__new.text")).otherwise(text), "spans": pairs, "n_removed": F.floor(F.size(ends) / 2).cast("int")})
+
+
+@tidy
+def deduplicated(docs: DataFrame, unit: str = "block", min_words: int = 6, rank: Column | None = None, passages: bool = True) -> DataFrame:
     """docs with text without its repeated units, spans (what went: start and stop in the original
     text, in code points) and n_removed. The smallest rank comes first; then doc_id. passages: repeated
     passages go too."""
-    found = written(occurrences(docs, unit, min_words, F.lit(0) if rank is None else rank, passages), "units")
-    gone = repeated(found, docs if passages else None).withColumnRenamed("doc_id", "__id")
-    keyed = docs.drop("spans", "n_removed").withColumn("__th", text_digest(F.col("text")))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("th")), "left")
-    if passages:
-        joined = _joint(joined)
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        out = []
-        for x, gone in zip(text, spans, strict=True):
-            if gone is None:
-                out.append(x)
-                continue
-            at, parts = 0, []
-            for s in gone:
-                parts.append(x[at : s["start"]])
-                at = s["stop"]
-            out.append("".join([*parts, x[at:]]))
-        return type(text)(out, dtype=object)
-
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
-    own = [c for c in keyed.columns if c != "__th"]
-    out = joined.withColumn("__cut", text)
-    return out.select(
-        *[F.col("__cut").alias("text") if c == "text" else F.col(c) for c in own],
-        F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-    )
+    out = _cut(docs, unit, min_words, rank, passages)
+    place = numbered(docs)[1]["text"]
+    return restored(out.withColumn(place, F.col("__cut")), docs, {"spans": F.col("spans"), "n_removed": F.col("n_removed")})
+
+
+@tidy
+def stripped(docs: DataFrame, unit: str = "block", min_words: int = 6, rank: Column | None = None, passages: bool = True) -> DataFrame:
+    """docs, all columns its own, with text without its repeated units and passages; n_chars, if there is one, follows."""
+    out = _cut(docs, unit, min_words, rank, passages)
+    at = numbered(docs)[1]
+    if "n_chars" in docs.columns:
+        out = out.withColumn(at["n_chars"], F.coalesce(F.length("__cut"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
+    return restored(out.withColumn(at["text"], F.col("__cut")), docs, {})
