@@ -8,7 +8,8 @@ all of its measures lie within the fences of its group.
 
 Defined results: a null or blank text has no words and fails the base; a null language or
 source is a group of its own; repeated rows each get the same verdict; an empty table
-gives an empty table; columns of the input that bear the name of a result give way to it.
+gives an empty table; columns of the input that bear the name of a result give way to it,
+and accepted() keeps them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genospark.llm.common import SPACES, let, words, written
+from genospark.llm.common import SPACES, let, numbered, restored, words
+from genospark.plans.tables import tidy, written
 
 #: Measures with the spread that counts at least, so that a constant measure rejects nothing near it.
 #: Word length is in hundredths of a code point, the rest in thousandths of words or lines.
@@ -48,8 +50,7 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of each whole text, base_failed and the measures (longs)."""
-    docs = docs.drop(*RESULTS)
+    """docs with the counts of each whole text, base_failed and the measures (longs). No column of docs has such a name."""
     split = docs.withColumns(
         {
             "__w": words(F.col(text)),
@@ -143,16 +144,29 @@ def thresholds(counts: DataFrame, language: str, source: str, reach: int = 3, le
     return written(joined.select(f"g.{language}", f"g.{source}", *pick), "limits")
 
 
-def judged(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, reach: int = 3, least_docs: int = 50) -> DataFrame:
-    """docs (or its columns named in keep) with the counts, base_failed, the measures and kept."""
-    counts = counted(docs, text)
-    own = [c for c in (keep if keep is not None else docs.columns) if c not in RESULTS]
-    counts = written(counts.select(*own, *[c for c in (language, source) if c not in own], *RESULTS[:-1]), "counts")
-    limits = thresholds(counts, language, source, reach, least_docs)
-    limits = limits.withColumnsRenamed({language: "__lang", source: "__source"})
+def _verdicts(docs: DataFrame, text: str, language: str, source: str, keep: tuple[str, ...] | None, reach: int, least_docs: int) -> DataFrame:
+    """The numbered columns (those in keep, if given) and RESULTS."""
+    numbers, at = numbered(docs)
+    own = [at[c] for c in docs.columns if keep is None or c in keep]
+    lang, src = at[language], at[source]
+    counts = counted(numbers, at[text]).select(*own, *[c for c in (lang, src) if c not in own], *RESULTS[:-1])
+    counts = written(counts, "counts")
+    limits = thresholds(counts, lang, src, reach, least_docs).withColumnsRenamed({lang: "__lang", src: "__source"})
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & (F.col(m) >= F.col(f"lo_{m}")) & (F.col(m) <= F.col(f"hi_{m}"))
-    both = counts.join(limits, F.col(language).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
-    verdict = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return both.withColumn("kept", verdict).select(*own, *RESULTS)
+    both = counts.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(src).eqNullSafe(F.col("__source")), "left")
+    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+
+
+@tidy
+def judged(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, reach: int = 3, least_docs: int = 50) -> DataFrame:
+    """docs (or its columns named in keep) with the counts, base_failed, the measures and kept."""
+    out = _verdicts(docs, text, language, source, keep, reach, least_docs)
+    return restored(out, docs, {r: F.col(r) for r in RESULTS}, keep)
+
+
+@tidy
+def accepted(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", reach: int = 3, least_docs: int = 50) -> DataFrame:
+    """The documents that pass, all columns their own."""
+    return restored(_verdicts(docs, text, language, source, None, reach, least_docs).filter("kept"), docs, {})
