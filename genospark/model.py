@@ -11,11 +11,15 @@ SNP, INDIV, DOSAGE = "snp_idx", "indiv_idx", "dosage"
 NORMALIZE = ("none", "global", "centring")
 MISSING = ("error", "zero", "mean")
 CENTRING = ("none", "row", "column")
+#: Flags without a counterpart here: results do not depend on them.
+RUNTIME = ("use_gpu", "cores", "float_loop", "mean_subtract", "variant", "print_details", "verbose")
 
 
 @dataclass(frozen=True)
 class Options:
-    """What changes results. missing: refuse NULL dosages, take them as 0, or as twice the frequency."""
+    """What changes results. center and centring: what products take off (see geno_product); normalize: "global" divides by
+    the scale of the centred genotypes, "centring" crossproducts by the roots of their diagonal; squared: crossproducts
+    cell by cell; missing: refuse NULL dosages, take them as 0, or as twice the frequency."""
 
     center: bool = True
     centring: str = "row"
@@ -34,6 +38,14 @@ class Options:
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(f.name, str(getattr(self, f.name))) for f in fields(self)], "name string, value string")
 
+    @classmethod
+    def of_flags(cls, ignore_missings: bool = False, do_not_center: bool = False, do_normalize: bool = False, **runtime) -> Options:
+        """From the flags of a foreign interface, two of which deny. Flags that choose a device, a kernel, threads or
+        messages are taken and change nothing, as Spark plans that; others are an error."""
+        if unknown := set(runtime) - set(RUNTIME):
+            raise ValueError(f"unknown flags {sorted(unknown)}")
+        return cls(center=not do_not_center, centring="none" if do_not_center else "row", normalize="global" if do_normalize else "none", missing="zero" if ignore_missings else "error")
+
     @classmethod
     def matched(cls, **values) -> Options:
         """Options by names that may be cut short, as long as one option begins so."""
@@ -75,6 +87,7 @@ class GenotypeMatrix:
     def __init__(self, geno: DataFrame, options: Options = Options()):
         self.df, self.options = settled(geno.select(SNP, INDIV, DOSAGE), options.missing), options
         self._freq: DataFrame | None = None
+        self._sizes: tuple[int, int] | None = None
 
     def __enter__(self) -> GenotypeMatrix:
         self.df = self.df.persist()
@@ -86,6 +99,18 @@ class GenotypeMatrix:
     def free(self) -> None:
         self.df.unpersist()
 
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """SNPs and individuals, up to the last that has a cell."""
+        if self._sizes is None:
+            a, b = self.df.agg(F.max(SNP), F.max(INDIV)).first()
+            self._sizes = (0 if a is None else a + 1, 0 if b is None else b + 1)
+        return self._sizes
+
+    def check(self, snps: int, individuals: int) -> None:
+        if self.sizes != (snps, individuals):
+            raise ValueError(f"{self.sizes[0]} SNPs of {self.sizes[1]} individuals, not {snps} of {individuals}")
+
     def freq(self) -> DataFrame:
         from genospark.operators.stats import allele_freq
 
@@ -94,9 +119,21 @@ class GenotypeMatrix:
         return self._freq
 
     def multiply(self, b: DataFrame, trans: str = "N") -> DataFrame:
+        """The product with b (idx, col, v), as the options say. Rows of b beyond the matrix are an error."""
         from genospark.operators.products import geno_product
 
-        return geno_product(self.df, b, transposed_flag(trans), self.options.center, self.freq())
+        transposed, o = transposed_flag(trans), self.options
+        last = b.agg(F.max("idx")).first()[0]
+        if last is not None and last >= self.sizes[int(transposed)]:
+            raise ValueError(f"row {last} of the factor lies beyond {self.sizes[int(transposed)]}")
+        return geno_product(self.df, b, transposed, o.center, self.freq(), o.centring, o.normalize)
+
+    def crossprod(self, over: str = SNP) -> DataFrame:
+        """(i, j, v) of the crossproduct, centred, divided and squared as the options say."""
+        from genospark.operators.products import centred_crossprod
+
+        o = self.options
+        return centred_crossprod(self.df, over, o.centring if o.center else "none", o.normalize, o.squared)
 
 
 def zero_matrix(spark: SparkSession, snps: int, individuals: int) -> DataFrame:

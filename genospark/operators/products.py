@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospark.model import DOSAGE, INDIV, SNP
+from genospark.model import CENTRING, DOSAGE, INDIV, NORMALIZE, SNP
+from genospark.plans.batches import runs
+from genospark.plans.tables import written
 
 
 def matmul(a: DataFrame, b: DataFrame, ta: bool = False, tb: bool = False) -> DataFrame:
@@ -30,11 +33,31 @@ def dot(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("v"))
 
 
+def dots(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(j, v): the dot product of each column of (i, j, v) with the column of that number of another matrix."""
+    both = a.select("i", "j", F.col("v").alias("x")).join(b.select("i", "j", F.col("v").alias("y")), ["i", "j"])
+    return both.groupBy("j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
 def quadratic(x: DataFrame, a: DataFrame) -> DataFrame:
-    """One row v: x'A x."""
+    """One row v: x'A x. Cells of A beyond the places of x are an error: A is square and of its size."""
+    places = x.select("i").distinct()
+    outside = a.select(F.explode(F.array("i", "j")).alias("i")).distinct().join(places, "i", "left_anti")
+    if not outside.isEmpty():
+        raise ValueError("the matrix is not square of the vector's size")
     return dot(x, matvec(a, x))
 
 
+def sandwich(x: DataFrame, a: DataFrame, y: DataFrame | None = None) -> DataFrame:
+    """(i, j, v) of X A Y'; Y: X itself if it is not given."""
+    return matmul(matmul(x, a), x if y is None else y, tb=True)
+
+
+def bilinear(x: DataFrame, a: DataFrame, y: DataFrame) -> DataFrame:
+    """One row v: x'A y."""
+    return dot(x, matvec(a, y))
+
+
 def scaled_rows(a: DataFrame, x: DataFrame) -> DataFrame:
     """diag(x) A."""
     return a.join(x.select("i", F.col("v").alias("x")), "i").select("i", "j", (F.col("v") * F.col("x")).alias("v"))
@@ -45,25 +68,49 @@ def divided_columns(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select("j", F.col("v").alias("x")), "j").select("i", "j", (F.col("v") / F.col("x")).alias("v"))
 
 
-def geno_product(geno: DataFrame, b: DataFrame, transposed: bool, center: bool = True, freq: DataFrame | None = None) -> DataFrame:
-    """(idx, col, v) of (M - 2 1 f')B over individuals, or of its transpose's product over SNPs.
-    geno: M by individuals; b: (idx, col, v) over the other axis; freq: (snp_idx, freq)."""
+def checked_length(b: DataFrame, size: int) -> DataFrame:
+    """(idx, col, v) from a vector (pos, v) of a length that is a multiple of size: one column for each time it fits."""
+    n = b.count()
+    if n % size:
+        raise ValueError(f"{n} values are no multiple of {size}")
+    return b.select(F.expr(f"pos % {size}").alias("idx"), F.expr(f"pos div {size}").alias("col"), "v")
+
+
+def _centres(geno: DataFrame, centring: str, freq: DataFrame | None) -> tuple[str, DataFrame]:
+    """The axis that the centres belong to, and (k, c): twice the frequency of a SNP ("row"), or the mean dosage of an
+    individual over the SNPs ("column")."""
+    from genospark.operators.stats import allele_freq, pseudo_freq
+
+    if centring == "row":
+        f = allele_freq(geno) if freq is None else freq
+        return SNP, f.select(F.col(SNP).alias("k"), (2 * F.col("freq")).alias("c"))
+    return INDIV, pseudo_freq(geno).select(F.col(INDIV).alias("k"), (2 * F.col("freq")).alias("c"))
+
+
+def geno_product(geno: DataFrame, b: DataFrame, transposed: bool, center: bool = True, freq: DataFrame | None = None, centring: str = "row", normalize: str = "none") -> DataFrame:
+    """(idx, col, v) of (M - centres)B over individuals, or of its transpose's product over SNPs.
+    geno: M by individuals; b: (idx, col, v) over the other axis; freq: (snp_idx, freq). centring: "row" takes twice a SNP's
+    frequency off, "column" an individual's mean, "none" (or center=False) nothing. normalize "global" divides by the root of
+    the sum of 2p(1-p)."""
+    if centring not in CENTRING or normalize not in NORMALIZE:
+        raise ValueError(f"centring is one of {CENTRING}, normalize one of {NORMALIZE}")
     inner, outer = (INDIV, SNP) if transposed else (SNP, INDIV)
     left = geno.select(F.col(inner).alias("__k"), F.col(outer).alias("idx"), DOSAGE)
     right = b.select(F.col("idx").alias("__k"), "col", F.col("v").alias("__b"))
     out = left.join(right, "__k").groupBy("idx", "col").agg(F.sum(F.col(DOSAGE) * F.col("__b")).alias("v"))
-    if not center:
-        return out
-    if freq is None:
-        from genospark.operators.stats import allele_freq
+    if center and centring != "none":
+        axis, centres = _centres(geno, centring, freq)
+        if axis == outer:
+            total = b.groupBy("col").agg(F.sum("v").alias("__t"))
+            out = out.join(total, "col").join(centres.withColumnRenamed("k", "idx"), "idx").select("idx", "col", (F.col("v") - F.col("c") * F.col("__t")).alias("v"))
+        else:
+            total = b.join(centres.withColumnRenamed("k", "idx"), "idx").groupBy("col").agg(F.sum(F.col("c") * F.col("v")).alias("__t"))
+            out = out.join(total, "col").select("idx", "col", (F.col("v") - F.col("__t")).alias("v"))
+    if normalize == "global":
+        from genospark.operators.stats import derived
 
-        freq = allele_freq(geno)
-    if transposed:
-        total = b.groupBy("col").agg(F.sum("v").alias("__t"))
-        f = freq.select(F.col(SNP).alias("idx"), "freq")
-        return out.join(total, "col").join(f, "idx").select("idx", "col", (F.col("v") - 2 * F.col("freq") * F.col("__t")).alias("v"))
-    total = b.join(freq.select(F.col(SNP).alias("idx"), "freq"), "idx").groupBy("col").agg(F.sum(F.col("freq") * F.col("v")).alias("__t"))
-    return out.join(total, "col").select("idx", "col", (F.col("v") - 2 * F.col("__t")).alias("v"))
+        out = out.join(F.broadcast(derived(geno).select("sigma2"))).select("idx", "col", (F.col("v") / F.sqrt("sigma2")).alias("v"))
+    return out
 
 
 def sparse_product(a: DataFrame, geno: DataFrame, transposed: bool = False) -> DataFrame:
@@ -80,14 +127,16 @@ def times_012(a: DataFrame, x: DataFrame, transposed: bool = False, strict: bool
     return matvec(a, x.select("i", F.when(ok, F.col("v")).otherwise(other).alias("v")), transposed)
 
 
-def crossprod(geno: DataFrame, over: str = SNP, method: str = "join", depth: int = 4096, width: int = 256) -> DataFrame:
-    """(i, j, v bigint): sums of products over the axis `over`, for all pairs of the other one.
+def crossprod(geno: DataFrame, over: str = SNP, method: str = "blocked", depth: int | None = None, width: int | None = None) -> DataFrame:
+    """(i, j, v bigint): sums of products over the axis `over`, for all pairs that the other one has, absent cells being 0.
 
-    "join" joins the relation with itself, for matrices with some 10^7 products. "blocked" cuts the
-    axes into blocks of depth and width, multiplies a pair of blocks at once, and sums blocks:
-    for n columns every cell is sent n / width times and each block gives width^2 sums."""
+    "blocked" packs the cells into lines of `width` bytes, one for each place of `over` and block of the other axis, and
+    multiplies two blocks at a time, line after line in order: a worker holds two batches of lines and width^2 sums. Cells
+    are shuffled once, and lines as often as there are blocks, about 16 times a byte each for any size that `width` grows
+    with. The axis `over` is cut into slices of a multiple of `depth` where there are fewer pairs of blocks than tasks.
+    "join" joins the relation with itself: n^2 rows for each place of `over`."""
     keep = INDIV if over == SNP else SNP
-    cells = geno.select(F.col(over).alias("k"), F.col(keep).alias("i"), F.col(DOSAGE).cast("bigint").alias("x"))
+    cells = geno.select(F.col(over).cast("bigint").alias("k"), F.col(keep).cast("bigint").alias("i"), F.col(DOSAGE).cast("bigint").alias("x"))
     if method == "join":
         other = cells.select("k", F.col("i").alias("j"), F.col("x").alias("y"))
         upper = cells.join(other, "k").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
@@ -95,79 +144,154 @@ def crossprod(geno: DataFrame, over: str = SNP, method: str = "join", depth: int
         upper = _blocked(cells, depth, width)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return upper.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "v"))).otherwise(F.array(F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v")))).alias("c")).select("c.*")
+    both = F.array(F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return upper.select(F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("c")).select("c.*")
+
+
+def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFrame:
+    spark = cells.sparkSession
+    last, n, low, high = cells.agg(F.max("k"), F.max("i"), F.least(F.min("k"), F.min("i"), F.min("x")), F.max("x")).first()
+    if last is None or n is None:
+        return spark.createDataFrame([], "i bigint, j bigint, v bigint")
+    if low < 0 or (high or 0) > 127:
+        raise ValueError("places are at least 0, and dosages between 0 and 127")
+    last, n = last + 1, n + 1
+    width = width or min(4096, max(64, -(-n // 1024) * 64))
+    depth = depth or 4096
+    blocks = -(-n // width)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = max(1, min(-(-last // depth), tasks // (blocks * (blocks + 1) // 2)))
+    real = np.float32 if (high or 0) ** 2 * 4096 < 2**24 else np.float64  # sums of up to 4,096 lines are exact
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 2):
+            b, k = t.column("b").to_numpy(), t.column("k").to_numpy()
+            new = np.r_[True, (np.diff(b) != 0) | (np.diff(k) != 0)]
+            line, at = np.cumsum(new) - 1, t.column("at").to_numpy()
+            for a in range(0, int(line[-1]) + 1, 1024):
+                lo, hi = np.searchsorted(line, [a, a + 1024])
+                grid = np.zeros((line[hi - 1] - a + 1, width), np.int8)
+                np.add.at(grid, (line[lo:hi] - a, at[lo:hi]), t.column("x").to_numpy()[lo:hi])
+                first = np.flatnonzero(new[lo:hi]) + lo
+                yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(k[first]), pa.array([row.tobytes() for row in grid], pa.binary())], names=["b", "k", "line"])
+
+    placed = cells.select(F.expr(f"int(i div {width})").alias("b"), "k", F.expr(f"int(i % {width})").alias("at"), F.coalesce("x", F.lit(0)).cast("tinyint").alias("x"))
+    packed = placed.repartition(F.col("b"), F.expr(f"k div {depth}")).sortWithinPartitions("b", "k").mapInArrow(lines, "b int, k bigint, line binary")
+    there = placed.select("b", "at").distinct().groupBy("b").agg(F.collect_list("at").alias("at"))
+    present = spark.sparkContext.broadcast({r.b: np.sort(np.array(r["at"], np.int64)) for r in there.collect()})  # at most 8 bytes for each place of an axis whose pairs are the result
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, sums = None, None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            p, q, _ = pair
+            rows, columns = present.value[p], present.value[q]
+            for a in range(0, len(rows), 64):
+                some = rows[a : a + 64]
+                i, j = (x.ravel() for x in np.meshgrid(some, columns, indexing="ij"))
+                use = slice(None) if p < q else i <= j
+                i, j = i[use], j[use]
+                yield pa.RecordBatch.from_arrays([pa.array(i + p * width), pa.array(j + q * width), pa.array(sums[i, j])], names=["i", "j", "v"])
+
+        for t in runs(batches, 4):
+            keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (np.diff(keys, axis=0) != 0).any(axis=1), True])
+            k, side, data = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_pylist()
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                now = tuple(keys[a].tolist())
+                if now != pair:
+                    if pair is not None:
+                        yield from result()
+                    pair, sums = now, np.zeros((width, width), np.int64)
+                for x in range(a, e, 4096):
+                    y = min(e, x + 4096)
+                    while y < e and k[y] == k[y - 1]:  # both lines of a place together
+                        y += 1
+                    while a < x < y and k[x] == k[x - 1]:
+                        x += 1
+                    if x >= y:
+                        continue
+                    m = np.frombuffer(b"".join(data[x:y]), np.int8).reshape(-1, width)
+                    left = right = np.arange(y - x)
+                    if now[0] != now[1]:
+                        s = side[x:y]
+                        one, two = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
+                        _, u, w = np.intersect1d(k[x:y][one], k[x:y][two], assume_unique=True, return_indices=True)
+                        left, right = one[u], two[w]
+                    if len(left):
+                        f = m[left].astype(real)
+                        sums += np.rint(f.T @ (f if left is right else m[right].astype(real))).astype(np.int64)
+        if pair is not None:
+            yield from result()
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    dealt = packed.select("b", "k", "line", other).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.expr(f"int(k div {depth} % {slices})").alias("s"), "k", (F.col("b") > F.col("o")).cast("tinyint").alias("side"), "line")
+    parts = dealt.repartition("p", "q", "s").sortWithinPartitions("p", "q", "s", "k", "side").mapInArrow(products, "i bigint, j bigint, v bigint")
+    return parts if slices == 1 else parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def row_sums(geno: DataFrame, over: str = SNP) -> DataFrame:
+    """(i, s): sums of the rows of the crossproduct, as two products with a vector; a written table, which the planner broadcasts
+    while it is small."""
+    keep = INDIV if over == SNP else SNP
+    line = geno.groupBy(over).agg(F.sum(DOSAGE).cast("bigint").alias("__s"))
+    return written(geno.join(line, over).groupBy(F.col(keep).alias("i")).agg(F.sum(F.col(DOSAGE) * F.col("__s")).cast("bigint").alias("s")), "row_sums")
 
 
-def _blocked(cells: DataFrame, depth: int, width: int) -> DataFrame:
-    placed = cells.withColumns({"kb": F.expr(f"k div {depth}"), "b": F.expr(f"i div {width}")})
-    blocks = placed.select("b").distinct().select(F.col("b").alias("o"))  # n / width rows
-    pairs = placed.join(F.broadcast(blocks)).withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
+def _doubly_centred(geno: DataFrame, m: DataFrame, over: str) -> DataFrame:
+    """(i, j, n, g): n^2 times the doubly centred crossproduct, as an integer; refused where that is no longer exact in a double."""
+    r = row_sums(geno, over)
+    tot, n = r.agg(F.sum("s"), F.count("*")).first()
+    places = geno.select(over).distinct().count()
+    if 4 * places * n * n > 2**52:
+        raise ValueError(f"{places} x {n} is too large for an exact relationship matrix")
+    out = m.join(r.withColumnRenamed("s", "si"), "i").join(r.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j")
+    return out.select("i", "j", F.lit(n).cast("bigint").alias("n"), (n * n * F.col("v") - n * (F.col("si") + F.col("sj")) + F.lit(tot or 0)).alias("g"))
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, p, q = key
-        k = (rows["k"] % depth).to_numpy()
-        grids, there = [], []
-        for b in (p, q):
-            use = (rows["b"] == b).to_numpy()
-            g = np.zeros((depth, width))
-            g[k[use], (rows["i"].to_numpy()[use] % width)] = rows["x"].to_numpy()[use]
-            grids.append(g)
-            there.append(np.unique(rows["i"].to_numpy()[use] % width))
-        v = np.rint(grids[0].T @ grids[1]).astype(np.int64)  # exact: below 4 * depth
-        i, j = (x.ravel() for x in np.meshgrid(*there, indexing="ij"))
-        out = pd.DataFrame({"i": i + p * width, "j": j + q * width, "v": v[i, j]})
-        return out[out["i"] <= out["j"]]
 
-    parts = pairs.groupBy("kb", "p", "q").applyInPandas(one, "i bigint, j bigint, v bigint")
-    seen = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return seen
+def grm(geno: DataFrame, scale: bool = True, method: str = "blocked") -> DataFrame:
+    """(i, j, g_int, g) over individuals: n^2 times the doubly centred crossproduct as an integer, and the
+    relationship, divided by the sum of 2p(1-p) if scale."""
+    from genospark.operators.stats import derived
 
+    joined = _doubly_centred(geno, crossprod(geno, SNP, method), SNP).join(F.broadcast(derived(geno).select("sigma2")))
+    real = F.col("g").cast("double") / (F.col("n") * F.col("n"))
+    return joined.select("i", "j", F.col("g").alias("g_int"), (real / F.col("sigma2") if scale else real).alias("g"))
 
-def row_sums(m: DataFrame) -> DataFrame:
-    return m.groupBy("i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
 
+def _moments(geno: DataFrame, axis: str) -> DataFrame:
+    """(k, s, n, q): sum, count and sum of squares of the dosages at each place of an axis, a written table. Every place
+    must have a dosage for all places of the other axis: one mean for each holds for no pair else."""
+    other = SNP if axis == INDIV else INDIV
+    x = F.col(DOSAGE).cast("bigint")
+    per = written(geno.groupBy(F.col(axis).alias("k")).agg(F.sum(x).alias("s"), F.count(DOSAGE).alias("n"), F.sum(x * x).alias("q")), "moments")
+    most, least = per.agg(F.max("n"), F.min("n")).first()
+    if most is not None and not most == least == geno.select(other).distinct().count():
+        raise ValueError("correlations need every dosage; settle missing ones first")
+    return per
 
-def grm(geno: DataFrame, scale: bool = True, method: str = "join") -> DataFrame:
-    """(i, j, g_int, g) over individuals: n^2 times the doubly centred crossproduct as an integer, and the
-    relationship, divided by the sum of 2p(1-p) if scale."""
-    from genospark.operators.stats import derived
 
-    m = crossprod(geno, SNP, method)
-    r = row_sums(m)
-    t = r.agg(F.sum("s").alias("tot"), F.count("*").alias("n"))
-    c = derived(geno).select("sigma2")
-    ri, rj = r.select("i", F.col("s").alias("si")), r.select(F.col("i").alias("j"), F.col("s").alias("sj"))
-    joined = m.join(ri, "i").join(rj, "j").join(F.broadcast(t)).join(F.broadcast(c))
-    g = F.col("n") * F.col("n") * F.col("v") - F.col("n") * (F.col("si") + F.col("sj")) + F.col("tot")
-    real = g.cast("double") / (F.col("n") * F.col("n"))
-    return joined.select("i", "j", g.alias("g_int"), (real / F.col("sigma2") if scale else real).alias("g"))
-
-
-def ld(geno: DataFrame, squared: bool = False, method: str = "join") -> DataFrame:
-    """(i, j, r) over SNPs: Pearson's correlation of dosages, or its square. NULL for a SNP without variation."""
-    m = crossprod(geno, INDIV, method)
-    per = geno.groupBy(SNP).agg(F.sum(DOSAGE).cast("bigint").alias("s"), F.count("*").alias("n"))
-    d = m.filter("i = j").select(F.col("i").alias(SNP), F.col("v").alias("q"))
-    per = per.join(d, SNP).select(F.col(SNP).alias("k"), "s", "n", (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("var"))
-    a, b = per.select(F.col("k").alias("i"), F.col("s").alias("si"), "n", F.col("var").alias("vi")), per.select(F.col("k").alias("j"), F.col("s").alias("sj"), F.col("var").alias("vj"))
+def ld(geno: DataFrame, squared: bool = False, method: str = "blocked") -> DataFrame:
+    """(i, j, r) over SNPs: Pearson's correlation of dosages, or its square. NULL for a SNP without variation; a missing
+    dosage is an error."""
+    per = _moments(geno, SNP).withColumn("v", F.col("n") * F.col("q") - F.col("s") * F.col("s"))
+    a, b = per.select(F.col("k").alias("i"), F.col("s").alias("si"), "n", F.col("v").alias("vi")), per.select(F.col("k").alias("j"), F.col("s").alias("sj"), F.col("v").alias("vj"))
     r = (F.col("n") * F.col("v") - F.col("si") * F.col("sj")) / F.nullif(F.sqrt(F.col("vi").cast("double")) * F.sqrt(F.col("vj").cast("double")), F.lit(0.0))
-    return m.join(a, "i").join(b, "j").select("i", "j", (r * r if squared else r).alias("r"))
+    return crossprod(geno, INDIV, method).join(a, "i").join(b, "j").select("i", "j", (r * r if squared else r).alias("r"))
 
 
-def centred_crossprod(geno: DataFrame, over: str = SNP, centring: str = "row", normalize: str = "none", squared: bool = False) -> DataFrame:
+def centred_crossprod(geno: DataFrame, over: str = SNP, centring: str = "row", normalize: str = "none", squared: bool = False, method: str = "blocked") -> DataFrame:
     """(i, j, v): the crossproduct over an axis, centred by the means along it ("row") or across it ("column"),
     then divided by the roots of its diagonal ("centring") or by the sum of 2p(1-p) ("global")."""
-    m = crossprod(geno, over)
-    inner, outer = (SNP, INDIV) if over == SNP else (INDIV, SNP)
+    if centring not in CENTRING or normalize not in NORMALIZE:
+        raise ValueError(f"centring is one of {CENTRING}, normalize one of {NORMALIZE}")
+    m = crossprod(geno, over, method)
+    outer = INDIV if over == SNP else SNP
     if centring == "column":  # of each column of pairs: its own mean
-        s = geno.groupBy(F.col(outer).alias("i")).agg(F.sum(DOSAGE).cast("bigint").alias("s"), F.count("*").alias("n"))
+        s = _moments(geno, outer).select(F.col("k").alias("i"), "s", "n")
         out = m.join(s, "i").join(s.select(F.col("i").alias("j"), F.col("s").alias("t")), "j").select("i", "j", (F.col("v") - F.col("s") * F.col("t") / F.col("n")).alias("v"))
     elif centring == "row":  # of each contracted row: the mean over the columns
-        r = row_sums(m)
-        t = r.agg(F.sum("s").alias("tot"), F.count("*").alias("n"))
-        out = m.join(r.select("i", F.col("s").alias("si")), "i").join(r.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j").join(F.broadcast(t))
-        n = F.col("n")
-        out = out.select("i", "j", ((n * n * F.col("v") - n * (F.col("si") + F.col("sj")) + F.col("tot")).cast("double") / (n * n)).alias("v"))
+        out = _doubly_centred(geno, m, over).select("i", "j", (F.col("g").cast("double") / (F.col("n") * F.col("n"))).alias("v"))
     else:
         out = m.select("i", "j", F.col("v").cast("double").alias("v"))
     if normalize == "global":
@@ -175,18 +299,28 @@ def centred_crossprod(geno: DataFrame, over: str = SNP, centring: str = "row", n
 
         out = out.join(F.broadcast(derived(geno).select("sigma2"))).select("i", "j", (F.col("v") / F.col("sigma2")).alias("v"))
     elif normalize == "centring":
-        d = out.filter("i = j").select("i", F.sqrt("v").alias("di"))
+        out = written(out, "centred")
+        d = written(out.filter("i = j").select("i", F.sqrt("v").alias("di")), "diagonal")
         out = out.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("di").alias("dj")), "j").select("i", "j", (F.col("v") / F.nullif(F.col("di") * F.col("dj"), F.lit(0.0))).alias("v"))
     return out.select("i", "j", F.col("v") * F.col("v")).toDF("i", "j", "v") if squared else out
 
 
 def relationship_vector(geno: DataFrame, x: DataFrame, over: str = SNP) -> DataFrame:
-    """(i, v): the uncentred crossproduct times x, as two products; no matrix of pairs is made."""
+    """(i, v): the uncentred crossproduct over an axis times x, as two products; no matrix of pairs is made. Over SNPs x and the
+    result lie over individuals, over individuals they lie over SNPs."""
     b = x.select(F.col("i").alias("idx"), F.lit(0).alias("col"), "v")
     first = geno_product(geno, b, over == SNP, center=False)
     return geno_product(geno, first, over != SNP, center=False).select(F.col("idx").alias("i"), "v")
 
 
+def relationship_agreement(geno: DataFrame, x: DataFrame, over: str = SNP) -> DataFrame:
+    """One row most, size: the largest difference between relationship_vector() and the product with the matrix of pairs, and
+    the largest value of the latter."""
+    m = matvec(crossprod(geno, over), x).withColumnRenamed("v", "w")
+    both = relationship_vector(geno, x, over).join(m, "i", "full")
+    return both.agg(F.max(F.abs(F.coalesce("v", F.lit(0)) - F.coalesce("w", F.lit(0)))).cast("double").alias("most"), F.max(F.abs("w")).cast("double").alias("size"))
+
+
 def is_close(a: Column, b: Column, tolerance: float = 1e-10) -> Column:
     return F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
 
