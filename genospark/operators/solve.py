@@ -1,7 +1,7 @@
 """Linear systems and decompositions over matrices in coordinates (i, j, v), 0-based.
 
-Factors of up to MOST rows are made by numpy in one task, and a larger matrix is refused there:
-conjugate gradients and the randomised decomposition work on joins and have no such bound.
+Factors of up to MOST rows are made by numpy in one task; larger matrices are factored tile by tile (see tiles), by
+Cholesky only. Conjugate gradients and the randomised decomposition work on joins and have no bound either.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospark.model import INDIV, SNP
+from genospark.operators import tiles
 from genospark.operators.products import dot, geno_product, matmul, matvec
-from genospark.plans.tables import written
+from genospark.plans.tables import collected, removed, tidy, written
 
-MOST = 5000
+#: Rows that one task may factor, columns of B that it may take at once, and the side of a tile beyond.
+MOST, SIDE = 5000, 1000
 SINGULAR = 1e-12
 
 
@@ -34,26 +36,41 @@ def _coordinates(a: np.ndarray) -> pd.DataFrame:
 
 def size_of(a: DataFrame) -> int:
     n = a.agg(F.max(F.greatest("i", "j"))).first()[0]
-    n = 0 if n is None else n + 1
-    if n > MOST:
-        raise ValueError(f"{n} rows; factors are made for up to {MOST}, see conjugate_gradient()")
-    return n
+    return 0 if n is None else n + 1
 
 
 def _with_kernel(a: DataFrame, b: DataFrame | None, kernel: Callable, schema: str = "i bigint, j bigint, v double") -> DataFrame:
-    """kernel(A, B) in one task, with the matrices dense; A is square."""
+    """kernel(A, B) with the matrices dense, A square: in one task, or, where B has many columns, in one for each MOST of
+    them, all of which get A."""
     n = size_of(a)
-    parts = a.select(F.lit(0).alias("which"), F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.col("v").cast("double"))
-    width, two = 0, b is not None
-    if two:
-        width = (b.agg(F.max("j")).first()[0] or 0) + 1
-        parts = parts.unionByName(b.select(F.lit(1).alias("which"), F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.col("v").cast("double")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    cells = lambda m, which: m.select(F.lit(which).alias("which"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    width = 0 if b is None else (b.agg(F.max("j")).first()[0] or 0) + 1
+    groups = max(1, -(-width // MOST))
+    parts = cells(a, 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    if b is not None:
+        parts = parts.unionByName(cells(b, 1).withColumn("part", F.expr(f"int(j div {MOST})")))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = _dense(rows[rows["which"] == 0], n)
-        return kernel(first, _dense(rows[rows["which"] == 1], n, width) if two else None)
+        if not width:
+            return kernel(first, None)
+        start = int(key[0]) * MOST
+        second = rows[rows["which"] == 1]
+        out = kernel(first, _dense(second.assign(j=second["j"] - start), n, min(MOST, width - start)))
+        return out.assign(j=out["j"] + start) if "j" in out else out
 
-    return parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, schema)
+    return parts.groupBy("part").applyInPandas(run, schema)
+
+
+def _tiled(a: DataFrame, b: DataFrame | None, n: int, side: int) -> DataFrame:
+    """(i, j, v) of A^-1 B by tiles."""
+    if b is None:
+        b, width = a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), n
+    else:
+        width = (b.agg(F.max("j")).first()[0] or 0) + 1
+    f = tiles.factor(a, n, side)
+    y = tiles.substituted(f, written(tiles.tiles_of(b, side), "right"), n, side, False)
+    return tiles.cells_of(tiles.substituted(f, y, n, side, True), side, n, width)
 
 
 def cholesky_np(a: np.ndarray) -> np.ndarray:
@@ -101,21 +118,48 @@ def solve_np(a: np.ndarray, b: np.ndarray | None, methods: tuple[str, ...] = ("c
     raise ValueError(f"no method in {methods}")
 
 
-def solved(a: DataFrame, b: DataFrame | None = None, methods: tuple[str, ...] = ("cholesky", "eigen")) -> DataFrame:
-    """(i, j, v) of A^-1 B, or of A^-1."""
+@tidy
+def solved(a: DataFrame, b: DataFrame | None = None, methods: tuple[str, ...] = ("cholesky", "eigen"), most: int = MOST, side: int = SIDE) -> DataFrame:
+    """(i, j, v) of A^-1 B, or of A^-1. Beyond `most` rows A must be positive definite."""
+    n = size_of(a)
+    if n > most:
+        return _tiled(a, b, n, side)
     return _with_kernel(a, b, lambda x, y: _coordinates(solve_np(x, y, methods)))
 
 
-def cholesky(a: DataFrame, upper: bool = False) -> DataFrame:
+@tidy
+def cholesky(a: DataFrame, upper: bool = False, most: int = MOST, side: int = SIDE) -> DataFrame:
+    n = size_of(a)
+    if n > most:
+        out = tiles.cells_of(tiles.factor(a, n, side), side, n, n, lower=True)
+        return out.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if upper else out
     return _with_kernel(a, None, lambda x, _: _coordinates(cholesky_np(x).T if upper else cholesky_np(x)))
 
 
-def log_determinant(a: DataFrame) -> DataFrame:
+@tidy
+def log_determinant(a: DataFrame, most: int = MOST, side: int = SIDE) -> DataFrame:
     """One row v: twice the sum of the logarithms of the factor's diagonal."""
+    n = size_of(a)
+    if n > most:
+        return a.sparkSession.createDataFrame([(tiles.log_determinant(tiles.factor(a, n, side), n, side),)], "v double")
     return _with_kernel(a, None, lambda x, _: pd.DataFrame({"v": [2 * np.log(np.diag(cholesky_np(x))).sum()]}), "v double")
 
 
-def is_positive_definite(a: DataFrame) -> DataFrame:
+@tidy
+def is_positive_definite(a: DataFrame, most: int = MOST, side: int = SIDE) -> DataFrame:
+    """One row v: whether A is symmetric, within 1e-8 of its larger cell or so, and has a Cholesky factor."""
+    n = size_of(a)
+    if n > most:
+        t = a.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("w"))
+        off = a.join(t, ["i", "j"], "full").filter(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))) > 1e-8 + 1e-5 * F.abs(F.coalesce("w", F.lit(0.0))))
+        ok = off.isEmpty()
+        try:
+            if ok:
+                tiles.factor(a, n, side)
+        except np.linalg.LinAlgError:
+            ok = False
+        return a.sparkSession.createDataFrame([(ok,)], "v boolean")
+
     def test(x: np.ndarray, _) -> pd.DataFrame:
         try:
             cholesky_np(x)
@@ -133,16 +177,18 @@ def x_inverse_y(x: DataFrame, c: DataFrame, y: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.col("a") * F.col("b")).alias("v")).join(F.broadcast(log_determinant(c).withColumnRenamed("v", "log_det")))
 
 
-def root_times(a: DataFrame, b: DataFrame) -> DataFrame:
+def root_times(a: DataFrame, b: DataFrame, most: int = MOST) -> DataFrame:
     """(i, j, v) of L' B, with L L' = A: normal draws of covariance A come of it for L instead; see normal_draws()."""
+    if size_of(a) > most:
+        return matmul(cholesky(a, upper=True, most=most), b)
     return _with_kernel(a, b, lambda x, y: _coordinates(cholesky_np(x).T @ y))
 
 
-def normal_draws(a: DataFrame, draws: int, seed: int) -> DataFrame:
+def normal_draws(a: DataFrame, draws: int, seed: int, most: int = MOST) -> DataFrame:
     """(i, j, v): draws from the normal law of covariance A, one a column."""
     n = size_of(a)
-    z = a.sparkSession.range(n * draws).select(F.expr(f"id div {draws}").alias("i"), F.expr(f"id % {draws}").alias("j"), F.randn(seed).alias("v"))
-    return _with_kernel(a, z, lambda x, y: _coordinates(cholesky_np(x) @ y))
+    z = written(a.sparkSession.range(n * draws).select(F.expr(f"id div {draws}").alias("i"), F.expr(f"id % {draws}").alias("j"), F.randn(seed).alias("v")), "draws")
+    return matmul(cholesky(a, most=most).filter("j <= i"), z)
 
 
 def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False, most: int = MOST) -> DataFrame:
@@ -212,23 +258,33 @@ def inverse_3x3(m: list[list[Column]]) -> list[list[Column]]:
 
 def conjugate_gradient(times: Callable[[DataFrame], DataFrame], b: DataFrame, tolerance: float = 1e-2, most: int = 1000) -> DataFrame:
     """(i, v): x with times(x) = b for a positive definite operator on (i, v); stops when the residual's norm is below
-    tolerance. Vectors are tables, and only scalars reach the driver."""
-    x = written(b.select("i", F.lit(0.0).alias("v")))
-    r = p = written(b.select("i", F.col("v").cast("double").alias("v")))
-    rr = dot(r, r).first()[0]
+    tolerance, and raises ArithmeticError where `most` rounds do not get there. Vectors are tables, those of a round go with
+    the next, and only scalars reach the driver."""
+    spark = b.sparkSession
+    old: list[str] = []
+    with collected() as made:
+        x = written(b.select("i", F.lit(0.0).alias("v")))
+        r = p = written(b.select("i", F.col("v").cast("double").alias("v")))
+        rr = dot(r, r).first()[0]
+        old.extend(made)
 
     def added(u: DataFrame, w: DataFrame, k: float) -> DataFrame:
         return written(u.unionByName(w.select("i", (F.col("v") * k).alias("v"))).groupBy("i").agg(F.sum("v").alias("v")))
 
     for _ in range(most):
         if rr**0.5 < tolerance:
-            break
-        q = written(times(p))
-        step = rr / dot(p, q).first()[0]
-        x, r = added(x, p, step), added(r, q, -step)
-        new = dot(r, r).first()[0]
-        p, rr = added(r, p, new / rr), new
-    return x
+            return x
+        with collected() as made:
+            q = written(times(p))
+            step = rr / dot(p, q).first()[0]
+            x, r = added(x, p, step), added(r, q, -step)
+            new = dot(r, r).first()[0]
+            p, rr = added(r, p, new / rr), new
+        removed(spark, old)
+        old.extend(made)
+    if rr**0.5 < tolerance:
+        return x
+    raise ArithmeticError(f"the residual is {rr**0.5:g} after {most} rounds")
 
 
 def solve_relationship(a: DataFrame, v: DataFrame, tau: float, beta: float | None = None) -> DataFrame:
@@ -285,13 +341,14 @@ def principal_components(geno: DataFrame, k: int, oversample: int = 40, power: i
     return vectors, np.sqrt(np.maximum(w[order], 0)).tolist()
 
 
-def gblup(g: DataFrame, x: DataFrame, y: DataFrame, ridge: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def gblup(g: DataFrame, x: DataFrame, y: DataFrame, ridge: float = 1.0, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Fixed effects (i, v) and breeding values (i, v) for V = G + ridge I: beta by generalised least squares,
-    then G V^-1 (y - X beta). x: (i, j, v), y: (i, v)."""
-    v = written(g.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)))
-    inv = written(solved(v))
-    xv = written(matmul(x, inv, ta=True))
-    beta = written(solved(matmul(xv, x), matmul(xv, y.select("i", F.lit(0).alias("j"), "v"))).select("i", "v"))
-    fit = matvec(x, beta)
-    rest = y.join(fit.withColumnRenamed("v", "f"), "i").select("i", (F.col("v") - F.col("f")).alias("v"))
-    return beta, matvec(g, matvec(inv, rest))
+    then G V^-1 (y - X beta). x: (i, j, v), y: (i, v). V is factored once, for X and y side by side; no inverse is made."""
+    v = g.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0))
+    right = x.select("i", (F.col("j") + 1).alias("j"), F.col("v").cast("double").alias("v")).unionByName(y.select("i", F.lit(0).cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
+    both = written(solved(v, right, most=most), "solved")
+    w, z = both.filter("j = 0").select("i", "v"), both.filter("j > 0").select("i", (F.col("j") - 1).alias("j"), "v")
+    beta = written(solved(matmul(x, z, ta=True), matmul(x, w.select("i", F.lit(0).alias("j"), "v"), ta=True)).select("i", "v"))
+    fit = matvec(z, beta)
+    rest = w.join(fit.withColumnRenamed("v", "f"), "i").select("i", (F.col("v") - F.col("f")).alias("v"))
+    return beta, matvec(g, rest)
