@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genospark.model import DOSAGE, INDIV, SNP
+from genospark.plans.tables import written
 
 
 def index_list(spark: SparkSession, indices: list[int], column: str) -> DataFrame:
@@ -56,6 +57,8 @@ def zeroed(geno: DataFrame, snps: DataFrame, individuals: DataFrame) -> DataFram
 def filled(geno: DataFrame, other: DataFrame, places: DataFrame) -> DataFrame:
     """geno with the columns of other in place: places (pos, idx), 1-based, says for each column of other, in
     order, which individual it overwrites."""
+    if geno.select(SNP).distinct().count() != other.select(SNP).distinct().count():
+        raise ValueError("both matrices must have the same SNPs")
     to = places.select((F.col("pos") - 1).alias(INDIV), (F.col("idx") - 1).alias("__to"))
     new = other.join(to, INDIV).select(SNP, F.col("__to").alias(INDIV), DOSAGE)
     return geno.join(to.select(F.col("__to").alias(INDIV)), INDIV, "left_anti").select(SNP, INDIV, DOSAGE).unionByName(new)
@@ -87,6 +90,17 @@ def haplo_from_layout(cells: DataFrame, layout: str) -> DataFrame:
     return cells.select(half(snp).alias(SNP), half(indiv).alias(INDIV), F.pmod(F.col(double), F.lit(2)).cast("int").alias("hap"), F.col("v").alias("allele"))
 
 
+def centre_of(geno: DataFrame, centring: str = "row") -> DataFrame:
+    """(snp_idx, centre): what centring takes off each SNP: twice its frequency, or 0 for "none". Individuals' means, for
+    "column", come as (indiv_idx, centre)."""
+    from genospark.operators.stats import allele_freq, pseudo_freq
+
+    if centring == "column":
+        return pseudo_freq(geno).select(INDIV, (2 * F.col("freq")).alias("centre"))
+    f = allele_freq(geno)
+    return f.select(SNP, (2 * F.col("freq") if centring == "row" else F.lit(0.0)).alias("centre"))
+
+
 def centred(geno: DataFrame, centre: DataFrame) -> DataFrame:
     """(snp_idx, indiv_idx, v): dosage less the SNP's centre. A SNP without one is an error."""
     c = F.coalesce("centre", F.raise_error(F.lit("a SNP has no centre")).cast("double"))
@@ -115,16 +129,26 @@ def origin_parts(code: Column) -> dict[str, Column]:
     return out
 
 
-def sorted_slice(df: DataFrame, value: str, start: int, stop: int, nulls_last: bool = True) -> DataFrame:
-    """Places start to stop, 1-based and inclusive, of the ascending order; NaN counts as NULL. Empty if start > stop."""
-    start = max(start, 1)
+def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in an order: ranges of the order are sorted each for itself, and only the sizes of
+    the ranges meet in one place. Rows that the order does not part have neighbouring places."""
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": at}), "sorted")
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    return rows.join(F.broadcast(starts.drop("n")), "__part").withColumn(place, F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
+
+
+def sorted_slice(df: DataFrame, value: str, start: int, stop: int, nulls_last: bool = True, index: str | None = None) -> DataFrame:
+    """Places start to stop, 1-based and inclusive, of the ascending order, ties by the index column if one is given; NaN
+    counts as NULL. Empty if start > stop."""
     v = F.col(value)
-    clean = F.when(F.isnan(v.cast("double")), None).otherwise(v)
-    key = clean.asc_nulls_last() if nulls_last else clean.asc_nulls_first()
-    return df.orderBy(key).offset(start - 1).limit(max(stop - start + 1, 0))
+    clean = F.when(F.isnan(v), None).otherwise(v) if dict(df.dtypes)[value] in ("float", "double") else v
+    order = [clean.asc_nulls_last() if nulls_last else clean.asc_nulls_first(), *([] if index is None else [F.col(index).asc()])]
+    return placed(df, order, "__place").filter(F.col("__place").between(max(start, 1), stop)).orderBy("__place").drop("__place")
 
 
 def order_of(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """(place, index), both 1-based: the permutation that sorts by the keys, ties by index."""
-    w = Window.orderBy(*keys, index)
-    return df.select(F.row_number().over(w).cast("bigint").alias("place"), F.col(index).alias("index"))
+    order = [F.col(c).asc() for c in (*keys, index)]
+    return placed(df.select(*dict.fromkeys([*keys, index])), order).select("place", F.col(index).alias("index"))

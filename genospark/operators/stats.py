@@ -33,6 +33,17 @@ def derived(geno: DataFrame) -> DataFrame:
     return per.agg(F.sum(p).alias("sum_freq"), F.sum(2 * p * (1 - p)).alias("sigma2"), F.sum("s").alias("total"), F.sum(F.col("s") * F.col("s")).alias("sq_total"))
 
 
+def derived_by_individual(geno: DataFrame) -> DataFrame:
+    """The same with individuals in the place of SNPs: sum_freq and sigma2 from pseudo-frequencies, total and sq_total from
+    individuals' totals."""
+    return derived(geno.select(F.col(INDIV).alias(SNP), F.col(SNP).alias(INDIV), DOSAGE))
+
+
+def pseudo_freq_times_geno(geno: DataFrame) -> DataFrame:
+    """snp_idx, v: the matrix times pseudo-frequencies."""
+    return geno.join(pseudo_freq(geno), INDIV).groupBy(SNP).agg(F.sum(F.col("freq") * F.col(DOSAGE)).alias("v"))
+
+
 def freq_times_geno(geno: DataFrame) -> DataFrame:
     """indiv_idx, v: frequencies times the matrix."""
     return geno.join(allele_freq(geno), SNP).groupBy(INDIV).agg(F.sum(F.col("freq") * F.col(DOSAGE)).alias("v"))
@@ -46,15 +57,23 @@ def col_maxs(m: DataFrame) -> DataFrame:
     return m.groupBy("j").agg(F.max("v").alias("v"))
 
 
-def row_means(m: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Row sums, weighted by (j, w) if given, over the number of columns (not over the weights' sum)."""
+def _columns(m: DataFrame, columns: int | None) -> int:
+    return columns if columns is not None else (m.agg(F.max("j")).first()[0] or 0) + 1
+
+
+def row_means(m: DataFrame, weights: DataFrame | None = None, columns: int | None = None) -> DataFrame:
+    """Row sums, weighted by (j, w) if given, over the number of columns (not over the weights' sum); absent cells are 0.
+    columns: up to the last one that has a cell, if not given."""
+    n = _columns(m, columns)
     if weights is not None:
         m = m.join(weights, "j").withColumn("v", F.col("v") * F.col("w"))
-    return m.groupBy("i").agg((F.sum("v") / F.count("*")).alias("v"))
+    return m.groupBy("i").agg((F.sum("v") / F.lit(n)).alias("v"))
 
 
-def row_prod(m: DataFrame) -> DataFrame:
-    return m.groupBy("i").agg(F.product(F.col("v").cast("double")).alias("v"))
+def row_prod(m: DataFrame, columns: int | None = None) -> DataFrame:
+    """Products of rows; 0 where a cell is absent."""
+    n = _columns(m, columns)
+    return m.groupBy("i").agg(F.when(F.count("v") < n, 0.0).otherwise(F.product(F.col("v").cast("double"))).alias("v"))
 
 
 def diagonal_product(m: DataFrame, log: bool = False) -> DataFrame:
