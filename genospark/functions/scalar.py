@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -105,23 +106,45 @@ def _terms(order: int) -> dict[tuple[int, int], float]:
     return terms
 
 
+def _half_integer(p: int, order: int = 0) -> list[Fraction]:
+    """Coefficients, from y^0 on, of the polynomial that times exp(-y) is the Matern function of p + 1/2 or its derivative."""
+    f = math.factorial
+    c = [Fraction(0)] * (p + 1)
+    for k in range(p + 1):
+        c[p - k] = Fraction(f(p) * f(p + k) * 2 ** (p - k), f(2 * p) * f(k) * f(p - k))
+    for _ in range(order):  # (q e^-y)' = (q' - q) e^-y
+        c = [(c[k + 1] * (k + 1) if k < p else 0) - c[k] for k in range(p + 1)]
+    return c
+
+
+def matern_limit(nu: float, order: int) -> float:
+    """The derivative's limit at 0 from the right, for the argument y, by the series 1 + y^2 / (4 (1 - nu)) + y^4 / (32 (1 - nu)
+    (2 - nu)) + ... + c y^2nu (1 + ...), where c has the sign of Gamma(-nu), or y^2nu log y for a whole nu."""
+    if order == 0:
+        return 1.0
+    if 2 * nu > order:
+        return 0.0 if order % 2 else 0.5 / (1 - nu) if order == 2 else 0.75 / ((1 - nu) * (2 - nu))
+    if nu == int(nu):
+        n, past = int(nu), order - 2 * int(nu)
+        return math.inf * (-1) ** (n + 1) * (-1 if past == 0 else (-1) ** (past - 1))
+    if 2 * nu == int(2 * nu):
+        return float(_half_integer(int(nu), order)[0])
+    sign = (-1) ** math.ceil(nu)
+    for k in range(order):
+        sign *= 1 if 2 * nu > k else -1
+    return math.inf * sign
+
+
 def matern_np(x: np.ndarray, nu: np.ndarray, factor: float = 0.0, order: int = 0) -> np.ndarray:
     """2^(1 - nu) / Gamma(nu) y^nu K_nu(y) with y = x factor sqrt(nu) (factor 0: y = x), or one of four derivatives
-    in x. nu beyond 100 counts as 100, blended with the Gaussian limit."""
+    in x, at 0 its limit from the right. nu beyond 100 counts as 100, blended with the Gaussian limit."""
     x, nu = (np.array(v, float) for v in np.broadcast_arrays(np.asarray(x, float), np.asarray(nu, float)))
     n = np.minimum(nu, NU_MOST)
     scale = factor * np.sqrt(n) if factor else np.ones_like(n)
     out = np.empty_like(x)
     small, inf = x <= X_LEAST, np.isinf(x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        limits = {
-            0: np.ones_like(n),
-            1: np.where(n > 0.5, 0.0, np.where(n < 0.5, math.inf, 1.253314137)),
-            2: np.where(n > 1, -0.5 / (n - 1), -math.inf),
-            3: np.where(n > 1.5, 0.0, math.inf),
-            4: np.where(n > 2, 0.75 / ((n - 1) * (n - 2)), math.inf),
-        }
-        out[small] = (limits[order] * scale**order)[small]
+    if small.any():
+        out[small] = np.array([matern_limit(v, order) for v in n[small].tolist()]) * scale[small] ** order
     out[inf] = 0
     use = ~(small | inf)
     y, v = x[use] * scale[use], n[use]
@@ -145,50 +168,61 @@ def matern_np(x: np.ndarray, nu: np.ndarray, factor: float = 0.0, order: int = 0
     return out
 
 
-def _upper_gamma(x: float, s: float) -> float:
-    """The regularised upper incomplete gamma function, s > 0."""
-    if x <= 0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    front = math.exp(s * math.log(x) - x - math.lgamma(s))
-    if x < s + 1:
-        term = total = 1 / s
-        k = s
-        while abs(term) > 1e-17 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - front * total
-    b = x + 1 - s
-    c, d = 1e300, 1 / b
-    h = d
+def _upper_gamma(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The regularised upper incomplete gamma function, s > 0: a series below s + 1, a continued fraction above."""
+    out = np.ones_like(x)
+    out[np.isinf(x)] = 0
+    use = np.flatnonzero((x > 0) & ~np.isinf(x))
+    front = np.exp(s[use] * np.log(x[use]) - x[use] - lgamma(s[use]))
+    low = x[use] < s[use] + 1
+    y, k = x[use][low], s[use][low].copy()
+    term = 1 / k
+    total = term.copy()
+    while (np.abs(term) > 1e-17 * np.abs(total)).any():
+        k += 1
+        term = term * y / k
+        total += term
+    out[use[low]] = 1 - front[low] * total
+    y, v = x[use][~low], s[use][~low]
+    b = y + 1 - v
+    c, d = np.full_like(y, 1e300), 1 / b
+    h = d.copy()
     for k in range(1, 10_000):
-        a = -k * (k - s)
-        b += 2
-        d = 1 / (a * d + b or 1e-300)
-        c = b + a / c or 1e-300
+        a = -k * (k - v)
+        b = b + 2
+        d, c = a * d + b, b + a / c
+        d, c = 1 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
         h *= c * d
-        if abs(c * d - 1) < 1e-16:
+        if not (np.abs(c * d - 1) > 1e-16).any():
             break
-    return front * h
+    out[use[~low]] = front[~low] * h
+    return out
 
 
-def incomplete_gamma_py(start: float, end: float, s: float) -> float:
+def incomplete_gamma_np(start: np.ndarray, end: np.ndarray, s: np.ndarray) -> np.ndarray:
     """The integral of t^(s-1) exp(-t) from start to end; NaN for s <= 1 from 0."""
-    if s <= 1 and start == 0:
-        return math.nan
-    if s > 0:
-        return math.gamma(s) * (_upper_gamma(start, s) - _upper_gamma(end, s))
-    if s == 0:
-        # E1 as a continued fraction of the integral from each end
+    start, end, s = (np.array(v, float) for v in np.broadcast_arrays(*(np.asarray(v, float) for v in (start, end, s))))
+    out = np.full(start.shape, np.nan)
+    ok = ~((s <= 1) & (start == 0)) & ~np.isnan(start + end + s)
+    up = ok & (s > 0)
+    out[up] = np.exp(lgamma(s[up])) * (_upper_gamma(start[up], s[up]) - _upper_gamma(end[up], s[up]))
+    zero = ok & (s == 0)
+    if zero.any():  # Gauss-Legendre on a logarithmic scale; beyond 60 nothing is left
         nodes, w = np.polynomial.legendre.leggauss(200)
-        top = min(end, start + 60)
-        lo, hi = math.log(start), math.log(top)
-        t = np.exp(lo + (nodes + 1) / 2 * (hi - lo))
-        return float((w * np.exp(-t)).sum() * (hi - lo) / 2)
-    edge = lambda t: 0.0 if math.isinf(t) else t**s * math.exp(-t)
-    return (edge(end) - edge(start) + incomplete_gamma_py(start, end, s + 1)) / s
+        lo, hi = np.log(start[zero]), np.log(np.minimum(end[zero], start[zero] + 60))
+        t = np.exp(lo[:, None] + (nodes + 1) / 2 * (hi - lo)[:, None])
+        out[zero] = (w * np.exp(-t)).sum(axis=1) * (hi - lo) / 2
+    down = ok & (s < 0)
+    if down.any():
+        a, b, v = start[down], end[down], s[down]
+        with np.errstate(invalid="ignore", over="ignore"):
+            edge = lambda t: np.where(np.isinf(t), 0, t**v * np.exp(-t))
+            out[down] = (edge(b) - edge(a) + incomplete_gamma_np(a, b, v + 1)) / v
+    return out
+
+
+def incomplete_gamma_py(start: float, end: float, s: float) -> float:
+    return float(incomplete_gamma_np(np.array([start]), np.array([end]), np.array([s]))[0])
 
 
 def struve(x: Column, nu: Column, kind: str = "H", scaled: bool = False) -> Column:
@@ -218,9 +252,18 @@ def bessel_k(x: Column, nu: Column) -> Column:
     return f(x.cast("double"), nu.cast("double"))
 
 
-def matern(x: Column, nu: Column, factor: float = 0.0, order: int = 0, log: bool = False) -> Column:
+def matern(x: Column, nu: float | Column, factor: float = 0.0, order: int = 0, log: bool = False) -> Column:
+    """The Matern function or a derivative, see matern_np(). For a number p + 1/2 of up to 10 as nu it is a polynomial times
+    exp(-y), which stays in the JVM."""
     if order not in range(5):
         raise ValueError("derivatives 0 to 4")
+    if not isinstance(nu, Column) and nu <= 10.5 and nu % 1 == 0.5:
+        scale = factor * math.sqrt(nu) if factor else 1.0
+        y, total = x.cast("double") * F.lit(scale), F.lit(0.0)
+        for c in reversed(_half_integer(int(nu), order)):
+            total = total * y + F.lit(float(c))
+        v = F.when(y == F.lit(math.inf), F.lit(0.0)).otherwise(total * F.exp(-y) * F.lit(scale**order))
+        return F.when(v == 0, F.lit(-math.inf)).otherwise(F.log(v)) if log else v
 
     @F.pandas_udf("double")
     def f(x: pd.Series, nu: pd.Series) -> pd.Series:
@@ -228,12 +271,25 @@ def matern(x: Column, nu: Column, factor: float = 0.0, order: int = 0, log: bool
         with np.errstate(divide="ignore"):
             return pd.Series(np.log(v) if log else v)
 
-    return f(x.cast("double"), nu.cast("double"))
+    return f(x.cast("double"), (nu if isinstance(nu, Column) else F.lit(nu)).cast("double"))
+
+
+def incomplete_gamma(start: Column, end: Column, s: float | Column) -> Column:
+    """See incomplete_gamma_np(). For a whole number of 1 to 20 as s it is a polynomial times exp(-t), which stays in the JVM."""
+    if not isinstance(s, Column) and s == int(s) and 1 <= s <= 20:
+        n = int(s)
+
+        def upper(t: Column) -> Column:
+            total = F.lit(0.0)
+            for k in range(n - 1, -1, -1):
+                total = total * t + F.lit(float(math.factorial(n - 1) // math.factorial(k)))
+            return F.when(t == F.lit(math.inf), F.lit(0.0)).otherwise(total * F.exp(-t))
 
+        a, b = start.cast("double"), end.cast("double")
+        return F.when((a == 0) & F.lit(n == 1), F.lit(math.nan)).otherwise(upper(a) - upper(b))
 
-def incomplete_gamma(start: Column, end: Column, s: Column) -> Column:
     @F.pandas_udf("double")
     def f(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([incomplete_gamma_py(*t) for t in zip(a, b, s, strict=True)])
+        return pd.Series(incomplete_gamma_np(a.to_numpy(float), b.to_numpy(float), s.to_numpy(float)))
 
-    return f(start.cast("double"), end.cast("double"), s.cast("double"))
+    return f(start.cast("double"), end.cast("double"), (s if isinstance(s, Column) else F.lit(s)).cast("double"))
