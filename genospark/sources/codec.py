@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genospark.model import DOSAGE, INDIV, SNP
@@ -84,15 +84,23 @@ def unpacked(packed: DataFrame, n: int, coding: str) -> DataFrame:
     return packed.select(F.col(SNP).cast("bigint").alias(SNP), "codes").mapInArrow(run, f"{SNP} bigint, {INDIV} bigint, {DOSAGE} int")
 
 
-def popcount_freq(packed: DataFrame, n: int) -> DataFrame:
-    """(snp_idx, freq) from plink bytes without missing dosages: bits that are set, over 2n."""
-    return packed.select(SNP, (F.length(F.regexp_replace(bits_of(F.col("codes")), "0", "")) / F.lit(2 * n)).alias("freq"))
+def popcount_freq(codes: DataFrame, n: int) -> DataFrame:
+    """(snp_idx, freq) from plink bytes (snp_idx, byte_idx, code) without missing dosages: bits that are set, over 2n."""
+    return codes.groupBy(SNP).agg((F.sum(F.bit_count("code")) / F.lit(2 * n)).alias("freq"))
 
 
-def bits_of(codes: Column) -> Column:
-    """The bits of a binary as text."""
-    digits = F.split(F.hex(codes), "")
-    return F.array_join(F.transform(digits, lambda d: F.conv(d, 16, 2)), "")
+def transformed(data: DataFrame, source: str, target: str, individuals: int, snps: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
+    """data of one coding (tidy, haplotype, 2bit, plink, 5codes) in another, of the SNPs and individuals picked, in their
+    order. Codes of bytes hold `individuals` each. Haplotypes can become genotypes, not the other way round."""
+    from genospark.operators.select import haplo_to_geno, selected_haplo
+
+    if target == "haplotype":
+        if source != "haplotype":
+            raise ValueError("genotypes do not say which haplotype an allele is on")
+        return selected_haplo(data, snps, picks)
+    geno = haplo_to_geno(data) if source == "haplotype" else data if source == "tidy" else unpacked(data, individuals, source)
+    chosen = recoded(geno, snps, picks)
+    return chosen if target == "tidy" else packed(chosen, target)
 
 
 def recoded(geno: DataFrame, snps: DataFrame | None = None, individuals: DataFrame | None = None) -> DataFrame:

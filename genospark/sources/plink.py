@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from genospark.model import DOSAGE, INDIV, SNP
+from genospark.sources.files import opened, size_of, write_at, write_whole
 
 #: Fixed value: the first bytes of a SNP-major bed file.
 MAGIC = b"\x6c\x1b\x01"
@@ -36,11 +36,11 @@ class BedReader(DataSourceReader):
         self.width = -(-self.n // 4)
 
     def partitions(self) -> list[Range]:
-        size = os.path.getsize(self.path)
+        size = size_of(self.path)
         if self.coding == "plink" and self.header == 3:
             if not self.path.endswith(".bed"):
                 raise ValueError("the file's name must end in .bed")
-            with open(self.path, "rb") as f:
+            with opened(self.path) as f:
                 if f.read(3) != MAGIC:
                     raise ValueError("not a SNP-major bed file")
         if size != self.header + self.snps * self.width:
@@ -51,7 +51,7 @@ class BedReader(DataSourceReader):
         codes = [0, -1, 1, 2] if self.coding == "plink" else [0, 1, 2, -1]
         table = np.array([[codes[b >> 2 * k & 3] for k in range(4)] for b in range(256)], np.int8)
         step = max(1, (1 << 20) // max(1, self.n))
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             f.seek(self.header + part.start * self.width)
             for a in range(part.start, part.stop, step):
                 k = min(step, part.stop - a)
@@ -74,16 +74,13 @@ class BedSource(DataSource):
 
 
 def count_lines(path: str) -> int:
-    with open(path, "rb") as f:
+    with opened(path) as f:
         return sum(block.count(b"\n") for block in iter(lambda: f.read(1 << 20), b""))
 
 
 def read_bed(spark: SparkSession, path: str, missing: str = "keep") -> DataFrame:
     """geno of a fileset: .bim and .fam beside the .bed give its dimensions. missing: "keep" or "error"."""
     stem = path.removesuffix(".bed")
-    for suffix in (".bim", ".fam"):
-        if not os.path.exists(stem + suffix):
-            raise FileNotFoundError(stem + suffix)
     spark.dataSource.register(BedSource)
     geno = spark.read.format("plink_bed").options(individuals=count_lines(stem + ".fam"), snps=count_lines(stem + ".bim")).load(path)
     if missing == "error":
@@ -113,24 +110,19 @@ def with_threes(geno: DataFrame) -> DataFrame:
 
 
 def write_bed(geno: DataFrame, stem: str, individuals: int, snps: int) -> None:
-    """A fileset. SNPs come to the writer in order, a partition at a time; the file is written by the driver."""
+    """A fileset. Each task writes its SNPs at their places in the file, where the path is mounted everywhere; see
+    files. SNPs and individuals must be complete."""
     from genospark.sources.codec import packed
 
-    rows = packed(geno, "plink").orderBy(SNP)
-    seen = 0
-    with open(stem + ".bed", "wb") as f:
-        f.write(MAGIC)
-        for row in rows.toLocalIterator():
-            if row[SNP] != seen or len(row["codes"]) != -(-individuals // 4):
-                raise ValueError(f"SNP {seen} is not complete")
-            f.write(row["codes"])
-            seen += 1
-    if seen != snps:
-        raise ValueError(f"{seen} SNPs, not {snps}")
-    with open(stem + ".bim", "w") as f:
-        f.writelines(f"1\tsnp{k}\t0\t{k + 1}\tA\tC\n" for k in range(snps))
-    with open(stem + ".fam", "w") as f:
-        f.writelines(f"fam{k} ind{k} 0 0 0 -9\n" for k in range(individuals))
+    spark, width = geno.sparkSession, -(-individuals // 4)
+    whole = (F.length("codes") == width) & F.col(SNP).between(0, snps - 1)
+    codes = F.when(whole, F.col("codes")).otherwise(F.raise_error(F.concat(F.lit("not complete: SNP "), F.col(SNP).cast("string"))).cast("binary"))
+    rows = packed(geno, "plink").select((F.col(SNP) * width + len(MAGIC)).alias("at"), codes.alias("data"))
+    n = write_at(rows, stem + ".bed", len(MAGIC) + snps * width, MAGIC)
+    if n != snps * width:
+        raise ValueError(f"{n // width} SNPs, not {snps}")
+    write_whole(spark, stem + ".bim", "".join(f"1\tsnp{k}\t0\t{k + 1}\tA\tC\n" for k in range(snps)).encode())
+    write_whole(spark, stem + ".fam", "".join(f"fam{k} ind{k} 0 0 0 -9\n" for k in range(individuals)).encode())
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
@@ -168,15 +160,19 @@ def parsed_lines(lines: DataFrame, codes: str = "012", na: str = "9", leading: i
     return cell.select(F.col("a").alias(first), F.col("b").alias(second), F.col("x").alias(DOSAGE)).select(SNP, INDIV, DOSAGE)
 
 
-def read_text(spark: SparkSession, path: str, header: int = 0, **layout) -> DataFrame:
-    """geno of a text file; see parsed_lines(). Lines are numbered by file offset order within one file."""
-    lines = spark.read.text(path).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id())
-    sizes = lines.groupBy("__p").agg(F.count("*").alias("n"), F.min("__k").alias("first"))
-    from pyspark.sql import Window
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_idx, value) of the text files of a path, from 0, in order of their names and of place within."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__k"))
+    sizes = lines.groupBy("__f", "__b").agg(F.count("*").alias("n"), F.min("__k").alias("first"))
+    upto = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of a file
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    return lines.join(F.broadcast(starts), ["__f", "__b"]).select((F.col("start") + F.col("__k") - F.col("first")).alias("line_idx"), "value")
+
 
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = lines.join(F.broadcast(starts), "__p").select((F.col("start") + F.col("__k") - F.col("first") - header).alias("line_idx"), "value")
-    return parsed_lines(numbered.filter("line_idx >= 0"), **layout)
+def read_text(spark: SparkSession, path: str, header: int = 0, **layout) -> DataFrame:
+    """geno of a text file, whose first `header` lines are left out; see parsed_lines()."""
+    lines = numbered_lines(spark, path).withColumn("line_idx", F.col("line_idx") - header)
+    return parsed_lines(lines.filter("line_idx >= 0"), **layout)
 
 
 def file_product(spark: SparkSession, path: str, x: DataFrame, transposed: bool = False) -> DataFrame:
@@ -191,3 +187,38 @@ def write_matrix(m: DataFrame, path: str) -> None:
     rows = m.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c"))
     line = F.array_join(F.transform("c", lambda x: x["v"].cast("string")), "\t")
     rows.orderBy("i").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_raw(m: DataFrame, path: str, rows: int, columns: int) -> None:
+    """(i, j, v) as raw little-endian doubles, column by column; absent cells are 0."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (batch.column("j").to_numpy() * rows + batch.column("i").to_numpy()) * 8
+            order = np.argsort(at, kind="stable")
+            at, v = at[order], batch.column("v").to_numpy()[order].astype("<f8")
+            cuts = [0, *(np.flatnonzero(np.diff(at) != 8) + 1).tolist(), len(at)]
+            parts = [v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]] if len(at) else at), pa.array(parts, pa.binary())], names=["at", "data"])
+
+    cells = m.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    dealt = cells.repartitionByRange("j", "i").sortWithinPartitions("j", "i")
+    write_at(dealt.mapInArrow(pack, "at bigint, data binary"), path, rows * columns * 8)
+
+
+def read_raw(spark: SparkSession, path: str, rows: int, columns: int) -> DataFrame:
+    """(i, j, v) of a file of raw doubles, column by column; executors read ranges of columns."""
+    if size_of(path) != rows * columns * 8:
+        raise ValueError(f"{size_of(path)} bytes do not hold {rows} x {columns}")
+    step = max(1, (1 << 17) // max(1, rows))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with opened(path) as f:
+            for batch in batches:
+                for start in batch.column("id").to_pylist():
+                    k = min(step, columns - start)
+                    f.seek(start * rows * 8)
+                    v = np.frombuffer(f.read(k * rows * 8), "<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(rows), k)), pa.array(np.repeat(np.arange(start, start + k), rows)), pa.array(v)], names=["i", "j", "v"])
+
+    return spark.range(0, columns, step).mapInArrow(read, "i bigint, j bigint, v double")
