@@ -6,8 +6,6 @@ quantities' sum. Dense matrices are the embeddings.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +15,9 @@ from genospark import model
 from genospark.functions import scalar
 from genospark.model import DOSAGE, INDIV, SNP
 from genospark.operators import products, select, sim, solve, stats
-from genospark.plans.tables import written
-from genospark.sources import codec, plink
+from genospark.plans.sqltext import eliminated, leading_vectors
+from genospark.plans.tables import fresh_path, written
+from genospark.sources import codec, files, plink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,12 +67,27 @@ def b_matrix(spark: SparkSession, n: int, columns: int = 10) -> DataFrame:
     return spark.range(n * columns).select(F.expr(f"id div {columns}").alias("idx"), F.expr(f"id % {columns} + 1").alias("col")).withColumn("v", -(10 * F.col("idx") + F.col("col")))
 
 
-def spd(spark: SparkSession, n: int = 24) -> DataFrame:
-    return spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j")).withColumn("v", F.exp(-F.abs(F.col("i") - F.col("j")) / F.lit(float(n))))
+def gram(spark: SparkSession, sf: str) -> DataFrame:
+    """A positive definite matrix of 64 rows: the crossproduct of all embeddings and a ridge."""
+    m = dense(spark, sf)
+    return written(products.matmul(m, m, ta=True).withColumn("v", F.col("v") / 10000 + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)), "gram")
+
+
+def line(spark: SparkSession, n: int, value) -> DataFrame:
+    """(i, v) with v = value(i) as a double."""
+    return spark.range(n).select(F.col("id").alias("i"), value(F.col("id")).cast("double").alias("v"))
+
+
+def column(x: DataFrame) -> DataFrame:
+    return x.select("i", F.lit(0).cast("bigint").alias("j"), "v")
 
 
-def temporary(name: str) -> str:
-    return os.path.join(tempfile.mkdtemp(prefix="genospark-"), name)
+def big_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """A dosage for each part (SNP) and supplier (individual): it grows with the product of both tables."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias(SNP), "p_size")
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias(INDIV), "s_nationkey")
+    dosage = (F.col(SNP) * 7 + F.col("p_size") * F.col(INDIV) + F.col("s_nationkey")) % 3
+    return parts.join(F.broadcast(suppliers)).select(SNP, INDIV, dosage.cast("int").alias(DOSAGE))  # suppliers: 10,000 a scale factor
 
 
 def _g(snps: int = 64, individuals: int = 50) -> str:
@@ -90,6 +104,10 @@ FULL = G + ", cells AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(64) a(s),
 H = G + ", h AS (SELECT snp_idx, indiv_idx, k AS hap, CASE WHEN dosage >= k + 1 THEN 1 ELSE 0 END AS allele FROM g, range(2) r(k))"
 D = "WITH d AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS j, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 100) AS BIGINT) AS v FROM embeddings)"
 F_ = "f AS (SELECT snp_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(dosage)) AS p FROM g GROUP BY 1)"
+DR = D.replace("WITH", "WITH RECURSIVE", 1)
+GR = G.replace("WITH", "WITH RECURSIVE", 1)
+GRAM = ", a AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) / 10000 + CASE WHEN x.j = y.j THEN 1 ELSE 0 END AS v FROM d x JOIN d y ON x.i = y.i GROUP BY 1, 2)"
+ONES = ", b AS (SELECT i, 0 AS j, 1.0 AS v FROM range(64) t(i))"
 BS = "b AS (SELECT i AS idx, c + 1 AS col, -(10 * i + c + 1) AS v FROM range({n}) a(i), range(10) t(c))"
 
 
@@ -104,7 +122,7 @@ def allele_freq(spark, sf):
 @query(FULL + " SELECT snp_idx, CAST(SUM(coalesce(dosage, 0)) AS DOUBLE) / 100 AS freq FROM full_g GROUP BY 1")
 def freq_popcount(spark, sf):
     geno = model.settled(full_panel(spark, sf), "zero")
-    return codec.popcount_freq(codec.packed(geno, "plink"), 50)
+    return codec.popcount_freq(codec.packed_bytes(geno, "plink"), 50)
 
 
 @query(G + " SELECT snp_idx, CAST(SUM(dosage) AS BIGINT) AS allele_sum FROM g GROUP BY 1")
@@ -144,7 +162,25 @@ def col_maxs(spark, sf):
 
 @query(D + " SELECT i, CAST(sum(v * (j + 1)) AS DOUBLE) / 64 AS v FROM d GROUP BY 1")
 def row_means(spark, sf):
-    return stats.row_means(dense(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("w")))
+    return stats.row_means(dense(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("w")), 64)
+
+
+@query(D + " SELECT i, CAST(sum(v) AS DOUBLE) / 64 AS mean, CASE WHEN count(*) = 64 THEN round(product(1 + v / 1000.0), 6) ELSE 0 END AS prod FROM d WHERE (i + j) % 5 <> 0 OR i % 2 = 0 GROUP BY 1")
+def sparse_rows(spark, sf):
+    """Half of the rows lack cells: they count as 0."""
+    m = dense(spark, sf).filter("(i + j) % 5 <> 0 OR i % 2 = 0")
+    means = stats.row_means(m, columns=64).withColumnRenamed("v", "mean")
+    return means.join(stats.row_prod(m.withColumn("v", 1 + F.col("v") / 1000), 64).select("i", F.round("v", 6).alias("prod")), "i")
+
+
+@query(G + ", s AS (SELECT sum(dosage) AS s, count(*) AS n FROM g GROUP BY indiv_idx) SELECT round(sum(s / (2 * n)), 6) AS sum_freq, round(sum(2 * (s / (2 * n)) * (1 - s / (2 * n))), 6) AS sigma2, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * s) AS BIGINT) AS sq_total FROM s")
+def derived_by_individual(spark, sf):
+    return stats.derived_by_individual(panel(spark, sf)).select(F.round("sum_freq", 6).alias("sum_freq"), F.round("sigma2", 6).alias("sigma2"), "total", "sq_total")
+
+
+@query(G + ", f AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(*)) AS p FROM g GROUP BY 1) SELECT snp_idx, round(sum(p * dosage), 6) AS v FROM g JOIN f USING (indiv_idx) GROUP BY 1")
+def pseudo_freq_times_geno(spark, sf):
+    return stats.pseudo_freq_times_geno(panel(spark, sf)).select(SNP, F.round("v", 6).alias("v"))
 
 
 @query(D + " SELECT i, round(product(1 + v / 1000.0), 6) AS v FROM d GROUP BY 1")
@@ -213,6 +249,16 @@ def haplo_layout(spark, sf):
     return select.haplo_layout(haplos(spark, sf), "snp_rows_doubled")
 
 
+@query(H + " SELECT indiv_idx AS i, snp_idx * 2 + hap AS j, allele AS v FROM h")
+def haplo_layout_columns(spark, sf):
+    return select.haplo_layout(haplos(spark, sf), "indiv_columns_doubled")
+
+
+@query(H + " SELECT snp_idx AS i, indiv_idx * 2 + hap AS j, allele AS v FROM h")
+def haplo_layout_rows(spark, sf):
+    return select.haplo_layout(haplos(spark, sf), "snp_rows")
+
+
 @query(H + " SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, allele FROM h")
 def haplo_layout_back(spark, sf):
     return select.haplo_from_layout(select.haplo_layout(haplos(spark, sf), "indiv_rows"), "indiv_rows")
@@ -223,6 +269,23 @@ def subtract_centre(spark, sf):
     return select.centred(panel(spark, sf), spark.range(64).select(F.col("id").alias(SNP), (F.col("id") / 64).alias("centre")))
 
 
+@query(G + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / count(dosage) AS centre FROM g GROUP BY 1")
+def centre_of_rows(spark, sf):
+    return select.centre_of(panel(spark, sf))
+
+
+@query(G + " SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / count(*) AS centre FROM g GROUP BY 1")
+def centre_of_columns(spark, sf):
+    return select.centre_of(panel(spark, sf), "column")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 64 + 1 AS INT) AS generation, CAST(o_orderkey % 2 + 1 AS INT) AS sex, CAST(o_custkey % 4194304 + 1 AS INT) AS nr, CAST(o_custkey % 8 + 1 AS INT) AS haplo FROM orders")
+def origin_parts(spark, sf):
+    o = table(spark, sf, "orders")
+    parts = select.origin_parts(select.origin_code(generation=F.col("o_orderkey") % 64 + 1, sex=F.col("o_orderkey") % 2 + 1, nr=F.col("o_custkey") % 4194304 + 1, haplo=F.col("o_custkey") % 8 + 1))
+    return o.select("o_orderkey", *[parts[k].alias(k) for k in ("generation", "sex", "nr", "haplo")])
+
+
 @query("SELECT o_orderkey, ((o_orderkey % 64) << 26) + ((o_orderkey % 2) << 25) + ((o_custkey % 4194304) << 3) + o_custkey % 8 AS code, CAST(o_orderkey % 64 + 1 AS INT) AS generation, CAST(o_custkey % 4194304 + 1 AS INT) AS nr FROM orders")
 def origin_codes(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -234,8 +297,15 @@ def origin_codes(spark, sf):
 
 @query("WITH s AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders) SELECT x FROM s ORDER BY x NULLS FIRST LIMIT 500 OFFSET 2000")
 def sort_x(spark, sf):
-    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"))
-    return select.sorted_slice(o, "x", 2001, 2500, nulls_last=False)
+    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"), "o_orderkey")
+    return select.sorted_slice(o, "x", 2001, 2500, nulls_last=False, index="o_orderkey").select("x")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS x FROM orders ORDER BY x, o_orderkey LIMIT 300 OFFSET 99")
+def sort_ties(spark, sf):
+    """Five values in all: the index parts them."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("x"))
+    return select.sorted_slice(o, "x", 100, 399, index="o_orderkey")
 
 
 @query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place, c_custkey AS index FROM customer")
@@ -304,7 +374,12 @@ def crossprod(spark, sf):
 
 @query(G + " SELECT a.snp_idx AS i, b.snp_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2")
 def crossprod_snps_blocked(spark, sf):
-    return products.crossprod(panel(spark, sf), INDIV, "blocked", width=32)
+    return products.crossprod(panel(spark, sf), INDIV, "blocked", depth=8, width=32)
+
+
+@query(G + " SELECT a.indiv_idx AS i, b.indiv_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2")
+def crossprod_joined(spark, sf):
+    return products.crossprod(panel(spark, sf), method="join")
 
 
 _M = ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, CAST(SUM(a.dosage * b.dosage) AS BIGINT) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2), r AS (SELECT i, CAST(SUM(v) AS BIGINT) AS s FROM m GROUP BY 1), t AS (SELECT CAST(SUM(v) AS BIGINT) AS tot, COUNT(DISTINCT i) AS n FROM m)"
@@ -353,14 +428,22 @@ def crossprod_int(spark, sf):
 @query(D + " SELECT a.j AS i, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM d a JOIN d b ON a.i = b.i AND b.j = (a.j + 1) % 64 GROUP BY 1")
 def scalar_products(spark, sf):
     m = dense(spark, sf)
-    y = m.select("i", F.pmod(F.col("j") - 1, F.lit(64)).alias("j"), F.col("v").alias("y"))
-    return m.join(y, ["i", "j"]).groupBy(F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("y")).alias("v"))
+    y = m.select("i", F.pmod(F.col("j") - 1, F.lit(64)).alias("j"), "v")
+    return products.dots(m, y).withColumnRenamed("j", "i")
 
 
-@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a")
+@query(D + " SELECT CAST(coalesce(sum(a.v * b.v), 0) AS BIGINT) AS v FROM d a JOIN d b ON a.i = b.i AND a.j = 3 AND b.j = 5")
+def scalar_product(spark, sf):
+    m = dense(spark, sf)
+    x, y = (m.filter(F.col("j") == k).select("i", "v") for k in (3, 5))
+    return products.dot(x, y)
+
+
+@query(D + ", a AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY 1, 2) SELECT CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a")
 def quadratic_form(spark, sf):
     x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
-    return products.quadratic(x, dense(spark, sf).filter("i < 64"))
+    m = dense(spark, sf)
+    return products.quadratic(x, written(products.matmul(m, m, ta=True)))
 
 
 @query(D + " SELECT i, j, v * (i + 2) AS v FROM d")
@@ -374,36 +457,102 @@ def div_by_row(spark, sf):
     return products.divided_columns(dense(spark, sf), spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).alias("v")))
 
 
-@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.j = y.j GROUP BY 1, 2")
+@query(D + " SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM d x JOIN d y ON x.j = y.j GROUP BY 1, 2")
 def matmul_transposed(spark, sf):
-    m = dense(spark, sf).filter("i < 64")
+    m = dense(spark, sf)
     return products.matmul(m, m, tb=True)
 
 
-@query(D + ", a AS (SELECT * FROM d WHERE i < 64) SELECT i, CAST(sum(v * (j - 7)) AS BIGINT) AS v FROM a GROUP BY 1")
+@query(D + " SELECT i, CAST(sum(v * (j - 7)) AS BIGINT) AS v FROM d GROUP BY 1")
 def matrix_vector(spark, sf):
-    return products.matvec(dense(spark, sf).filter("i < 64"), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
+    return products.matvec(dense(spark, sf), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
 
 
-# The three above and coo_file take the first 64 vectors, as their SQL does; these take the whole table.
+_XX = ", a AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM d x JOIN d y ON x.i = y.i GROUP BY 1, 2)"
 
 
-@query(D + ", a AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM d a JOIN d b ON a.i = b.i GROUP BY 1, 2) SELECT CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a")
-def quadratic_form_all(spark, sf):
-    x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+@query(D + _XX + " SELECT i % 5 AS i, j % 5 AS j, CAST(sum((i + 1) * v * (j + 1)) AS BIGINT) AS v FROM a GROUP BY 1, 2")
+def sandwich(spark, sf):
     m = dense(spark, sf)
-    return products.quadratic(x, products.matmul(m, m, ta=True))
+    c = spark.range(64).select((F.col("id") % 5).alias("i"), F.col("id").alias("j"), (F.col("id") + 1).alias("v"))
+    return products.sandwich(c, written(products.matmul(m, m, ta=True)))
 
 
-@query(D + " SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM d x JOIN d y ON x.j = y.j GROUP BY 1, 2")
-def matmul_transposed_all(spark, sf):
-    m = dense(spark, sf)
-    return products.matmul(m, m, tb=True)
+@query(D + _XX + " SELECT CAST(sum((i + 1) * v * (j % 7)) AS BIGINT) AS v FROM a")
+def bilinear_form(spark, sf):
+    m, k = dense(spark, sf), F.col("id")
+    x, y = spark.range(64).select(k.alias("i"), (k + 1).alias("v")), spark.range(64).select(k.alias("i"), (k % 7).alias("v"))
+    return products.bilinear(x, written(products.matmul(m, m, ta=True)), y)
 
 
-@query(D + " SELECT i, CAST(sum(v * (j - 7)) AS BIGINT) AS v FROM d GROUP BY 1")
-def matrix_vector_all(spark, sf):
-    return products.matvec(dense(spark, sf), spark.range(64).select(F.col("id").alias("i"), (F.col("id") - 7).alias("v")))
+@query(D + ", w AS (SELECT k % 64 AS i, k // 64 AS j, k % 11 AS v FROM range(320) t(k)) SELECT w.j AS i, d.i AS j, CAST(sum(w.v * d.v) AS BIGINT) AS v FROM w JOIN d ON w.i = d.j GROUP BY 1, 2")
+def matmul_both_transposed(spark, sf):
+    k = F.col("id")
+    w = spark.range(320).select((k % 64).alias("i"), F.expr("id div 64").alias("j"), (k % 11).alias("v"))
+    return products.matmul(w, dense(spark, sf), ta=True, tb=True)
+
+
+_COL = "c AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / count(*) AS c FROM g GROUP BY 1)"
+
+
+@query(G + ", " + _COL + ", " + BS.format(n=64) + " SELECT idx, col, round(v - c * t, 4) AS v FROM (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(v) AS t FROM b GROUP BY 1) USING (col) JOIN c ON idx = indiv_idx")
+def product_column_centred(spark, sf):
+    return _rounded(products.geno_product(panel(spark, sf), b_matrix(spark, 64), False, centring="column"))
+
+
+@query(G + ", " + _COL + ", " + BS.format(n=50) + " SELECT idx, col, round(v - t, 4) AS v FROM (SELECT snp_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON indiv_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(c * v) AS t FROM b JOIN c ON indiv_idx = idx GROUP BY 1) USING (col)")
+def product_column_centred_transposed(spark, sf):
+    return _rounded(products.geno_product(panel(spark, sf), b_matrix(spark, 50), True, centring="column"))
+
+
+@query(G + ", " + F_ + ", " + BS.format(n=64) + ", s AS (SELECT sqrt(sum(2 * p * (1 - p))) AS s FROM f) SELECT idx, col, round(v / s, 4) AS v FROM (SELECT idx, col, v - 2 * t AS v FROM (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(p * v) AS t FROM b JOIN f ON snp_idx = idx GROUP BY 1) USING (col)), s")
+def product_normalised(spark, sf):
+    with model.GenotypeMatrix(panel(spark, sf), model.Options(normalize="global")) as m:
+        return _rounded(m.multiply(b_matrix(spark, 64), "N"))
+
+
+@query(G + ", v AS (SELECT k % 64 AS idx, k // 64 AS col, k % 13 AS v FROM range(192) t(k)) SELECT indiv_idx AS idx, col, CAST(sum(dosage * v) AS BIGINT) AS v FROM g JOIN v ON snp_idx = idx GROUP BY 1, 2")
+def product_of_a_long_vector(spark, sf):
+    v = spark.range(192).select(F.col("id").alias("pos"), (F.col("id") % 13).alias("v"))
+    return products.geno_product(panel(spark, sf), products.checked_length(v, 64), False, center=False)
+
+
+@query(G + ", a AS (SELECT l_suppkey % 10 AS row, l_partkey % 64 AS col, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2) SELECT row, indiv_idx AS idx, CAST(sum(v * dosage) AS BIGINT) AS v FROM a JOIN g ON col = snp_idx GROUP BY 1, 2")
+def sparse_times_transposed(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("row"), (F.col("l_partkey") % 64).alias("col"), F.round(F.col("l_discount") * 100).cast("bigint").alias("v"))
+    return products.sparse_product(rows.groupBy("row", "col").agg(F.sum("v").alias("v")), panel(spark, sf), transposed=True)
+
+
+@query(G + _M + ", " + F_ + ", c AS (SELECT SUM(2 * p * (1 - p)) AS c FROM f) SELECT m.i, m.j, round(CAST(n * n * v - n * (ri.s + rj.s) + tot AS DOUBLE) / (n * n) / c, 6) AS v FROM m JOIN r ri ON m.i = ri.i JOIN r rj ON m.j = rj.i CROSS JOIN t CROSS JOIN c")
+def crossprod_global(spark, sf):
+    with model.GenotypeMatrix(panel(spark, sf), model.Options(normalize="global")) as m:
+        return _rounded(m.crossprod(), 6)
+
+
+@query(G + _M + " SELECT i, j, CAST(v * v AS DOUBLE) AS v FROM m")
+def crossprod_squared(spark, sf):
+    return products.centred_crossprod(panel(spark, sf), centring="none", squared=True)
+
+
+@query(G + ", m AS (SELECT a.snp_idx AS i, b.snp_idx AS j, SUM(a.dosage * b.dosage) AS v FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2) SELECT i, CAST(sum(v * (j + 1)) AS BIGINT) AS v FROM m GROUP BY 1")
+def cross_matrix_vector(spark, sf):
+    x = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+    return products.relationship_vector(panel(spark, sf), x, INDIV)
+
+
+@query(G + _M + " SELECT 0.0::DOUBLE AS most, max(v)::DOUBLE AS size FROM (SELECT m.i, abs(sum(m.v * (m.j + 1))) AS v FROM m GROUP BY 1)")
+def rel_matrix_agreement(spark, sf):
+    x = spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
+    return products.relationship_agreement(panel(spark, sf), x)
+
+
+_BIG = "WITH g AS (SELECT p_partkey AS snp_idx, s_suppkey AS indiv_idx, CAST((p_partkey * 7 + p_size * s_suppkey + s_nationkey) % 3 AS INT) AS dosage FROM part, supplier)"
+
+
+@query(_BIG + _M.split(", r AS")[0] + " SELECT * FROM m")
+def crossprod_parts_suppliers(spark, sf):
+    """Over all parts for all pairs of suppliers: 2 * 10^7 cells at a scale factor of 0.1."""
+    return products.crossprod(big_panel(spark, sf))
 
 
 # Byte formats and files
@@ -447,6 +596,31 @@ def convert_plink_2bit(spark, sf):
     return codec.unpacked(codec.converted(plain, "plink", "2bit"), 50, "2bit")
 
 
+@query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
+def convert_2bit_plink(spark, sf):
+    plain = codec.packed(model.settled(full_panel(spark, sf), "zero"), "2bit")
+    return codec.unpacked(codec.converted(plain, "2bit", "plink"), 50, "plink")
+
+
+@query(FULL + " SELECT indiv_idx AS snp_idx, snp_idx // 4 AS byte_idx, CAST(sum(CASE dosage WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END * CAST(4 ** (snp_idx % 4) AS INT)) AS INT) AS code FROM full_g GROUP BY 1, 2")
+def pack_plink_transposed(spark, sf):
+    return codec.packed_bytes(select.transposed(full_panel(spark, sf)), "plink")
+
+
+@query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
+def transform_codings(spark, sf):
+    """From one coding to the next, through all of them."""
+    data, before = model.settled(full_panel(spark, sf), "zero"), "tidy"
+    for coding in ("2bit", "5codes", "plink", "2bit", "plink", "5codes", "tidy"):
+        data, before = codec.transformed(data, before, coding, 50), coding
+    return data
+
+
+@query(G + " SELECT CASE snp_idx WHEN 9 THEN 0 ELSE 1 END AS snp_idx, indiv_idx, dosage FROM g WHERE snp_idx IN (9, 4)")
+def transform_haplotypes(spark, sf):
+    return codec.transformed(haplos(spark, sf), "haplotype", "tidy", 50, snps=select.index_list(spark, [9, 4], "idx"))
+
+
 @query(G + " SELECT CAST(0 AS BIGINT) AS snp_idx, indiv_idx, dosage FROM g WHERE snp_idx = 2")
 def transform_selection(spark, sf):
     return codec.recoded(panel(spark, sf), select.index_list(spark, [2], "idx"))
@@ -459,71 +633,112 @@ def create_zero(spark, sf):
 
 @query("WITH " + _g(53, 47) + ", c AS (SELECT s AS snp_idx, i AS indiv_idx FROM range(53) a(s), range(47) b(i)) SELECT c.snp_idx, c.indiv_idx, dosage FROM c LEFT JOIN g USING (snp_idx, indiv_idx)")
 def bed_round_trip(spark, sf):
-    stem = temporary("panel")
+    stem = fresh_path(spark, "panel")
     plink.write_bed(full_panel(spark, sf, 53, 47), stem, 47, 53)
     return plink.read_bed(spark, stem + ".bed")
 
 
+@query("SELECT '1' AS chr, 'snp' || s AS snp_id, CAST(0 AS DOUBLE) AS cm, s + 1 AS bp, 'A' AS a1, 'C' AS a2 FROM range(64) t(s)")
+def bim_file(spark, sf):
+    stem = fresh_path(spark, "panel")
+    plink.write_bed(full_panel(spark, sf), stem, 50, 64)
+    return plink.read_bim(spark, stem + ".bim")
+
+
+@query("SELECT 'fam' || i AS fam_id, 'ind' || i AS iid, '0' AS father, '0' AS mother, CAST(0 AS INT) AS sex, CAST(-9 AS DOUBLE) AS pheno FROM range(50) t(i)")
+def fam_file(spark, sf):
+    stem = fresh_path(spark, "panel")
+    plink.write_bed(full_panel(spark, sf), stem, 50, 64)
+    return plink.read_fam(spark, stem + ".fam")
+
+
 @query(FULL + ", f AS (SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(dosage)) AS p FROM full_g GROUP BY 1) SELECT snp_idx, indiv_idx, CASE WHEN dosage IS NULL THEN 3.0 WHEN p >= 0.5 THEN 2.0 - dosage ELSE CAST(dosage AS DOUBLE) END AS v FROM full_g JOIN f USING (snp_idx)")
 def bed_as_doubles(spark, sf):
-    stem = temporary("panel")
+    stem = fresh_path(spark, "panel")
     plink.write_bed(full_panel(spark, sf), stem, 50, 64)
     out = plink.with_threes(plink.minor_recoded(plink.read_bed(spark, stem + ".bed")))
     return out.withColumn("v", F.col("v").cast("double"))
 
 
+def _lines(spark, sf, key: str, other: str, letters: str, head: str = "") -> DataFrame:
+    lines = settled_panel(spark, sf).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(other, DOSAGE))).alias("c"))
+    return lines.select(F.col(key).alias("line_idx"), F.concat(F.lit(head), F.array_join(F.transform("c", lambda x: F.substring(F.lit(letters), x["dosage"] + 1, F.lit(1))), " ")).alias("value"))
+
+
 @query(_settled() + " SELECT snp_idx, indiv_idx, dosage FROM g")
 def text_genotypes(spark, sf):
+    return plink.parsed_lines(_lines(spark, sf, SNP, INDIV, "ABC", "snp 7 "), codes="ABC", na="-", leading=2, sep=" ")
+
+
+@query(_settled() + " SELECT snp_idx, indiv_idx, dosage FROM g")
+def text_file(spark, sf):
+    """A line for each individual, below two header lines."""
+    path = fresh_path(spark, "text")
+    lines = _lines(spark, sf, INDIV, SNP, "012").unionByName(spark.createDataFrame([(-2, "# genotypes"), (-1, "# one line each")], "line_idx bigint, value string"))
+    lines.coalesce(1).sortWithinPartitions("line_idx").select("value").write.text(path)
+    return plink.read_text(spark, path, header=2, sep=" ", by_snp=False)
+
+
+@query(_settled() + " SELECT snp_idx, indiv_idx, dosage FROM g")
+def text_file_doubled(spark, sf):
+    """Two alleles side by side for each dosage."""
+    path = fresh_path(spark, "text")
     lines = settled_panel(spark, sf).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct(INDIV, DOSAGE))).alias("c"))
-    text = F.concat(F.lit("snp 7 "), F.array_join(F.transform("c", lambda x: F.substring(F.lit("ABC"), x["dosage"] + 1, F.lit(1))), " "))
-    parsed = plink.parsed_lines(lines.select(F.col(SNP).alias("line_idx"), text.alias("value")), codes="ABC", na="-", leading=2, sep=" ")
-    return parsed
+    text = F.array_join(F.transform("c", lambda x: F.element_at(F.array(F.lit("00"), F.lit("10"), F.lit("11")), x["dosage"] + 1)), "")
+    lines.coalesce(1).sortWithinPartitions(SNP).select(text.alias("value")).write.text(path)
+    return plink.read_text(spark, path, doubled=True)
 
 
 @query(FULL + " SELECT snp_idx, indiv_idx, coalesce(dosage, 0) AS dosage FROM full_g")
 def binary_file(spark, sf):
-    path = temporary("panel.bin")
-    rows = codec.packed(model.settled(full_panel(spark, sf), "zero"), "2bit").orderBy(SNP)
-    with open(path, "wb") as f:
-        f.write(b"header..")
-        for row in rows.toLocalIterator():
-            f.write(row["codes"])
+    path = fresh_path(spark, "panel")
+    rows = codec.packed(model.settled(full_panel(spark, sf), "zero"), "2bit").select((F.col(SNP) * 13 + 8).alias("at"), F.col("codes").alias("data"))
+    files.write_at(rows, path, 8 + 64 * 13, b"header..")
     return plink.read_binary(spark, path, 64, 50, header=8)
 
 
 @query(FULL + " SELECT indiv_idx AS i, CAST(sum(coalesce(dosage, 0) * (snp_idx + 1)) AS BIGINT) AS v FROM full_g GROUP BY 1")
 def file_dot(spark, sf):
-    stem = temporary("panel")
+    stem = fresh_path(spark, "panel")
     plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
     return plink.file_product(spark, stem + ".bed", spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")))
 
 
 @query(FULL + " SELECT snp_idx AS i, CAST(sum(coalesce(dosage, 0) * (indiv_idx + 1)) AS BIGINT) AS v FROM full_g GROUP BY 1")
 def dot_file(spark, sf):
-    stem = temporary("panel")
+    stem = fresh_path(spark, "panel")
     plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
     return plink.file_product(spark, stem + ".bed", spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), transposed=True)
 
 
 @query(D + " SELECT sum(v) AS total, count(*) AS n FROM d")
 def matrix_file(spark, sf):
-    path = temporary("matrix")
-    plink.write_matrix(dense(spark, sf), "file://" + path)
-    cells = spark.read.text("file://" + path).select(F.explode(F.split("value", "\t")).alias("v"))
+    path = fresh_path(spark, "matrix")
+    plink.write_matrix(dense(spark, sf), path)
+    cells = spark.read.text(path).select(F.explode(F.split("value", "\t")).alias("v"))
     return cells.agg(F.sum(F.col("v").cast("bigint")).alias("total"), F.count("*").alias("n"))
 
 
-@query(D + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM d WHERE v <> 0 AND i < 64")
-def coo_file(spark, sf):
-    path = "file://" + temporary("coo")
-    rows = dense(spark, sf).filter("v <> 0 AND i < 64").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
-    rows.write.text(path)
-    return plink.read_coo(spark, path)
+@query(D + " SELECT i, j, v FROM d")
+def matrix_file_cells(spark, sf):
+    """Written and read back in order: a line is a row."""
+    path = fresh_path(spark, "matrix")
+    plink.write_matrix(dense(spark, sf), path)
+    at = plink.numbered_lines(spark, path).select(F.col("line_idx").alias("i"), F.posexplode(F.split("value", "\t")).alias("j", "v"))
+    return at.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("bigint").alias("v"))
+
+
+@query(D + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM d")
+def raw_matrix_file(spark, sf):
+    """As raw doubles, column by column."""
+    path, n = fresh_path(spark, "matrix"), table(spark, sf, "embeddings").count()
+    plink.write_raw(dense(spark, sf), path, n, 64)
+    return plink.read_raw(spark, path, n, 64)
 
 
 @query(D + " SELECT i, j, CAST(v AS DOUBLE) AS v FROM d WHERE v <> 0")
-def coo_file_all(spark, sf):
-    path = "file://" + temporary("coo")
+def coo_file(spark, sf):
+    path = fresh_path(spark, "coo")
     rows = dense(spark, sf).filter("v <> 0").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
     rows.write.text(path)
     return plink.read_coo(spark, path)
@@ -531,7 +746,7 @@ def coo_file_all(spark, sf):
 
 @query(G + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / 128 AS freq FROM g GROUP BY 1")
 def freq_file(spark, sf):
-    path = "file://" + temporary("freq")
+    path = fresh_path(spark, "freq")
     f = panel(spark, sf).groupBy(SNP).agg((F.sum(DOSAGE) / 128).alias("freq"))
     f.select(F.concat(F.lit("  "), F.concat_ws("   ", F.col(SNP), F.col("freq"))).alias("value")).write.text(path)
     return plink.read_freq(spark, path).withColumnRenamed("snp_ord", SNP)
@@ -565,7 +780,10 @@ def snp_lookup(spark, sf):
     return sim.last_at_or_before(points, _positions(spark), 10.0)
 
 
-@query("WITH " + _POS + ", br AS (SELECT i AS indiv_idx, k AS hap, n AS number, n * (60.0 + i) AS x FROM range(40) a(i), range(2) b(k), range(4) c(n)), seg AS (SELECT a.indiv_idx, a.hap, b.number, a.x AS lo, b.x AS hi FROM br a JOIN br b ON a.indiv_idx = b.indiv_idx AND a.hap = b.hap AND b.number = a.number + 1) SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, CAST(xor((snp_idx * 7 + (number + hap) * 3) % 2, CASE WHEN snp_idx = indiv_idx THEN 1 ELSE 0 END) AS INT) AS allele FROM seg JOIN p ON (pos > lo OR lo <= 0 AND pos >= lo) AND pos <= hi")
+_HAPLOTYPES = _POS + ", br AS (SELECT i AS indiv_idx, k AS hap, n AS number, n * (60.0 + i) AS x FROM range(40) a(i), range(2) b(k), range(4) c(n)), seg AS (SELECT a.indiv_idx, a.hap, b.number, a.x AS lo, b.x AS hi FROM br a JOIN br b ON a.indiv_idx = b.indiv_idx AND a.hap = b.hap AND b.number = a.number + 1), haplotypes AS (SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, CAST(xor((snp_idx * 7 + (number + hap) * 3) % 2, CASE WHEN snp_idx = indiv_idx THEN 1 ELSE 0 END) AS INT) AS allele FROM seg JOIN p ON (pos > lo OR lo <= 0 AND pos >= lo) AND pos <= hi)"
+
+
+@query("WITH " + _HAPLOTYPES + " SELECT * FROM haplotypes")
 def compute_snps(spark, sf):
     breaks = spark.range(40 * 8).select(F.expr("id div 8").alias(INDIV), F.expr("cast(id div 4 % 2 as int)").alias("hap"), F.expr("id % 4").alias("number")).withColumn("x", F.col("number") * (F.lit(60.0) + F.col(INDIV)))
     origins = breaks.filter("number > 0").select(INDIV, "hap", "number", (F.col("number") + F.col("hap")).alias("origin"))
@@ -574,9 +792,22 @@ def compute_snps(spark, sf):
     return sim.haplotypes(breaks, origins, founders, flips, _positions(spark), 10.0)
 
 
-@query()
+@query("SELECT 1 AS n, 1 AS odds_het, 1 AS odds_hom, 1000000 AS snps, 1000000 AS names, true AS bounds, true AS equal")
 def simulation_input(spark, sf):
-    return sim.simulation_input(spark, 1000, 3)
+    """A million SNPs; frequencies are drawn, so their bounds are told."""
+    rows = sim.simulation_input(spark, 1_000_000, 3)
+    out = rows.groupBy("n", "odds_het", "odds_hom").agg(F.count("*").alias("snps"), F.countDistinct("snp_id").alias("names"), ((F.min("lower") >= 0.1) & (F.max("upper") <= 0.6)).alias("bounds"), F.bool_and(F.col("lower") == F.col("upper")).alias("equal"))
+    return out.withColumns({"snps": F.col("snps").cast("int"), "names": F.col("names").cast("int")})
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST([0, 1.7, -2.9, 2.7, -1.2, 0.2, 0.3, 1.2, 0.5, -3, -3.1, 1, 0][i % 13 + 1] AS DOUBLE) AS v FROM range(1000) t(i)")
+def vector_fixture(spark, sf):
+    return sim.patterned_vector(spark, 1000)
+
+
+@query("SELECT k // 3 AS row, (k * 337733) % 50 AS col, CAST(k + 1 AS DOUBLE) AS v FROM range(90) t(k)")
+def sparse_fixture(spark, sf):
+    return sim.patterned_sparse(spark, 30, 3, 50)
 
 
 # Functions of a column
@@ -607,7 +838,7 @@ def rounding(spark, sf):
 
 @query(f"WITH t AS ({_X}) SELECT k, round((1 + x) * exp(-x), 6) AS v, round(-x * exp(-x), 6) AS d FROM t")
 def matern_three_halves(spark, sf):
-    return _x(spark, sf).select("k", F.round(scalar.matern(F.col("x"), F.lit(1.5)), 6).alias("v"), F.round(scalar.matern(F.col("x"), F.lit(1.5), order=1), 6).alias("d"))
+    return _x(spark, sf).select("k", F.round(scalar.matern(F.col("x"), 1.5), 6).alias("v"), F.round(scalar.matern(F.col("x"), 1.5, order=1), 6).alias("d"))
 
 
 @query(f"WITH t AS ({_X}) SELECT k, round(sqrt(pi() / (2 * x)) * exp(-x) * (1 + 1 / x), 6) AS v FROM t WHERE x > 0.01")
@@ -617,7 +848,7 @@ def bessel_k(spark, sf):
 
 @query(f"WITH t AS ({_X}) SELECT k, round((1 + 0.5) * exp(-0.5) - (1 + 0.5 + x) * exp(-0.5 - x), 6) AS v FROM t")
 def incomplete_gamma(spark, sf):
-    return _x(spark, sf).select("k", F.round(scalar.incomplete_gamma(F.lit(0.5), F.lit(0.5) + F.col("x"), F.lit(2.0)), 6).alias("v"))
+    return _x(spark, sf).select("k", F.round(scalar.incomplete_gamma(F.lit(0.5), F.lit(0.5) + F.col("x"), 2.0), 6).alias("v"))
 
 
 @query(f"WITH t AS ({_X}) SELECT k, round(sqrt(2 / (pi() * x)) * (1 - cos(x)), 6) AS v FROM t WHERE x > 0.01")
@@ -625,7 +856,32 @@ def struve_half(spark, sf):
     return _x(spark, sf).filter("x > 0.01").select("k", F.round(scalar.struve(F.col("x"), F.lit(0.5)), 6).alias("v"))
 
 
-@query()
+@query(f"WITH t AS ({_X}) SELECT k, round(exp(-x) * (1 + x + x * x / 3), 6) + 0.0 AS v, round(-x / 3 * (1 + x) * exp(-x), 6) + 0.0 AS d1, round((x * x - x - 1) / 3 * exp(-x), 6) + 0.0 AS d2, round(x * (3 - x) / 3 * exp(-x), 6) + 0.0 AS d3, round((x * x - 5 * x + 3) / 3 * exp(-x), 6) + 0.0 AS d4 FROM t")
+def matern_five_halves(spark, sf):
+    x = F.col("x")
+    return _x(spark, sf).select("k", *[(F.round(scalar.matern(x, 2.5, order=d), 6) + 0.0).alias(f"d{d}" if d else "v") for d in range(5)])
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(exp(-x), 6) AS v, round(-exp(-x), 6) AS d FROM t WHERE x > 0.01")
+def matern_by_quadrature(spark, sf):
+    """nu = 1/2 as a column, which the numpy kernel integrates."""
+    nu = F.lit(0.5)
+    return _x(spark, sf).filter("x > 0.01").select("k", F.round(scalar.matern(F.col("x"), nu), 6).alias("v"), F.round(scalar.matern(F.col("x"), nu, order=1), 6).alias("d"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(2 * exp(-0.5) - 2 * exp(-(x + 0.5)), 6) AS v FROM t")
+def incomplete_gamma_first(spark, sf):
+    """s = 1 as a column, twice over."""
+    return _x(spark, sf).select("k", F.round(2 * scalar.incomplete_gamma(F.lit(0.5), F.lit(0.5) + F.col("x"), F.lit(1.0)), 6).alias("v"))
+
+
+@query(f"WITH t AS ({_X}) SELECT k, round(sqrt(2 / (pi() * x)) * (cosh(x) - 1), 6) AS v, round(sqrt(2 / (pi() * x)) * (cosh(x) - 1) * exp(-x), 6) AS s FROM t WHERE x > 0.01")
+def struve_half_modified(spark, sf):
+    x = F.col("x")
+    return _x(spark, sf).filter("x > 0.01").select("k", F.round(scalar.struve(x, F.lit(0.5), "L"), 6).alias("v"), F.round(scalar.struve(x, F.lit(0.5), "L", True), 6).alias("s"))
+
+
+@query(f"WITH t AS ({_X}) SELECT t.k, round(sum((x * x / 4) ** n / gamma(n + 1) ** 2 - (x / 2) ** (2 * n + 1) / gamma(n + 1.5) ** 2), 6) AS v FROM t, range(45) s(n) GROUP BY 1")
 def i0_minus_l0(spark, sf):
     return _x(spark, sf).select("k", F.round(scalar.i0_minus_l0(F.col("x")), 6).alias("v"))
 
@@ -633,46 +889,78 @@ def i0_minus_l0(spark, sf):
 # Systems
 
 
-@query()
+_LOW = eliminated("a", "b", 64, full=False) + ", l AS (SELECT u.j AS i, u.i AS j, u.v / sqrt(s.v) AS v FROM x u JOIN x s ON u.i = s.i AND s.i = s.j)"
+
+
+@query(DR + GRAM + ", b AS (SELECT i, 0 AS j, i + 1.0 AS v FROM range(64) t(i))," + eliminated("a", "b", 64) + " SELECT i, j, round(v, 6) AS v FROM x")
 def dense_solve(spark, sf):
-    b = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), (F.col("id") + 1).cast("double").alias("v"))
-    return _rounded(solve.solved(spd(spark), b), 6)
+    return _rounded(solve.solved(gram(spark, sf), column(line(spark, 64, lambda i: i + 1))), 6)
+
 
+@query(DR + GRAM + ", b AS (SELECT i, 0 AS j, i + 1.0 AS v FROM range(64) t(i))," + eliminated("a", "b", 64) + " SELECT i, j, round(v, 6) AS v FROM x")
+def dense_solve_tiled(spark, sf):
+    """The same as for matrices that one task cannot hold."""
+    return _rounded(solve.solved(gram(spark, sf), column(line(spark, 64, lambda i: i + 1)), most=20, side=24), 6)
 
-@query()
+
+@query(DR + GRAM + ONES + "," + _LOW + " SELECT i, j, CASE WHEN i >= j THEN round(v, 6) ELSE 0 END AS v FROM l")
 def cholesky_factor(spark, sf):
-    return _rounded(solve.cholesky(spd(spark)), 6)
+    return _rounded(solve.cholesky(gram(spark, sf)), 6)
 
 
-@query()
+@query(DR + GRAM + ", b AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM range(64) s(i), range(64) t(j))," + eliminated("a", "b", 64) + " SELECT i, j, round(v, 6) + 0.0 AS v FROM x")
 def spd_inverse(spark, sf):
-    return _rounded(solve.solved(spd(spark)), 6)
+    return solve.solved(gram(spark, sf)).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query()
+@query(DR + GRAM + ONES + "," + eliminated("a", "b", 64) + " SELECT round(sum(ln(p)), 6) AS v FROM g")
 def log_determinant(spark, sf):
-    return _rounded(solve.log_determinant(spd(spark)), 6)
+    return _rounded(solve.log_determinant(gram(spark, sf)), 6)
 
 
-@query("SELECT true AS v")
+@query(DR + GRAM + ONES + "," + eliminated("a", "b", 64) + " SELECT min(p) > 0 AS v FROM g")
 def positive_definite(spark, sf):
-    return solve.is_positive_definite(spd(spark))
+    return solve.is_positive_definite(gram(spark, sf))
 
 
-@query()
+@query(DR + GRAM + ONES + "," + eliminated("a", "b", 64) + " SELECT round(sum(v), 6) AS v, (SELECT round(sum(ln(p)), 6) FROM g) AS log_det FROM x")
 def x_inverse_y(spark, sf):
-    x = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
-    return x_inverse_y_rounded(solve.x_inverse_y(x, spd(spark), x))
+    x = column(line(spark, 64, lambda i: F.lit(1.0)))
+    return x_inverse_y_rounded(solve.x_inverse_y(x, gram(spark, sf), x))
 
 
 def x_inverse_y_rounded(df: DataFrame) -> DataFrame:
     return df.select(F.round("v", 6).alias("v"), F.round("log_det", 6).alias("log_det"))
 
 
-@query()
+@query(DR + GRAM + ONES + "," + _LOW + " SELECT j AS i, CAST(0 AS BIGINT) AS j, round(sum(v), 6) AS v FROM l WHERE i >= j GROUP BY 1")
 def root_times(spark, sf):
-    x = spark.range(24).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
-    return _rounded(solve.root_times(spd(spark), x), 6)
+    return _rounded(solve.root_times(gram(spark, sf), column(line(spark, 64, lambda i: F.lit(1.0)))), 6)
+
+
+@query(DR + GRAM + ", b AS (SELECT (i * 7) % 64 AS i, 0 AS j, i + 1.0 AS v FROM range(64) t(i)), y AS (SELECT i, j, v FROM b)," + eliminated("a", "y", 64) + " SELECT s.i, x.j, round(x.v, 6) AS v FROM x JOIN (SELECT i, (i * 7) % 64 AS t FROM range(64) t(i)) s ON x.i = s.t")
+def factor_solve_permuted(spark, sf):
+    """L L' X = B with the rows of B in another order, and the solution's rows back in B's."""
+    order = spark.range(64).select(F.col("id").alias("i"), (F.col("id") * 7 % 64).alias("to"))
+    f = written(solve.cholesky(gram(spark, sf)).filter("j <= i"))
+    return _rounded(solve.factored(f, column(line(spark, 64, lambda i: i + 1)), True, order), 6)
+
+
+@query(DR + GRAM + ONES + "," + _LOW + ", z AS (SELECT j AS i, i AS j, v FROM l WHERE i >= j), c AS (SELECT i, j, v FROM z UNION ALL SELECT i, j, 0 FROM range(64) s(i), range(64) t(j) WHERE i > j), r AS (SELECT i, j, (i + 1.0) * (j + 1) AS v FROM range(64) s(i), range(3) t(j))," + eliminated("c", "r", 64, "t") + " SELECT i, j, round(v, 5) AS v FROM xt")
+def triangular_solve_upper(spark, sf):
+    """Three columns, for the transpose of the lower factor."""
+    f = written(solve.cholesky(gram(spark, sf)).filter("j <= i"))
+    b = spark.range(192).select(F.expr("id div 3").alias("i"), (F.col("id") % 3).alias("j"), ((F.expr("id div 3") + 1.0) * (F.col("id") % 3 + 1)).alias("v"))
+    return _rounded(solve.triangular(f, b, lower=True, transposed=True), 5)
+
+
+@query("SELECT true AS near")
+def normal_draws(spark, sf):
+    """4,000 draws: their second moments are within a tenth of the matrix's scale of it."""
+    a = gram(spark, sf).withColumn("v", F.col("v") / 100)
+    z = written(solve.normal_draws(a, 4000, 5))
+    m = products.matmul(z, z, tb=True).select("i", "j", (F.col("v") / 4000).alias("w")).join(a, ["i", "j"])
+    return m.agg((F.max(F.abs(F.col("w") - F.col("v"))) < 0.1 * F.max("v")).alias("near"))
 
 
 @query("SELECT CAST(a AS BIGINT) AS i, round(sum((b + 1) / 2.0 ** (a - b + 1)), 6) AS v FROM range(31) x(a) JOIN range(31) y(b) ON b <= a GROUP BY 1")
@@ -690,6 +978,15 @@ def closed_2x2(spark, sf):
     return p.select("k", F.round(inv["a"], 6).alias("a"), F.round(inv["b"], 6).alias("b"))
 
 
+@query("WITH p AS (SELECT p_partkey AS k, p_size + 4.0 AS s FROM part), q AS (SELECT k, s, 4 * (6 * s - 1) - s AS d FROM p) SELECT k, i, j, round([6 * s - 1, -s, 1, -s, 4 * s, -4, 1, -4, 23][i * 3 + j + 1] / d, 6) AS v FROM q, range(3) a(i), range(3) b(j)")
+def closed_3x3_all(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    inv = solve.inverse_3x3([[F.lit(4.0), one, zero], [one, F.lit(6.0), one], [zero, one, F.col("s") + 4]])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), F.round(inv[i][j], 6).alias("v")) for i in range(3) for j in range(3)])).alias("c")
+    return p.select("k", rows).select("k", "c.*")
+
+
 @query("SELECT p_partkey AS k, round((6 * (p_size + 4) - 1) / (4.0 * (6 * (p_size + 4) - 1) - (p_size + 4)), 6) AS a FROM part")
 def closed_3x3(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
@@ -703,25 +1000,29 @@ def _relationship(spark, sf) -> DataFrame:
 
 
 def _phenotype(spark) -> DataFrame:
-    return spark.range(50).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11).cast("double").alias("v"))
+    return line(spark, 50, lambda i: (i * 7) % 11)
+
 
+_REL = _M + ", " + F_ + ", c AS (SELECT SUM(2 * p * (1 - p)) AS c FROM f), rel AS (SELECT m.i, m.j, CAST(n * n * m.v - n * (ri.s + rj.s) + tot AS DOUBLE) / (n * n) / c AS v FROM m JOIN r ri ON m.i = ri.i JOIN r rj ON m.j = rj.i CROSS JOIN t CROSS JOIN c)"
+_PHENO = ", b AS (SELECT i, 0 AS j, (i * 7) % 11 AS v FROM range({n}) z(i))"
+_RIDGE = ", a AS (SELECT i, j, v + CASE WHEN i = j THEN {ridge} ELSE 0 END AS v FROM rel)"
 
-@query()
+
+@query(GR + _REL + _PHENO.format(n=50) + _RIDGE.format(ridge=1.0) + "," + eliminated("a", "b", 50, "e") + " SELECT x.i, round(any_value(x.v), 5) AS rest, round(sum(rel.v * o.v) + 2, 5) AS yhat FROM xe x JOIN rel ON rel.i = x.i JOIN xe o ON o.i = rel.j GROUP BY 1")
 def solve_rel_mat(spark, sf):
     out = solve.solve_relationship(_relationship(spark, sf), _phenotype(spark), 1.0, 2.0)
     return out.select("i", F.round("rest", 5).alias("rest"), F.round("yhat", 5).alias("yhat"))
 
 
-@query()
+@query("WITH RECURSIVE " + _HAPLOTYPES + ", g AS (SELECT snp_idx, indiv_idx, sum(allele) AS dosage FROM haplotypes GROUP BY 1, 2)" + _REL + _PHENO.format(n=40) + _RIDGE.format(ridge=0.5) + "," + eliminated("a", "b", 40, "e") + " SELECT i, round(v, 5) AS rest FROM xe")
 def population_values(spark, sf):
     """Haplotypes of a population, their genotypes, the relationship and its system, in one."""
     geno = written(select.haplo_to_geno(compute_snps(spark, sf)))
     g = written(products.grm(geno).select("i", "j", F.col("g").alias("v")))
-    y = spark.range(40).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11).cast("double").alias("v"))
-    return _rounded(solve.solve_relationship(g, y, 0.5), 5, "rest")
+    return _rounded(solve.solve_relationship(g, line(spark, 40, lambda i: (i * 7) % 11), 0.5), 5, "rest")
 
 
-@query()
+@query(GR + _M + _PHENO.format(n=50) + ", a AS (SELECT i, j, v + CASE WHEN i = j THEN 1000 ELSE 0 END AS v FROM m)," + eliminated("a", "b", 50, "e") + " SELECT i, round(v, 5) AS v FROM xe")
 def conjugate_gradient(spark, sf):
     geno = written(panel(spark, sf))
 
@@ -729,28 +1030,46 @@ def conjugate_gradient(spark, sf):
         g = products.relationship_vector(geno, x)
         return g.unionByName(x.select("i", (F.col("v") * 1000.0).alias("v"))).groupBy("i").agg(F.sum("v").alias("v"))
 
-    return _rounded(solve.conjugate_gradient(times, _phenotype(spark), tolerance=1e-4, most=40), 4)
+    return _rounded(solve.conjugate_gradient(times, _phenotype(spark), tolerance=1e-9, most=100), 5)
 
 
-@query()
+@query(GR + ", " + F_ + ", z AS (SELECT s AS k, i, coalesce(dosage, 0) - 2 * p AS v FROM range(64) x(s) CROSS JOIN range(50) y(i) JOIN f ON snp_idx = s LEFT JOIN g ON g.snp_idx = s AND g.indiv_idx = i), c AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.k = b.k GROUP BY 1, 2), " + leading_vectors("c", 50, 3) + " SELECT CAST(idx AS BIGINT) AS idx, CAST(col AS BIGINT) AS col, round(abs(v), 4) AS v FROM e")
 def principal_components(spark, sf):
-    vectors, _ = solve.principal_components(written(panel(spark, sf)), 3)
-    return vectors.select("idx", "col", F.round(F.abs("v"), 4).alias("v"))
+    vectors, _ = solve.principal_components(written(panel(spark, sf)), 3, oversample=60, power=6)
+    return vectors.select("idx", F.col("col").cast("bigint").alias("col"), F.round(F.abs("v"), 4).alias("v"))
 
 
-@query()
+@query(GR + _REL + ", b AS (SELECT i, 0 AS j, (i * 7) % 11 AS v FROM range(50) z(i) UNION ALL SELECT i, 1, 1 FROM range(50) z(i))" + _RIDGE.format(ridge=1.0) + "," + eliminated("a", "b", 50, "e") + ", beta AS (SELECT sum(CASE WHEN j = 0 THEN v END) / sum(CASE WHEN j = 1 THEN v END) AS b FROM xe), rest AS (SELECT i, sum(CASE WHEN j = 0 THEN v ELSE -v * b END) AS v FROM xe, beta GROUP BY 1) SELECT rel.i, round(sum(rel.v * rest.v), 5) AS v FROM rel JOIN rest ON rest.i = rel.j GROUP BY 1")
 def gblup(spark, sf):
-    x = spark.range(50).select(F.col("id").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("v"))
+    x = column(line(spark, 50, lambda i: F.lit(1.0)))
     _, values = solve.gblup(_relationship(spark, sf), x, _phenotype(spark))
     return _rounded(values, 5)
 
 
-@query()
+@query("SELECT * FROM (VALUES ('tidy', true, true, true), ('2bit', true, false, true), ('plink', true, true, true), ('5codes', true, false, true), ('haplotype', true, false, true), ('3bit', false, false, false), ('4bit', false, false, false)) t(coding, \"exists\", keeps_missing, converts)")
 def capabilities(spark, sf):
     return model.capabilities(spark)
 
 
+@query(G + ", " + F_ + ", " + BS.format(n=64) + " " + _DOT_N)
+def handle_product(spark, sf):
+    """Through a handle, which checks dimensions, keeps frequencies and is freed at the end."""
+    with model.GenotypeMatrix(panel(spark, sf)) as m:
+        m.check(snps=64, individuals=50)
+        return _rounded(m.multiply(b_matrix(spark, 64), "N"))
+
+
+@query(G + " SELECT snp_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(dosage)) AS freq FROM g GROUP BY 1")
+def handle_freq(spark, sf):
+    with model.GenotypeMatrix(panel(spark, sf)) as m:
+        return m.freq()
+
+
 @query("SELECT * FROM (VALUES ('center', 'True'), ('centring', 'row'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False')) t(name, value)")
 def options(spark, sf):
     return model.Options.matched(norm="global", miss="zero").rows(spark)
 
+
+@query("SELECT * FROM (VALUES ('center', 'False'), ('centring', 'none'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False')) t(name, value)")
+def options_of_flags(spark, sf):
+    return model.Options.of_flags(ignore_missings=True, do_not_center=True, do_normalize=True, cores=4).rows(spark)
