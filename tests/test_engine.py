@@ -76,13 +76,13 @@ def test_query_against_sql(spark, name):
 def test_products_of_whole_tables(spark):
     n = catalog.table(spark, SF, "embeddings").count()
     assert n > 64
-    for name in ("matrix_vector_all", "matmul_transposed_all", "coo_file_all"):
+    for name in ("matrix_vector", "matmul_transposed", "coo_file"):
         assert catalog.QUERIES[name](spark, SF).select("i").distinct().count() == n
     a = np.zeros((n, 64))
     for r in catalog.dense(spark, SF).collect():
         a[r.i, r.j] = r.v
     x = np.arange(1, 65)
-    assert catalog.QUERIES["quadratic_form_all"](spark, SF).first()[0] == round(x @ (a.T @ a) @ x)
+    assert catalog.QUERIES["quadratic_form"](spark, SF).first()[0] == round(x @ (a.T @ a) @ x)
 
 
 def test_products_against_numpy(spark, geno, m):
@@ -98,9 +98,10 @@ def test_products_against_numpy(spark, geno, m):
         model.transposed_flag("X")
 
 
-@pytest.mark.parametrize("method", ["join", "blocked"])
+@pytest.mark.parametrize("method", ["join", "blocked", "default"])
 def test_crossproducts(spark, geno, m, method):
     kw = {"depth": 5, "width": 4} if method == "blocked" else {}
+    method = "blocked" if method == "default" else method
     assert (dense(products.crossprod(geno, "snp_idx", method, **kw), (11, 11)) == m.T @ m).all()
     assert (dense(products.crossprod(geno, "indiv_idx", method, **kw), (13, 13)) == m @ m.T).all()
 
@@ -115,6 +116,55 @@ def test_relationship_identities(spark, geno, m):
     assert np.allclose(dense(products.centred_crossprod(geno, squared=True, normalize="global"), (11, 11)), g**2)
 
 
+def test_crossproducts_in_slices(spark):
+    """Gaps on both axes, absent cells, blocks of 3, slices of 2 places, larger dosages."""
+    rng = np.random.default_rng(4)
+    k, i = rng.integers(0, 40, 300) * 3, rng.integers(0, 25, 300) * 2 + 1
+    cells = {(int(a), int(b)): int(c) for a, b, c in zip(k, i, rng.integers(0, 100, 300), strict=True)}
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in cells.items()], "snp_idx long, indiv_idx long, dosage int")
+    x = np.zeros((120, 51))
+    for (a, b), c in cells.items():
+        x[a, b] = c
+    there = sorted({b for _, b in cells})
+    want = {(a, b): int(x[:, a] @ x[:, b]) for a in there for b in there}
+    got = {(r.i, r.j): r.v for r in products.crossprod(df, depth=2, width=3).collect()}
+    assert got == want
+    assert products.crossprod(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="between"):
+        products.crossprod(df.withColumn("dosage", F.lit(200)))
+
+
+def test_centring_of_products(spark, geno, m):
+    b, c = np.random.default_rng(2).normal(size=(13, 3)), np.random.default_rng(3).normal(size=(11, 3))
+    cells = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1])], "idx long, col long, v double")
+    p, z = m.mean(axis=1) / 2, m.T.astype(float)
+    scale = np.sqrt((2 * p * (1 - p)).sum())
+    for centring, centre in (("none", 0), ("row", 2 * p), ("column", m.mean(axis=0)[:, None])):
+        for normalize, by in (("none", 1), ("global", scale)):
+            kw = {"centring": centring, "normalize": normalize}
+            assert np.allclose(dense(products.geno_product(geno, cells(b), False, **kw), (11, 3)), (z - centre) @ b / by)
+            assert np.allclose(dense(products.geno_product(geno, cells(c), True, **kw), (13, 3)), (z - centre).T @ c / by)
+            with model.GenotypeMatrix(geno, model.Options(**kw)) as h:
+                assert np.allclose(dense(h.multiply(cells(b)), (11, 3)), (z - centre) @ b / by)
+    with model.GenotypeMatrix(geno, model.Options(squared=True, centring="none")) as h:
+        assert np.allclose(dense(h.crossprod(), (11, 11)), (m.T @ m) ** 2)
+        h.check(13, 11)
+        with pytest.raises(ValueError, match="not 13 of 12"):
+            h.check(13, 12)
+        with pytest.raises(ValueError, match="beyond"):
+            h.multiply(cells(np.ones((14, 1))))
+    with pytest.raises(ValueError):
+        products.geno_product(geno, cells(b), False, centring="user")
+    with pytest.raises(ValueError, match="multiple"):
+        products.checked_length(spark.range(27).select(F.col("id").alias("pos"), F.col("id").alias("v")), 13)
+    with pytest.raises(ValueError, match="every dosage"):
+        products.ld(geno.filter("snp_idx > 0 OR indiv_idx > 0"))
+    with pytest.raises(ValueError, match="square"):
+        products.quadratic(spark.range(3).select(F.col("id").alias("i"), F.lit(1).alias("v")), coordinates(spark, np.ones((3, 4))))
+    with pytest.raises(ValueError, match="unknown flags"):
+        model.Options.of_flags(colour="red")
+
+
 def test_missing_policies(spark):
     m = np.array([[0, -1, 2, 1], [1, 1, -1, 2]])
     g = geno_of(spark, m)
@@ -132,6 +182,19 @@ def test_pack_and_unpack(spark, coding, n):
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in geno_of(spark, m).collect()}
 
 
+def test_any_coding_to_any(spark):
+    m = np.random.default_rng(3).integers(0, 3, (5, 7))
+    plain = geno_of(spark, m)
+    for a in ("tidy", "2bit", "plink", "5codes"):
+        data = plain if a == "tidy" else codec.packed(plain, a)
+        for b in ("tidy", "2bit", "plink", "5codes"):
+            out = codec.transformed(data, a, b, 7)
+            out = out if b == "tidy" else codec.unpacked(out, 7, b)
+            assert (dense(out, (5, 7)) == m).all()
+    with pytest.raises(ValueError, match="haplotype"):
+        codec.transformed(plain, "tidy", "haplotype", 7)
+
+
 def test_byte_tables():
     there, back = codec.byte_table("plink", "2bit"), codec.byte_table("2bit", "plink")
     plain = [b for b in range(256) if all(b >> 2 * k & 3 != 1 for k in range(4))]
@@ -149,6 +212,13 @@ def test_bed_files(spark, tmp_path):
         f.write(b"\0")
     with pytest.raises(Exception, match="bytes"):
         plink.read_bed(spark, stem + ".bed").collect()
+    with pytest.raises(Exception, match="not complete"):
+        plink.write_bed(g.filter("snp_idx <> 3 OR indiv_idx < 4"), str(tmp_path / "y"), 6, 9)
+    with pytest.raises(ValueError, match="8 SNPs"):
+        plink.write_bed(g.filter("snp_idx <> 3"), str(tmp_path / "y"), 6, 9)
+    raw = np.random.default_rng(6).normal(size=(7, 5))
+    plink.write_raw(coordinates(spark, raw).repartition(4), str(tmp_path / "raw"), 7, 5)
+    assert (np.fromfile(tmp_path / "raw").reshape(5, 7).T == raw).all()
     (tmp_path / "t.txt").write_text("header\n0129\n1120\n")
     with pytest.raises(Exception, match="missing or unknown"):
         plink.read_text(spark, f"file://{tmp_path}/t.txt", header=1).collect()
@@ -174,6 +244,14 @@ def test_systems(spark):
         assert np.allclose(dense(solve.triangular(low, db, True, most=most), (9, 2)), np.linalg.solve(f, b))
     assert np.allclose(dense(solve.triangular(low, db, True, True), (9, 2)), np.linalg.solve(f.T, b))
     assert np.allclose(dense(solve.factored(low, db, True), (9, 2)), np.linalg.solve(a, b))
+    for upper in (False, True):
+        want = np.linalg.cholesky(a).T if upper else np.linalg.cholesky(a)
+        assert np.allclose(dense(solve.cholesky(da, upper, most=4, side=4), (9, 9)), want)
+    assert np.allclose(dense(solve.solved(da, db, most=4, side=4), (9, 2)), np.linalg.solve(a, b))
+    assert np.allclose(dense(solve.solved(da, most=4, side=3), (9, 9)) @ a, np.eye(9))
+    assert np.isclose(solve.log_determinant(da, most=4, side=2).first()[0], np.linalg.slogdet(a)[1])
+    assert solve.is_positive_definite(da, most=4, side=4).first()[0] and not solve.is_positive_definite(coordinates(spark, -a), most=4, side=4).first()[0]
+    assert not solve.is_positive_definite(coordinates(spark, a + np.triu(np.ones((9, 9)), 1)), most=4, side=4).first()[0]
     singular = np.ones((3, 3))
     assert np.allclose(singular @ solve.solve_np(singular, np.ones((3, 1))), 1)
     with pytest.raises(np.linalg.LinAlgError):
@@ -181,12 +259,26 @@ def test_systems(spark):
     assert solve.solve_np(np.diag([2.0, 0.0]), None).tolist() == [[0.5, 0], [0, 0]]
 
 
+def test_systems_beyond_one_task(spark):
+    """6,000 rows, in tiles; most of them are empty and never made."""
+    n = 6000
+    i = F.col("id")
+    band = spark.range(n).select(F.explode(F.array(F.struct(i.alias("i"), i.alias("j"), F.lit(2.5).alias("v")), F.struct(i.alias("i"), (i + 1).alias("j"), F.lit(-1.0).alias("v")), F.struct((i + 1).alias("i"), i.alias("j"), F.lit(-1.0).alias("v")))).alias("c")).select("c.*").filter(f"i < {n} AND j < {n}")
+    b = spark.range(n).select(i.alias("i"), F.lit(0).cast("bigint").alias("j"), (i % 7 + 1).cast("double").alias("v"))
+    got = {r.i: r.v for r in solve.solved(band, b).collect()}
+    x = np.array([got[k] for k in range(n)])
+    back = 2.5 * x - np.r_[x[1:], 0] - np.r_[0, x[:-1]]
+    assert np.allclose(back, np.arange(n) % 7 + 1)
+
+
 def test_iterations(spark, geno, m):
     a = np.eye(6) * 4 + np.ones((6, 6))
     da = coordinates(spark, a)
     b = spark.createDataFrame([(k, float(k + 1)) for k in range(6)], "i long, v double")
     got = {r.i: r.v for r in solve.conjugate_gradient(lambda x: products.matvec(da, x), b, 1e-8).collect()}
     assert np.allclose([got[k] for k in range(6)], np.linalg.solve(a, np.arange(1, 7)))
+    with pytest.raises(ArithmeticError, match="rounds"):
+        solve.conjugate_gradient(lambda x: products.matvec(da, x), b, 1e-8, most=1)
     vectors, values = solve.principal_components(geno, 2, oversample=8)
     z = m.T - m.mean(axis=1)
     u, w, _ = np.linalg.svd(z)
@@ -226,6 +318,55 @@ def test_special_functions():
         scalar.gauss(F.lit(1.0), 5)
 
 
+def test_limits_at_zero():
+    """The value at 0 is what the function tends to from the right."""
+    for nu in (0.3, 0.5, 0.7, 1.0, 1.2, 1.5, 1.8, 2.0, 2.3, 2.5, 3.2):
+        for order in range(5):
+            at = float(scalar.matern_np(np.array([0.0]), nu, 0.0, order)[0])
+            far, near = (float(scalar.matern_np(np.array([x]), nu, 0.0, order)[0]) for x in (3e-2, 1e-3))  # nearer, its terms cancel
+            if math.isinf(at):
+                assert at * near > 0 and abs(near) > abs(far) + 0.1, (nu, order)
+            else:
+                assert abs(near - at) <= max(0.6 * abs(far - at), 0.05 * max(1, abs(at))), (nu, order, at, near)
+    assert scalar.matern_np(np.array([0.0]), 0.5, 0.0, 1)[0] == -1 and scalar.matern_np(np.array([0.0]), 0.3, 0.0, 1)[0] == -math.inf
+
+
+def test_closed_forms(spark):
+    x = np.r_[0, np.linspace(0.01, 30, 50), math.inf]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for nu in (0.5, 1.5, 3.5, 10.5):
+        for order in range(5):
+            for factor in (0.0, 1.4):
+                got = [r.v for r in df.select(scalar.matern(F.col("x"), nu, factor, order).alias("v")).collect()]
+                assert np.allclose(got, scalar.matern_np(x, nu, factor, order), rtol=1e-6, atol=1e-9), (nu, order)
+    for s in (1, 2, 5):
+        got = [r.v for r in df.select(scalar.incomplete_gamma(F.lit(0.25), F.lit(0.25) + F.col("x"), s).alias("v")).collect()]
+        assert np.allclose(got, scalar.incomplete_gamma_np(np.full(len(x), 0.25), 0.25 + x, np.full(len(x), float(s))), atol=1e-12)
+    assert math.isnan(df.select(scalar.incomplete_gamma(F.lit(0.0), F.col("x"), 1).alias("v")).first()[0])
+    assert scalar.incomplete_gamma_np(np.array([0.0]), np.array([math.inf]), np.array([2.0]))[0] == 1
+
+
+def test_order_in_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(v), None if w < 0.1 else float("nan") if w < 0.2 else float(round(w, 1))) for k, (v, w) in enumerate(zip(rng.integers(0, 3, 500), rng.random(500), strict=True))]
+    df = spark.createDataFrame(rows, "id long, g long, x double").repartition(7)
+    got = [(r["place"], r["index"]) for r in select.order_of(df, ["g"], "id").orderBy("place").collect()]
+    assert got == [(p + 1, k) for p, (_, k) in enumerate(sorted((g, k) for k, g, _ in rows))]
+    clean = [(k, None if x is None or math.isnan(x) else x) for k, _, x in rows]
+    for last in (True, False):
+        want = sorted(clean, key=lambda r: ((r[1] is None) == last, r[1] or 0, r[0]))
+        part = select.sorted_slice(df, "x", 51, 300, last, "id").collect()
+        assert [r.id for r in part] == [k for k, _ in want[50:300]]
+    assert select.order_of(df.limit(0), ["g"], "id").count() == 0
+
+
+def test_sparse_rows(spark):
+    df = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0), (0, 2, 4.0), (1, 1, 5.0)], "i long, j long, v double")
+    assert {r.i: r.v for r in stats.row_means(df).collect()} == {0: 3.0, 1: 5 / 3}
+    assert {r.i: r.v for r in stats.row_prod(df).collect()} == {0: 24.0, 1: 0.0}
+    assert {r.i: r.v for r in stats.row_prod(df, 4).collect()} == {0: 0.0, 1: 0.0}
+
+
 def test_selection_edges(spark):
     with pytest.raises(ValueError):
         select.trimmed([9, 10], 9)
