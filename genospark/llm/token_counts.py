@@ -1,14 +1,16 @@
 """Token counts that follow edits.
 
 A document is held as its pre-tokens (what the splitting pattern yields), each with its
-length and number of tokens, in blocks under a segment tree of sums. An edit re-splits the
+length and number of tokens, in blocks under a segment tree of sums. trees() makes that state once, as a
+binary column beside the text; revised() takes it, with edits, and gives the next state: kept as a table, it
+serves one revision after another, and nothing is encoded but what edits touch. An edit re-splits the
 text from the last pre-token that could not see it, until a boundary after the edit falls on
 an old one; only the pre-tokens between are encoded, and sums change on the path above
 their blocks. Where a match begins, what it takes depends on the text from there on alone,
 and no match of the pattern looks further than LOOKAHEAD characters past its end.
 
 Defined results: a null text counts as empty and has 0 tokens; an edit reaches no further
-than the text, and a null replacement is empty; edits of a document apply in order of their
+than the text, and a null replacement is empty; the edited text of a null one is the edits' alone; edits of a document apply in order of their
 number; edits without a document are dropped; documents without edits keep their counts;
 repeated rows are counted each for itself; extra columns are not read.
 """
@@ -16,14 +18,16 @@ repeated rows are counted each for itself; extra columns are not read.
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import hashed, kept_in_process, small_batches
+from genospark.llm.common import hashed, joined_by_key, kept_in_process, small_batches
 
 LOOKAHEAD = 2
 BLOCK = 256
@@ -56,14 +60,44 @@ class Counts(dict):
         return n
 
 
+def _packed(*columns: list[int]) -> bytes:
+    """A byte for each number; those of 255 or more stand whole at the end of their column."""
+    out = [struct.pack("<q", len(columns[0]))]
+    for column in columns:
+        x = np.array(column, np.int64)
+        out += np.minimum(x, 255).astype(np.uint8).tobytes(), x[x >= 255].astype("<i8").tobytes()
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> list[list[int]]:
+    """The two columns of _packed()."""
+    (n,), at, out = struct.unpack_from("<q", data), 8, []
+    for _ in range(2):
+        x = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+        large = np.flatnonzero(x == 255)
+        x[large] = np.frombuffer(data, "<i8", len(large), at + n)
+        at += n + 8 * len(large)
+        out.append(x.tolist())
+    return out
+
+
 class Tree:
     """Pre-tokens of one text with sums of their characters and tokens."""
 
-    def __init__(self, text: str, split: Callable, counts: Counts):
+    def __init__(self, text: str, split: Callable, counts: Counts, state: bytes | None = None):
+        """From the state of this text, or else by encoding all of it."""
         self.text, self.split, self.counts = text, split, counts
         self.encoded = 0
-        pieces = split.findall(text)
-        self._build(list(map(len, pieces)), self._encode(pieces))
+        if state is None:
+            pieces = split.findall(text)
+            self._build(list(map(len, pieces)), self._encode(pieces))
+        else:
+            self._build(*_unpacked(state))
+
+    @property
+    def state(self) -> bytes:
+        """Lengths and tokens of all pre-tokens."""
+        return _packed([x for a, _ in self.blocks for x in a], [x for _, a in self.blocks for x in a])
 
     def _encode(self, pieces: list[str]) -> list[int]:
         self.encoded += len(pieces)
@@ -166,41 +200,76 @@ class Tree:
             lo, hi = lo // 2, hi // 2
 
 
-SCHEMA = "doc_id long, n_chars long, n_tokens long, n_pretokens long, n_edits int, n_reencoded long, n_chars_edited long, n_tokens_edited long, text_edited string"
+EDITS = "array<struct<start:bigint,stop:bigint,new:string>>"
+STATE = f"doc_id long, text string, edits {EDITS}, tree binary"
+SCHEMA = "doc_id long, n_chars long, n_tokens long, n_pretokens long, n_edits int, n_reencoded long, n_chars_edited long, n_tokens_edited long, text_edited string, tree_edited binary"
 
 
-def edited_counts(docs: DataFrame, ranks: bytes, keep_text: bool = True) -> DataFrame:
-    """docs: doc_id, text, edits (array of start, stop, new; in order). Counts before and after the
-    edits, with how many pre-tokens the edits encoded anew, and the edited text if keep_text."""
+def _kernel(ranks: bytes) -> tuple[Callable, Counts]:
+    import regex
+
+    return regex.compile(PATTERN), kept_in_process(f"counts_{zlib.crc32(ranks)}", lambda: Counts(ranks))
+
+
+def trees(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """doc_id, text, edits (null where docs has none) and tree, the state of the whole text; null for a null text."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    edits = F.col("edits") if "edits" in docs.columns else F.lit(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        split, counts = _kernel(sent.value)
+        for batch in batches:
+            out = [None if text is None else Tree(text, split, counts).state for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "text", "edits", "tree"])
+
+    return docs.select("doc_id", "text", edits.cast(EDITS).alias("edits")).mapInArrow(run, STATE)
+
 
-        split, counts = regex.compile(PATTERN), kept_in_process(f"counts_{zlib.crc32(sent.value)}", lambda: Counts(sent.value))
+def revised(kept: DataFrame, ranks: bytes, keep: bool = True) -> DataFrame:
+    """kept: trees(), or what an earlier revision left, with edits. Counts before and after them, how many pre-tokens they
+    encoded anew, and, if keep, the next text and its state. A null tree is made from the text."""
+    small_batches(kept.sparkSession)
+    sent = kept.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = _kernel(sent.value)
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc_id, text, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = Tree(text or "", split, counts)
+            out: list[list] = [[] for _ in range(10)]
+            for doc_id, text, edits, state in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits", "tree")), strict=True):
+                tree = Tree(text or "", split, counts, state)
                 row = [doc_id, len(tree.text), tree.total, tree.pieces, len(edits or ())]
                 tree.encoded = 0
                 for e in edits or ():
                     start = max(0, min(int(e["start"] or 0), len(tree.text)))
                     tree.edit(start, int(e["stop"] if e["stop"] is not None else start), e["new"] or "")
-                row += [tree.encoded, len(tree.text), tree.total, tree.text if keep_text else None]
+                row += [tree.encoded, len(tree.text), tree.total, *((tree.text, tree.state) if keep else (None, None))]
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 3 + [pa.string()], strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 3 + [pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, SCHEMA)
+    return kept.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits"), "tree").mapInArrow(run, SCHEMA)
+
+
+def next_state(revision: DataFrame) -> DataFrame:
+    """What a revision leaves, as doc_id, text and tree for the next one."""
+    return revision.select("doc_id", F.col("text_edited").alias("text"), F.col("tree_edited").alias("tree"))
+
+
+def edited_counts(docs: DataFrame, ranks: bytes, keep_text: bool = True) -> DataFrame:
+    """docs: doc_id, text, edits (array of start, stop, new; in order). The trees of all texts, and their first revision."""
+    out = revised(trees(docs, ranks), ranks, keep_text)
+    return out if keep_text else out.drop("text_edited", "tree_edited")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the edits (doc_id, number, start, stop, new) of each, in order of their numbers."""
-    each = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", "start", "stop", "new"))).alias("__e"))
-    kept = F.transform("__e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["new"].alias("new")))
-    return docs.select("doc_id", "text").join(each.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", kept.alias("edits"))
+    """doc_id, text and, if docs has it, tree, with the edits (doc_id, number, start, stop, new) of each, in order of their
+    numbers. Documents whose edits are more than a thousandth of all are joined apart from the rest."""
+    each = edits.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", "start", "stop", "new"))).alias("__e"), F.count("*").alias("__n"))
+    own = ["doc_id", "text", *(["tree"] if "tree" in docs.columns else [])]
+    changes = F.transform("__e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["new"].alias("new")))
+    return joined_by_key(docs.select(*own), each, ["doc_id"], "__n", "left").select(*own, changes.alias("edits"))
 
 
 def revision(docs: DataFrame) -> DataFrame:
