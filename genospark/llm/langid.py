@@ -8,7 +8,8 @@ logarithm of the number of trigrams, as in BIC, times `weight`). The language of
 the largest proportion is predicted, and the proportion is the score.
 
 Learnt from are documents with a text and a language; the model has one row of n_bins counts
-for each language and is all that reaches the driver.
+for each language and is all that reaches the driver. Where languages are so many that it would pass MODEL_BYTES, bins
+are joined in twos until it does not; more than MODEL_BYTES / 4 / 256 languages are an error.
 
 Defined results: a null text or one without letters is `und` with score 0 and no languages, and so
 is every text where nothing can be learnt from; a letter is what Unicode calls one; repeated
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import kept_in_process, shipped, small_batches, written
+from genospark.llm.common import kept_in_process, shipped, small_batches
+from genospark.plans.tables import tidy, written
 
 N_BINS = 1 << 16
 SPACE = 32
+#: Most bytes of the model, which the driver gathers and broadcasts.
+MODEL_BYTES = 256 << 20
 
 
 def held_out(doc_id, remainder: int = 1, mod: int = 3):
@@ -51,7 +55,7 @@ def trigrams(text: str | None, letters: np.ndarray, n_bins: int = N_BINS) -> np.
 
 
 def profile(docs: DataFrame, n_bins: int = N_BINS) -> tuple[list[str], np.ndarray]:
-    """Languages, and for each the smoothed probabilities of the bins: (n_bins, languages). docs: text, lang."""
+    """Languages, and for each the smoothed probabilities of the bins: (bins, languages). docs: text, lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = kept_in_process("letters", letter_table)
@@ -76,13 +80,20 @@ def profile(docs: DataFrame, n_bins: int = N_BINS) -> tuple[list[str], np.ndarra
 
     rows = docs.select("text", "lang").mapInArrow(run, "lang string, bin int, n long")
     summed = written(rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "language_bins")
-    table = summed.toArrow()
+    known = summed.select("lang").distinct().count()
+    if known * 4 * 256 > MODEL_BYTES:
+        raise ValueError(f"{known} languages are too many for one model")
+    shift = 0
+    while known * 4 * (n_bins >> shift) > MODEL_BYTES:
+        shift += 1
+    bins = n_bins >> shift
+    table = summed.groupBy("lang", F.shiftright("bin", shift).alias("bin")).agg(F.sum("n").alias("n")).toArrow() if shift else summed.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
-    counts = np.full((n_bins, len(langs)), 0.5)
+    counts = np.full((bins, len(langs)), 0.5, np.float32)
     place = {x: k for k, x in enumerate(langs)}
     if langs:
         np.add.at(counts, (table.column("bin").to_numpy(), np.array([place[x] for x in table.column("lang").to_pylist()])), table.column("n").to_numpy())
-    return langs, (counts / counts.sum(axis=0)).astype(np.float32)
+    return langs, (counts / counts.sum(axis=0, dtype=np.float64)).astype(np.float32)
 
 
 def _fit(p: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -122,6 +133,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, langs a
 _TYPES = [pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))]
 
 
+@tidy
 def predicted(docs: DataFrame, n_bins: int = N_BINS, weight: float = 1.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score and langs (the set, largest share first) of each row of docs."""
     spark = docs.sparkSession
@@ -132,10 +144,11 @@ def predicted(docs: DataFrame, n_bins: int = N_BINS, weight: float = 1.0) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = kept_in_process("letters", letter_table)
         langs, table = model()
+        bins_of = max(1, len(table)) if langs else n_bins
         for batch in batches:
             out: list[list] = [batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), [], [], []]
             for text in batch.column("text").to_pylist():
-                bins = trigrams(text, letters, n_bins)
+                bins = trigrams(text, letters, bins_of)
                 found = mixture(bins, table, weight) if len(bins) and langs else {}
                 ranked = sorted(found.items(), key=lambda x: (-x[1], langs[x[0]]))
                 out[2].append(langs[ranked[0][0]] if ranked else "und")
