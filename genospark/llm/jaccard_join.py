@@ -3,10 +3,13 @@
 Texts with equal sets form a class, and one text stands for it from there on. Its MinHash
 signature is cut into trees of `deepest` values. Sorted prefixes of a tree's values are its
 trie; texts that share a prefix are compared by all values of their signatures, longest
-prefixes first, shortened until 1 - (1 - s^k)^trees at the threshold s reaches the target
-recall. What compares well enough is joined into clusters, and within a cluster every
-pair is verified on its whole sets, in blocks of bounded size, which report links counted and
-a spanning tree rather than pairs. Verified links, closed transitively, give the groups.
+prefixes first. Matching starts at the depth that finds pairs a quarter of the way from the threshold to 1 with the target
+recall: each match found tells, by its own similarity s, with which chance 1 - (1 - s^k)^trees a prefix of k values finds a pair like it, and so how many such pairs there are and which
+share of them shorter prefixes would find. Prefixes are shortened to the longest at which that share reaches the target
+recall, and again if the matches found then say so, at the latest to where any pair at the threshold is found
+with that chance. What compares well enough is joined into
+clusters, and within a cluster every pair is verified on its whole sets, in blocks of bounded size, which report links
+counted and a spanning tree rather than pairs. Verified links, closed transitively, give the groups.
 
 Buckets and clusters of any size are dealt out as pairs of chunks with `block` texts each, so
 a task holds two chunks at most; the time to verify a cluster grows with the square of its
@@ -31,19 +34,29 @@ from pyspark.sql import functions as F
 from genospark.llm.common import joined_by_key, kept_in_process, numbered, record_key, restored, small_batches, text_digest
 from genospark.llm.components import components
 from genospark.plans.batches import runs
-from genospark.plans.tables import tidy, written
+from genospark.plans.tables import collected, removed, tidy, written
 
 TREES, DEEPEST, N_WORDS, THRESHOLD, RECALL, BLOCK = 24, 6, 5, 0.8, 0.99999, 128
 
 
 def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix that finds pairs at the threshold with the recall asked for."""
+    """The longest prefix that finds any pair at the threshold with the recall asked for."""
     for k in range(deepest, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
     return 1
 
 
+def recalls(links: DataFrame, depth: int, threshold: float, trees: int) -> list[float]:
+    """For prefixes of 1 value, 2 and so on to depth: the share found of the links there are. Each link found at depth, of
+    similarity s (the share of values in which its signatures agree), stands for 1 / (1 - (1 - s^depth)^trees) of its
+    kind. All 0 where none is at the threshold or above, as nothing is known then."""
+    s = F.col("agree")
+    chance = lambda k: 1 - F.pow(1 - F.pow(s, k), trees)
+    row = links.filter(s >= threshold).agg(F.sum(1 / chance(depth)), *[F.sum(chance(k) / chance(depth)) for k in range(1, depth + 1)]).first()
+    return [(found or 0.0) / (row[0] or 1.0) for found in row[1:]]
+
+
 class _Hashes(dict):
     """8 bytes for each word; keeps up to `most`."""
 
@@ -150,26 +163,33 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _descend(sig: np.ndarray, tree: int, depth: int, deepest: int, least: int) -> np.ndarray:
-    """For each text of one bucket the first text of those it hangs together with by agreeing in `least`
-    values or more: prefixes of the tree's trie from the longest to the one that all share; texts
-    joined before are not compared."""
+def _descend(sig: np.ndarray, tree: int, depth: int, deepest: int, least: int) -> list[tuple[int, int, int]]:
+    """Links (x, y, values in which they agree) that join all texts of one bucket which hang together by agreeing in `least`
+    values or more: prefixes of the tree's trie from the longest to the one that all share; texts joined before are
+    not compared, and a bucket that is all joined is done."""
     m = len(sig)
-    root = np.arange(m)
+    root, links = np.arange(m), []
     for k in range(deepest, depth - 1, -1):
         prefix = np.ascontiguousarray(sig[:, tree * deepest : tree * deepest + k])
         node = np.unique(prefix, axis=0, return_inverse=True)[1].ravel()
         for x in range(m - 1):
             y = np.flatnonzero((node[x + 1 :] == node[x]) & (root[x + 1 :] != root[x])) + x + 1
-            for z in y[(sig[y] == sig[x]).sum(axis=1) >= least].tolist() if len(y) else ():
+            if not len(y):
+                continue
+            agree = (sig[y] == sig[x]).sum(axis=1)
+            for z, n in zip(y[agree >= least].tolist(), agree[agree >= least].tolist(), strict=True):
                 if root[z] != root[x]:
                     lo, hi = sorted((root[x], root[z]))
                     root[root == hi] = lo
-    return root
+                    links.append((x, z, n))
+        if not root.any():
+            break
+    return links
 
 
 def candidate_links(texts: DataFrame, trees: int, deepest: int, depth: int, threshold: float, block: int) -> DataFrame:
-    """(a, b): links to the first of those that may be similar. texts: (cls, sig), one row for each class."""
+    """(a, b, agree): links that join those that may be similar, with the share of values in which their signatures agree. texts:
+    (cls, sig), one row for each class."""
     keys = written(_keys(texts, trees, deepest, depth), "keys")
     shared = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("m", F.col("n"))
     rows = _chunked(joined_by_key(keys, shared, ["tree", "key"], "n"), "m", 2 * block)
@@ -187,20 +207,38 @@ def candidate_links(texts: DataFrame, trees: int, deepest: int, depth: int, thre
             sizes = np.diff(np.r_[starts, n])
             small = sizes <= 3
             a, b = _pairs(starts[small], sizes[small])
-            ok = np.zeros(len(a), bool)
+            agree = np.zeros(len(a), np.int64)
             for at in range(0, len(a), 20_000):
-                ok[at : at + 20_000] = (sig[a[at : at + 20_000]] == sig[b[at : at + 20_000]]).sum(axis=1) >= least
-            found = [(a[ok], b[ok])]
+                agree[at : at + 20_000] = (sig[a[at : at + 20_000]] == sig[b[at : at + 20_000]]).sum(axis=1)
+            ok = agree >= least
+            found = [(a[ok], b[ok], agree[ok])]
             for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                root = _descend(sig[s : s + m], int(keyed[s, 0]), depth, deepest, least)
-                y = np.flatnonzero(root != np.arange(m))
-                found.append((root[y] + s, y + s))
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                links = _descend(sig[s : s + m], int(keyed[s, 0]), depth, deepest, least)
+                if links:
+                    x, y, n = np.array(links).T
+                    found.append((x + s, y + s, n))
+            a, b, agree = (np.concatenate([f[k] for f in found]) for k in range(3))
             cls = t.column("cls").combine_chunks()
-            yield pa.RecordBatch.from_arrays([cls.take(pa.array(a)), cls.take(pa.array(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array(a)), cls.take(pa.array(b)), pa.array(agree / values)], names=["a", "b", "agree"])
 
     dealt = rows.repartition("tree", "key", "i", "j").sortWithinPartitions("tree", "key", "i", "j", "cls")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    links = dealt.mapInArrow(run, "a binary, b binary, agree double")
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return links.groupBy(a, b).agg(F.max("agree").alias("agree"))
+
+
+def shortened(texts: DataFrame, trees: int, deepest: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, int, float]:
+    """Links of candidate_links() at the depth at which shortening ends, that depth, and the recall estimated there."""
+    spark, last = texts.sparkSession, depth_for(recall, threshold, trees, deepest)
+    depth = depth_for(recall, threshold + (1 - threshold) / 4, trees, deepest)
+    while True:
+        with collected() as made:
+            links = written(candidate_links(texts, trees, deepest, depth, threshold, block), "candidates")
+        had = recalls(links, depth, threshold, trees)
+        if had[-1] >= recall or depth <= last:
+            return links, depth, had[-1]
+        removed(spark, made)
+        depth = max([last, *[k for k in range(last, depth) if had[k - 1] >= recall]])
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -279,14 +317,13 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = N_WORD
     """For each row of docs: doc_id, th (with doc_id, the record), class_id (least doc_id of its group of
     linked texts), copy_id (least doc_id with its set of shingles), n_copies (rows with that set),
     n_links (other sets it is similar to) and keeper (record_key of the group's first record)."""
-    depth = depth_for(recall, threshold, trees, deepest)
     rows = written(signatures(docs, n_words, trees, deepest), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(first.alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"))
     classes = written(classes, "classes")
 
-    links = written(candidate_links(classes.select("cls", "sig"), trees, deepest, depth, threshold, block).distinct(), "candidates")
-    clusters = components(links)
+    links, _, _ = shortened(classes.select("cls", "sig"), trees, deepest, threshold, recall, block)
+    clusters = components(links.select("a", "b"))
     sized = joined_by_key(clusters.withColumnRenamed("root", "cluster"), clusters.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "cluster").withColumn("m", F.col("n")), ["cluster"], "n").withColumnRenamed("m", "n")
     wanted = sized.join(classes, F.col("node") == F.col("cls")).select("cluster", "n", "cls", record_key(F.col("rep.doc_id"), F.col("rep.th")).alias("rk"))
     texts = docs.select(record_key(F.col("doc_id"), text_digest(F.col("text"))).alias("rk"), "text")
