@@ -12,48 +12,58 @@ from genospark.llm.common import documents
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every text before and after three edits, which a hash of doc_id places."""
+    """Trees of every text, then their revision by three edits, which a hash of doc_id places: counts before and after. Edge
+    cases: see token_counts."""
     docs = token_counts.revision(documents(spark, sf_dir, "doc_id", "text"))
-    return token_counts.edited_counts(docs, token_counts.read_ranks(), keep_text=False).drop("text_edited")
+    return token_counts.edited_counts(docs, token_counts.read_ranks(), keep_text=False)
 
 
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"), passages=True)
+    """Texts without repeated lines, paragraphs and passages, and what went. Edge cases: see substring_dedup."""
+    return substring_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, measures and the verdict on every document. Edge cases: see quality."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     return quality.judged(docs, keep=("doc_id",)).select("doc_id", *quality.RESULTS[:6], "kept", *quality.MEASURES)
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes. Edge cases: see sharding."""
     out, _ = sharding.sharded(documents(spark, sf_dir, "doc_id", "text"), 8)
     return out.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard", "vslot")
 
 
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Edge cases: see mixing."""
     return mixing.mixture(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a PNG, read back, and its hash. Edge cases: see media_png."""
     out = media_png.stored(documents(spark, sf_dir, "doc_id", "text"), keep_media=False)
     return out.drop("media").withColumn("phash", F.lower(F.hex("phash"))).withColumnRenamed("phash", "feature")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded, with its parity. Edge cases: see sp_tokens."""
     with open(sp_tokens.MODEL, "rb") as f:
         return sp_tokens.encoded(documents(spark, sf_dir, "doc_id", "text"), f.read(), keep_ids=False).drop("ids", "decoded")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group, class and links of every document. Edge cases: see jaccard_join."""
     return jaccard_join.similar(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every text. Edge cases: see gru_lm."""
     return gru_lm.scored(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, and the set it is mixed of. Edge cases: see langid."""
     return langid.predicted(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
