@@ -1,10 +1,10 @@
 """A gated recurrent language model over words, trained and applied with numpy.
 
 Corpus counts of all training tokens give the vocabulary: the `head` most frequent tokens, in
-classes of `members` by rank, and for the rest one class for each of `buckets` hashes of their
-last two bytes. The probability of a token is that of its class times that of the token in it.
-Both come from the recurrent state for head tokens; a rare token's probability within its
-class comes from the counts, (c + 1) / (N_b + V_b + 1) with its class's tokens and types. Biases
+classes of `members` by rank, and for the rest `buckets` hashes of their last two bytes, in four
+classes. The probability of a token is that of its class times that of the token, or its bucket, in it.
+Both come from the recurrent state; a rare token's probability within its
+bucket comes from the counts, (c + 1) / (N_b + V_b + 1) with its bucket's tokens and types. Biases
 start from the counts, so training starts from a unigram model.
 
 Training: truncated backpropagation over windows of `steps` tokens, state carried from one window
@@ -13,8 +13,8 @@ partitions start from the same parameters, train on their own documents and are
 sixteen at a time until one is left. A chunk of documents is cut into so many lanes (at most
 `lanes`) that it gives `updates` windows or more.
 
-Scoring: documents lie end to end in lanes, the state starts anew with each document and
-runs through all of it. Counts of tokens beyond the `known` most frequent ones come by a join.
+Scoring: documents lie end to end in lanes, of larger chunks so that a long one leaves the others company, the state
+starts anew with each document and runs through all of it. Counts of tokens beyond the `known` most frequent ones come by a join.
 
 Defined results: a null text counts as empty and has one token, its end; a null doc_id counts as
 empty for the split; without training tokens both scores are the base's, 0; repeated rows
@@ -26,22 +26,27 @@ from __future__ import annotations
 
 import ctypes
 import io
+import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import shipped, small_batches, written
-from genospark.llm.quality import bucket, bucket_top
+from genospark.llm.common import kept_in_process, shipped, small_batches
+from genospark.llm.quality import bucket
+from genospark.plans.tables import tidy, written
 
 END = b""
 #: Lanes that a short stream is cut into; windows of fewer than twice as many take shorter steps.
 LEAST_LANES = 16
+#: Rows of a softmax at once.
+ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -55,8 +60,10 @@ class Settings:
     updates: int = 128
     rate: float = 0.01
     rounds: int = 3
-    known: int = 131072
+    known: int = 262144
     chunk: int = 1_000_000
+    score_steps: int = 128
+    score_chunk: int = 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,38 +81,53 @@ def held_out(doc_id, remainder: int = 2, mod: int = 7):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == remainder
 
 
-def token_counts(texts: DataFrame, most: int = 200_000) -> DataFrame:
-    """(token, c) of all tokens of all texts. Each task sums what it holds before it sends."""
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of each of some texts on end, in Arrow's arrays, and where each text's begin, with the end of the last."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not filled.all():
+        ends = np.r_[0, np.cumsum(filled)][ends]
+        words = words.filter(pa.array(filled))
+    order = np.insert(np.arange(len(words)), ends[1:], len(words))
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(order)), ends + np.arange(len(ends))
+
+
+def token_counts(texts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(token, c) of all tokens of all texts. Each task sums what it holds before it sends, so that rows go out as they are: a
+    token, however frequent, is a row or two of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
-            counts.clear()
-            return out
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > most:
-                    yield flush()
-        if counts:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            found = pc.value_counts(tokenised(batch.column("text"))[0])
+            held.append(pa.table({"token": found.field(0), "c": found.field(1)}))
+            if sum(t.num_rows for t in held) > most:
+                held[:] = [summed()]
+                if held[0].num_rows > most // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
-    return texts.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "token binary, c long").repartition("token").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
     """Places of the most frequent tokens, their counts, and the figures of the rare classes."""
 
-    def __init__(self, words: list[bytes], counts: list[int], n: int, v: int, tail: dict[int, tuple[int, int]], s: Settings):
+    def __init__(self, words: list[bytes], counts: list[int], n: int, v: int, tail: dict[int, tuple[int, int]], s: Settings, least: int = 0):
         order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))
-        self.s, self.n, self.v = s, n, v
+        self.s, self.n, self.v, self.least, self.key = s, n, v, least, uuid.uuid4().hex
         self.counts = np.array([counts[k] for k in order], np.int64)
         self.words = [words[k] for k in order]
         self.head = min(s.head, len(order))
-        self.classes = max(1, -(-self.head // s.members))
+        self.classes, self.tail_members = max(1, -(-self.head // s.members)), max(1, s.buckets // 4)
         sums = np.zeros((s.buckets, 2), np.int64)
         for b, (a, t) in tail.items():
             sums[b] = a, t
@@ -117,42 +139,52 @@ class Vocabulary:
         self.tail_tokens, self.tail_types = sums.T
         self.whole = self.tail_tokens + self.tail_types + 1
 
-    def index(self) -> _Index:
-        return _Index(self.words, self.s.buckets)
+    def __getstate__(self) -> dict:
+        """Words as one piece: none holds a line end."""
+        return vars(self) | {"words": b"\n".join(self.words), "had": len(self.words)}
 
+    def __setstate__(self, state: dict) -> None:
+        had = state.pop("had")
+        vars(self).update(state, words=state["words"].split(b"\n") if had else [])
 
-class _Index(dict):
-    """A token's place, or -1 less its bucket."""
+    def index(self) -> dict[bytes, int]:
+        return dict(zip(self.words, range(len(self.words)), strict=True))
 
-    def __init__(self, words: list[bytes], buckets: int):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self._buckets = buckets
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-2:]) % self._buckets
+    def places(self, words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+        """Their places, or -1 less the bucket of those that are not in the vocabulary."""
+        at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        out = np.flatnonzero(at < 0).tolist()
+        at[out] = [-1 - tail_bucket(words[k], self.s.buckets) for k in out]
+        return at
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     """counts: (token, c), written. At most s.known rows come to the driver, by a bound on c found
     from a histogram of c."""
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    steps = sorted(counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    steps = sorted(counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect(), reverse=True)
     least, had = 0, 0
-    for b, n in steps:
+    for b, n, _ in steps:
         if had + n > s.known:
             least = b + 1
             break
         had += n
-    top = counts.filter(bucket(F.col("c")) >= least).collect()
+    top = counts.filter(bucket(F.col("c")) >= least).toArrow()
     b = F.crc32(F.substring("token", -2, 2)) % s.buckets
     rest = counts.filter(bucket(F.col("c")) < least).groupBy(b.cast("int").alias("b")).agg(F.sum("c"), F.count("*")).collect()
-    return Vocabulary([bytes(r.token) for r in top], [r.c for r in top], total[0], total[1], {r[0]: (r[1], r[2]) for r in rest}, s)
+    return Vocabulary(top.column("token").to_pylist(), top.column("c").to_pylist(), sum(x.c for x in steps), sum(x.n for x in steps), {r[0]: (r[1], r[2]) for r in rest}, s, least)
 
 
 def _row_sums(a: np.ndarray) -> np.ndarray:
     return a @ np.ones(a.shape[1], a.dtype)
 
 
+def _padded(x: np.ndarray) -> np.ndarray:
+    """Codes of (steps, lanes), flat, and of a further step of zeros."""
+    out = np.zeros(x.size + x.shape[1], np.intp)
+    out[: x.size] = x.ravel()
+    return out
+
+
 def keep_freed_memory() -> None:
     """Lets this worker's allocator reuse the arrays of one window for the next, where it is glibc's; it
     would else give them back and have every page cleared anew."""
@@ -169,82 +201,102 @@ class Gru:
 
     def __init__(self, v: Vocabulary, parts: list[np.ndarray] | None = None):
         s = self.s = v.s
-        self.members, self.classes, self.head = s.members, v.classes, v.head
+        self.members, self.tail_members, self.classes, self.head = s.members, v.tail_members, v.classes, v.head
+        #: Of each class, its tokens or buckets; of each code, its class and its place there.
+        self.sizes = [s.members] * self.classes + [min(self.tail_members, s.buckets - k) for k in range(0, s.buckets, self.tail_members)]
+        head, tail = np.arange(s.head), np.arange(s.buckets)
+        self.kind_of = np.r_[np.minimum(head // s.members, self.classes - 1), self.classes + tail // self.tail_members].astype(np.int16)
+        self.place_of = np.r_[head % s.members, tail % self.tail_members]
         if parts is None:
             rng = np.random.default_rng(11)
-            h, slots = s.hidden, v.classes * s.members
-            sums = np.zeros(v.classes + s.buckets)
-            sums[: v.classes] = np.bincount(np.arange(v.head) // s.members, v.counts[: v.head], v.classes)
-            sums[v.classes :] = v.tail_tokens
-            bw = np.full(slots, -30.0)
-            bw[: v.head] = np.log(v.counts[: v.head] / sums[np.arange(v.head) // s.members])
-            parts = [rng.normal(0, 0.3, (s.head + s.buckets, 3 * h)), rng.normal(0, h**-0.5, (h, 3 * h)), np.zeros((h, v.classes + s.buckets)), np.log((sums + 0.5) / max(v.n, 1)), np.zeros((v.classes, h, s.members)), bw.reshape(v.classes, s.members)]
+            h, every = s.hidden, len(self.sizes)
+            widest = max(self.sizes)
+            sums, bw = np.zeros(every), np.full((every, widest), -30.0)
+            for k, size in enumerate(self.sizes):
+                first = k * s.members if k < v.classes else (k - v.classes) * v.tail_members
+                counts = v.counts[first : min(first + size, v.head)] if k < v.classes else v.tail_tokens[first : first + size]
+                sums[k] = counts.sum()
+                bw[k, : len(counts)] = np.log((counts + (k >= v.classes) * 0.5) / max(1, sums[k]))
+            parts = [rng.normal(0, 0.3, (s.head + s.buckets, 3 * h)), rng.normal(0, h**-0.5, (h, 3 * h)), np.zeros((h, every)), np.log((sums + 0.5) / max(v.n, 1)), np.zeros((every, h, widest)), bw]
         self.parts = [p.astype(np.float32) for p in parts]
         self.emb, self.rec, self.wc, self.bc, self.ww, self.bw = self.parts
 
     def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States before each token, (steps, lanes, hidden), and after the last, (hidden, lanes): within the loop
-        units come first, so that each gate is one block. x, fresh (a document begins): (steps, lanes)."""
+        """States before each token, (hidden, steps + 1, lanes), and after the last, (hidden, lanes): units come first, so that each
+        gate is one block and embeddings are read a unit at a time. x, fresh (a document begins): (steps, lanes). The last
+        step is empty: without it units would lie a power of two apart and meet in the same lines of a cache."""
         n, lanes = self.s.hidden, x.shape[1]
-        before = np.empty((len(x), n, lanes), np.float32)
-        gates = np.ascontiguousarray(self.emb[x].transpose(0, 2, 1))
-        rec = np.ascontiguousarray(self.rec.T)
+        before = np.zeros((n, len(x) + 1, lanes), self.emb.dtype)
+        emb, rec = np.ascontiguousarray(self.emb.T), np.ascontiguousarray(self.rec.T)
+        emb[: 2 * n] *= -1  # what the two gates take exp of
+        rec[: 2 * n] *= -1
+        gates = np.take(emb, _padded(x), axis=1, mode="clip").reshape(3 * n, len(x) + 1, lanes)
         for t in range(len(x)):
             if fresh[t].any():
-                h = np.where(fresh[t], np.float32(0), h)
-            before[t] = h
+                h = np.where(fresh[t], h.dtype.type(0), h)
+            before[:, t] = old = h
             u = rec @ h
-            zr = u[: 2 * n] + gates[t, : 2 * n]
-            zr *= np.float32(-1)
+            zr = u[: 2 * n] + gates[: 2 * n, t]
             np.exp(zr, out=zr)
-            zr += np.float32(1)
+            zr += 1
             np.reciprocal(zr, out=zr)
             z, r, uc = zr[:n], zr[n:], u[2 * n :]
             c = r * uc
-            c += gates[t, 2 * n :]
+            c += gates[2 * n :, t]
             np.tanh(c, out=c)
             if keep is not None:
-                keep.append((z, r, c, uc))
+                keep.append((z, r, c, uc, old))
             h = h - c
             h *= z
             h += c
-        return before.transpose(0, 2, 1), h
-
-    def _kind(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes < self.s.head, codes // self.members, self.classes + codes - self.s.head)
+        return before, h
 
     def _sorted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(order, kinds in that order, where each class begins and the last ends): head tokens first, by class."""
-        kind = self._kind(codes).astype(np.int16)
-        order = np.argsort(kind, kind="stable")
-        kind = kind[order]
-        return order, kind, np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+        """(order, kinds in that order, where each class begins and the last ends): by code, and so by class."""
+        order = np.argsort(codes.astype(np.int16), kind="stable")
+        kind = self.kind_of[codes[order]]
+        return order, kind, np.searchsorted(kind, np.arange(len(self.sizes) + 1)).tolist()
+
+    def _tops(self) -> tuple[float, float]:
+        """Bounds of the logits of classes and members, as states lie within -1 and 1."""
+        return tuple(float((np.abs(w).sum(axis=-2) + np.abs(b)).max(initial=0)) for w, b in ((self.wc, self.bc), (self.ww, np.maximum(self.bw, 0))))
+
+    @staticmethod
+    def _bounded(a: np.ndarray, top: float) -> np.ndarray:
+        """Logits, in place, less their row's largest where some could overflow."""
+        if top > 80:
+            a -= a.max(axis=1, keepdims=True)
+        return a
 
     def log_probs(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Natural logs: of the class, and of the token in it for head tokens."""
+        """Natural logs of a token, or of its bucket. Rows go in blocks that stay in a core's cache."""
         order, kind, cuts = self._sorted(codes)
-        st, cd = states[order], codes[order]
-        a = st @ self.wc
-        a += self.bc
-        got = a[np.arange(len(cd)), kind]
-        got -= np.log(_row_sums(np.exp(a, out=a)))
-        for k in range(self.classes):
+        st, at = np.take(states.T, order, axis=1, mode="clip").T, self.place_of[codes[order]]
+        got, tops = np.empty(len(at), states.dtype), self._tops()
+        for i in range(0, len(at), ROWS):
+            a = st[i : i + ROWS] @ self.wc
+            a += self.bc
+            self._bounded(a, tops[0])
+            got[i : i + ROWS] = a[np.arange(len(a)), kind[i : i + ROWS]]
+            got[i : i + ROWS] -= np.log(_row_sums(np.exp(a, out=a)))
+        for k, size in enumerate(self.sizes):
             i, j = cuts[k], cuts[k + 1]
             if i < j:
-                b = st[i:j] @ self.ww[k]
-                b += self.bw[k]
-                got[i:j] += b[np.arange(j - i), cd[i:j] % self.members]
+                b = st[i:j] @ self.ww[k, :, :size]
+                b += self.bw[k, :size]
+                self._bounded(b, tops[1])
+                got[i:j] += b[np.arange(j - i), at[i:j]]
                 got[i:j] -= np.log(_row_sums(np.exp(b, out=b)))
         out = np.empty_like(got)
         out[order] = got
         return out
 
     @staticmethod
-    def _errors(a: np.ndarray, at: np.ndarray, scale) -> float:
+    def _errors(a: np.ndarray, at: np.ndarray, scale, top: float) -> float:
         """Turns logits, in place, into gradients of minus the mean log probability of the columns at; gives
         minus the sum of those."""
         rows = np.arange(len(a))
-        np.minimum(a, 80, out=a)
+        Gru._bounded(a, top)
         true = a[rows, at]
         np.exp(a, out=a)
         sums = _row_sums(a)
@@ -256,58 +308,62 @@ class Gru:
         """Of minus the mean log probability over the window's real tokens; the state after it; that mean."""
         n, keep = self.s.hidden, []
         before, after = self._run(x, fresh, h, keep)
-        flat, codes = before.reshape(-1, n), x.ravel()
+        flat, codes = before.reshape(n, -1), x.ravel()
         use = np.flatnonzero(real.ravel())
         order, kind, cuts = self._sorted(codes[use])
         use = use[order]
-        st, cd = flat[use], codes[use]
+        st, at = np.take(flat, use, axis=1, mode="clip"), self.place_of[codes[use]]
         scale = st.dtype.type(1 / max(1, len(use)))
         grads = [np.zeros_like(w) for w in self.parts]
-        p = st @ self.wc
-        p += self.bc
-        loss = self._errors(p, kind, scale)
-        grads[2], grads[3] = st.T @ p, _row_sums(p.T)
-        ds = p @ self.wc.T
-        for k in range(self.classes):
+        loss, ds, tops = 0.0, np.zeros((n, len(at) + 1), st.dtype), self._tops()
+        for i in range(0, len(at), ROWS):
+            own = st[:, i : i + ROWS]
+            p = own.T @ self.wc
+            p += self.bc
+            loss += self._errors(p, kind[i : i + ROWS], scale, tops[0])
+            grads[2] += own @ p
+            grads[3] += np.ones(len(p), p.dtype) @ p
+            ds[:, i : i + len(p)] = self.wc @ p.T
+        for k, size in enumerate(self.sizes):
             i, j = cuts[k], cuts[k + 1]
             if i < j:
-                q = st[i:j] @ self.ww[k]
-                q += self.bw[k]
-                loss += self._errors(q, cd[i:j] % self.members, scale)
-                grads[4][k], grads[5][k] = st[i:j].T @ q, _row_sums(q.T)
-                ds[i:j] += q @ self.ww[k].T
-        dh_out = np.zeros_like(flat)
-        dh_out[use] = ds
-        dh_out = np.ascontiguousarray(dh_out.reshape(before.shape).transpose(0, 2, 1))
-        prev = before.transpose(0, 2, 1)
-        dg, du = (np.empty((len(x), 3 * n, x.shape[1]), flat.dtype) for _ in range(2))
-        dh = np.zeros_like(dh_out[0])
+                q = st[:, i:j].T @ self.ww[k, :, :size]
+                q += self.bw[k, :size]
+                loss += self._errors(q, at[i:j], scale, tops[1])
+                grads[4][k, :, :size], grads[5][k, :size] = st[:, i:j] @ q, np.ones(j - i, q.dtype) @ q
+                ds[:, i:j] += self.ww[k, :, :size] @ q.T
+        place = np.full(flat.shape[1], len(at))
+        place[use] = np.arange(len(at))
+        dh_out = np.take(ds, place, axis=1, mode="clip").reshape(before.shape)
+        dg, du = (np.zeros((3 * n, *before.shape[1:]), flat.dtype) for _ in range(2))
+        dh = np.zeros_like(dh_out[:, 0])
         for t in range(len(x) - 1, -1, -1):
-            z, r, c, uc = keep[t]
-            g = dg[t]
+            z, r, c, uc, old = keep[t]
+            g = np.empty((3 * n, x.shape[1]), flat.dtype)
             dz, dr, dc = g[:n], g[n : 2 * n], g[2 * n :]
             np.subtract(1, z, out=dz)
             np.multiply(dh, dz, out=dc)
             dz *= z
             dz *= dh
-            dz *= prev[t] - c
+            dz *= old - c
             dc *= 1 - c * c
             np.subtract(1, r, out=dr)
             dr *= r
             dr *= uc
             dr *= dc
-            du[t, : 2 * n] = g[: 2 * n]
-            np.multiply(dc, r, out=du[t, 2 * n :])
+            dg[:, t] = g
+            dc *= r
+            du[:, t] = g
             dh *= z
-            dh += self.rec @ du[t]
-            dh += dh_out[t]
+            dh += self.rec @ g
+            dh += dh_out[:, t]
             if fresh[t].any():
                 dh[:, fresh[t]] = 0
-        grads[1] += np.matmul(prev, du.transpose(0, 2, 1)).sum(axis=0)
-        order = np.argsort(codes.astype(np.int16), kind="stable")
-        firsts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-        rows = dg.transpose(0, 2, 1).reshape(-1, 3 * n)[order]
-        grads[0][codes[order][firsts]] = np.add.reduceat(rows, firsts, axis=0)
+        grads[1] += flat @ du.reshape(3 * n, -1).T
+        if len(use):
+            own = codes[use]
+            firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            grads[0][own[firsts]] = np.add.reduceat(np.take(dg.reshape(3 * n, -1), use, axis=1, mode="clip"), firsts, axis=1).T
         return grads, after, loss * float(scale)
 
     def to_bytes(self) -> bytes:
@@ -335,21 +391,23 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
 
 
 def windows(codes: list[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, fresh, real, doc) of (steps, lanes still going); lanes that have ended fall away."""
+    """(x, fresh, real, doc) of (steps, lanes still going); lanes that have ended fall away. Lanes lie on end in memory, so that a
+    long one costs no more than its own tokens."""
     lengths = np.array([len(c) for c in codes])
     rows = lanes_of(lengths, lanes)
-    ends = [int(lengths[r].sum()) for r in rows]
-    x = np.zeros((len(rows), ends[0]), np.int32)
-    doc, fresh = np.full(x.shape, -1, np.int32), np.zeros(x.shape, bool)
-    for k, r in enumerate(rows):
-        x[k, : ends[k]] = np.concatenate([codes[d] for d in r])
-        doc[k, : ends[k]] = np.repeat(r, lengths[r])
-        fresh[k, np.cumsum(lengths[r])[:-1]] = True
-    fresh[:, 0] = True
-    for at in range(0, ends[0], steps):
-        n = sum(e > at for e in ends)
-        part = [np.ascontiguousarray(m[:n, at : at + steps].T) for m in (x, fresh, doc)]
-        yield part[0], part[1], part[2] >= 0, part[2]
+    ends = np.array([lengths[r].sum() for r in rows])
+    order = np.concatenate(rows)
+    x, doc = np.concatenate([codes[d] for d in order]), np.repeat(order, lengths[order]).astype(np.int32)
+    begins = np.zeros(len(x), bool)
+    begins[np.cumsum(lengths[order])[:-1]] = True
+    begins[0] = True
+    starts = np.cumsum(ends) - ends
+    for at in range(0, int(ends[0]), steps):
+        n = int((ends > at).sum())
+        t = np.arange(at, min(at + steps, int(ends[0])))[:, None]
+        real = t < ends[:n]
+        where = starts[:n] + np.minimum(t, ends[:n] - 1)
+        yield x[where], begins[where] & real, real, np.where(real, doc[where], -1)
 
 
 def streams(codes: list[np.ndarray], lanes: int, steps: int, updates: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -379,14 +437,22 @@ def train(gru: Gru, codes: list[np.ndarray], state: dict | None = None) -> tuple
         h = np.zeros((s.hidden, x.shape[1]), np.float32) if h is None else h
         grads, h, loss = gru.gradients(x, fresh, real, h)
         state["t"] = t = state.get("t", 0) + 1
-        norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads)))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         rate = s.rate * min(1.0, t / 20) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * min(1.0, real.sum() / (s.steps * 2 * LEAST_LANES))
-        for p, g, a, b in zip(gru.parts, grads, m, v, strict=True):
-            g *= clip
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            p -= np.float32(rate) * a / (np.sqrt(b) + np.float32(1e-6))
+        for p, g, a, b in zip(gru.parts, grads, m, v, strict=True):  # in place: none of these arrays is small
+            g *= np.float32(clip)
+            a *= np.float32(0.9)
+            a += g * np.float32(0.1)
+            np.square(g, out=g)
+            g *= np.float32(0.01)
+            b *= np.float32(0.99)
+            b += g
+            np.sqrt(b, out=g)
+            g += np.float32(1e-6)
+            np.divide(a, g, out=g)
+            g *= np.float32(rate)
+            p -= g
         n += int(real.sum())
         lost += loss * int(real.sum())
     return n, lost / max(1, n)
@@ -397,57 +463,83 @@ def scores(gru: Gru, codes: list[np.ndarray], lanes: int = 256) -> np.ndarray:
     lengths = np.array([len(c) for c in codes])
     lanes = int(max(32, min(lanes, lengths.sum() // max(1, lengths.max()))))
     out, h = np.zeros(len(codes)), None
-    for x, fresh, real, doc in windows(codes, lanes, gru.s.steps):
+    for x, fresh, real, doc in windows(codes, lanes, gru.s.score_steps):
         h = np.zeros((gru.s.hidden, x.shape[1]), np.float32) if h is None else h[:, : x.shape[1]]
         before, h = gru._run(x, fresh, h)
         use = real.ravel()
-        lp = gru.log_probs(before.reshape(-1, gru.s.hidden)[use], x.ravel()[use])
+        flat = before.reshape(gru.s.hidden, -1)[:, : len(use)]
+        lp = gru.log_probs((flat if use.all() else flat[:, use]).T, x.ravel()[use])
         out += np.bincount(doc.ravel()[use], lp, len(codes))
     return out
 
 
-def _coded(v: Vocabulary, index: _Index, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tokens, places in the vocabulary (below 0: rare), codes."""
-    words = tokens(text)
-    at = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-    return words, at, np.where(at >= 0, v.code[np.maximum(at, 0)] if len(v.code) else 0, v.s.head - 1 - at).astype(np.int32)
-
-
-def trained(docs: DataFrame, v: Vocabulary) -> bytes:
-    """Parameters after all rounds. docs: doc_id and text of the training documents."""
-    spark, s = docs.sparkSession, v.s
-    sent = shipped(spark, "vocabulary", (v, v.index()))
+def coded(docs: DataFrame, v: Vocabulary, sent: Callable) -> DataFrame:
+    """(doc_id, held_out, round, codes, n_tokens, known, base, inner, rare) of each row of docs: the codes of its tokens, what the
+    counts of known ones give, and the rare tokens, whose counts a join brings."""
+    s = v.s
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(s.rounds)).cast("int")
+    names = ["doc_id", "held_out", "round", "codes", "n_tokens", "known", "base", "inner", "rare"]
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, index = sent()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = sent()
+        index = kept_in_process("vocabulary_index", voc.index, voc.key)
+        base = np.log10((voc.counts + 1) / (voc.n + voc.v + 1))
+        inner = np.where(np.arange(len(voc.code)) < voc.head, 0, np.log10((voc.counts + 1) / voc.whole[np.maximum(voc.code - voc.s.head, 0)]))
+        code = np.r_[voc.code, voc.s.head + np.arange(voc.s.buckets - 1, -1, -1)].astype(np.int16)  # a place below 0 counts from the end
+        base, inner = (np.r_[x, np.zeros(voc.s.buckets)] for x in (base, inner))
         for batch in batches:
-            out = [_coded(voc, index, x)[2].astype(np.int16).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(out, pa.binary())], names=["round", "codes"])
-
-    coded = written(docs.select(part.alias("round"), "text").mapInArrow(code, "round int, codes binary"), "lm_codes")
+            if not batch.num_rows:
+                continue
+            words, ends = tokenised(batch.column("text"))
+            distinct = words.dictionary_encode()
+            known = distinct.dictionary.to_pylist()
+            at = voc.places(known, index)[distinct.indices.to_numpy()]
+            per = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            there = at >= 0
+            rare = np.flatnonzero(~there)
+            starts = np.r_[0, np.cumsum(np.bincount(per[rare], minlength=batch.num_rows))].astype(np.int32)
+            codes = code[at]
+            columns = (
+                pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(codes)]),
+                pa.array(np.diff(ends)),
+                pa.array(np.bincount(per, there, batch.num_rows).astype(np.int64)),
+                pa.array(np.bincount(per, base[at], batch.num_rows)),
+                pa.array(np.bincount(per, inner[at], batch.num_rows)),
+                pa.ListArray.from_arrays(pa.array(starts), words.take(pa.array(rare))),
+            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
+
+    return docs.select("doc_id", "held_out", part.alias("round"), "text").mapInArrow(run, "doc_id long, held_out boolean, round int, codes binary, n_tokens long, known long, base double, inner double, rare array<binary>")
+
+
+def trained(learnt: DataFrame, v: Vocabulary, sent: Callable) -> bytes:
+    """Parameters after all rounds. learnt: round and codes of the training documents, written."""
+    spark, s = learnt.sparkSession, v.s
     params = Gru(v).to_bytes()
     for k in range(s.rounds):
         start = spark.sparkContext.broadcast(params)
 
         def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             keep_freed_memory()
-            gru, state, held, n = Gru(sent()[0], Gru.parts_of(start.value)), {}, [], 0
+            gru, state, held, n = Gru(sent(), Gru.parts_of(start.value)), {}, [], 0
 
-            def learn() -> None:
-                nonlocal n
-                n += train(gru, held, state)[0]
-                held.clear()
+            def learn(most: int) -> None:
+                """Trains on the first documents held, so many tokens or just more."""
+                nonlocal n, size
+                ends = np.cumsum([len(c) for c in held])
+                k = int(np.searchsorted(ends, most)) + 1
+                n += train(gru, held[:k], state)[0]
+                size -= int(ends[min(k, len(ends)) - 1]) if held else 0
+                del held[:k]
 
             size = 0
             for batch in batches:
                 for x in batch.column("codes").to_pylist():
-                    held.append(np.frombuffer(x, np.int16).astype(np.int32))
+                    held.append(np.frombuffer(x, np.int16))
                     size += len(held[-1])
-                    if size >= s.chunk:
-                        learn()
-                        size = 0
-            learn()
+                while size >= 2 * s.chunk:  # the last chunk is no remainder, which would take as many windows for few tokens
+                    learn(s.chunk)
+            learn(size)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([gru.to_bytes()], pa.binary())], names=["n", "params"])
 
@@ -463,7 +555,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> bytes:
                 np.savez(out, *[(p / total).astype(np.float32) for p in sums])
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["n", "params"])
 
-        fitted = written(coded.filter(F.col("round") == k).select("codes").mapInArrow(fit, "n long, params binary"), "lm_params")
+        fitted = written(learnt.filter(F.col("round") == k).select("codes").mapInArrow(fit, "n long, params binary"), "lm_params")
         left = fitted.count()
         while left > 1:
             left = -(-left // 16)
@@ -474,58 +566,62 @@ def trained(docs: DataFrame, v: Vocabulary) -> bytes:
     return params
 
 
+@tidy
 def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    learnt = docs.filter(~F.col("held_out"))
-    counts = written(token_counts(learnt), "lm_counts")
+    counts = written(token_counts(docs.filter(~F.col("held_out"))), "lm_counts")
     v = vocabulary(counts, s)
-    sent = shipped(spark, "language_model", (v, v.index(), trained(learnt, v) if v.n else None))
+    sent = shipped(spark, "vocabulary", v)
+    first = written(coded(docs, v, sent).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
+    params = shipped(spark, "language_model", trained(first.filter(~F.col("held_out")), v, sent) if v.n else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        voc, index, params = sent()
-        gru = Gru(voc, Gru.parts_of(params)) if params else None
-        base = np.log10((voc.counts + 1) / (voc.n + voc.v + 1))
-        inner = np.where(np.arange(len(voc.code)) < voc.head, 0, np.log10((voc.counts + 1) / voc.whole[np.maximum(voc.code - voc.s.head, 0)]))
-        held: list[tuple] = []
+        parts = params()
+        gru = Gru(sent(), Gru.parts_of(parts)) if parts else None
+        rows: list[list] = [[] for _ in names]
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            neural = scores(gru, [h[2] for h in held]) / np.log(10) if gru else np.zeros(len(held))
-            cols = list(zip(*held, strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array([len(c) for c in cols[2]], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(neural + np.array(cols[5])), pa.array(cols[6], pa.list_(pa.binary()))], names=["doc_id", "held_out", "n_tokens", "known", "base", "neural", "rare"])
-            held.clear()
+            neural = scores(gru, held) / np.log(10) if gru else np.zeros(len(held))
+            out = pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(rows, types, strict=True)], pa.array(neural)], names=[*names, "neural"])
+            for x in (held, *rows):
+                x.clear()
             return out
 
         size = 0
         for batch in batches:
-            for doc_id, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                words, at, codes = _coded(voc, index, text)
-                there = at[at >= 0]
-                held.append((doc_id, out, codes, len(there), float(base[there].sum()), float(inner[there].sum()), [words[k] for k in np.flatnonzero(at < 0)]))
-                size += len(words)
-                if size >= s.chunk:
+            columns = [batch.column(c).to_pylist() for c in names]
+            for k, x in enumerate(batch.column("codes").to_pylist()):
+                for own, column in zip(rows, columns, strict=True):
+                    own.append(column[k])
+                held.append(np.frombuffer(x, np.int16))
+                size += len(held[-1])
+                if size >= s.score_chunk:
                     yield flush()
                     size = 0
         if held:
             yield flush()
 
-    first = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, rare array<binary>")
-    first = written(first.withColumn("row", F.monotonically_increasing_id()), "lm_rows")
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    out = first.select(*names, "codes").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, neural double")
     rare = first.select("row", F.explode("rare").alias("token"))
     whole = F.element_at(F.array(*[F.lit(int(x)) for x in v.whole]), (F.crc32(F.substring("token", -2, 2)) % s.buckets).cast("int") + 1)
-    found = rare.join(counts, "token", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"), whole.alias("whole"))
+    others = counts.filter(bucket(F.col("c")) < v.least)  # a rare token is none of those in the vocabulary
+    found = rare.join(others, "token", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"), whole.alias("whole"))
     sums = found.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("more"), F.sum(F.log10((F.col("c") + 1) / F.lit(v.n + v.v + 1))).alias("b"), F.sum(F.log10((F.col("c") + 1) / F.col("whole"))).alias("t"))
     zero = F.lit(0)
     base = F.col("base") + F.coalesce("b", zero)
-    return first.drop("rare").join(sums, "row", "left").select(
+    return out.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
         F.lit(v.n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("neural") + F.coalesce("t", zero) if v.n else base).alias("score"),
+        (F.col("neural") + F.col("inner") + F.coalesce("t", zero) if v.n else base).alias("score"),
     )

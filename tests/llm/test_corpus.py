@@ -727,7 +727,7 @@ def test_scores_by_brute_force(spark, docs, rows):
     rng = np.random.default_rng(0)
     g.parts = [p + rng.normal(0, 0.3, p.shape).astype(np.float32) for p in g.parts]
     g.emb, g.rec, g.wc, g.bc, g.ww, g.bw = g.parts
-    codes = [np.array([v.code[index[w]] if index[w] >= 0 else s.head - 1 - index[w] for w in gru_lm.tokens(r[1])]) for r in rows if len(r[1] or "") < 5000]
+    codes = [np.array([v.code[k] if k >= 0 else s.head - 1 - k for k in v.places(gru_lm.tokens(r[1]), index)]) for r in rows if len(r[1] or "") < 5000]
     got = gru_lm.scores(g, codes)
     sig = lambda a: 1 / (1 + np.exp(-a))
     for one, want in zip(codes, got, strict=True):
