@@ -11,8 +11,8 @@ with that chance. What compares well enough is joined into
 clusters, and within a cluster every pair is verified on its whole sets, in blocks of bounded size, which report links
 counted and a spanning tree rather than pairs. Verified links, closed transitively, give the groups.
 
-Buckets and clusters of any size are dealt out as pairs of chunks with `block` texts each, so
-a task holds two chunks at most; the time to verify a cluster grows with the square of its
+Clusters of any size are dealt out as pairs of chunks with `block` texts each, and buckets, of which only signatures
+are compared, with 8 * `block`, so a task holds two chunks at most; the time to verify a cluster grows with the square of its
 distinct texts, and that is not shortened by leaving anything out.
 
 Defined results: a text of 1 to 4 words has one shingle, all of its words; a null or blank text
@@ -192,7 +192,7 @@ def candidate_links(texts: DataFrame, trees: int, deepest: int, depth: int, thre
     (cls, sig), one row for each class."""
     keys = written(_keys(texts, trees, deepest, depth), "keys")
     shared = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("m", F.col("n"))
-    rows = _chunked(joined_by_key(keys, shared, ["tree", "key"], "n"), "m", 2 * block)
+    rows = _chunked(joined_by_key(keys, shared, ["tree", "key"], "n"), "m", 8 * block)
     rows = rows.join(texts, "cls").select("tree", "key", "i", "j", "cls", "sig")
     values = trees * deepest
     share = threshold - 5.5 * (threshold * (1 - threshold) / values) ** 0.5  # a true link agrees in fewer values once in 10^7
