@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genospark.llm import gru_lm, jaccard_join, langid, media_png, mixing, quality, sharding, sp_tokens, sql, substring_dedup, token_counts
+from genospark.llm import collocations, filter_audit, gru_lm, jaccard_join, langid, media_png, mixing, multiset_hash, quality, sharding, sp_tokens, sql, substring_dedup, token_counts
 from genospark.llm.common import documents
 
 
@@ -67,8 +67,25 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness. Edge cases: see multiset_hash."""
+    found = multiset_hash.compared(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_paragraphs")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language. Edge cases: see collocations."""
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, by source. Edge cases: see filter_audit."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filter_audit.audited(filter_audit.failures(documents(spark, sf_dir, "doc_id", "text", "source"), labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_unit_dedup, op3_quality_rules, op4_virtual_slots, op5_png_media, op6_sentencepiece, op7_weighted_mix, op8_jaccard_join, op9_gru_scores, op10_language_mixture)
+    for f in (op1_token_counts, op2_unit_dedup, op3_quality_rules, op4_virtual_slots, op5_png_media, op6_sentencepiece, op7_weighted_mix, op8_jaccard_join, op9_gru_scores, op10_language_mixture, op11_multiset_hash, op12_collocations, op13_filter_audit)
 }
-ORACLES = {"op3_quality_rules": sql.QUALITY, "op7_weighted_mix": sql.MIXING}
+ORACLES = {"op3_quality_rules": sql.QUALITY, "op7_weighted_mix": sql.MIXING, "op12_collocations": sql.COLLOCATIONS, "op13_filter_audit": sql.AUDIT}

@@ -71,3 +71,46 @@ o AS (SELECT rw.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE le
 SELECT doc_id, size, source_size, target,
     CAST(size * (epochs + CASE WHEN epochs < 3 AND size > 0 AND upto - size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+u AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+o AS (SELECT lang, phrase, max(a) AS longer FROM u GROUP BY ALL),
+s AS (SELECT c.lang, c.phrase, a, w, unnest(range(1, k)) AS cut FROM c LEFT JOIN o ON c.lang = o.lang AND c.phrase = o.phrase WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a),
+t AS (SELECT s.lang, s.phrase, a, cut, x.f AS l, y.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM s JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t) AS INT) + 8 * CAST(regexp_matches(d.t, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(d.doc_id > first, false) AS INT) AS fails
+    FROM d JOIN m ON d.t = m.t LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+p AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS o, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bs FROM f f1, f f2, f f3, f f4, f f5
+    WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31 AND len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+s AS (SELECT o, k AS step, bs[k] AS b, CAST(coalesce(list_sum(bs[1:k - 1]), 0) AS INT) AS before FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+e AS (SELECT DISTINCT b, before FROM s),
+v AS (SELECT part, b, before, sum(CASE WHEN fails & (before | b) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & before = 0 AND fails & b > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN fails & before > 0 AND fails & b > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = b THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN fails & before = 0 AND fails & b > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & b > 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM c, e GROUP BY ALL),
+h AS (SELECT part, b, sum(removed) AS shapley FROM s JOIN v USING (b, before) GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM s JOIN v USING (b, before) JOIN h USING (part, b)
+"""
