@@ -47,8 +47,32 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) if not (v <= 0 and v == int(v)) else math.inf for v in np.ravel(x)]).reshape(np.shape(x))
 
 
+def _struve_far(x: np.ndarray, nu: np.ndarray) -> np.ndarray:
+    """H for x > 20: Y plus its difference to H, both as integrals over smooth integrands. With c = (x / 2)^nu 2 / (sqrt(pi)
+    Gamma(nu + 1/2)), H - Y is c times the integral of exp(-x t) (1 + t^2)^(nu - 1/2) over t > 0 (nu > -1/2 not needed there),
+    and Y is the imaginary part of the Hankel function's integral of exp(-u) u^(nu - 1/2) (1 + i u / 2x)^(nu - 1/2)."""
+    out = np.empty_like(x)
+    a = np.linspace(-40.0, 5.0, 3001)  # u = exp(a): the integrand falls off at both ends for nu > -1/2
+    u, step = np.exp(a), a[1] - a[0]
+    for k, (y, n) in enumerate(zip(x.tolist(), nu.tolist(), strict=True)):
+        lift = max(0, math.ceil(0.5 - n))  # orders below 1/2 from two above, by the recurrence
+        values = []
+        for m in (n + lift, n + lift + 1):
+            t = u / y
+            over = (np.exp(-u + m * math.log(y / 2) - math.lgamma(m + 0.5) + (m - 0.5) * np.log1p(t * t)) * t).sum() * step * 2 / math.sqrt(math.pi)
+            hankel = (np.exp(-u + (m + 0.5) * a - math.lgamma(m + 0.5)) * (1 + 0.5j * u / y) ** (m - 0.5)).sum() * step
+            values.append(over + (math.sqrt(2 / (math.pi * y)) * np.exp(1j * (y - m * math.pi / 2 - math.pi / 4)) * hankel).imag)
+        low, high = values
+        for m in (n + lift - d for d in range(lift)):  # H(m - 1) = 2m/x H(m) - H(m + 1) + (x/2)^m / (sqrt(pi) Gamma(m + 3/2))
+            pole = m + 1.5 <= 0 and (m + 1.5) % 1 == 0
+            low, high = 2 * m / y * low - high + (0.0 if pole else (y / 2) ** m / (math.sqrt(math.pi) * math.gamma(m + 1.5))), low
+        out[k] = low
+    return out
+
+
 def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False) -> np.ndarray:
-    """H (sign -1) or L (sign 1) by its power series; 0 at 0 for nu > -1, else NaN for x <= 0."""
+    """H (sign -1) or L (sign 1) by its power series, H beyond x = 20 by integrals, as the terms of alternating sign cancel
+    there; 0 at 0 for nu > -1, else NaN for x <= 0."""
     x, nu = np.broadcast_arrays(np.asarray(x, float), np.asarray(nu, float))
     out = np.full(x.shape, np.nan)
     out[(x == 0) & (nu > -1)] = 0
@@ -56,12 +80,15 @@ def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False)
     h, v = x[ok] / 2, nu[ok]
     first = np.array([1 / (math.gamma(1.5) * math.gamma(n + 1.5)) if n + 1.5 > 0 or (n + 1.5) % 1 else 0.0 for n in v]) if len(v) else v
     term, total = np.ones_like(h), np.ones_like(h)
-    for k in range(20_000):
-        term = term * sign * h * h / ((k + 1.5) * (k + v + 1.5))
-        total += term
-        if not (np.abs(term) > 1e-17 * np.abs(total)).any():
-            break
-    out[ok] = total * first * h ** (v + 1) * (np.exp(-x[ok]) if scaled else 1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(20_000):
+            term = term * sign * h * h / ((k + 1.5) * (k + v + 1.5))
+            total += term
+            if not (np.abs(term) > 1e-17 * np.abs(total)).any():
+                break
+        out[ok] = total * first * h ** (v + 1) * (np.exp(-x[ok]) if scaled else 1)
+    if sign < 0 and (far := x > 20).any():
+        out[far] = _struve_far(x[far], nu[far]) * (np.exp(-x[far]) if scaled else 1)
     return out
 
 

@@ -7,10 +7,13 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genospark.plans.tables import written
+
 SNP, INDIV, DOSAGE = "snp_idx", "indiv_idx", "dosage"
 NORMALIZE = ("none", "global", "centring")
 MISSING = ("error", "zero", "mean")
-CENTRING = ("none", "row", "column")
+CENTRING = ("none", "row", "column", "user")
+FREQ = ("data", "given")
 #: Flags without a counterpart here: results do not depend on them.
 RUNTIME = ("use_gpu", "cores", "float_loop", "mean_subtract", "variant", "print_details", "verbose")
 
@@ -19,16 +22,18 @@ RUNTIME = ("use_gpu", "cores", "float_loop", "mean_subtract", "variant", "print_
 class Options:
     """What changes results. center and centring: what products take off (see geno_product); normalize: "global" divides by
     the scale of the centred genotypes, "centring" crossproducts by the roots of their diagonal; squared: crossproducts
-    cell by cell; missing: refuse NULL dosages, take them as 0, or as twice the frequency."""
+    cell by cell; missing: refuse NULL dosages, take them as 0, or as twice the frequency; freq: the data's own frequencies, or
+    those that the handle is given."""
 
     center: bool = True
     centring: str = "row"
     normalize: str = "none"
     missing: str = "error"
     squared: bool = False
+    freq: str = "data"
 
     def __post_init__(self):
-        for value, allowed in ((self.centring, CENTRING), (self.normalize, NORMALIZE), (self.missing, MISSING)):
+        for value, allowed in ((self.centring, CENTRING), (self.normalize, NORMALIZE), (self.missing, MISSING), (self.freq, FREQ)):
             if value not in allowed:
                 raise ValueError(f"{value!r} is not one of {allowed}")
 
@@ -39,12 +44,12 @@ class Options:
         return spark.createDataFrame([(f.name, str(getattr(self, f.name))) for f in fields(self)], "name string, value string")
 
     @classmethod
-    def of_flags(cls, ignore_missings: bool = False, do_not_center: bool = False, do_normalize: bool = False, **runtime) -> Options:
+    def of_flags(cls, ignore_missings: bool = False, do_not_center: bool = False, do_normalize: bool = False, own_freq: bool = True, **runtime) -> Options:
         """From the flags of a foreign interface, two of which deny. Flags that choose a device, a kernel, threads or
         messages are taken and change nothing, as Spark plans that; others are an error."""
         if unknown := set(runtime) - set(RUNTIME):
             raise ValueError(f"unknown flags {sorted(unknown)}")
-        return cls(center=not do_not_center, centring="none" if do_not_center else "row", normalize="global" if do_normalize else "none", missing="zero" if ignore_missings else "error")
+        return cls(center=not do_not_center, centring="none" if do_not_center else "row", normalize="global" if do_normalize else "none", missing="zero" if ignore_missings else "error", freq="data" if own_freq else "given")
 
     @classmethod
     def matched(cls, **values) -> Options:
@@ -82,11 +87,15 @@ def settled(geno: DataFrame, missing: str = "error") -> DataFrame:
 
 
 class GenotypeMatrix:
-    """A handle on a genotype relation: kept in memory or disk of the executors while it is used."""
-
-    def __init__(self, geno: DataFrame, options: Options = Options()):
-        self.df, self.options = settled(geno.select(SNP, INDIV, DOSAGE), options.missing), options
-        self._freq: DataFrame | None = None
+    """A handle on a genotype relation: kept in memory or disk of the executors while it is used. What it gives is computed at
+    once, into a table, and so outlives it. freq: (snp_idx, freq), which the option "given" takes; centre: (snp_idx, centre), which
+    the centring "user" takes off."""
+
+    def __init__(self, geno: DataFrame, options: Options = Options(), freq: DataFrame | None = None, centre: DataFrame | None = None):
+        if options.freq == "given" and freq is None or options.center and options.centring == "user" and centre is None:
+            raise ValueError("given frequencies and a user's centring need a table of them")
+        self.df, self.options, self.centre = settled(geno.select(SNP, INDIV, DOSAGE), options.missing), options, centre
+        self._freq: DataFrame | None = freq if options.freq == "given" else None
         self._sizes: tuple[int, int] | None = None
 
     def __enter__(self) -> GenotypeMatrix:
@@ -115,7 +124,7 @@ class GenotypeMatrix:
         from genospark.operators.stats import allele_freq
 
         if self._freq is None:
-            self._freq = allele_freq(self.df)
+            self._freq = written(allele_freq(self.df), "freq")
         return self._freq
 
     def multiply(self, b: DataFrame, trans: str = "N") -> DataFrame:
@@ -126,14 +135,16 @@ class GenotypeMatrix:
         last = b.agg(F.max("idx")).first()[0]
         if last is not None and last >= self.sizes[int(transposed)]:
             raise ValueError(f"row {last} of the factor lies beyond {self.sizes[int(transposed)]}")
-        return geno_product(self.df, b, transposed, o.center, self.freq(), o.centring, o.normalize)
+        return written(geno_product(self.df, b, transposed, o.center, self.freq(), o.centring, o.normalize, self.centre), "product")
 
     def crossprod(self, over: str = SNP) -> DataFrame:
         """(i, j, v) of the crossproduct, centred, divided and squared as the options say."""
         from genospark.operators.products import centred_crossprod
 
         o = self.options
-        return centred_crossprod(self.df, over, o.centring if o.center else "none", o.normalize, o.squared)
+        if o.centring == "user":
+            raise ValueError("crossproducts take off means, not a user's centre")
+        return written(centred_crossprod(self.df, over, o.centring if o.center else "none", o.normalize, o.squared), "crossprod")
 
 
 def zero_matrix(spark: SparkSession, snps: int, individuals: int) -> DataFrame:

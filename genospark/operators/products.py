@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospark.model import CENTRING, DOSAGE, INDIV, NORMALIZE, SNP
+from genospark.operators.stats import is_whole, total
 from genospark.plans.batches import runs
 from genospark.plans.tables import written
 
@@ -76,22 +77,40 @@ def checked_length(b: DataFrame, size: int) -> DataFrame:
     return b.select(F.expr(f"pos % {size}").alias("idx"), F.expr(f"pos div {size}").alias("col"), "v")
 
 
-def _centres(geno: DataFrame, centring: str, freq: DataFrame | None) -> tuple[str, DataFrame]:
-    """The axis that the centres belong to, and (k, c): twice the frequency of a SNP ("row"), or the mean dosage of an
-    individual over the SNPs ("column")."""
+def _centres(geno: DataFrame, centring: str, freq: DataFrame | None, centre: DataFrame | None) -> tuple[str, DataFrame]:
+    """The axis that the centres belong to, and (k, c): twice the frequency of a SNP ("row"), the mean dosage of an
+    individual over the SNPs ("column"), or a SNP's given centre ("user")."""
     from genospark.operators.stats import allele_freq, pseudo_freq
 
+    if centring == "user":
+        if centre is None:
+            raise ValueError("a user's centring needs a centre for each SNP")
+        return SNP, centre.select(F.col(SNP).alias("k"), F.col("centre").cast("double").alias("c"))
     if centring == "row":
         f = allele_freq(geno) if freq is None else freq
         return SNP, f.select(F.col(SNP).alias("k"), (2 * F.col("freq")).alias("c"))
     return INDIV, pseudo_freq(geno).select(F.col(INDIV).alias("k"), (2 * F.col("freq")).alias("c"))
 
 
-def geno_product(geno: DataFrame, b: DataFrame, transposed: bool, center: bool = True, freq: DataFrame | None = None, centring: str = "row", normalize: str = "none") -> DataFrame:
+def centred_product(raw: DataFrame, b: DataFrame, places: DataFrame, axis: str, outer: str, centres: DataFrame) -> DataFrame:
+    """(idx, col, v): the product less that of the centres (k, c) of an axis, for each place (idx) of the outer axis and each
+    column of b, also where raw, the product (idx, col, v), has no cell."""
+    both = places.join(b.select("col").distinct()).join(raw, ["idx", "col"], "left")
+    v = F.coalesce(F.col("v"), F.lit(0)).cast("double")
+    if axis == outer:
+        sums = b.groupBy("col").agg(F.sum("v").alias("__t"))
+        out = both.join(sums, "col").join(centres.withColumnRenamed("k", "idx"), "idx", "left")
+        return out.select("idx", "col", (v - F.coalesce("c", F.lit(0.0)) * F.col("__t")).alias("v"))
+    sums = b.join(centres.withColumnRenamed("k", "idx"), "idx").groupBy("col").agg(F.sum(F.col("c") * F.col("v")).alias("__t"))
+    return both.join(sums, "col", "left").select("idx", "col", (v - F.coalesce("__t", F.lit(0.0))).alias("v"))
+
+
+def geno_product(geno: DataFrame, b: DataFrame, transposed: bool, center: bool = True, freq: DataFrame | None = None, centring: str = "row", normalize: str = "none", centre: DataFrame | None = None) -> DataFrame:
     """(idx, col, v) of (M - centres)B over individuals, or of its transpose's product over SNPs.
     geno: M by individuals; b: (idx, col, v) over the other axis; freq: (snp_idx, freq). centring: "row" takes twice a SNP's
-    frequency off, "column" an individual's mean, "none" (or center=False) nothing. normalize "global" divides by the root of
-    the sum of 2p(1-p)."""
+    frequency off, "column" an individual's mean, "user" the SNP's value in centre (snp_idx, centre), "none" (or center=False)
+    nothing. normalize "global" divides by the root of the sum of 2p(1-p). Absent cells are 0. A centred product has a row for
+    each place of the axis and each column of b, others only where cells meet."""
     if centring not in CENTRING or normalize not in NORMALIZE:
         raise ValueError(f"centring is one of {CENTRING}, normalize one of {NORMALIZE}")
     inner, outer = (INDIV, SNP) if transposed else (SNP, INDIV)
@@ -99,13 +118,8 @@ def geno_product(geno: DataFrame, b: DataFrame, transposed: bool, center: bool =
     right = b.select(F.col("idx").alias("__k"), "col", F.col("v").alias("__b"))
     out = left.join(right, "__k").groupBy("idx", "col").agg(F.sum(F.col(DOSAGE) * F.col("__b")).alias("v"))
     if center and centring != "none":
-        axis, centres = _centres(geno, centring, freq)
-        if axis == outer:
-            total = b.groupBy("col").agg(F.sum("v").alias("__t"))
-            out = out.join(total, "col").join(centres.withColumnRenamed("k", "idx"), "idx").select("idx", "col", (F.col("v") - F.col("c") * F.col("__t")).alias("v"))
-        else:
-            total = b.join(centres.withColumnRenamed("k", "idx"), "idx").groupBy("col").agg(F.sum(F.col("c") * F.col("v")).alias("__t"))
-            out = out.join(total, "col").select("idx", "col", (F.col("v") - F.col("__t")).alias("v"))
+        axis, centres = _centres(geno, centring, freq, centre)
+        out = centred_product(out, b, geno.select(F.col(outer).alias("idx")).distinct(), axis, outer, centres)
     if normalize == "global":
         from genospark.operators.stats import derived
 
@@ -129,14 +143,15 @@ def times_012(a: DataFrame, x: DataFrame, transposed: bool = False, strict: bool
 
 def crossprod(geno: DataFrame, over: str = SNP, method: str = "blocked", depth: int | None = None, width: int | None = None) -> DataFrame:
     """(i, j, v bigint): sums of products over the axis `over`, for all pairs that the other one has, absent cells being 0.
+    Dosages that are no integers, as imputed ones, give doubles.
 
-    "blocked" packs the cells into lines of `width` bytes, one for each place of `over` and block of the other axis, and
+    "blocked" packs the cells into lines of `width` places, four a byte, one for each place of `over` and block of the other axis, and
     multiplies two blocks at a time, line after line in order: a worker holds two batches of lines and width^2 sums. Cells
     are shuffled once, and lines as often as there are blocks, about 16 times a byte each for any size that `width` grows
     with. The axis `over` is cut into slices of a multiple of `depth` where there are fewer pairs of blocks than tasks.
     "join" joins the relation with itself: n^2 rows for each place of `over`."""
-    keep = INDIV if over == SNP else SNP
-    cells = geno.select(F.col(over).cast("bigint").alias("k"), F.col(keep).cast("bigint").alias("i"), F.col(DOSAGE).cast("bigint").alias("x"))
+    keep, kind = INDIV if over == SNP else SNP, "bigint" if is_whole(geno) else "double"
+    cells = geno.select(F.col(over).cast("bigint").alias("k"), F.col(keep).cast("bigint").alias("i"), F.col(DOSAGE).cast(kind).alias("x"))
     if method == "join":
         other = cells.select("k", F.col("i").alias("j"), F.col("x").alias("y"))
         upper = cells.join(other, "k").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
@@ -152,7 +167,8 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
     spark = cells.sparkSession
     last, n, low, high = cells.agg(F.max("k"), F.max("i"), F.least(F.min("k"), F.min("i"), F.min("x")), F.max("x")).first()
     if last is None or n is None:
-        return spark.createDataFrame([], "i bigint, j bigint, v bigint")
+        return spark.createDataFrame([], f"i bigint, j bigint, v {cells.schema['x'].dataType.simpleString()}")
+    whole = cells.schema["x"].dataType.simpleString() == "bigint"
     if low < 0 or (high or 0) > 127:
         raise ValueError("places are at least 0, and dosages between 0 and 127")
     last, n = last + 1, n + 1
@@ -161,7 +177,12 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
     blocks = -(-n // width)
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slices = max(1, min(-(-last // depth), tasks // (blocks * (blocks + 1) // 2)))
-    real = np.float32 if (high or 0) ** 2 * 4096 < 2**24 else np.float64  # sums of up to 4,096 lines are exact
+    real = np.float32 if whole and (high or 0) ** 2 * 4096 < 2**24 else np.float64  # sums of up to 4,096 lines are exact
+    cell, kind, four = (np.int8, "bigint", whole and (high or 0) < 4) if whole else (np.float64, "double", False)
+    width = -(-width // 4) * 4 if four else width
+    blocks = -(-n // width)
+    powers = np.array([1, 4, 16, 64], np.uint8)
+    opened = np.array([[b >> 2 * k & 3 for k in range(4)] for b in range(256)], real)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 2):
@@ -170,12 +191,14 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
             line, at = np.cumsum(new) - 1, t.column("at").to_numpy()
             for a in range(0, int(line[-1]) + 1, 1024):
                 lo, hi = np.searchsorted(line, [a, a + 1024])
-                grid = np.zeros((line[hi - 1] - a + 1, width), np.int8)
+                grid = np.zeros((line[hi - 1] - a + 1, width), cell)
                 np.add.at(grid, (line[lo:hi] - a, at[lo:hi]), t.column("x").to_numpy()[lo:hi])
+                if four:  # dosages of 2 bits travel four a byte
+                    grid = (grid.reshape(len(grid), -1, 4).astype(np.uint8) * powers).sum(axis=2, dtype=np.uint8)
                 first = np.flatnonzero(new[lo:hi]) + lo
                 yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(k[first]), pa.array([row.tobytes() for row in grid], pa.binary())], names=["b", "k", "line"])
 
-    placed = cells.select(F.expr(f"int(i div {width})").alias("b"), "k", F.expr(f"int(i % {width})").alias("at"), F.coalesce("x", F.lit(0)).cast("tinyint").alias("x"))
+    placed = cells.select(F.expr(f"int(i div {width})").alias("b"), "k", F.expr(f"int(i % {width})").alias("at"), F.coalesce("x", F.lit(0)).cast("tinyint" if whole else "double").alias("x"))
     packed = placed.repartition(F.col("b"), F.expr(f"k div {depth}")).sortWithinPartitions("b", "k").mapInArrow(lines, "b int, k bigint, line binary")
     there = placed.select("b", "at").distinct().groupBy("b").agg(F.collect_list("at").alias("at"))
     present = spark.sparkContext.broadcast({r.b: np.sort(np.array(r["at"], np.int64)) for r in there.collect()})  # at most 8 bytes for each place of an axis whose pairs are the result
@@ -202,7 +225,7 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
                 if now != pair:
                     if pair is not None:
                         yield from result()
-                    pair, sums = now, np.zeros((width, width), np.int64)
+                    pair, sums = now, np.zeros((width, width), np.int64 if whole else np.float64)
                 for x in range(a, e, 4096):
                     y = min(e, x + 4096)
                     while y < e and k[y] == k[y - 1]:  # both lines of a place together
@@ -211,7 +234,7 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
                         x += 1
                     if x >= y:
                         continue
-                    m = np.frombuffer(b"".join(data[x:y]), np.int8).reshape(-1, width)
+                    m = np.frombuffer(b"".join(data[x:y]), np.uint8 if four else cell).reshape(y - x, -1)
                     left = right = np.arange(y - x)
                     if now[0] != now[1]:
                         s = side[x:y]
@@ -219,14 +242,16 @@ def _blocked(cells: DataFrame, depth: int | None, width: int | None) -> DataFram
                         _, u, w = np.intersect1d(k[x:y][one], k[x:y][two], assume_unique=True, return_indices=True)
                         left, right = one[u], two[w]
                     if len(left):
-                        f = m[left].astype(real)
-                        sums += np.rint(f.T @ (f if left is right else m[right].astype(real))).astype(np.int64)
+                        taken = lambda at: opened[m[at]].reshape(len(at), width) if four else m[at].astype(real)
+                        f = taken(left)
+                        part = f.T @ (f if left is right else taken(right))
+                        sums += np.rint(part).astype(np.int64) if whole else part
         if pair is not None:
             yield from result()
 
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     dealt = packed.select("b", "k", "line", other).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.expr(f"int(k div {depth} % {slices})").alias("s"), "k", (F.col("b") > F.col("o")).cast("tinyint").alias("side"), "line")
-    parts = dealt.repartition("p", "q", "s").sortWithinPartitions("p", "q", "s", "k", "side").mapInArrow(products, "i bigint, j bigint, v bigint")
+    parts = dealt.repartition("p", "q", "s").sortWithinPartitions("p", "q", "s", "k", "side").mapInArrow(products, f"i bigint, j bigint, v {kind}")
     return parts if slices == 1 else parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -234,24 +259,25 @@ def row_sums(geno: DataFrame, over: str = SNP) -> DataFrame:
     """(i, s): sums of the rows of the crossproduct, as two products with a vector; a written table, which the planner broadcasts
     while it is small."""
     keep = INDIV if over == SNP else SNP
-    line = geno.groupBy(over).agg(F.sum(DOSAGE).cast("bigint").alias("__s"))
-    return written(geno.join(line, over).groupBy(F.col(keep).alias("i")).agg(F.sum(F.col(DOSAGE) * F.col("__s")).cast("bigint").alias("s")), "row_sums")
+    line = geno.groupBy(over).agg(total(geno).alias("__s"))
+    return written(geno.join(line, over).groupBy(F.col(keep).alias("i")).agg(total(geno, F.col(DOSAGE) * F.col("__s")).alias("s")), "row_sums")
 
 
 def _doubly_centred(geno: DataFrame, m: DataFrame, over: str) -> DataFrame:
-    """(i, j, n, g): n^2 times the doubly centred crossproduct, as an integer; refused where that is no longer exact in a double."""
+    """(i, j, n, g): n^2 times the doubly centred crossproduct, as an integer; refused where that is no longer exact in a double.
+    A double where dosages are no integers."""
     r = row_sums(geno, over)
     tot, n = r.agg(F.sum("s"), F.count("*")).first()
     places = geno.select(over).distinct().count()
-    if 4 * places * n * n > 2**52:
+    if is_whole(geno) and 4 * places * n * n > 2**52:
         raise ValueError(f"{places} x {n} is too large for an exact relationship matrix")
     out = m.join(r.withColumnRenamed("s", "si"), "i").join(r.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j")
     return out.select("i", "j", F.lit(n).cast("bigint").alias("n"), (n * n * F.col("v") - n * (F.col("si") + F.col("sj")) + F.lit(tot or 0)).alias("g"))
 
 
 def grm(geno: DataFrame, scale: bool = True, method: str = "blocked") -> DataFrame:
-    """(i, j, g_int, g) over individuals: n^2 times the doubly centred crossproduct as an integer, and the
-    relationship, divided by the sum of 2p(1-p) if scale."""
+    """(i, j, g_int, g) over individuals: n^2 times the doubly centred crossproduct as an integer (a double where dosages are
+    imputed), and the relationship, divided by the sum of 2p(1-p) if scale."""
     from genospark.operators.stats import derived
 
     joined = _doubly_centred(geno, crossprod(geno, SNP, method), SNP).join(F.broadcast(derived(geno).select("sigma2")))
@@ -263,7 +289,7 @@ def _moments(geno: DataFrame, axis: str) -> DataFrame:
     """(k, s, n, q): sum, count and sum of squares of the dosages at each place of an axis, a written table. Every place
     must have a dosage for all places of the other axis: one mean for each holds for no pair else."""
     other = SNP if axis == INDIV else INDIV
-    x = F.col(DOSAGE).cast("bigint")
+    x = F.col(DOSAGE).cast("bigint" if is_whole(geno) else "double")
     per = written(geno.groupBy(F.col(axis).alias("k")).agg(F.sum(x).alias("s"), F.count(DOSAGE).alias("n"), F.sum(x * x).alias("q")), "moments")
     most, least = per.agg(F.max("n"), F.min("n")).first()
     if most is not None and not most == least == geno.select(other).distinct().count():

@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospark.model import DOSAGE, INDIV, SNP
 
 
+def is_whole(geno: DataFrame) -> bool:
+    """Whether dosages are integers; imputed ones are doubles."""
+    return dict(geno.dtypes)[DOSAGE] not in ("float", "double")
+
+
+def total(geno: DataFrame, x: Column | None = None) -> Column:
+    """The sum of x, or of dosages: exact for integers, a double for others."""
+    out = F.sum(F.col(DOSAGE) if x is None else x)
+    return out.cast("bigint") if is_whole(geno) else out.cast("double")
+
+
 def allele_freq(geno: DataFrame) -> DataFrame:
     """snp_idx, freq: half the mean dosage over what is not missing; NULL if all is."""
     return geno.groupBy(SNP).agg((F.sum(DOSAGE) / (2 * F.count(DOSAGE))).alias("freq"))
 
 
 def allele_sum(geno: DataFrame) -> DataFrame:
-    return geno.groupBy(SNP).agg(F.sum(DOSAGE).cast("bigint").alias("allele_sum"))
+    return geno.groupBy(SNP).agg(total(geno).alias("allele_sum"))
 
 
 def sum_geno(geno: DataFrame) -> DataFrame:
     """indiv_idx, total; the row without indiv_idx is over all."""
-    return geno.rollup(INDIV).agg(F.sum(DOSAGE).cast("bigint").alias("total"))
+    return geno.rollup(INDIV).agg(total(geno).alias("total"))
 
 
-def pseudo_freq(geno: DataFrame) -> DataFrame:
-    return geno.groupBy(INDIV).agg((F.sum(DOSAGE) / (2 * F.count("*"))).alias("freq"))
+def pseudo_freq(geno: DataFrame, snps: int | None = None) -> DataFrame:
+    """indiv_idx, freq: half the mean dosage over all SNPs, absent ones being 0. snps: those that have a cell, if not given."""
+    n = geno.select(SNP).distinct().count() if snps is None else snps
+    return geno.groupBy(INDIV).agg((F.sum(DOSAGE) / F.lit(2 * n)).alias("freq"))
 
 
-def derived(geno: DataFrame) -> DataFrame:
-    """One row: sum_freq, sigma2 (sum of 2p(1-p)), total and sq_total (sum of squared row totals)."""
-    per = geno.groupBy(SNP).agg(F.sum(DOSAGE).cast("bigint").alias("s"), F.count(DOSAGE).alias("n"))
-    p = F.col("s") / (2 * F.col("n"))
+def derived(geno: DataFrame, places: int | None = None) -> DataFrame:
+    """One row: sum_freq, sigma2 (sum of 2p(1-p)), total and sq_total (sum of squared row totals). places: what a row's sum is
+    divided by; its dosages that are not missing, if not given."""
+    per = geno.groupBy(SNP).agg(total(geno).alias("s"), F.count(DOSAGE).alias("n"))
+    p = F.col("s") / (2 * (F.col("n") if places is None else F.lit(places)))
     return per.agg(F.sum(p).alias("sum_freq"), F.sum(2 * p * (1 - p)).alias("sigma2"), F.sum("s").alias("total"), F.sum(F.col("s") * F.col("s")).alias("sq_total"))
 
 
 def derived_by_individual(geno: DataFrame) -> DataFrame:
     """The same with individuals in the place of SNPs: sum_freq and sigma2 from pseudo-frequencies, total and sq_total from
     individuals' totals."""
-    return derived(geno.select(F.col(INDIV).alias(SNP), F.col(SNP).alias(INDIV), DOSAGE))
+    return derived(geno.select(F.col(INDIV).alias(SNP), F.col(SNP).alias(INDIV), DOSAGE), geno.select(SNP).distinct().count())
 
 
 def pseudo_freq_times_geno(geno: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def sum_geno(spark, sf):
     return stats.sum_geno(panel(spark, sf))
 
 
-@query(G + " SELECT indiv_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * COUNT(*)) AS freq FROM g GROUP BY 1")
+@query(G + " SELECT indiv_idx, CAST(SUM(dosage) AS DOUBLE) / (2 * (SELECT count(DISTINCT snp_idx) FROM g)) AS freq FROM g GROUP BY 1")
 def pseudo_freq(spark, sf):
     return stats.pseudo_freq(panel(spark, sf))
 
@@ -173,12 +173,12 @@ def sparse_rows(spark, sf):
     return means.join(stats.row_prod(m.withColumn("v", 1 + F.col("v") / 1000), 64).select("i", F.round("v", 6).alias("prod")), "i")
 
 
-@query(G + ", s AS (SELECT sum(dosage) AS s, count(*) AS n FROM g GROUP BY indiv_idx) SELECT round(sum(s / (2 * n)), 6) AS sum_freq, round(sum(2 * (s / (2 * n)) * (1 - s / (2 * n))), 6) AS sigma2, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * s) AS BIGINT) AS sq_total FROM s")
+@query(G + ", s AS (SELECT sum(dosage) AS s, (SELECT count(DISTINCT snp_idx) FROM g) AS n FROM g GROUP BY indiv_idx) SELECT round(sum(s / (2 * n)), 6) AS sum_freq, round(sum(2 * (s / (2 * n)) * (1 - s / (2 * n))), 6) AS sigma2, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * s) AS BIGINT) AS sq_total FROM s")
 def derived_by_individual(spark, sf):
     return stats.derived_by_individual(panel(spark, sf)).select(F.round("sum_freq", 6).alias("sum_freq"), F.round("sigma2", 6).alias("sigma2"), "total", "sq_total")
 
 
-@query(G + ", f AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(*)) AS p FROM g GROUP BY 1) SELECT snp_idx, round(sum(p * dosage), 6) AS v FROM g JOIN f USING (indiv_idx) GROUP BY 1")
+@query(G + ", f AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / (2 * (SELECT count(DISTINCT snp_idx) FROM g)) AS p FROM g GROUP BY 1) SELECT snp_idx, round(sum(p * dosage), 6) AS v FROM g JOIN f USING (indiv_idx) GROUP BY 1")
 def pseudo_freq_times_geno(spark, sf):
     return stats.pseudo_freq_times_geno(panel(spark, sf)).select(SNP, F.round("v", 6).alias("v"))
 
@@ -274,7 +274,7 @@ def centre_of_rows(spark, sf):
     return select.centre_of(panel(spark, sf))
 
 
-@query(G + " SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / count(*) AS centre FROM g GROUP BY 1")
+@query(G + " SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / (SELECT count(DISTINCT snp_idx) FROM g) AS centre FROM g GROUP BY 1")
 def centre_of_columns(spark, sf):
     return select.centre_of(panel(spark, sf), "column")
 
@@ -492,7 +492,7 @@ def matmul_both_transposed(spark, sf):
     return products.matmul(w, dense(spark, sf), ta=True, tb=True)
 
 
-_COL = "c AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / count(*) AS c FROM g GROUP BY 1)"
+_COL = "c AS (SELECT indiv_idx, CAST(sum(dosage) AS DOUBLE) / (SELECT count(DISTINCT snp_idx) FROM g) AS c FROM g GROUP BY 1)"
 
 
 @query(G + ", " + _COL + ", " + BS.format(n=64) + " SELECT idx, col, round(v - c * t, 4) AS v FROM (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(v) AS t FROM b GROUP BY 1) USING (col) JOIN c ON idx = indiv_idx")
@@ -555,6 +555,88 @@ def crossprod_parts_suppliers(spark, sf):
     return products.crossprod(big_panel(spark, sf))
 
 
+# Panels with missing and with absent cells
+
+#: A tenth of the cells that line items fill are NULL, and those that none fills are absent.
+_GAPS = "WITH " + _g(53, 470).replace("g AS", "g0 AS", 1) + ", g AS (SELECT snp_idx, indiv_idx, CASE WHEN (snp_idx * 7 + indiv_idx * 3) % 10 = 0 THEN NULL ELSE dosage END AS dosage FROM g0)"
+_MEAN = _GAPS.replace(", g AS", ", g1 AS", 1) + ", g AS (SELECT snp_idx, indiv_idx, coalesce(CAST(dosage AS DOUBLE), avg(dosage) OVER (PARTITION BY snp_idx)) AS dosage FROM g1)"
+#: Complete, but for the NULLs.
+_WHOLE = "WITH " + _g(53, 47).replace("g AS", "g0 AS", 1) + ", g1 AS (SELECT s AS snp_idx, i AS indiv_idx, CASE WHEN (s * 7 + i * 3) % 10 = 0 THEN NULL ELSE coalesce(dosage, 0) END AS dosage FROM range(53) a(s) CROSS JOIN range(47) b(i) LEFT JOIN g0 ON snp_idx = s AND indiv_idx = i), g AS (SELECT snp_idx, indiv_idx, coalesce(CAST(dosage AS DOUBLE), avg(dosage) OVER (PARTITION BY snp_idx)) AS dosage FROM g1)"
+
+
+def gaps(geno: DataFrame) -> DataFrame:
+    return geno.withColumn(DOSAGE, F.when((F.col(SNP) * 7 + F.col(INDIV) * 3) % 10 != 0, F.col(DOSAGE)))
+
+
+def imputed_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return model.settled(gaps(panel(spark, sf, 53, 470)), "mean")
+
+
+_PAIRS = ", m AS (SELECT a.indiv_idx AS i, b.indiv_idx AS j, sum(a.dosage * b.dosage) AS v FROM g a JOIN g b ON a.snp_idx = b.snp_idx GROUP BY 1, 2)"
+
+
+def all_pairs(df: DataFrame, column: str = "v") -> DataFrame:
+    """The cells that are not 0: of pairs without a common place SQL has no row."""
+    return _rounded(df, 5, column).filter(F.col(column) != 0)
+
+
+@query(_MEAN + _PAIRS + " SELECT i, j, round(v, 5) AS v FROM m WHERE round(v, 5) <> 0")
+def crossprod_imputed(spark, sf):
+    """Imputed dosages are no integers."""
+    return all_pairs(products.crossprod(imputed_panel(spark, sf)))
+
+
+@query(_MEAN + ", s AS (SELECT snp_idx, sum(dosage) AS s, count(*) AS n FROM g GROUP BY 1) SELECT round(sum(s / (2 * n)), 5) AS sum_freq, round(sum(2 * (s / (2 * n)) * (1 - s / (2 * n))), 5) AS sigma2, round(sum(s), 5) AS total, round(sum(s * s), 4) AS sq_total FROM s")
+def derived_imputed(spark, sf):
+    return stats.derived(imputed_panel(spark, sf)).select(*[F.round(c, d).alias(c) for c, d in (("sum_freq", 5), ("sigma2", 5), ("total", 5), ("sq_total", 4))])
+
+
+@query(_WHOLE + ", z AS (SELECT snp_idx, indiv_idx, dosage - avg(dosage) OVER (PARTITION BY snp_idx) AS v FROM g), f AS (SELECT avg(dosage) / 2 AS p FROM g GROUP BY snp_idx) SELECT a.indiv_idx AS i, b.indiv_idx AS j, round(sum(a.v * b.v) / (SELECT sum(2 * p * (1 - p)) FROM f), 5) + 0.0 AS g FROM z a JOIN z b ON a.snp_idx = b.snp_idx GROUP BY 1, 2")
+def grm_imputed(spark, sf):
+    out = products.grm(model.settled(gaps(settled_panel(spark, sf, 53, 47)), "mean"))
+    return out.select("i", "j", (F.round("g", 5) + 0.0).alias("g"))
+
+
+@query(_WHOLE + ", m AS (SELECT a.snp_idx AS i, b.snp_idx AS j, corr(a.dosage, b.dosage) AS r FROM g a JOIN g b ON a.indiv_idx = b.indiv_idx GROUP BY 1, 2) SELECT i, j, round(r, 5) + 0.0 AS r FROM m")
+def ld_imputed(spark, sf):
+    out = products.ld(model.settled(gaps(settled_panel(spark, sf, 53, 47)), "mean"))
+    return out.select("i", "j", (F.round("r", 5) + 0.0).alias("r"))
+
+
+_ABSENT = _GAPS.replace(", g AS", ", g1 AS", 1) + ", g AS (SELECT * FROM g1 WHERE dosage IS NOT NULL)"
+
+
+def absent_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps(panel(spark, sf, 53, 470)).filter(F.col(DOSAGE).isNotNull())
+
+
+@query(_ABSENT + ", " + _COL + ", " + BS.format(n=7) + ", i AS (SELECT DISTINCT indiv_idx AS idx, col FROM g, (SELECT DISTINCT col FROM b)), p AS (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2), t AS (SELECT col, sum(v) AS t FROM b GROUP BY 1) SELECT i.idx, i.col, round(coalesce(v, 0) - c * t, 4) AS v FROM i LEFT JOIN p ON p.idx = i.idx AND p.col = i.col JOIN t ON t.col = i.col JOIN c ON i.idx = indiv_idx")
+def product_absent_column_centred(spark, sf):
+    """Few SNPs have a row in the factor: individuals without any of them have a row all the same."""
+    return _rounded(products.geno_product(absent_panel(spark, sf), b_matrix(spark, 7), False, centring="column"))
+
+
+@query(_ABSENT + ", " + F_ + ", " + BS.format(n=7) + ", i AS (SELECT DISTINCT snp_idx AS idx, col FROM g, (SELECT DISTINCT col FROM b)), q AS (SELECT snp_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON indiv_idx = idx GROUP BY 1, 2), t AS (SELECT col, sum(v) AS t FROM b GROUP BY 1) SELECT i.idx, i.col, round(coalesce(v, 0) - 2 * p * t, 4) AS v FROM i LEFT JOIN q ON q.idx = i.idx AND q.col = i.col JOIN t ON t.col = i.col JOIN f ON i.idx = snp_idx")
+def product_absent_row_centred(spark, sf):
+    return _rounded(products.geno_product(absent_panel(spark, sf), b_matrix(spark, 7), True))
+
+
+@query(G + ", " + BS.format(n=64) + " SELECT idx, col, round(v - t, 4) AS v FROM (SELECT indiv_idx AS idx, col, sum(dosage * v) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1, 2) JOIN (SELECT col, sum(v * idx / 32.0) AS t FROM b GROUP BY 1) USING (col)")
+def product_user_centred(spark, sf):
+    """The handle keeps the user's own centre, a SNP's number over 32."""
+    centre = spark.range(64).select(F.col("id").alias(SNP), (F.col("id") / 32).alias("centre"))
+    with model.GenotypeMatrix(panel(spark, sf), model.Options(centring="user"), centre=centre) as m:
+        return _rounded(m.multiply(b_matrix(spark, 64), "N"))
+
+
+@query(G + ", f AS (SELECT p_partkey % 64 AS snp_idx, avg(p_size) / 100 AS p FROM part GROUP BY 1), " + BS.format(n=50) + " " + _DOT_T)
+def product_given_freq(spark, sf):
+    """Frequencies come from another table."""
+    freq = table(spark, sf, "part").groupBy((F.col("p_partkey") % 64).alias(SNP)).agg((F.avg("p_size") / 100).alias("freq"))
+    with model.GenotypeMatrix(panel(spark, sf), model.Options.of_flags(own_freq=False), freq=freq) as m:
+        return _rounded(m.multiply(b_matrix(spark, 50), "T"))
+
+
 # Byte formats and files
 
 _BYTES = " SELECT snp_idx, indiv_idx // {per} AS byte_idx, CAST(sum({code}) AS INT) AS code FROM full_g GROUP BY 1, 2"
@@ -886,6 +968,13 @@ def i0_minus_l0(spark, sf):
     return _x(spark, sf).select("k", F.round(scalar.i0_minus_l0(F.col("x")), 6).alias("v"))
 
 
+@query("SELECT o_orderkey AS k, round(sqrt(2 / (pi() * x)) * (1 - cos(x)), 6) AS v FROM (SELECT o_orderkey, 1 + o_totalprice % 199 AS x FROM orders)")
+def struve_half_far(spark, sf):
+    """Arguments up to 200, where the power series fails."""
+    x = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_totalprice") % 199).alias("x"))
+    return x.select("k", F.round(scalar.struve(F.col("x"), F.lit(0.5)), 6).alias("v"))
+
+
 # Systems
 
 
@@ -1065,11 +1154,11 @@ def handle_freq(spark, sf):
         return m.freq()
 
 
-@query("SELECT * FROM (VALUES ('center', 'True'), ('centring', 'row'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False')) t(name, value)")
+@query("SELECT * FROM (VALUES ('center', 'True'), ('centring', 'row'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False'), ('freq', 'data')) t(name, value)")
 def options(spark, sf):
     return model.Options.matched(norm="global", miss="zero").rows(spark)
 
 
-@query("SELECT * FROM (VALUES ('center', 'False'), ('centring', 'none'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False')) t(name, value)")
+@query("SELECT * FROM (VALUES ('center', 'False'), ('centring', 'none'), ('normalize', 'global'), ('missing', 'zero'), ('squared', 'False'), ('freq', 'data')) t(name, value)")
 def options_of_flags(spark, sf):
     return model.Options.of_flags(ignore_missings=True, do_not_center=True, do_normalize=True, cores=4).rows(spark)
