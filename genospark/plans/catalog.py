@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from genospark import model
 from genospark.functions import scalar
 from genospark.model import DOSAGE, INDIV, SNP
-from genospark.operators import products, select, sim, solve, stats
+from genospark.operators import packed, products, select, sim, solve, stats
 from genospark.plans.sqltext import eliminated, leading_vectors
 from genospark.plans.tables import fresh_path, written
 from genospark.sources import codec, files, plink
@@ -555,6 +555,72 @@ def crossprod_parts_suppliers(spark, sf):
     return products.crossprod(big_panel(spark, sf))
 
 
+# Packed products
+
+
+def big_packed(spark: SparkSession, sf: str, coding: str = "plink", missing: bool = False) -> packed.Packed:
+    """All parts by all suppliers as packed lines of both kinds; missing: a seventh of the dosages is."""
+    n, k = table(spark, sf, "part").count(), table(spark, sf, "supplier").count()
+    geno = big_panel(spark, sf)
+    if missing:
+        geno = geno.withColumn(DOSAGE, F.when((F.col(SNP) + F.col(INDIV)) % 7 != 0, F.col(DOSAGE)))
+    return packed.packed(geno, n, k, coding)
+
+
+def key_matrix(spark: SparkSession, sf: str, name: str, key: str, columns: int) -> DataFrame:
+    """(idx, col, v) with a row for each key of a table."""
+    col = F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("col")
+    return table(spark, sf, name).select(F.col(key).alias("idx"), col).withColumn("v", ((F.col("idx") * 3 + F.col("col") * 5) % 11 - 5).cast("double"))
+
+
+_BIG = "WITH g AS (SELECT p_partkey AS snp_idx, s_suppkey AS indiv_idx, CAST((p_partkey * 7 + p_size * s_suppkey + s_nationkey) % 3 AS INT) AS dosage FROM part, supplier)"
+_HOLES = _BIG.replace("WITH g AS", "WITH g0 AS", 1) + ", g AS (SELECT snp_idx, indiv_idx, CASE WHEN (snp_idx + indiv_idx) % 7 <> 0 THEN dosage END AS dosage FROM g0)"
+_KEYS = "b AS (SELECT {key} AS idx, c AS col, ({key} * 3 + c * 5) % 11 - 5 AS v FROM {table}, range({n}) t(c))"
+
+
+@query(_BIG + ", " + F_ + ", " + _KEYS.format(key="p_partkey", table="part", n=40) + " " + _DOT_N)
+def packed_dgemm_n(spark, sf):
+    """40 columns: more than a block of the factor has."""
+    return _rounded(packed.product(big_packed(spark, sf), key_matrix(spark, sf, "part", "p_partkey", 40), centring="row"))
+
+
+@query(_BIG + ", " + F_ + ", " + _KEYS.format(key="s_suppkey", table="supplier", n=5) + " " + _DOT_T)
+def packed_dgemm_t(spark, sf):
+    return _rounded(packed.product(big_packed(spark, sf, "5codes"), key_matrix(spark, sf, "supplier", "s_suppkey", 5), True, centring="row"))
+
+
+@query(_HOLES + ", " + F_ + ", " + _KEYS.format(key="p_partkey", table="part", n=3) + " SELECT indiv_idx AS idx, col, round(sum(coalesce(dosage, 2 * p) * v), 4) AS v FROM g JOIN f USING (snp_idx) JOIN b ON snp_idx = idx GROUP BY 1, 2")
+def packed_dgemm_imputed(spark, sf):
+    """Missing dosages count as twice the frequency, without being written anywhere."""
+    m = big_packed(spark, sf, missing=True)
+    return _rounded(packed.product(m, key_matrix(spark, sf, "part", "p_partkey", 3), missing="mean"))
+
+
+@query(_HOLES + ", " + F_ + ", " + _KEYS.format(key="s_suppkey", table="supplier", n=3) + " SELECT snp_idx AS idx, col, round(sum(coalesce(dosage, 2 * p) * v) - 2 * any_value(p) * sum(v), 4) + 0.0 AS v FROM g JOIN f USING (snp_idx) JOIN b ON indiv_idx = idx GROUP BY 1, 2")
+def packed_dgemm_imputed_transposed(spark, sf):
+    m = big_packed(spark, sf, missing=True)
+    out = packed.product(m, key_matrix(spark, sf, "supplier", "s_suppkey", 3), True, "row", "mean")
+    return out.withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query(_BIG + ", a AS (SELECT l_orderkey % 97 AS row, l_suppkey AS col, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2) SELECT row, snp_idx AS idx, CAST(sum(v * dosage) AS BIGINT) AS v FROM a JOIN g ON col = indiv_idx GROUP BY 1, 2")
+def packed_sparse_product(spark, sf):
+    """Sparse rows over suppliers times the packed matrix."""
+    rows = table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select((F.col("l_orderkey") % 97).alias("row"), F.col("l_suppkey").alias("col"), F.round(F.col("l_discount") * 100).cast("bigint").alias("v"))
+    return packed.sparse_product(rows.groupBy("row", "col").agg(F.sum("v").alias("v")), big_packed(spark, sf)).withColumn("v", F.col("v").cast("bigint"))
+
+
+@query(_BIG + ", y AS (SELECT snp_idx, sum(dosage * (indiv_idx % 9)) AS v FROM g GROUP BY 1) SELECT indiv_idx AS i, CAST(sum(dosage * v) AS BIGINT) AS v FROM g JOIN y USING (snp_idx) GROUP BY 1")
+def packed_relationship_vector(spark, sf):
+    x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") % 9).cast("double").alias("v"))
+    return packed.relationship_vector(big_packed(spark, sf), x).withColumn("v", F.col("v").cast("bigint"))
+
+
+@query(_HOLES + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(dosage)) AS freq FROM g GROUP BY 1")
+def packed_freq(spark, sf):
+    return packed.frequencies(big_packed(spark, sf, missing=True))
+
+
 # Panels with missing and with absent cells
 
 #: A tenth of the cells that line items fill are NULL, and those that none fills are absent.
