@@ -284,3 +284,37 @@ def relationship_vector(m: Packed, x: DataFrame, over: str = SNP, missing: str =
     b = x.select(F.col("i").alias("idx"), F.lit(0).alias("col"), "v")
     first = product(m, b, over == SNP, missing=missing)
     return product(m, first, over != SNP, missing=missing).select(F.col("idx").alias("i"), "v")
+
+
+def added_lines(lines: DataFrame, x: DataFrame, size: int) -> DataFrame:
+    """(i, v): the sum of lines (plink, without missing dosages), each times its value in x (i, v), from lines of one orientation
+    only. A task adds up the lines of a block that it has into one dense sum."""
+    table = digits("plink")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            at = np.arange(len(sums))
+            yield pa.RecordBatch.from_arrays([pa.array(at + block * BLOCK), pa.array(sums)], names=["i", "v"])
+
+        for b in batches:
+            blocks, values, codes = b.column("block").to_numpy(), b.column("v").to_numpy(), b.column("codes").to_pylist()
+            for own in np.unique(blocks).tolist():
+                use = np.flatnonzero(blocks == own)
+                if own != block:
+                    if sums is not None:
+                        yield from result()
+                    block, sums = own, np.zeros(min(BLOCK, size - own * BLOCK))
+                for a in range(0, len(use), 256):
+                    some = use[a : a + 256]
+                    m = table[np.frombuffer(b"".join(codes[k] for k in some), np.uint8).reshape(len(some), -1)].reshape(len(some), -1)[:, : len(sums)]
+                    if (m < 0).any():
+                        raise ValueError("a dosage is missing")
+                    sums += values[some] @ m.astype(float)
+        if sums is not None:
+            yield from result()
+
+    both = lines.join(x.select(F.col("i").cast("bigint").alias("line"), F.col("v").cast("double").alias("v")), "line")
+    dealt = both.select("block", "v", "codes").sortWithinPartitions("block")
+    return dealt.mapInArrow(add, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v"))

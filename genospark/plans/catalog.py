@@ -849,14 +849,72 @@ def binary_file(spark, sf):
 def file_dot(spark, sf):
     stem = fresh_path(spark, "panel")
     plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
-    return plink.file_product(spark, stem + ".bed", spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")))
+    return plink.file_product(spark, stem + ".bed", spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))).withColumn("v", F.col("v").cast("bigint"))
 
 
 @query(FULL + " SELECT snp_idx AS i, CAST(sum(coalesce(dosage, 0) * (indiv_idx + 1)) AS BIGINT) AS v FROM full_g GROUP BY 1")
 def dot_file(spark, sf):
     stem = fresh_path(spark, "panel")
     plink.write_bed(model.settled(full_panel(spark, sf), "zero"), stem, 50, 64)
-    return plink.file_product(spark, stem + ".bed", spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), transposed=True)
+    return plink.file_product(spark, stem + ".bed", spark.range(50).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")), transposed=True).withColumn("v", F.col("v").cast("bigint"))
+
+
+_FILE = "WITH g AS (SELECT k AS snp_idx, c_custkey AS indiv_idx, CASE WHEN (c_custkey + k) % 13 = 5 THEN NULL ELSE CAST((c_custkey * 3 + c_nationkey * (k + 1)) % 3 AS INT) END AS dosage FROM customer, range(40) t(k))"
+
+
+def customer_file(spark: SparkSession, sf: str, missing: bool = True) -> str:
+    """A fileset with a customer for each individual, ids, sex and phenotype being the customer's, and 40 SNPs with positions from
+    the first parts."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "customer").count()
+    k, key = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias(SNP), F.col("c_custkey")
+    geno = c.select(k, key.alias(INDIV), "c_nationkey").withColumn(DOSAGE, ((F.col(INDIV) * 3 + F.col("c_nationkey") * (F.col(SNP) + 1)) % 3).cast("int"))
+    if missing:
+        geno = geno.withColumn(DOSAGE, F.when((F.col(INDIV) + F.col(SNP)) % 13 != 5, F.col(DOSAGE)))
+    fam = c.select(key.alias(INDIV), F.col("c_nationkey").alias("fam_id"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("iid"), (key % 2 + 1).alias("sex"), F.col("c_acctbal").alias("pheno"))
+    bim = table(spark, sf, "part").filter(F.col("p_partkey") < 40).select(F.col("p_partkey").alias(SNP), (F.col("p_size") % 22 + 1).alias("chr"), F.concat(F.lit("rs"), F.col("p_partkey") + 1000).alias("snp_id"), (F.col("p_partkey") * 1000 + F.col("p_size")).alias("bp"))
+    stem = fresh_path(spark, "customers")
+    plink.write_bed(geno.select(SNP, INDIV, DOSAGE), stem, n, 40, bim, fam)
+    return stem
+
+
+@query(_FILE + " SELECT snp_idx, indiv_idx, dosage FROM g")
+def bed_of_customers(spark, sf):
+    return plink.read_bed(spark, customer_file(spark, sf) + ".bed")
+
+
+@query(_FILE + " SELECT snp_idx, indiv_idx, dosage FROM g WHERE snp_idx BETWEEN 7 AND 11 AND indiv_idx > 30 AND snp_idx IN (3, 8, 11)")
+def bed_range(spark, sf):
+    """The conditions bound what is read of the file and what is unpacked."""
+    geno = plink.read_bed(spark, customer_file(spark, sf) + ".bed")
+    return geno.filter(F.col(SNP).between(7, 11) & (F.col(INDIV) > 30) & F.col(SNP).isin(3, 8, 11))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS fam_id, replace(c_name, '#', '-') AS iid, '0' AS father, '0' AS mother, CAST(c_custkey % 2 + 1 AS INT) AS sex, CAST(c_acctbal AS DOUBLE) AS pheno FROM customer")
+def fam_of_customers(spark, sf):
+    return plink.read_fam(spark, customer_file(spark, sf) + ".fam")
+
+
+@query("SELECT CAST(p_size % 22 + 1 AS VARCHAR) AS chr, 'rs' || (p_partkey + 1000) AS snp_id, CAST(0 AS DOUBLE) AS cm, p_partkey * 1000 + p_size AS bp, 'A' AS a1, 'C' AS a2 FROM part WHERE p_partkey < 40")
+def bim_of_parts(spark, sf):
+    return plink.read_bim(spark, customer_file(spark, sf) + ".bim")
+
+
+@query(_FILE + ", b AS (SELECT k AS idx, (k * 7) % 5 AS v FROM range(40) t(k)) SELECT indiv_idx AS idx, CAST(0 AS BIGINT) AS col, round(sum(coalesce(dosage, 0) * v), 4) AS v FROM g JOIN b ON snp_idx = idx GROUP BY 1")
+def bed_packed_product(spark, sf):
+    """A file's bytes, never unpacked, times a vector."""
+    b = spark.range(40).select(F.col("id").alias("idx"), F.lit(0).alias("col"), (F.col("id") * 7 % 5).alias("v"))
+    return _rounded(packed.product(plink.read_packed(spark, customer_file(spark, sf) + ".bed"), b, missing="zero"))
+
+
+@query(_FILE.replace("CASE WHEN (c_custkey + k) % 13 = 5 THEN NULL ELSE", "CASE WHEN true THEN") + " SELECT indiv_idx AS i, CAST(sum(dosage * (snp_idx + 1)) AS DOUBLE) AS v FROM g GROUP BY 1")
+def file_dot_customers(spark, sf):
+    return plink.file_product(spark, customer_file(spark, sf, False) + ".bed", spark.range(40).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v")))
+
+
+@query(_FILE.replace("CASE WHEN (c_custkey + k) % 13 = 5 THEN NULL ELSE", "CASE WHEN true THEN") + " SELECT snp_idx AS i, round(sum(dosage * c_acctbal), 2) AS v FROM g JOIN customer ON indiv_idx = c_custkey GROUP BY 1")
+def dot_file_customers(spark, sf):
+    x = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").cast("double").alias("v"))
+    return _rounded(plink.file_product(spark, customer_file(spark, sf, False) + ".bed", x, transposed=True), 2)
 
 
 @query(D + " SELECT sum(v) AS total, count(*) AS n FROM d")

@@ -10,9 +10,11 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genospark.plans.tables import written
+
 
 def local(path: str) -> str | None:
     """The path as open() takes it; None for one in another store."""
@@ -38,14 +40,6 @@ def size_of(path: str) -> int:
         return f.size()
 
 
-def write_whole(spark, path: str, data: bytes) -> None:
-    """A small file."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path else "file://" + local(path))
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(data))
-    out.close()
-
-
 def write_at(rows: DataFrame, path: str, size: int, head: bytes = b"") -> int:
     """A file of that size: head, then data at each `at` of rows (at, data). Gives how many bytes of data there were; other bytes
     are 0. Data must not overlap, as where it does, any may win."""
@@ -78,3 +72,24 @@ def write_at(rows: DataFrame, path: str, size: int, head: bytes = b"") -> int:
             os.fsync(f.fileno())
 
     return rows.select(F.col("at").cast("bigint").alias("at"), "data").mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def write_lines(rows: DataFrame, path: str, n: int) -> None:
+    """One text file of rows (at, line), in order of `at`, which must be 0 to n - 1. Ranges of `at` are joined each to one piece;
+    only the pieces' sizes meet in one place, to say where each begins."""
+    spark = rows.sparkSession
+    step = 100_000
+    pieces = rows.groupBy(F.expr(f"at div {step}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    data = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    first, last = F.element_at("l", 1)["at"], F.element_at("l", -1)["at"]
+    due = F.least(F.lit(step), n - F.col("piece") * step)
+    right = (first == F.col("piece") * step) & (F.size("l") == due) & (last == first + due - 1)
+    text = F.when(right, data).otherwise(F.raise_error(F.lit("places are missing or repeated")))
+    made = written(pieces.select("piece", text.cast("binary").alias("data")), "lines")
+    sizes = made.select("piece", F.length("data").cast("bigint").alias("size"))
+    upto = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for every 100,000 lines
+    starts = sizes.withColumn("at", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    total, count = starts.agg(F.sum("size"), F.count("*")).first()
+    if count != -(-n // step):
+        raise ValueError(f"there are not {n} lines")
+    write_at(made.join(F.broadcast(starts.select("piece", "at")), "piece").select("at", "data"), path, total or 0)

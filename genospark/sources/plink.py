@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from genospark.model import DOSAGE, INDIV, SNP
-from genospark.sources.files import opened, size_of, write_at, write_whole
+from genospark.sources.files import local, opened, size_of, write_at, write_lines
 
 #: Fixed value: the first bytes of a SNP-major bed file.
 MAGIC = b"\x6c\x1b\x01"
@@ -26,14 +43,39 @@ class Range(InputPartition):
 
 class BedReader(DataSourceReader):
     """Ranges of SNPs, each read with one seek. Options: individuals, snps, header (bytes to skip; 3, and then
-    checked), coding (plink or 2bit), rows (SNPs a partition)."""
+    checked), coding (plink or 2bit), rows (SNPs a partition), layout (cells, or lines of packed bytes). Conditions on snp_idx bound
+    the range that is read; those on indiv_idx the cells that are made of it."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.n, self.snps = int(options["individuals"]), int(options["snps"])
         self.header, self.coding = int(options.get("header", 3)), options.get("coding", "plink")
         self.rows = int(options.get("rows", max(1, (64 << 20) // max(1, self.n))))
+        self.lines = options.get("layout", "cells") == "lines"
         self.width = -(-self.n // 4)
+        self.bounds = {SNP: [0, self.snps], INDIV: [0, self.n]}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what bounds an index from below or above, whose range then holds; gives the rest back."""
+        for f in filters:
+            column, value = getattr(f, "attribute", ("",))[0], getattr(f, "value", None)
+            if isinstance(f, IsNotNull) and column in self.bounds:
+                continue  # an index always is
+            if column not in self.bounds or len(f.attribute) > 1 or not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or value is None:
+                yield f
+                continue
+            low, high = self.bounds[column]
+            if isinstance(f, In):
+                own = [v for v in value if v is not None]
+                low, high = (max(low, min(own)), min(high, max(own) + 1)) if own else (low, low)
+                yield f  # the range may hold more
+            elif isinstance(f, EqualTo):
+                low, high = max(low, value), min(high, value + 1)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                low = max(low, value + isinstance(f, GreaterThan))
+            else:
+                high = min(high, value + isinstance(f, LessThanOrEqual))
+            self.bounds[column] = [low, high]
 
     def partitions(self) -> list[Range]:
         size = size_of(self.path)
@@ -45,44 +87,128 @@ class BedReader(DataSourceReader):
                     raise ValueError("not a SNP-major bed file")
         if size != self.header + self.snps * self.width:
             raise ValueError(f"{size} bytes; {self.snps} SNPs of {self.n} individuals take {self.header + self.snps * self.width}")
-        return [Range(a, min(a + self.rows, self.snps)) for a in range(0, self.snps, self.rows)]
+        start, stop = self.bounds[SNP]
+        return [Range(a, min(a + self.rows, stop)) for a in range(start, stop, self.rows)] or [Range(0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         codes = [0, -1, 1, 2] if self.coding == "plink" else [0, 1, 2, -1]
         table = np.array([[codes[b >> 2 * k & 3] for k in range(4)] for b in range(256)], np.int8)
+        low, high = self.bounds[INDIV]
+        high = max(low, high)
         step = max(1, (1 << 20) // max(1, self.n))
         with opened(self.path) as f:
             f.seek(self.header + part.start * self.width)
             for a in range(part.start, part.stop, step):
                 k = min(step, part.stop - a)
-                x = table[np.frombuffer(f.read(k * self.width), np.uint8)].reshape(k, -1)[:, : self.n].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(a, a + k), self.n)), pa.array(np.tile(np.arange(self.n), k)), pa.array(x.astype(np.int32), mask=x < 0)], names=[SNP, INDIV, DOSAGE])
+                data = f.read(k * self.width)
+                if self.lines:
+                    lines = [data[x : x + self.width] for x in range(0, len(data), self.width)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + k)), pa.array(lines, pa.binary())], names=[SNP, "codes"])
+                    continue
+                x = table[np.frombuffer(data, np.uint8).reshape(k, -1)[:, low // 4 : -(-high // 4)]].reshape(k, -1)[:, low % 4 :][:, : high - low].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(a, a + k), high - low)), pa.array(np.tile(np.arange(low, high), k)), pa.array(x.astype(np.int32), mask=x < 0)], names=[SNP, INDIV, DOSAGE])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """SNPs that a task has written: how many, and the sum of their numbers' hashes modulo 2^64."""
+
+    count: int
+    hashes: int
+
+
+def _hash_sum(numbers: np.ndarray) -> int:
+    x = numbers.astype(np.uint64) + np.uint64(1)
+    for factor in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(factor)
+    return int((x ^ (x >> np.uint64(32))).sum(dtype=np.uint64))
+
+
+class BedWriter(DataSourceArrowWriter):
+    """Writes lines of SNPs at their places in a file beside the right one, which a commit renames to it once every SNP has been
+    written, and an abort removes. A task that runs twice writes the same bytes twice; nothing passes through the driver. The
+    path must be mounted by all machines."""
+
+    def __init__(self, options: dict):
+        self.path = local(options["path"])
+        if self.path is None:
+            raise ValueError("a bed file is written where all machines mount its path")
+        self.n, self.snps = int(options["individuals"]), int(options["snps"])
+        self.width = -(-self.n // 4)
+        self.staged = f"{self.path}.{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+        with open(self.staged, "wb") as f:
+            f.write(MAGIC)
+            f.truncate(len(MAGIC) + self.snps * self.width)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        count = hashes = 0
+        with open(self.staged, "r+b") as f:
+            for batch in iterator:
+                snps = batch.column(SNP).to_numpy()
+                count, hashes = count + len(snps), hashes + _hash_sum(snps)
+                for snp, codes in zip(snps.tolist(), batch.column("codes").to_pylist(), strict=True):
+                    if not 0 <= snp < self.snps or len(codes) != self.width:
+                        raise ValueError(f"not complete: SNP {snp}")
+                    f.seek(len(MAGIC) + snp * self.width)
+                    f.write(codes)
+            f.flush()
+            os.fsync(f.fileno())
+        return Written(count, hashes)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        count, hashes = (sum(getattr(m, c) for m in messages if m is not None) for c in ("count", "hashes"))
+        due = sum(_hash_sum(np.arange(a, min(a + (1 << 20), self.snps))) for a in range(0, self.snps, 1 << 20))
+        if count != self.snps or (hashes - due) % 2**64:
+            os.unlink(self.staged)
+            raise ValueError(f"{count} SNPs, not {self.snps}, or some twice")
+        os.replace(self.staged, self.path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        if os.path.exists(self.staged):
+            os.unlink(self.staged)
 
 
 class BedSource(DataSource):
-    """spark.read.format("plink_bed"): geno with NULL for missing dosages. Executors open the path themselves."""
+    """spark.read.format("plink_bed"): geno with NULL for missing dosages, or with the option layout=lines (snp_idx, codes) as it is
+    stored; such lines can be written. Executors open the path themselves."""
 
     @classmethod
     def name(cls) -> str:
         return "plink_bed"
 
     def schema(self) -> str:
-        return f"{SNP} bigint, {INDIV} bigint, {DOSAGE} int"
+        return f"{SNP} bigint, codes binary" if self.options.get("layout") == "lines" else f"{SNP} bigint, {INDIV} bigint, {DOSAGE} int"
 
     def reader(self, schema) -> BedReader:
         return BedReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> BedWriter:
+        return BedWriter(dict(self.options))
+
 
 def count_lines(path: str) -> int:
     with opened(path) as f:
         return sum(block.count(b"\n") for block in iter(lambda: f.read(1 << 20), b""))
 
 
-def read_bed(spark: SparkSession, path: str, missing: str = "keep") -> DataFrame:
-    """geno of a fileset: .bim and .fam beside the .bed give its dimensions. missing: "keep" or "error"."""
-    stem = path.removesuffix(".bed")
+def _source(spark: SparkSession) -> None:
     spark.dataSource.register(BedSource)
-    geno = spark.read.format("plink_bed").options(individuals=count_lines(stem + ".fam"), snps=count_lines(stem + ".bim")).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def sizes_of(path: str) -> tuple[int, int]:
+    """SNPs and individuals of a fileset, by the lines of its .bim and .fam."""
+    stem = path.removesuffix(".bed")
+    return count_lines(stem + ".bim"), count_lines(stem + ".fam")
+
+
+def read_bed(spark: SparkSession, path: str, missing: str = "keep") -> DataFrame:
+    """geno of a fileset: .bim and .fam beside the .bed give its dimensions. missing: "keep" or "error". A filter on snp_idx
+    reads those SNPs' bytes only, one on indiv_idx unpacks those individuals only."""
+    _source(spark)
+    snps, individuals = sizes_of(path)
+    geno = spark.read.format("plink_bed").options(individuals=individuals, snps=snps).load(path)
     if missing == "error":
         from genospark.model import settled
 
@@ -92,7 +218,7 @@ def read_bed(spark: SparkSession, path: str, missing: str = "keep") -> DataFrame
 
 def read_binary(spark: SparkSession, path: str, snps: int, individuals: int, header: int = 0) -> DataFrame:
     """geno of a file of 2-bit dosages after `header` bytes."""
-    spark.dataSource.register(BedSource)
+    _source(spark)
     return spark.read.format("plink_bed").options(individuals=individuals, snps=snps, header=header, coding="2bit").load(path)
 
 
@@ -109,20 +235,47 @@ def with_threes(geno: DataFrame) -> DataFrame:
     return geno.select(SNP, INDIV, F.coalesce(F.col(DOSAGE).cast("double"), F.lit(3.0)).alias("v"))
 
 
-def write_bed(geno: DataFrame, stem: str, individuals: int, snps: int) -> None:
-    """A fileset. Each task writes its SNPs at their places in the file, where the path is mounted everywhere; see
-    files. SNPs and individuals must be complete."""
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(snp_idx, codes): the lines of a fileset as they are stored, a SNP each."""
+    _source(spark)
+    snps, individuals = sizes_of(path)
+    return spark.read.format("plink_bed").options(individuals=individuals, snps=snps, layout="lines").load(path)
+
+
+def read_packed(spark: SparkSession, path: str):
+    """A fileset as a packed matrix; see operators.packed. No dosage is unpacked."""
+    from genospark.operators import packed
+
+    snps, individuals = sizes_of(path)
+    return packed.of_lines(packed.cut(read_lines(spark, path)), snps, individuals)
+
+
+def write_bed(geno: DataFrame, stem: str, individuals: int, snps: int, bim: DataFrame | None = None, fam: DataFrame | None = None) -> None:
+    """A fileset. bim: (snp_idx and the columns of BIM), fam: (indiv_idx and those of FAM); of columns that are not given, and
+    without the tables, ids are numbered, positions count from 1 and the rest is unknown. SNPs and individuals
+    must be complete. The bed file appears, whole, when all else is written; see BedWriter."""
     from genospark.sources.codec import packed
 
-    spark, width = geno.sparkSession, -(-individuals // 4)
-    whole = (F.length("codes") == width) & F.col(SNP).between(0, snps - 1)
-    codes = F.when(whole, F.col("codes")).otherwise(F.raise_error(F.concat(F.lit("not complete: SNP "), F.col(SNP).cast("string"))).cast("binary"))
-    rows = packed(geno, "plink").select((F.col(SNP) * width + len(MAGIC)).alias("at"), codes.alias("data"))
-    n = write_at(rows, stem + ".bed", len(MAGIC) + snps * width, MAGIC)
-    if n != snps * width:
-        raise ValueError(f"{n // width} SNPs, not {snps}")
-    write_whole(spark, stem + ".bim", "".join(f"1\tsnp{k}\t0\t{k + 1}\tA\tC\n" for k in range(snps)).encode())
-    write_whole(spark, stem + ".fam", "".join(f"fam{k} ind{k} 0 0 0 -9\n" for k in range(individuals)).encode())
+    spark = geno.sparkSession
+    _source(spark)
+    write_lines(_filled(spark, bim, SNP, snps, _BIM_ELSE, "\t"), stem + ".bim", snps)
+    write_lines(_filled(spark, fam, INDIV, individuals, _FAM_ELSE, " "), stem + ".fam", individuals)
+    lines = packed(geno, "plink").select(F.col(SNP).cast("bigint").alias(SNP), "codes")
+    lines.write.format("plink_bed").options(individuals=individuals, snps=snps, layout="lines").mode("append").save(stem + ".bed")
+
+
+def _filled(spark: SparkSession, given: DataFrame | None, key: str, n: int, other: dict[str, str], sep: str) -> DataFrame:
+    """(at, line) of a table's rows by key, which must be 0 to n - 1, with other columns in the place of those that it lacks."""
+    rows = spark.range(n).select(F.col("id").alias(key)) if given is None else given
+    column = lambda c, e: F.coalesce(F.col(c).cast("string"), F.expr(e)) if c in rows.columns else F.expr(e)
+    values: list[Column] = [column(c, e) for c, e in other.items()]
+    whole = F.when(F.rlike(F.concat(*values), F.lit(r"[\s]")), F.raise_error(F.lit("white space in an id"))).otherwise(F.concat_ws(sep, *values))
+    return rows.select(F.col(key).cast("bigint").alias("at"), whole.alias("line"))
+
+
+#: What a column of a .bim or .fam file holds where the table does not say.
+_BIM_ELSE = {"chr": "'1'", "snp_id": f"concat('snp', {SNP})", "cm": "'0'", "bp": f"string({SNP} + 1)", "a1": "'A'", "a2": "'C'"}
+_FAM_ELSE = {"fam_id": f"concat('fam', {INDIV})", "iid": f"concat('ind', {INDIV})", "father": "'0'", "mother": "'0'", "sex": "'0'", "pheno": "'-9'"}
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +283,10 @@ def read_bim(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=" ", schema=FAM)
+    """Columns parted by any runs of spaces and tabs."""
+    parts = F.split(F.trim(F.translate("value", "\t", " ")), " +")
+    kinds = [c.split() for c in FAM.split(", ")]
+    return spark.read.text(path).select(*[parts[k].cast(kind).alias(name) for k, (name, kind) in enumerate(kinds)])
 
 
 def read_freq(spark: SparkSession, path: str) -> DataFrame:
@@ -176,10 +332,17 @@ def read_text(spark: SparkSession, path: str, header: int = 0, **layout) -> Data
 
 
 def file_product(spark: SparkSession, path: str, x: DataFrame, transposed: bool = False) -> DataFrame:
-    """(i, v): the file's matrix, individuals by SNPs, times x (i, v), or x times it; read once, kept nowhere."""
-    inner, outer = (INDIV, SNP) if transposed else (SNP, INDIV)
-    m = read_bed(spark, path, "error").withColumnRenamed(inner, "k")
-    return m.join(x.select(F.col("i").alias("k"), F.col("v").alias("x")), "k").groupBy(F.col(outer).alias("i")).agg(F.sum(F.col(DOSAGE) * F.col("x")).alias("v"))
+    """(i, v): the file's matrix, individuals by SNPs, times x (i, v), or x times it; read once, kept nowhere, a missing dosage being
+    an error. Lines stay packed: x times the matrix looks their bytes up in tables, block by block; the matrix times x adds up whole
+    lines within each task, whose sums are all that leaves it."""
+    from genospark.operators import packed
+
+    snps, individuals = sizes_of(path)
+    lines = packed.cut(read_lines(spark, path))
+    if transposed:
+        m = packed.Packed(lines, lines, snps, individuals)
+        return packed.product(m, x.select(F.col("i").alias("idx"), F.lit(0).alias("col"), "v"), True).select(F.col("idx").alias("i"), "v")
+    return packed.added_lines(lines, x, individuals)
 
 
 def write_matrix(m: DataFrame, path: str) -> None:
