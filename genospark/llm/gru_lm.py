@@ -9,9 +9,10 @@ start from the counts, so training starts from a unigram model.
 
 Training: truncated backpropagation over windows of `steps` tokens, state carried from one window
 to the next. Every training document is read, in one of `rounds` that its hash picks; in each round all
-partitions start from the same parameters, train on their own documents and are averaged,
-sixteen at a time until one is left. A chunk of documents is cut into so many lanes (at most
-`lanes`) that it gives `updates` windows or more.
+streams start from the same parameters, train on their own documents and are averaged,
+sixteen at a time until one is left. How many streams there are follows from the number of training tokens, which
+documents a stream has and their order from their hashes: how rows are partitioned changes nothing. A chunk of
+documents is cut into so many lanes (at most `lanes`) that it gives `updates` windows or more.
 
 Scoring: documents lie end to end in lanes, of larger chunks so that a long one leaves the others company, the state
 starts anew with each document and runs through all of it. Counts of tokens beyond the `known` most frequent ones come by a join.
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.common import kept_in_process, shipped, small_batches
+from genospark.llm.common import HOT, kept_in_process, shipped, small_batches
 from genospark.llm.quality import bucket
 from genospark.plans.tables import tidy, written
 
@@ -60,6 +61,7 @@ class Settings:
     updates: int = 128
     rate: float = 0.01
     rounds: int = 3
+    stream: int = 1_500_000
     known: int = 262144
     chunk: int = 1_000_000
     score_steps: int = 128
@@ -512,10 +514,30 @@ def coded(docs: DataFrame, v: Vocabulary, sent: Callable) -> DataFrame:
     return docs.select("doc_id", "held_out", part.alias("round"), "text").mapInArrow(run, "doc_id long, held_out boolean, round int, codes binary, n_tokens long, known long, base double, inner double, rare array<binary>")
 
 
+def dealt(learnt: DataFrame, streams: int) -> DataFrame:
+    """(round, stream, place, codes, copies): documents dealt to streams by hash, in the order of another. The
+    copies of a record that has a large part of all rows are dealt out over the streams in turn."""
+    key = F.coalesce("doc_id", F.lit(-1))
+    rows = learnt.select("round", "codes", F.xxhash64(key, "codes", F.lit(7)).alias("place"))
+    keys = written(rows.groupBy("round", "place").agg(F.count("*").alias("n")), "lm_keys")
+    total, most = (x or 0 for x in keys.agg(F.sum("n"), F.max("n")).first())
+    stream = lambda turn: F.pmod(F.pmod(F.xxhash64("place"), F.lit(streams)) + turn, F.lit(streams)).cast("int").alias("stream")
+    one = F.lit(1).cast("long").alias("copies")
+    if most < 2 or most * HOT <= total:
+        return rows.select("round", stream(F.lit(0)), "place", "codes", one)
+    often = F.broadcast(keys.filter((F.col("n") * HOT > total) & (F.col("n") > 1)).select("round", "place"))  # fewer than HOT
+    folded = rows.join(often, ["round", "place"]).groupBy("round", "place").agg(F.first("codes").alias("codes"), F.count("*").alias("n"))
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(streams)) - 1)).alias("turn")
+    folded = folded.select("round", "place", "codes", "n", turns).select("round", stream(F.col("turn")), "place", "codes", (F.floor((F.col("n") - F.col("turn") - 1) / streams) + 1).cast("long").alias("copies"))
+    return rows.join(often, ["round", "place"], "left_anti").select("round", stream(F.lit(0)), "place", "codes", one).unionByName(folded)
+
+
 def trained(learnt: DataFrame, v: Vocabulary, sent: Callable) -> bytes:
-    """Parameters after all rounds. learnt: round and codes of the training documents, written."""
+    """Parameters after all rounds. learnt: doc_id, round and codes of the training documents, written."""
     spark, s = learnt.sparkSession, v.s
     params = Gru(v).to_bytes()
+    streams = max(1, round(v.n / s.rounds / s.stream))
+    learnt = dealt(learnt, streams)
     for k in range(s.rounds):
         start = spark.sparkContext.broadcast(params)
 
@@ -532,35 +554,37 @@ def trained(learnt: DataFrame, v: Vocabulary, sent: Callable) -> bytes:
                 size -= int(ends[min(k, len(ends)) - 1]) if held else 0
                 del held[:k]
 
-            size = 0
+            size, stream = 0, 0
             for batch in batches:
-                for x in batch.column("codes").to_pylist():
-                    held.append(np.frombuffer(x, np.int16))
-                    size += len(held[-1])
-                while size >= 2 * s.chunk:  # the last chunk is no remainder, which would take as many windows for few tokens
-                    learn(s.chunk)
+                columns = [batch.column(c).to_pylist() for c in ("stream", "codes", "copies")]
+                for stream, x, copies in zip(*columns, strict=True):
+                    for _ in range(copies):
+                        held.append(np.frombuffer(x, np.int16))
+                        size += len(held[-1])
+                        while size >= 2 * s.chunk:  # the last chunk is no remainder, which would take as many windows for few tokens
+                            learn(s.chunk)
             learn(size)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([gru.to_bytes()], pa.binary())], names=["n", "params"])
+                yield pa.RecordBatch.from_arrays([pa.array([stream], pa.int32()), pa.array([n], pa.int64()), pa.array([gru.to_bytes()], pa.binary())], names=["stream", "n", "params"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, sums = 0, None
+            total, sums, stream = 0, None, 0
             for batch in batches:
-                for n, data in zip(batch.column("n").to_pylist(), batch.column("params").to_pylist(), strict=True):
+                for stream, n, data in zip(*(batch.column(c).to_pylist() for c in ("stream", "n", "params")), strict=True):
                     parts = [p.astype(np.float64) * n for p in Gru.parts_of(data)]
                     sums = parts if sums is None else [a + b for a, b in zip(sums, parts, strict=True)]
                     total += n
             if total:
                 out = io.BytesIO()
                 np.savez(out, *[(p / total).astype(np.float32) for p in sums])
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["n", "params"])
+                yield pa.RecordBatch.from_arrays([pa.array([stream // 16], pa.int32()), pa.array([total], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["stream", "n", "params"])
 
-        fitted = written(learnt.filter(F.col("round") == k).select("codes").mapInArrow(fit, "n long, params binary"), "lm_params")
-        left = fitted.count()
+        schema, left = "stream int, n long, params binary", streams
+        own = learnt.filter(F.col("round") == k).repartitionById(streams, F.col("stream")).sortWithinPartitions("place")
+        fitted = written(own.select("stream", "codes", "copies").mapInArrow(fit, schema), "lm_params")
         while left > 1:
             left = -(-left // 16)
-            fitted = written(fitted.repartition(left).mapInArrow(mean, "n long, params binary"), "lm_params")
-            left = min(left, fitted.count())
+            fitted = written(fitted.repartitionById(left, F.expr("int(stream div 16)")).sortWithinPartitions("stream").mapInArrow(mean, schema), "lm_params")
         if row := fitted.first():
             params = bytes(row.params)
     return params

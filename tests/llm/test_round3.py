@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genospark.llm import collocations, filter_audit, multiset_hash, queries
+from genospark.llm import collocations, filter_audit, gru_lm, multiset_hash, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n bigint, look string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,3 +187,27 @@ def test_queries_have_their_columns(spark):
         df = queries.QUERIES[name](spark, sf)
         assert df.dtypes[: columns.count(",") + 1] == [tuple(c.split()) for c in columns.split(", ")], name
         assert np.all([x is not None for x in df.first()])
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    """One and seven input partitions, eighteen streams, a record that holds a third of all rows: equal scores but for rounding."""
+    rnd = random.Random(2)
+    vocabulary = [f"w{int(rnd.expovariate(0.05))}" for _ in range(400)]
+    rows = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(60)))) for k in range(1200)] + [(5, "the very same text again and again")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = gru_lm.Settings(head=64, members=8, buckets=4, hidden=8, rounds=2, known=100, stream=1000)
+    found = []
+    for p in (1, 7):
+        got = gru_lm.scored(df.repartition(p, F.rand(p)), s).collect()
+        found.append(sorted((r.doc_id, r.n_tokens, r.held_out, round(r.base_score, 6), round(r.score, 2)) for r in got))
+        assert len(got) == len(rows)
+    assert [r[:4] for r in found[0]] == [r[:4] for r in found[1]]
+    assert np.allclose([r[4] for r in found[0]], [r[4] for r in found[1]], atol=0.05)
+
+
+def test_copies_are_dealt_out(spark):
+    rows = [(k, 0, bytearray(b"ab")) for k in range(2000)] + [(7, 1, bytearray(b"cdcd"))] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, round int, codes binary")
+    got = [gru_lm.dealt(df.repartition(p), 6).groupBy("round", "stream").agg(F.sum("copies").alias("n")).collect() for p in (1, 5)]
+    assert sorted(got[0]) == sorted(got[1]) and sum(r.n for r in got[0]) == 3000
+    assert {r.n for r in got[0] if r.round == 1} == {166, 167}
