@@ -1,7 +1,8 @@
 """Linear systems and decompositions over matrices in coordinates (i, j, v), 0-based.
 
 Factors of up to MOST rows are made by numpy in one task; larger matrices are factored tile by tile (see tiles), by
-Cholesky only. Conjugate gradients and the randomised decomposition work on joins and have no bound either.
+Cholesky or, where rows must be exchanged, by elimination. Conjugate gradients and the randomised decomposition work on joins
+and have no bound either.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from genospark.operators.products import dot, geno_product, matmul, matvec
 from genospark.plans.tables import collected, removed, tidy, written
 
 #: Rows that one task may factor, columns of B that it may take at once, and the side of a tile beyond.
-MOST, SIDE = 5000, 1000
+MOST, SIDE = 1500, 1000
 SINGULAR = 1e-12
 
 
@@ -62,15 +63,28 @@ def _with_kernel(a: DataFrame, b: DataFrame | None, kernel: Callable, schema: st
     return parts.groupBy("part").applyInPandas(run, schema)
 
 
-def _tiled(a: DataFrame, b: DataFrame | None, n: int, side: int) -> DataFrame:
-    """(i, j, v) of A^-1 B by tiles."""
+def _tiled(a: DataFrame, b: DataFrame | None, n: int, side: int, methods: tuple[str, ...]) -> DataFrame:
+    """(i, j, v) of A^-1 B by tiles, by the first method that works."""
+    if unknown := [m for m in methods if m not in ("cholesky", "lu", "qr", "svd", "eigen")]:
+        raise ValueError(f"no method {unknown[0]}")
     if b is None:
         b, width = a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), n
     else:
         width = (b.agg(F.max("j")).first()[0] or 0) + 1
-    f = tiles.factor(a, n, side)
-    y = tiles.substituted(f, written(tiles.tiles_of(b, side), "right"), n, side, False)
-    return tiles.cells_of(tiles.substituted(f, y, n, side, True), side, n, width)
+    for method in methods:
+        if method not in ("cholesky", "lu"):
+            raise ValueError(f"a matrix of {n} rows is solved by tiles: by cholesky or lu, not by {method}")
+        try:
+            if method == "cholesky":
+                f = tiles.factor(a, n, side)
+                y = tiles.substituted(f, written(tiles.tiles_of(b, side), "right"), n, side, False)
+            else:
+                f, y = tiles.eliminated(a, b, n, side)
+            return tiles.cells_of(tiles.substituted(f, y, n, side, True), side, n, width)
+        except np.linalg.LinAlgError:
+            if method == methods[-1]:
+                raise
+    raise ValueError("no method")
 
 
 def cholesky_np(a: np.ndarray) -> np.ndarray:
@@ -120,10 +134,11 @@ def solve_np(a: np.ndarray, b: np.ndarray | None, methods: tuple[str, ...] = ("c
 
 @tidy
 def solved(a: DataFrame, b: DataFrame | None = None, methods: tuple[str, ...] = ("cholesky", "eigen"), most: int = MOST, side: int = SIDE) -> DataFrame:
-    """(i, j, v) of A^-1 B, or of A^-1. Beyond `most` rows A must be positive definite."""
+    """(i, j, v) of A^-1 B, or of A^-1, by the first of the methods that works. Beyond `most` rows these are cholesky and lu; when the
+    others' turn comes there, that is an error that names them."""
     n = size_of(a)
     if n > most:
-        return _tiled(a, b, n, side)
+        return _tiled(a, b, n, side, methods)
     return _with_kernel(a, b, lambda x, y: _coordinates(solve_np(x, y, methods)))
 
 
@@ -191,10 +206,45 @@ def normal_draws(a: DataFrame, draws: int, seed: int, most: int = MOST) -> DataF
     return matmul(cholesky(a, most=most).filter("j <= i"), z)
 
 
-def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False, most: int = MOST) -> DataFrame:
-    """op(A)^-1 B for a triangular A (i, j, v). Up to `most` rows one task substitutes; beyond, rows of like depth go at
-    once, where a row waits for those that it refers to, in as many rounds as the longest chain."""
-    if (a.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) < most:
+class Triangular:
+    """A triangular matrix (i, j, v) made ready for many systems op(A) X = B: its tiles with the diagonal ones inverted, as a table, and
+    the wavefronts of rows of tiles that do not wait for each other. free() deletes the table; solutions stay."""
+
+    def __init__(self, a: DataFrame, lower: bool, transposed: bool = False, side: int = SIDE):
+        self.n, self.side = size_of(a), side
+        kept = a.filter("j <= i" if lower else "j >= i")
+        kept = kept if lower else kept.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")  # the lower factor of the transpose
+        self.transposed = transposed == lower
+        with collected() as made:
+            self.f = tiles.inverted_diagonal(written(tiles.tiles_of(kept, side), "tiles"), self.n, side)
+        self.made = made
+        pattern = [(r.p, r.q) for r in self.f.select("p", "q").collect()]  # at most one for each side^2 cells
+        steps = -(-self.n // side)
+        if sum(p == q for p, q in pattern) != steps:
+            raise ZeroDivisionError("a zero on the diagonal")
+        self.fronts = tiles.wavefronts(pattern, steps, self.transposed)
+
+    @tidy
+    def solve(self, b: DataFrame) -> DataFrame:
+        """(i, j, v) of op(A)^-1 B, a table."""
+        if not self.made:
+            raise ValueError("this was freed")
+        width = (b.agg(F.max("j")).first()[0] or 0) + 1
+        right = written(tiles.tiles_of(b, self.side), "right")
+        x = tiles.swept(self.f, self.fronts, right, self.side, self.transposed)
+        return written(tiles.cells_of(x, self.side, self.n, width), "solution")
+
+    def free(self) -> None:
+        if not self.made:
+            raise ValueError("this was freed")
+        removed(self.f.sparkSession, self.made)
+
+
+@tidy
+def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False, most: int = MOST, side: int = SIDE) -> DataFrame:
+    """op(A)^-1 B for a triangular A (i, j, v). Up to `most` rows one task substitutes; beyond, tiles, in as many steps as there
+    are wavefronts of rows of them."""
+    if size_of(a) <= most:
 
         def substituted(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
             t = np.tril(x) if lower else np.triu(x)
@@ -204,36 +254,18 @@ def triangular(a: DataFrame, b: DataFrame, lower: bool, transposed: bool = False
             return _coordinates(out)
 
         return _with_kernel(a, b, substituted)
-    t = a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if transposed else a.select("i", "j", "v")
-    if lower == transposed:  # upper: rows refer to later ones, which the order below does not mind
-        t = t.filter("j >= i")
-    else:
-        t = t.filter("j <= i")
-    diagonal = written(t.filter("i = j").select("i", F.col("v").alias("d")))
-    off = written(t.filter("i <> j"))
-    left = written(b.select("i", "j", F.col("v").cast("double").alias("v")))
-    waits = off.select("i", F.col("j").alias("on"))
-    done = None
-    todo = written(diagonal.select("i"))
-    while not todo.isEmpty():
-        blocked = waits.join(todo.select(F.col("i").alias("on")), "on").select("i").distinct()
-        ready = written(todo.join(blocked, "i", "left_anti"))
-        if ready.isEmpty():
-            raise ValueError("not triangular")
-        now = written(left.join(ready, "i").join(diagonal, "i").select("i", "j", (F.col("v") / F.col("d")).alias("v")))
-        done = now if done is None else done.unionByName(now)
-        used = off.join(now.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("x")), "j").select("i", F.col("c").alias("j"), (-F.col("v") * F.col("x")).alias("v"))
-        left = written(left.join(ready, "i", "left_anti").unionByName(used).groupBy("i", "j").agg(F.sum("v").alias("v")))
-        todo = written(todo.join(ready, "i", "left_anti"))
-    return done if done is not None else left
-
-
-def factored(f: DataFrame, b: DataFrame, lower: bool, permutation: DataFrame | None = None) -> DataFrame:
+    handle = Triangular(a, lower, transposed, side)
+    out = handle.solve(b)
+    handle.free()
+    return out
+
+
+def factored(f: DataFrame, b: DataFrame, lower: bool, permutation: DataFrame | None = None, most: int = MOST, side: int = SIDE) -> DataFrame:
     """(F F')^-1 B for a lower factor, (F'F)^-1 B for an upper one; permutation (i, to): B is solved in its order."""
     if permutation is not None:
         b = b.join(permutation, "i").select(F.col("to").alias("i"), "j", "v")
-    first = triangular(f, b, lower, transposed=not lower)
-    out = triangular(f, first, lower, transposed=lower)
+    first = triangular(f, b, lower, not lower, most, side)
+    out = triangular(f, first, lower, lower, most, side)
     if permutation is not None:
         out = out.withColumnRenamed("i", "to").join(permutation, "to").select("i", "j", "v")
     return out

@@ -1116,6 +1116,33 @@ def dense_solve_tiled(spark, sf):
     return _rounded(solve.solved(gram(spark, sf), column(line(spark, 64, lambda i: i + 1)), most=20, side=24), 6)
 
 
+@query(DR + GRAM + ", b AS (SELECT i, 0 AS j, 64.0 - i AS v FROM range(64) t(i))," + eliminated("a", "b", 64) + " SELECT i, j, round(v, 6) AS v FROM x")
+def dense_solve_exchanged(spark, sf):
+    """The rows in reverse order, which is neither symmetric nor definite: by tiles, with row exchanges."""
+    a = gram(spark, sf).withColumn("i", 63 - F.col("i"))
+    return _rounded(solve.solved(a, column(line(spark, 64, lambda i: i + 1)), ("lu",), most=20, side=24), 6)
+
+
+@query(DR + GRAM + ", b AS (SELECT i, j, (i + 1.0) * (j + 1) + j AS v FROM range(64) s(i), range(4) t(j))," + eliminated("a", "b", 64) + " SELECT i, j, round(v, 6) AS v FROM x")
+def triangular_reused(spark, sf):
+    """Two triangular systems made ready once, in tiles, and solved for two right-hand sides of two columns each, then freed."""
+    f = written(solve.cholesky(gram(spark, sf), most=20, side=24))
+    low, up = solve.Triangular(f, True, side=24), solve.Triangular(f, True, True, side=24)
+    out = None
+    for first in (0, 2):
+        b = spark.range(128).select(F.expr("id div 2").alias("i"), (F.col("id") % 2).alias("j")).withColumn("v", (F.col("i") + 1.0) * (F.col("j") + first + 1) + F.col("j") + first)
+        x = up.solve(low.solve(b)).withColumn("j", F.col("j") + first)
+        out = x if out is None else out.unionByName(x)
+    low.free()
+    up.free()
+    return _rounded(out, 6)
+
+
+@query(DR + GRAM + ONES + "," + eliminated("a", "b", 64) + " SELECT round(sum(ln(p)), 6) AS v FROM g")
+def log_determinant_tiled(spark, sf):
+    return _rounded(solve.log_determinant(gram(spark, sf), most=20, side=24), 6)
+
+
 @query(DR + GRAM + ONES + "," + _LOW + " SELECT i, j, CASE WHEN i >= j THEN round(v, 6) ELSE 0 END AS v FROM l")
 def cholesky_factor(spark, sf):
     return _rounded(solve.cholesky(gram(spark, sf)), 6)
