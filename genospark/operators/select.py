@@ -139,16 +139,99 @@ def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFram
     return rows.join(F.broadcast(starts.drop("n")), "__part").withColumn(place, F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
 
 
-def sorted_slice(df: DataFrame, value: str, start: int, stop: int, nulls_last: bool = True, index: str | None = None) -> DataFrame:
-    """Places start to stop, 1-based and inclusive, of the ascending order, ties by the index column if one is given; NaN
-    counts as NULL. Empty if start > stop."""
+def _clean(df: DataFrame, value: str) -> Column:
+    """The column with NaN as NULL."""
     v = F.col(value)
-    clean = F.when(F.isnan(v), None).otherwise(v) if dict(df.dtypes)[value] in ("float", "double") else v
-    order = [clean.asc_nulls_last() if nulls_last else clean.asc_nulls_first(), *([] if index is None else [F.col(index).asc()])]
-    return placed(df, order, "__place").filter(F.col("__place").between(max(start, 1), stop)).orderBy("__place").drop("__place")
-
-
-def order_of(df: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """(place, index), both 1-based: the permutation that sorts by the keys, ties by index."""
-    order = [F.col(c).asc() for c in (*keys, index)]
-    return placed(df.select(*dict.fromkeys([*keys, index])), order).select("place", F.col(index).alias("index"))
+    return F.when(~F.isnan(v), v) if dict(df.dtypes)[value] in ("float", "double") else v
+
+
+#: Accuracy of a selection's quantiles, and rows that are sorted at once.
+ACCURACY, FEW = 10_000, 100_000
+
+
+def _bounded(df: DataFrame, value: str, low: int, high: int) -> tuple[DataFrame, int]:
+    """The rows whose value may have a place from low to high in ascending order (value not NULL), and how many lie below them.
+    Each round takes a quantile just below the one place and one just above the other, and counts the rows beyond them: only these
+    numbers come to the driver, and nothing is sorted or written."""
+    below, v = 0, F.col(value)
+    while True:
+        n, first, last = df.count(), low - below, high - below
+        if n <= max(FEW, 2 * (last - first + 1)):
+            return df, below
+        near = [max(0.0, (first - 1) / n - 2 / ACCURACY), min(1.0, last / n + 2 / ACCURACY)]
+        bottom, top = (F.lit(x) for x in df.agg(F.percentile_approx(value, near, ACCURACY)).first()[0])
+        under, upto = df.agg(F.count_if(v < bottom), F.count_if(v <= top)).first()
+        kept, m = df, n
+        if under < first:
+            kept, below, m = kept.filter(v >= bottom), below + under, m - under
+        if upto >= last:
+            kept, m = kept.filter(v <= top), m - (n - upto)
+        if m > n // 2:
+            return kept, below  # the slice is large, or one value is frequent
+        df = kept
+
+
+def _slice(df: DataFrame, value: str, start: int, stop: int, nulls_last: bool | None, index: str | None) -> tuple[DataFrame, int]:
+    """The rows that may stand in places start to stop, with __v, and how many stand before all of them."""
+    rows = df.withColumn("__v", _clean(df, value))
+    nulls, others = rows.agg(F.count_if(F.col("__v").isNull()), F.count("__v")).first()
+    if nulls_last is None:
+        rows, nulls = rows.filter(F.col("__v").isNotNull()), 0
+    stop = min(stop, nulls + others)
+    if start > stop:
+        return rows.limit(0), 0
+    begin = 0 if nulls_last is not False else nulls  # places before the first value
+    parts: list[tuple[int, DataFrame]] = []
+    if nulls and (start <= nulls if nulls_last is False else stop > others):
+        own, n = rows.filter(F.col("__v").isNull()), 0
+        if index is not None:
+            base = 0 if nulls_last is False else others
+            own, n = _bounded(own, index, max(1, start - base), min(nulls, stop - base))
+        parts.append((n + (0 if nulls_last is False else others), own))
+    low, high = max(1, start - begin), min(others, stop - begin)
+    if low <= high:
+        own, n = _bounded(rows.filter(F.col("__v").isNotNull()), "__v", low, high) if dict(rows.dtypes)["__v"] not in ("string", "boolean") else (rows.filter(F.col("__v").isNotNull()), 0)
+        parts.append((begin + n, own))
+    parts.sort(key=lambda p: p[0])
+    out = parts[0][1]
+    for _, own in parts[1:]:
+        out = out.unionByName(own)
+    return out, parts[0][0]
+
+
+def sorted_slice(df: DataFrame, value: str, start: int, stop: int, nulls_last: bool | None = True, index: str | None = None) -> DataFrame:
+    """Places start to stop, 1-based and inclusive, of the ascending order, ties by the index column if one is given; NaN
+    counts as NULL. nulls_last: NULLs come last, first, or (None) not at all. Empty if start > stop.
+
+    Quantiles narrow down the values that can stand there, so that only rows between them are sorted, and only the slice leaves the
+    sort; with many equal values the index parts them within the sort."""
+    start = max(start, 1)
+    if start > stop:
+        return df.limit(0)
+    rows, before = _slice(df, value, start, stop, nulls_last, index)
+    v = F.col("__v")
+    order = [v.asc_nulls_first() if nulls_last is False else v.asc_nulls_last(), *([] if index is None else [F.col(index).asc()])]
+    if stop - before > FEW:  # more than the first few: no single task should take them all
+        return placed(rows, order, "__place").filter((F.col("__place") + before).between(start, stop)).orderBy("__place").drop("__place", "__v")
+    return rows.orderBy(*order).offset(start - 1 - before).limit(stop - start + 1).drop("__v")
+
+
+def order_of(df: DataFrame, keys: list[str], index: str, start: int = 1, stop: int | None = None, nulls_last: bool | None = True) -> DataFrame:
+    """(place, index), both 1-based: the permutation that sorts by the keys, ties by index; NaN counts as NULL. start and stop: its
+    places, as in sorted_slice(), which come without a sort of the whole where there is one key."""
+    rows = df.select(*dict.fromkeys([*keys, index]))
+    if nulls_last is None:
+        for c in keys:
+            rows = rows.filter(_clean(rows, c).isNotNull())
+    before = 0
+    if stop is not None or start > 1:
+        start = max(start, 1)
+        stop = rows.count() if stop is None else stop
+        if start > stop:
+            return rows.limit(0).select(F.lit(0).cast("bigint").alias("place"), F.col(index).alias("index"))
+        if len(keys) == 1:
+            found, before = _slice(rows, keys[0], start, stop, nulls_last, index)
+            rows = found.drop("__v")
+    order = [(_clean(rows, c).asc_nulls_first() if nulls_last is False else _clean(rows, c).asc_nulls_last()) for c in keys]
+    out = placed(rows, [*order, F.col(index).asc()]).select((F.col("place") + before).alias("place"), F.col(index).alias("index"))
+    return out if stop is None else out.filter(F.col("place").between(start, stop))

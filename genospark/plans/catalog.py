@@ -313,6 +313,32 @@ def order_x(spark, sf):
     return select.order_of(table(spark, sf, "customer"), ["c_acctbal"], "c_custkey")
 
 
+_GAPPED = "WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS x FROM lineitem)"
+
+
+def _gapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices, some NULL and some NaN, which count as NULL too."""
+    x = F.when(F.col("l_orderkey") % 22 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice").cast("double"))
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), x.alias("x"))
+
+
+@query(_GAPPED + " SELECT k FROM s ORDER BY x NULLS LAST, k LIMIT 1001 OFFSET 2999")
+def sort_slice(spark, sf):
+    """A slice of all line items: quantiles find the values between which it lies, and only those are sorted."""
+    return select.sorted_slice(_gapped(spark, sf), "x", 3000, 4000, True, "k").select("k")
+
+
+@query(_GAPPED + ", o AS (SELECT row_number() OVER (ORDER BY x NULLS FIRST, k) AS place, k AS index FROM s) SELECT * FROM o WHERE place BETWEEN 400 AND 900")
+def order_slice(spark, sf):
+    """From and to, with NULL and NaN first."""
+    return select.order_of(_gapped(spark, sf), ["x"], "k", 400, 900, nulls_last=False)
+
+
+@query(_GAPPED + " SELECT row_number() OVER (ORDER BY x, k) AS place, k AS index FROM s WHERE x IS NOT NULL")
+def order_without_nulls(spark, sf):
+    return select.order_of(_gapped(spark, sf), ["x"], "k", nulls_last=None)
+
+
 @query("SELECT row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey) AS place, p_partkey AS index FROM part")
 def order_keys(spark, sf):
     return select.order_of(table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey")
