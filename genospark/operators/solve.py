@@ -7,17 +7,21 @@ and have no bound either.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genospark.functions.draws import normal
 from genospark.model import INDIV, SNP
 from genospark.operators import tiles
 from genospark.operators.products import dot, geno_product, matmul, matvec
-from genospark.plans.tables import collected, removed, tidy, written
+from genospark.plans.batches import runs
+from genospark.plans.tables import collected, read_by, removed, tidy, written
 
 #: Rows that one task may factor, columns of B that it may take at once, and the side of a tile beyond.
 MOST, SIDE = 1500, 1000
@@ -200,9 +204,10 @@ def root_times(a: DataFrame, b: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def normal_draws(a: DataFrame, draws: int, seed: int, most: int = MOST) -> DataFrame:
-    """(i, j, v): draws from the normal law of covariance A, one a column."""
+    """(i, j, v): draws from the normal law of covariance A, one a column: the factor times numbers that are functions of the seed and
+    the cell."""
     n = size_of(a)
-    z = written(a.sparkSession.range(n * draws).select(F.expr(f"id div {draws}").alias("i"), F.expr(f"id % {draws}").alias("j"), F.randn(seed).alias("v")), "draws")
+    z = written(a.sparkSession.range(n * draws).select(F.expr(f"id div {draws}").alias("i"), F.expr(f"id % {draws}").alias("j")).withColumn("v", normal(seed, F.col("i"), F.col("j"))), "draws")
     return matmul(cholesky(a, most=most).filter("j <= i"), z)
 
 
@@ -290,33 +295,31 @@ def inverse_3x3(m: list[list[Column]]) -> list[list[Column]]:
 
 def conjugate_gradient(times: Callable[[DataFrame], DataFrame], b: DataFrame, tolerance: float = 1e-2, most: int = 1000) -> DataFrame:
     """(i, v): x with times(x) = b for a positive definite operator on (i, v); stops when the residual's norm is below
-    tolerance, and raises ArithmeticError where `most` rounds do not get there. Vectors are tables, those of a round go with
-    the next, and only scalars reach the driver."""
+    tolerance, and raises ArithmeticError where `most` rounds do not get there. A round writes one table, of the solution, the residual,
+    the direction and the operator's value of it side by side, and reads two sums off it; its table goes with the next one."""
     spark = b.sparkSession
     old: list[str] = []
     with collected() as made:
-        x = written(b.select("i", F.lit(0.0).alias("v")))
-        r = p = written(b.select("i", F.col("v").cast("double").alias("v")))
-        rr = dot(r, r).first()[0]
+        v = F.col("v").cast("double")
+        state = written(b.select("i", F.lit(0.0).alias("x"), v.alias("r"), v.alias("p")), "state")
         old.extend(made)
-
-    def added(u: DataFrame, w: DataFrame, k: float) -> DataFrame:
-        return written(u.unionByName(w.select("i", (F.col("v") * k).alias("v"))).groupBy("i").agg(F.sum("v").alias("v")))
-
+    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     for _ in range(most):
         if rr**0.5 < tolerance:
-            return x
+            break
         with collected() as made:
-            q = written(times(p))
-            step = rr / dot(p, q).first()[0]
-            x, r = added(x, p, step), added(r, q, -step)
-            new = dot(r, r).first()[0]
-            p, rr = added(r, p, new / rr), new
+            q = times(state.select("i", F.col("p").alias("v"))).select("i", F.col("v").cast("double").alias("q"))
+            state = written(state.join(q, "i", "full").na.fill(0.0, ["x", "r", "p", "q"]), "state")
+        removed(spark, [path for path in made if path.rpartition("/")[2] not in read_by(state)])
+        step = rr / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        state = state.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
+        new = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state, rr = state.select("i", "x", "r", (F.col("r") + (new / rr) * F.col("p")).alias("p")), new
         removed(spark, old)
         old.extend(made)
-    if rr**0.5 < tolerance:
-        return x
-    raise ArithmeticError(f"the residual is {rr**0.5:g} after {most} rounds")
+    if rr**0.5 >= tolerance:
+        raise ArithmeticError(f"the residual is {rr**0.5:g} after {most} rounds")
+    return state.select("i", F.col("x").alias("v"))
 
 
 def solve_relationship(a: DataFrame, v: DataFrame, tau: float, beta: float | None = None) -> DataFrame:
@@ -331,17 +334,47 @@ def solve_relationship(a: DataFrame, v: DataFrame, tau: float, beta: float | Non
     return rest.join(fitted, "i").select("i", "rest", (F.col("v") + beta).alias("yhat"))
 
 
+def triangle_of(y: DataFrame, columns: int) -> np.ndarray:
+    """R of the QR factors of a tall matrix (idx, col, v): each partition folds its rows into one triangle, sixteen triangles fold into
+    one until one is left. Its diagonal is not negative."""
+
+    def folded(stack: np.ndarray) -> np.ndarray:
+        r = np.zeros((columns, columns))
+        q = np.linalg.qr(stack, mode="r")
+        r[: len(q)] = q
+        return r
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for t in runs(batches, 1):
+            _, at = np.unique(np.asarray(t.column("idx")), return_inverse=True)
+            m = np.zeros((at.max() + 1, columns))
+            np.add.at(m, (at, np.asarray(t.column("col"))), np.asarray(t.column("v")))
+            for a in range(0, len(m), 4096):
+                r = folded(m[a : a + 4096] if r is None else np.concatenate([r, m[a : a + 4096]]))
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([r.tobytes()], pa.binary())], names=["part", "r"])
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        stack = np.concatenate([np.frombuffer(x).reshape(columns, columns) for x in rows.sort_values("part")["r"]])
+        return pd.DataFrame({"part": np.array([key[0]], np.int32), "r": [folded(stack).tobytes()]})
+
+    cells = y.select(F.col("idx").cast("bigint").alias("idx"), F.col("col").cast("int").alias("col"), F.col("v").cast("double").alias("v"))
+    left = written(cells.repartition("idx").sortWithinPartitions("idx").mapInArrow(fold, "part int, r binary"), "triangles")
+    while left.count() > 1:
+        left = written(left.groupBy(F.expr("int(part div 16)").alias("g")).applyInPandas(join, "part int, r binary"), "triangles")
+    row = left.first()
+    r = np.zeros((columns, columns)) if row is None else np.frombuffer(bytes(row.r)).reshape(columns, columns)
+    return r * np.where(np.diag(r) < 0, -1, 1)[:, None]
+
+
 def orthogonalised(y: DataFrame, columns: int) -> DataFrame:
-    """(idx, col, v): an orthonormal basis of the columns, by the Cholesky factor of their small Gram matrix, twice."""
+    """(idx, col, v): an orthonormal basis of the columns, by a tree of QR factors, twice; the driver sees triangles of `columns` only."""
     for _ in range(2):
-        other = y.select("idx", F.col("col").alias("c2"), F.col("v").alias("w"))
-        gram = y.join(other, "idx").groupBy("col", "c2").agg(F.sum(F.col("v") * F.col("w")).alias("g")).collect()
-        g = np.zeros((columns, columns))
-        for r in gram:
-            g[r["col"], r["c2"]] = r["g"]
-        back = np.linalg.inv(cholesky_np(g + np.eye(columns) * 1e-14 * np.trace(g))).T
+        r = triangle_of(y, columns)
+        back = np.linalg.inv(r + np.diag((np.diag(r) == 0) * 1.0))
         m = y.sparkSession.createDataFrame(pd.DataFrame({"col": np.repeat(np.arange(columns), columns), "to": np.tile(np.arange(columns), columns), "w": back.ravel()}))
-        y = written(y.join(F.broadcast(m), "col").groupBy("idx", "to").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("to", "col"))
+        y = written(y.join(F.broadcast(m.filter("w <> 0")), "col").groupBy("idx", "to").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("to", "col"))
     return y
 
 
@@ -353,7 +386,7 @@ def principal_components(geno: DataFrame, k: int, oversample: int = 40, power: i
     width = min(k + oversample, n - 1, snps)
     spark = geno.sparkSession
     cols = spark.range(width).select(F.col("id").cast("int").alias("col"))
-    omega = written(freq.select(F.col(SNP).alias("idx")).join(F.broadcast(cols)).select("idx", "col", F.randn(seed).alias("v")))
+    omega = written(freq.select(F.col(SNP).alias("idx")).join(F.broadcast(cols)).select("idx", "col", normal(seed, F.col("idx"), F.col("col")).alias("v")))
     y = written(geno_product(geno, omega, False, True, freq))
     for _ in range(power):
         y = orthogonalised(y, width)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genospark import model
 from genospark.functions import scalar
 from genospark.model import DOSAGE, INDIV, SNP
-from genospark.operators import packed, products, select, sim, solve, stats
+from genospark.operators import packed, products, select, sim, solve, sparse, stats
 from genospark.plans.sqltext import eliminated, leading_vectors
 from genospark.plans.tables import fresh_path, written
 from genospark.sources import codec, files, plink
@@ -1009,7 +1009,7 @@ def _positions(spark):
 @query("WITH " + _POS + ", q AS (SELECT o_orderkey AS k, o_orderkey % 311 - 2.5 AS x FROM orders) SELECT k, CAST(x AS DOUBLE) AS x, coalesce((SELECT max(snp_idx) FROM p WHERE pos <= q.x), -1) AS till FROM q")
 def snp_lookup(spark, sf):
     points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 311 - 2.5).alias("x"))
-    return sim.last_at_or_before(points, _positions(spark), 10.0)
+    return sim.last_at_or_before(points, _positions(spark))
 
 
 _HAPLOTYPES = _POS + ", br AS (SELECT i AS indiv_idx, k AS hap, n AS number, n * (60.0 + i) AS x FROM range(40) a(i), range(2) b(k), range(4) c(n)), seg AS (SELECT a.indiv_idx, a.hap, b.number, a.x AS lo, b.x AS hi FROM br a JOIN br b ON a.indiv_idx = b.indiv_idx AND a.hap = b.hap AND b.number = a.number + 1), haplotypes AS (SELECT snp_idx, indiv_idx, CAST(hap AS INT) AS hap, CAST(xor((snp_idx * 7 + (number + hap) * 3) % 2, CASE WHEN snp_idx = indiv_idx THEN 1 ELSE 0 END) AS INT) AS allele FROM seg JOIN p ON (pos > lo OR lo <= 0 AND pos >= lo) AND pos <= hi)"
@@ -1021,13 +1021,13 @@ def compute_snps(spark, sf):
     origins = breaks.filter("number > 0").select(INDIV, "hap", "number", (F.col("number") + F.col("hap")).alias("origin"))
     founders = spark.range(200 * 5).select(F.expr("id % 5").alias("origin"), F.expr("id div 5").alias(SNP)).withColumn("allele", ((F.col(SNP) * 7 + F.col("origin") * 3) % 2).cast("int"))
     flips = breaks.filter("number = 0").select(INDIV, "hap", F.col(INDIV).alias(SNP))
-    return sim.haplotypes(breaks, origins, founders, flips, _positions(spark), 10.0)
+    return sim.haplotypes(breaks, origins, founders, flips, _positions(spark))
 
 
 @query("SELECT 1 AS n, 1 AS odds_het, 1 AS odds_hom, 1000000 AS snps, 1000000 AS names, true AS bounds, true AS equal")
 def simulation_input(spark, sf):
     """A million SNPs; frequencies are drawn, so their bounds are told."""
-    rows = sim.simulation_input(spark, 1_000_000, 3)
+    rows = sim.simulation_input(spark.range(1_000_000).select(F.col("id").alias(SNP)), 3)
     out = rows.groupBy("n", "odds_het", "odds_hom").agg(F.count("*").alias("snps"), F.countDistinct("snp_id").alias("names"), ((F.min("lower") >= 0.1) & (F.max("upper") <= 0.6)).alias("bounds"), F.bool_and(F.col("lower") == F.col("upper")).alias("equal"))
     return out.withColumns({"snps": F.col("snps").cast("int"), "names": F.col("names").cast("int")})
 
@@ -1042,6 +1042,72 @@ def sparse_fixture(spark, sf):
     return sim.patterned_sparse(spark, 30, 3, 50)
 
 
+# The same operators over tables
+
+_U = "(CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+@query("SELECT p_partkey AS snp_idx, s_suppkey AS indiv_idx, 0 AS dosage FROM part, supplier")
+def zero_parts_suppliers(spark, sf):
+    return model.zero_matrix(spark, table(spark, sf, "part").count(), table(spark, sf, "supplier").count())
+
+
+@query("WITH f AS (SELECT p_partkey AS s, p_size / 60.0 AS f1, CASE WHEN p_partkey % 3 <> 2 THEN (p_retailprice % 100) / 100 END AS f2 FROM part), c AS (SELECT s, i, f2, CASE WHEN " + _U.format("'5:' || s || ':' || i || ':0'") + " < f1 THEN 1 ELSE 0 END AS a, CASE WHEN " + _U.format("'5:' || s || ':' || i || ':1'") + " < f2 THEN 1 ELSE 0 END AS b FROM f, range(30) t(i)) SELECT s AS snp_idx, i AS indiv_idx, k AS hap, CAST(CASE WHEN k = 0 OR f2 IS NULL THEN a ELSE b END AS INT) AS allele FROM c, (SELECT unnest([0, 1]) AS k)")
+def haplotypes_of_parts(spark, sf):
+    """Frequencies from the parts' sizes and prices; draws are functions of the cell, so SQL repeats them."""
+    p = table(spark, sf, "part")
+    f = p.select(F.col("p_partkey").alias(SNP), (F.col("p_size") / 60).alias("freq1"), F.when(F.col("p_partkey") % 3 != 2, (F.col("p_retailprice") % 100) / 100).alias("freq2"))
+    return sim.random_haplotypes(f, 30, 5)
+
+
+@query("SELECT 1 AS n, 'snp' || p_partkey AS snp_id, round(" + _U.format("'3:' || p_partkey") + " * 0.5 + 0.1, 9) AS lower, round(" + _U.format("'3:' || p_partkey") + " * 0.5 + 0.1, 9) AS upper, 1 AS odds_het, 1 AS odds_hom FROM part")
+def simulation_of_parts(spark, sf):
+    rows = sim.simulation_input(table(spark, sf, "part").select(F.col("p_partkey").alias(SNP)), 3)
+    return rows.withColumns({c: F.round(c, 9) for c in ("lower", "upper")})
+
+
+_PARTS = "p AS (SELECT p_partkey AS snp_idx, p_partkey * 1.5 + (p_size % 3) * 0.25 AS pos FROM part)"
+
+
+def part_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias(SNP), (F.col("p_partkey") * 1.5 + (F.col("p_size") % 3) * 0.25).alias("pos"))
+
+
+@query("WITH " + _PARTS + ", q AS (SELECT l_orderkey * 10 + l_linenumber AS k, CAST(l_extendedprice % (SELECT 1.6 * count(*) FROM part) - 5 AS DOUBLE) AS x FROM lineitem) SELECT k, x, coalesce(snp_idx, -1) AS till FROM q ASOF LEFT JOIN p ON q.x >= p.pos")
+def snp_lookup_prices(spark, sf):
+    """A part for each line item: the last whose place is at or before the price."""
+    n = table(spark, sf, "part").count()
+    points = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_extendedprice").cast("double") % (1.6 * n) - 5).alias("x"))
+    return sim.last_at_or_before(points, part_positions(spark, sf))
+
+
+_PATCHED = (
+    "WITH " + _PARTS + """, br AS (SELECT c_custkey AS indiv_idx, k AS hap, n AS number, n * (40.0 + (c_custkey + k) % 17) AS x FROM customer, range(2) b(k), range(4) c(n)),
+    seg AS (SELECT a.indiv_idx, a.hap, b.number, a.x AS lo, b.x AS hi, (b.number + a.hap + c_nationkey) % 25 AS origin FROM br a JOIN br b ON a.indiv_idx = b.indiv_idx AND a.hap = b.hap AND b.number = a.number + 1 JOIN customer ON a.indiv_idx = c_custkey)
+    SELECT p.snp_idx, indiv_idx, CAST(hap AS INT) AS hap, CAST(xor((p.snp_idx * 7 + origin * 3 + p_size) % 2, CASE WHEN p.snp_idx = indiv_idx % 97 AND hap = 0 THEN 1 ELSE 0 END) AS INT) AS allele
+    FROM seg JOIN p ON (p.pos > lo OR lo <= (SELECT min(pos) FROM p)) AND p.pos <= hi JOIN part ON p.snp_idx = p_partkey"""
+)
+
+
+@query(_PATCHED)
+def compute_snps_of_customers(spark, sf):
+    """Both haplotypes of every customer, patched from 25 founders along the parts, in three segments each; founders' alleles come from the
+    parts, and one SNP of the first haplotype has mutated."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    two, four = F.explode(F.array(F.lit(0), F.lit(1))).alias("hap"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("number")
+    breaks = c.select(key.alias(INDIV), "c_nationkey", two).select(INDIV, "c_nationkey", "hap", four).withColumn("x", F.col("number") * (40.0 + (F.col(INDIV) + F.col("hap")) % 17))
+    origins = breaks.filter("number > 0").select(INDIV, "hap", "number", ((F.col("number") + F.col("hap") + F.col("c_nationkey")) % 25).alias("origin"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("origin"))
+    founders = table(spark, sf, "part").join(F.broadcast(nations)).select("origin", F.col("p_partkey").alias(SNP), ((F.col("p_partkey") * 7 + F.col("origin") * 3 + F.col("p_size")) % 2).cast("int").alias("allele"))
+    flips = c.select(key.alias(INDIV), F.lit(0).alias("hap"), (key % 97).alias(SNP))
+    return sim.haplotypes(breaks.drop("c_nationkey"), origins, founders, flips, part_positions(spark, sf))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT p_partkey AS snp_idx, s_suppkey AS indiv_idx, [0,1,1,0,2,2,2,2,1,0,0,1,0,0,0,1,2][(s_suppkey * (SELECT count(*) FROM part) + p_partkey) % 17 + 1] AS dosage FROM part, supplier")
+def pattern_parts_suppliers(spark, sf):
+    return sim.patterned(spark, table(spark, sf, "part").count(), table(spark, sf, "supplier").count())
+
+
 # Functions of a column
 
 _X = "SELECT o_orderkey AS k, o_totalprice / 100000 AS x FROM orders"
@@ -1237,6 +1303,36 @@ def triangular_solve(spark, sf):
     return _rounded(solve.triangular(a, b, lower=True), 6).select("i", "v")
 
 
+def order_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """A sparse positive definite matrix over all orders: each is tied to its customer's next one, and customers' first orders
+    to each other by nation."""
+    key, w = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf, "orders").select(key, "o_custkey", F.lead(key).over(w).alias("next"), F.row_number().over(w).alias("k"))
+    first = o.filter("k = 1").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    ties = first.select("o_orderkey", F.lead(key).over(Window.partitionBy("c_nationkey").orderBy("o_orderkey")).alias("next"))
+    edges = o.select(key.alias("i"), F.col("next").alias("j"), F.lit(-1.0).alias("v")).unionByName(ties.select(key.alias("i"), F.col("next").alias("j"), F.lit(-0.5).alias("v")))
+    return edges.filter("j IS NOT NULL").unionByName(o.select(key.alias("i"), key.alias("j"), F.lit(4.0).alias("v")))
+
+
+@query("SELECT o_orderkey AS i, CAST(o_orderkey % 101 - 50 AS DOUBLE) AS v FROM orders")
+def sparse_solve(spark, sf):
+    """What the matrix gives back of the solution of a system over all orders: the right-hand side."""
+    a = written(order_chains(spark, sf), "sparse")
+    b = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.lit(0).cast("bigint").alias("j"), (F.col("o_orderkey") % 101 - 50).cast("double").alias("v"))
+    both = a.unionByName(a.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    back = products.matvec(both, sparse.solved(a, b).select("i", "v"))
+    return back.select("i", (F.round("v", 6) + 0.0).alias("v"))
+
+
+_Z = "z AS (SELECT i, j, sqrt(-2 * ln(1 - " + _U.format("'5:' || i || ':' || j || ':r'") + ")) * cos(2 * pi() * " + _U.format("'5:' || i || ':' || j || ':a'") + ") AS v FROM range(64) s(i), range(50) t(j))"
+
+
+@query(DR + GRAM + ONES + "," + _LOW + ", " + _Z + " SELECT l.i, z.j, round(sum(l.v * z.v), 5) AS v FROM l JOIN z ON l.j = z.i WHERE l.i >= l.j GROUP BY 1, 2")
+def normal_draws_cells(spark, sf):
+    """50 draws, cell by cell."""
+    return _rounded(solve.normal_draws(gram(spark, sf), 50, 5), 5)
+
+
 @query("SELECT p_partkey AS k, round((p_size + 3) / ((p_size + 3) * 5.0 - 4), 6) AS a, round(-2 / ((p_size + 3) * 5.0 - 4), 6) AS b FROM part")
 def closed_2x2(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
