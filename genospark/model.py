@@ -89,12 +89,18 @@ def settled(geno: DataFrame, missing: str = "error") -> DataFrame:
 class GenotypeMatrix:
     """A handle on a genotype relation: kept in memory or disk of the executors while it is used. What it gives is computed at
     once, into a table, and so outlives it. freq: (snp_idx, freq), which the option "given" takes; centre: (snp_idx, centre), which
-    the centring "user" takes off."""
+    the centring "user" takes off. layout: "cells", or "packed" for products from packed bytes of both orientations, which are
+    made once and deleted by free(); see operators.packed. Absent cells are 0."""
 
-    def __init__(self, geno: DataFrame, options: Options = Options(), freq: DataFrame | None = None, centre: DataFrame | None = None):
+    def __init__(self, geno: DataFrame, options: Options = Options(), freq: DataFrame | None = None, centre: DataFrame | None = None, layout: str = "cells"):
+        if layout not in ("cells", "packed"):
+            raise ValueError("layout is cells or packed")
         if options.freq == "given" and freq is None or options.center and options.centring == "user" and centre is None:
             raise ValueError("given frequencies and a user's centring need a table of them")
-        self.df, self.options, self.centre = settled(geno.select(SNP, INDIV, DOSAGE), options.missing), options, centre
+        self.options, self.centre, self.layout, self._packed = options, centre, layout, None
+        rows = geno.select(SNP, INDIV, DOSAGE)
+        self._given = rows
+        self.df = settled(rows, options.missing)
         self._freq: DataFrame | None = freq if options.freq == "given" else None
         self._sizes: tuple[int, int] | None = None
 
@@ -107,6 +113,17 @@ class GenotypeMatrix:
 
     def free(self) -> None:
         self.df.unpersist()
+        if self._packed is not None:
+            self._packed.free()
+            self._packed = None
+
+    def packed(self):
+        """Both orientations as packed lines, made at the first call; missing dosages stay missing."""
+        from genospark.operators.packed import packed
+
+        if self._packed is None:
+            self._packed = packed(self._given, *self.sizes)
+        return self._packed
 
     @property
     def sizes(self) -> tuple[int, int]:
@@ -135,6 +152,14 @@ class GenotypeMatrix:
         last = b.agg(F.max("idx")).first()[0]
         if last is not None and last >= self.sizes[int(transposed)]:
             raise ValueError(f"row {last} of the factor lies beyond {self.sizes[int(transposed)]}")
+        if self.layout == "packed":
+            from genospark.operators import packed
+            from genospark.operators.stats import derived
+
+            out = packed.product(self.packed(), b, transposed, o.centring if o.center else "none", o.missing, self.freq(), self.centre)
+            if o.normalize == "global":
+                out = written(out.join(F.broadcast(derived(self.df).select("sigma2"))).select("idx", "col", (F.col("v") / F.sqrt("sigma2")).alias("v")), "product")
+            return out
         return written(geno_product(self.df, b, transposed, o.center, self.freq(), o.centring, o.normalize, self.centre), "product")
 
     def crossprod(self, over: str = SNP) -> DataFrame:

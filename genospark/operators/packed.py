@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from genospark.model import CENTRING, DOSAGE, INDIV, MISSING, SNP
 from genospark.operators.products import centred_product
 from genospark.plans.batches import runs
-from genospark.plans.tables import tidy, written
+from genospark.plans.tables import read_by, removed, tidy, written
 
 #: Places that a block holds, a multiple of those that four and five a byte hold; columns of the factor that a task takes at once;
 #: lines that one task accumulates, and blocks whose sums it adds up before they leave it.
@@ -62,6 +62,10 @@ class Packed:
     individuals: int
     coding: str = "plink"
 
+    def free(self) -> None:
+        """Deletes its tables; products stay."""
+        removed(self.by_snp.sparkSession, f"{read_by(self.by_snp)} {read_by(self.by_indiv)}".split())
+
     def lines(self, axis: str) -> tuple[DataFrame, int]:
         """The lines along which `axis` is summed away, and its size."""
         return (self.by_indiv, self.snps) if axis == SNP else (self.by_snp, self.individuals)

@@ -642,6 +642,15 @@ def packed_relationship_vector(spark, sf):
     return packed.relationship_vector(big_packed(spark, sf), x).withColumn("v", F.col("v").cast("bigint"))
 
 
+@query(_HOLES + ", " + F_ + ", " + _KEYS.format(key="p_partkey", table="part", n=4) + ", s AS (SELECT sqrt(sum(2 * p * (1 - p))) AS s FROM f) SELECT indiv_idx AS idx, col, round((sum(coalesce(dosage, 2 * p) * v) - sum(2 * p * v)) / any_value(s.s), 4) + 0.0 AS v FROM g JOIN f USING (snp_idx) JOIN b ON snp_idx = idx, s GROUP BY 1, 2")
+def handle_packed(spark, sf):
+    """Through a handle that keeps both orientations packed: centred, imputed and divided by the scale, then freed."""
+    geno = big_panel(spark, sf).withColumn(DOSAGE, F.when((F.col(SNP) + F.col(INDIV)) % 7 != 0, F.col(DOSAGE)))
+    with model.GenotypeMatrix(geno, model.Options(missing="mean", normalize="global"), layout="packed") as m:
+        out = m.multiply(key_matrix(spark, sf, "part", "p_partkey", 4), "N")
+    return out.withColumn("v", F.round("v", 4) + 0.0)
+
+
 @query(_HOLES + " SELECT snp_idx, CAST(sum(dosage) AS DOUBLE) / (2 * count(dosage)) AS freq FROM g GROUP BY 1")
 def packed_freq(spark, sf):
     return packed.frequencies(big_packed(spark, sf, missing=True))

@@ -112,17 +112,17 @@ def _grid(n):
     return a
 
 
-@pytest.mark.parametrize("both", [True, False])
-def test_sparse_factor(spark, both):
+def test_sparse_factor(spark):
+    """From the lower triangle alone."""
     from genospark.plans.tables import shared_dir
 
-    a = _grid(9)
+    a = _grid(6)
     n = len(a)
-    cells = [(int(i) * 3, int(j) * 3, float(a[i, j])) for i, j in zip(*np.nonzero(a if both else np.tril(a)), strict=True)]
+    cells = [(int(i) * 3, int(j) * 3, float(a[i, j])) for i, j in zip(*np.nonzero(np.tril(a)), strict=True)]
     b = np.random.default_rng(4).normal(size=(n, 2))
     rows = spark.createDataFrame([(i * 3, j, float(b[i, j])) for i in range(n) for j in (0, 1)], "i long, j long, v double")
-    f = sparse.SparseCholesky(spark.createDataFrame(cells, "i long, j long, v double").repartition(3), degree=12, left=5)
-    assert len(f.levels) > 3 and 0 < f.fill < n * n / 8
+    f = sparse.SparseCholesky(spark.createDataFrame(cells, "i long, j long, v double").repartition(3), degree=12, left=9)
+    assert len(f.levels) > 2 and 0 < f.fill < n * n / 4
     for scale in (1.0, -2.0):
         got = np.zeros((n, 2))
         for r in f.solve(rows.withColumn("v", F.col("v") * scale)).collect():

@@ -28,7 +28,7 @@ def test_elimination_with_exchanges(spark):
     a[:5, :5] = 0
     da, db = coordinates(spark, a), coordinates(spark, b)
     assert np.allclose(dense(solve.solved(da, db, ("lu",), most=4, side=4), (11, 2)), np.linalg.solve(a, b))
-    assert np.allclose(dense(solve.solved(da, db, ("cholesky", "lu"), most=4, side=3), (11, 2)), np.linalg.solve(a, b))
+    assert np.allclose(dense(solve.solved(da, db, ("cholesky", "lu"), most=4, side=6), (11, 2)), np.linalg.solve(a, b))
     with pytest.raises(ValueError, match="not by svd"):
         solve.solved(da, db, ("svd",), most=4)
     with pytest.raises(ValueError, match="not by eigen"):
@@ -50,12 +50,12 @@ def test_wavefronts():
 def test_triangular_systems_made_ready_once(spark):
     rng = np.random.default_rng(2)
     a = np.tril(rng.normal(size=(14, 14))) + 3 * np.eye(14)
-    a[6:9, :6] = 0  # rows of tiles that wait for nothing
+    a[5:10, :5] = 0  # rows of tiles that wait for nothing
     for lower in (True, False):
         m = a if lower else a.T
         for transposed in (False, True):
-            t = solve.Triangular(coordinates(spark, m), lower, transposed, side=3)
-            for seed in (3, 4):
+            t = solve.Triangular(coordinates(spark, m), lower, transposed, side=5)
+            for seed in (3, 4) if lower else (3,):
                 b = np.random.default_rng(seed).normal(size=(14, 2))
                 assert np.allclose(dense(t.solve(coordinates(spark, b)), (14, 2)), np.linalg.solve(m.T if transposed else m, b))
             last = t.solve(coordinates(spark, b))
