@@ -10,8 +10,9 @@ may stand in any share of the rows.
 
 Whole units miss a passage that is set into other lines, so passages are found besides (unless passages=False): runs
 of PASSAGE words or more, over lines and sentences, that repeat an earlier text word by word wherever they begin
-and end. Of the runs of GRAM words those whose hash is least among WINDOW successive ones are digested too, so that any
-two equal runs of PASSAGE words share one; from there each occurrence is compared with the earliest, word by word to
+and end. Runs of GRAM words whose hash is least among WINDOW successive ones are picked, so that any two equal runs of PASSAGE
+words share one. It is digested twice, with the SIDE words before it and with those after it, as one of both lies
+within the equal run; from there each occurrence is compared with the earliest of its digest, up to PASSAGE words to
 both sides, and goes if they agree in PASSAGE words. In scripts without spaces a character is a word.
 
 Defined results: a null text stays null and has no units; rows that agree in doc_id and text
@@ -51,6 +52,8 @@ WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 #: A passage has so many words; GRAM + WINDOW - 1 of them: such a run contains a gram that is picked.
 PASSAGE, GRAM = 50, 16
 WINDOW = PASSAGE - GRAM + 1
+#: Of the PASSAGE - GRAM words around a gram within a passage half or more stand on one side.
+SIDE = (PASSAGE - GRAM) // 2
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED = re.compile(f"[{_UNSPACED}]")
 PASSAGE_WORD = re.compile(rf"[{_UNSPACED}]|[^ \t\n\x0b\f\r{_UNSPACED}]+")
@@ -117,8 +120,8 @@ def agreeing(text: str, hits: list) -> list[tuple[int, int]]:
     words, found = passage_words(text), set()
     for h in hits:
         k = h["start"]
-        a = _agree(words[max(k - WINDOW + 1, 0) : k][::-1], h["before"].split()[::-1])
-        b = _agree(words[k + GRAM : k + GRAM + WINDOW - 1], h["after"].split())
+        a = _agree(words[max(k - PASSAGE, 0) : k][::-1], h["before"].split()[::-1])
+        b = _agree(words[k + GRAM : k + GRAM + PASSAGE], h["after"].split())
         if a + GRAM + b >= PASSAGE:
             found.add((k - a, k + GRAM + b))
     if not found:
@@ -164,7 +167,7 @@ def units(text: str, unit: str = "block") -> list[tuple[int, int]]:
 
 def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passages: bool = False) -> DataFrame:
     """(digest, rank, doc_id, th, start, stop) of each unit with min_words words; with passages also of each
-    picked gram, its place among the words for start and a null stop."""
+    picked gram and each of its sides, its place among the words for start and a null stop."""
     small_batches(docs.sparkSession)
     rows = docs.select(rank.alias("rank"), "doc_id", text_digest(F.col("text")).alias("th"), "text").filter("text IS NOT NULL")
     names = ["digest", "rank", "doc_id", "th", "start", "stop"]
@@ -183,9 +186,11 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passag
                 if passages:
                     words = passage_words(text)
                     for k in picked(words):
-                        d = hashlib.blake2b(b" ".join(words[k : k + GRAM]), digest_size=12, person=b"gram").digest()
-                        for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
-                            column.append(x)
+                        for a, b, side in ((k - SIDE, k + GRAM, b"before"), (k, k + GRAM + SIDE, b"after")):
+                            if a >= 0 and b <= len(words):
+                                d = hashlib.blake2b(b" ".join(words[a:b]), digest_size=12, person=side).digest()
+                                for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
+                                    column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     return rows.mapInArrow(run, "digest binary, rank double, doc_id long, th long, start int, stop int")
@@ -223,7 +228,7 @@ def _surroundings(grams: DataFrame, texts: DataFrame) -> DataFrame:
                 words = passage_words(text)
                 for g in found:
                     k = g["start"]
-                    around = b" ".join(words[max(k - WINDOW + 1, 0) : k]), b" ".join(words[k + GRAM : k + GRAM + WINDOW - 1])
+                    around = b" ".join(words[max(k - PASSAGE, 0) : k]), b" ".join(words[k + GRAM : k + GRAM + PASSAGE])
                     for column, x in zip(out, (g["digest"], g["n"], *around), strict=True):
                         column.append(x)
             types = pa.binary(), pa.int64(), pa.binary(), pa.binary()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genospark.llm import collocations, filter_audit, gru_lm, multiset_hash, queries
+from genospark.llm import collocations, filter_audit, gru_lm, multiset_hash, queries, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n bigint, look string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,3 +211,22 @@ def test_copies_are_dealt_out(spark):
     got = [gru_lm.dealt(df.repartition(p), 6).groupBy("round", "stream").agg(F.sum("copies").alias("n")).collect() for p in (1, 5)]
     assert sorted(got[0]) == sorted(got[1]) and sum(r.n for r in got[0]) == 3000
     assert {r.n for r in got[0] if r.round == 1} == {166, 167}
+
+
+def test_passages_whose_halves_occur_apart(spark):
+    """A passage of 80 words stands in one document, its halves apart in two earlier ones: a later document loses it, whichever of its
+    grams are picked."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], {}
+    for k in range(40):
+        passage = [word() for _ in range(80)]
+        first, second = " ".join(passage[:40]), " ".join(passage[40:])
+        for at, text in enumerate((f"{some(20)} {first} {some(30)}", f"{some(30)} {second} {some(20)}", f"{some(25)} {first} {second} {some(25)}", f"{some(15)} {first} {second} {some(35)}")):
+            rows.append((4 * k + at, text))
+        passages[4 * k + 3] = f"{first} {second}"
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [sum(w in got[d].split() for w in passage.split()) for d, passage in passages.items()]
+    assert max(left) < 3
+    assert all(got[d] == text for d, text in rows if d % 4 < 3)
