@@ -11,8 +11,8 @@ may stand in any share of the rows.
 Whole units miss a passage that is set into other lines, so passages are found besides (unless passages=False): runs
 of PASSAGE words or more, over lines and sentences, that repeat an earlier text word by word wherever they begin
 and end. Runs of GRAM words whose hash is least among WINDOW successive ones are picked, so that any two equal runs of PASSAGE
-words share one. It is digested twice, with the SIDE words before it and with those after it, as one of both lies
-within the equal run; from there each occurrence is compared with the earliest of its digest, up to PASSAGE words to
+words share one. It is digested with the words before it, more than SIDE of them, with the SIDE words after it, or both, as one of these
+lies within the equal run; from there each occurrence is compared with the earliest of its digest, up to PASSAGE words to
 both sides, and goes if they agree in PASSAGE words. In scripts without spaces a character is a word.
 
 Defined results: a null text stays null and has no units; rows that agree in doc_id and text
@@ -70,8 +70,18 @@ def passage_words(text: str) -> list[bytes]:
     return [w.encode("utf-8", "surrogatepass") for w in PASSAGE_WORD.findall(text.lower())]
 
 
-def picked(words: list[bytes]) -> list[int]:
-    """The places of the grams that are least in some window, in order; every window has one of its least."""
+def _highest(x: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For each place k up to len(x) + WINDOW - 1 the largest of x[k - last : k - first + 1], where x is 0 beyond its ends."""
+    most, width, whole = np.concatenate([np.zeros(WINDOW - 1, np.uint64), x, np.zeros(WINDOW - 1, np.uint64)]), 1, last - first + 1
+    while width < whole:
+        step = min(width, whole - width)
+        most, width = np.maximum(most[:-step], most[step:]), width + step
+    return most[WINDOW - 1 - last :][: len(x) + WINDOW - 1]
+
+
+def picked(words: list[bytes]) -> list[tuple[int, bool, bool]]:
+    """The places of the grams that are least in some window, in order; every window has one of its least. Whether a window of
+    theirs has more than SIDE words before the gram, and whether one has SIDE or fewer."""
     if len(words) < PASSAGE:
         return []
     x = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
@@ -85,11 +95,8 @@ def picked(words: list[bytes]) -> list[int]:
     while width < WINDOW:
         step = min(width, WINDOW - width)
         least, width = np.minimum(least[:-step], least[step:]), width + step
-    most, width = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)]), 1
-    while width < WINDOW:
-        step = min(width, WINDOW - width)
-        most, width = np.maximum(most[:-step], most[step:]), width + step
-    places = np.flatnonzero(most == x).tolist()
+    late, early = _highest(least, SIDE + 1, WINDOW - 1) == x, _highest(least, 0, SIDE) == x
+    places = np.flatnonzero(late | early).tolist()
     out: list[int] = []
     value, a = x[places].tolist(), 0
     while a < len(places):  # of equal ones in a row the first two, the last, one PASSAGE before the end and some between do
@@ -102,7 +109,7 @@ def picked(words: list[bytes]) -> list[int]:
             if k < a + 2 or k == b - 1 or places[k + 1] - out[-1] > WINDOW or p <= end < places[k + 1]:
                 out.append(p)
         a = b
-    return out
+    return list(zip(out, late[out].tolist(), early[out].tolist(), strict=True))
 
 
 def _agree(a: list[bytes], b: list[bytes]) -> int:
@@ -185,9 +192,9 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passag
                             column.append(x)
                 if passages:
                     words = passage_words(text)
-                    for k in picked(words):
-                        for a, b, side in ((k - SIDE, k + GRAM, b"before"), (k, k + GRAM + SIDE, b"after")):
-                            if a >= 0 and b <= len(words):
+                    for k, late, early in picked(words):
+                        for a, b, side in ((k - SIDE - 1, k + GRAM, b"before"), (k, k + GRAM + SIDE, b"after")):
+                            if (late if side == b"before" else early) and a >= 0 and b <= len(words):
                                 d = hashlib.blake2b(b" ".join(words[a:b]), digest_size=12, person=side).digest()
                                 for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
                                     column.append(x)
