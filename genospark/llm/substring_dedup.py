@@ -2,7 +2,7 @@
 
 A text is cut into units: lines ("line"), runs of lines between blank ones ("paragraph"), both ("block": lines and the
 paragraphs of several lines, the default) or, within lines, sentences, long ones in parts ("sentence"). A unit is
-normalised (lower case, runs of spaces to one, trimmed) and digested (96 bits). Over all documents the earliest
+normalised (lower case, runs of spaces to one, trimmed) and digested (96 bits; grams, whose words are compared, 64). Over all documents the earliest
 occurrence of a digest stays, in order of rank, doc_id, the text's own digest and place; every other one is
 removed, with the offsets of what goes given in the original text. Units of under min_words words are never removed:
 such short ones repeat by chance. Digests are grouped with the least occurrence as a partial aggregate, so that a unit
@@ -195,7 +195,7 @@ def occurrences(docs: DataFrame, unit: str, min_words: int, rank: Column, passag
                     for k, late, early in picked(words):
                         for a, b, side in ((k - SIDE - 1, k + GRAM, b"before"), (k, k + GRAM + SIDE, b"after")):
                             if (late if side == b"before" else early) and a >= 0 and b <= len(words):
-                                d = hashlib.blake2b(b" ".join(words[a:b]), digest_size=12, person=side).digest()
+                                d = hashlib.blake2b(b" ".join(words[a:b]), digest_size=8, person=side).digest()
                                 for column, x in zip(out, (d, r, doc_id, th, k, None), strict=True):
                                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
