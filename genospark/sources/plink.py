@@ -340,7 +340,7 @@ def file_product(spark: SparkSession, path: str, x: DataFrame, transposed: bool
     snps, individuals = sizes_of(path)
     lines = packed.cut(read_lines(spark, path))
     if transposed:
-        m = packed.Packed(lines, lines, snps, individuals)
+        m = packed.Packed(lines, snps, individuals)
         return packed.product(m, x.select(F.col("i").alias("idx"), F.lit(0).alias("col"), "v"), True).select(F.col("idx").alias("i"), "v")
     return packed.added_lines(lines, x, individuals)
 
