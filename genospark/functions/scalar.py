@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NU_MOST, X_LEAST = 100.0, 1e-20
+#: Rows that an integral is evaluated for at once: its nodes are held for each.
+ROWS = 256
 
 
 def gauss(x: Column, derivative: int = 0) -> Column:
@@ -51,23 +53,32 @@ def _struve_far(x: np.ndarray, nu: np.ndarray) -> np.ndarray:
     """H for x > 20: Y plus its difference to H, both as integrals over smooth integrands. With c = (x / 2)^nu 2 / (sqrt(pi)
     Gamma(nu + 1/2)), H - Y is c times the integral of exp(-x t) (1 + t^2)^(nu - 1/2) over t > 0 (nu > -1/2 not needed there),
     and Y is the imaginary part of the Hankel function's integral of exp(-u) u^(nu - 1/2) (1 + i u / 2x)^(nu - 1/2)."""
-    out = np.empty_like(x)
-    a = np.linspace(-40.0, 5.0, 3001)  # u = exp(a): the integrand falls off at both ends for nu > -1/2
+    if x.size > ROWS:
+        return np.concatenate([_struve_far(x[k : k + ROWS], nu[k : k + ROWS]) for k in range(0, x.size, ROWS)])
+    if not x.size:
+        return x.copy()
+    # u = exp(a): the integrand falls off at both ends for nu > -1/2, as u^3m exp(-u) at most; its transform falls off as that of a peak
+    # of width 1 / sqrt(3m), so that a step of 0.15 does for small orders
+    most = 3 * (max(0.0, float(nu.max())) + 2)
+    end, step = max(5.0, math.log(most + 10 * math.sqrt(most) + 60)), min(0.15, 2 * math.pi / (math.sqrt(84 * most) + 10))
+    a = np.linspace(-40.0, end, math.ceil((40 + end) / step) + 1)
     u, step = np.exp(a), a[1] - a[0]
-    for k, (y, n) in enumerate(zip(x.tolist(), nu.tolist(), strict=True)):
-        lift = max(0, math.ceil(0.5 - n))  # orders below 1/2 from two above, by the recurrence
-        values = []
-        for m in (n + lift, n + lift + 1):
-            t = u / y
-            over = (np.exp(-u + m * math.log(y / 2) - math.lgamma(m + 0.5) + (m - 0.5) * np.log1p(t * t)) * t).sum() * step * 2 / math.sqrt(math.pi)
-            hankel = (np.exp(-u + (m + 0.5) * a - math.lgamma(m + 0.5)) * (1 + 0.5j * u / y) ** (m - 0.5)).sum() * step
-            values.append(over + (math.sqrt(2 / (math.pi * y)) * np.exp(1j * (y - m * math.pi / 2 - math.pi / 4)) * hankel).imag)
-        low, high = values
-        for m in (n + lift - d for d in range(lift)):  # H(m - 1) = 2m/x H(m) - H(m + 1) + (x/2)^m / (sqrt(pi) Gamma(m + 3/2))
-            pole = m + 1.5 <= 0 and (m + 1.5) % 1 == 0
-            low, high = 2 * m / y * low - high + (0.0 if pole else (y / 2) ** m / (math.sqrt(math.pi) * math.gamma(m + 1.5))), low
-        out[k] = low
-    return out
+    lift = np.maximum(0, np.ceil(0.5 - nu))  # orders below 1/2 from two above, by the recurrence
+    gamma = lambda v: np.array([math.lgamma(k) for k in v.tolist()])
+    t = u / x[:, None]
+    wide, turn = np.log1p(t * t), np.log1p(0.5j * t)
+    values = []
+    for m in (nu + lift, nu + lift + 1):
+        g, c = gamma(m + 0.5), m[:, None]
+        over = (np.exp(-u + (m * np.log(x / 2) - g)[:, None] + (c - 0.5) * wide) * t).sum(axis=1) * step * 2 / math.sqrt(math.pi)
+        hankel = np.exp(-u + (c + 0.5) * a - g[:, None] + (c - 0.5) * turn).sum(axis=1) * step
+        values.append(over + (np.sqrt(2 / (math.pi * x)) * np.exp(1j * (x - m * math.pi / 2 - math.pi / 4)) * hankel).imag)
+    low, high = values
+    for d in range(int(lift.max(initial=0))):  # H(m - 1) = 2m/x H(m) - H(m + 1) + (x/2)^m / (sqrt(pi) Gamma(m + 3/2))
+        m, more = nu + lift - d, d < lift
+        last = np.array([0.0 if k + 1.5 <= 0 and (k + 1.5) % 1 == 0 else (y / 2) ** k / (math.sqrt(math.pi) * math.gamma(k + 1.5)) for y, k in zip(x[more].tolist(), m[more].tolist(), strict=True)])
+        low[more], high[more] = 2 * m[more] / x[more] * low[more] - high[more] + last, low[more]
+    return low
 
 
 def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False) -> np.ndarray:
@@ -76,7 +87,8 @@ def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False)
     x, nu = np.broadcast_arrays(np.asarray(x, float), np.asarray(nu, float))
     out = np.full(x.shape, np.nan)
     out[(x == 0) & (nu > -1)] = 0
-    ok = x > 0
+    far = (x > 20) & (sign < 0)
+    ok = (x > 0) & ~far
     h, v = x[ok] / 2, nu[ok]
     first = np.array([1 / (math.gamma(1.5) * math.gamma(n + 1.5)) if n + 1.5 > 0 or (n + 1.5) % 1 else 0.0 for n in v]) if len(v) else v
     term, total = np.ones_like(h), np.ones_like(h)
@@ -87,7 +99,7 @@ def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False)
             if not (np.abs(term) > 1e-17 * np.abs(total)).any():
                 break
         out[ok] = total * first * h ** (v + 1) * (np.exp(-x[ok]) if scaled else 1)
-    if sign < 0 and (far := x > 20).any():
+    if far.any():
         out[far] = _struve_far(x[far], nu[far]) * (np.exp(-x[far]) if scaled else 1)
     return out
 
@@ -95,6 +107,8 @@ def struve_np(x: np.ndarray, nu: np.ndarray, sign: float, scaled: bool = False)
 def i0_minus_l0_np(x: np.ndarray) -> np.ndarray:
     """I0 - L0: 2/pi times the integral of exp(-x sin t) over a quarter turn; by powers of 1/x for large x. NaN below 0."""
     x = np.asarray(x, float)
+    if x.size > 8 * ROWS:
+        return np.concatenate([i0_minus_l0_np(x.ravel()[k : k + 8 * ROWS]) for k in range(0, x.size, 8 * ROWS)]).reshape(x.shape)
     nodes, w = np.polynomial.legendre.leggauss(120)
     t = (nodes + 1) * math.pi / 4
     near = (w * np.exp(-np.outer(np.clip(x, 0, 40), np.sin(t)))).sum(axis=1) / 2
@@ -108,6 +122,9 @@ def i0_minus_l0_np(x: np.ndarray) -> np.ndarray:
 def log_bessel_k_np(y: np.ndarray, nu: np.ndarray) -> np.ndarray:
     """log K_nu(y), y > 0: the trapezoidal rule on the integral of exp(-y cosh t) cosh(nu t)."""
     y, nu = np.broadcast_arrays(np.asarray(y, float), np.abs(np.asarray(nu, float)))
+    if y.size > ROWS:  # 1,200 nodes a row
+        parts = [log_bessel_k_np(y.ravel()[a : a + ROWS], nu.ravel()[a : a + ROWS]) for a in range(0, y.size, ROWS)]
+        return np.concatenate(parts).reshape(y.shape)
     top = np.arccosh(1 + 800 / y) + 1
     peak = np.arcsinh(nu / y)
     top = np.maximum(top, np.arccosh(1 + 800 / y + nu / y * (peak + 2)))
