@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genospark.model import DOSAGE, INDIV, SNP
+from genospark.plans.batches import runs
 
 CODE_OF = {"2bit": {0: 0, 1: 1, 2: 2}, "plink": {0: 0, None: 1, 1: 2, 2: 3}}
 #: A byte with a missing dosage becomes this one when plink turns to 2bit, or 2bit to plink.
@@ -57,11 +58,31 @@ def packed_bytes(geno: DataFrame, coding: str) -> DataFrame:
     return geno.groupBy(SNP, F.expr(f"{INDIV} div {per}").alias("byte_idx")).agg(F.sum(part).cast("int").alias("code"))
 
 
+#: Bytes of a piece of a line.
+PIECE = 1 << 14
+
+
+def pieces(geno: DataFrame, coding: str) -> DataFrame:
+    """(snp_idx, piece, codes): PIECE bytes of a SNP's line at a time, its last piece shorter. Sorted rows become bytes batch by batch, so
+    that no task holds more than a batch and a piece. A byte that has no dosage at all must not lie between others."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 2):
+            snp, piece, code = (t.column(c).to_numpy() for c in (SNP, "piece", "code"))
+            cuts = np.flatnonzero(np.r_[True, (np.diff(snp) != 0) | (np.diff(piece) != 0), True])
+            data = code.astype(np.uint8)
+            codes = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(snp[cuts[:-1]]), pa.array(piece[cuts[:-1]]), codes], names=[SNP, "piece", "codes"])
+
+    rows = packed_bytes(geno, coding).select(F.col(SNP).cast("bigint").alias(SNP), F.expr(f"byte_idx div {PIECE}").cast("bigint").alias("piece"), "byte_idx", "code")
+    dealt = rows.repartition(SNP, "piece").sortWithinPartitions(SNP, "piece", "byte_idx").select(SNP, "piece", "code")
+    return dealt.mapInArrow(join, f"{SNP} bigint, piece bigint, codes binary")
+
+
 def packed(geno: DataFrame, coding: str) -> DataFrame:
     """(snp_idx, codes): one binary for each SNP. A byte that has no dosage at all must not lie between others."""
-    rows = packed_bytes(geno, coding).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct("byte_idx", "code"))).alias("b"))
-    text = F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x["code"]), 2, "0")), "")
-    return rows.select(SNP, F.unhex(text).alias("codes"))
+    rows = pieces(geno, coding).groupBy(SNP).agg(F.sort_array(F.collect_list(F.struct("piece", "codes"))).alias("b"))
+    return rows.select(F.col(SNP).cast(geno.schema[SNP].dataType).alias(SNP), F.unhex(F.array_join(F.transform("b", lambda x: F.hex(x["codes"])), "")).alias("codes"))
 
 
 def unpacked(packed: DataFrame, n: int, coding: str) -> DataFrame:

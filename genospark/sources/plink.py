@@ -28,6 +28,7 @@ from pyspark.sql.datasource import (
 )
 
 from genospark.model import DOSAGE, INDIV, SNP
+from genospark.sources.codec import PIECE, pieces
 from genospark.sources.files import local, opened, size_of, write_at, write_lines
 
 #: Fixed value: the first bytes of a SNP-major bed file.
@@ -105,13 +106,16 @@ class BedReader(DataSourceReader):
                     lines = [data[x : x + self.width] for x in range(0, len(data), self.width)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + k)), pa.array(lines, pa.binary())], names=[SNP, "codes"])
                     continue
-                x = table[np.frombuffer(data, np.uint8).reshape(k, -1)[:, low // 4 : -(-high // 4)]].reshape(k, -1)[:, low % 4 :][:, : high - low].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(a, a + k), high - low)), pa.array(np.tile(np.arange(low, high), k)), pa.array(x.astype(np.int32), mask=x < 0)], names=[SNP, INDIV, DOSAGE])
+                codes = np.frombuffer(data, np.uint8).reshape(k, -1)
+                for lo in range(low, high, 1 << 18):  # a line may be long
+                    hi = min(high, lo + (1 << 18))
+                    x = table[codes[:, lo // 4 : -(-hi // 4)]].reshape(k, -1)[:, lo % 4 :][:, : hi - lo].ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(a, a + k), hi - lo)), pa.array(np.tile(np.arange(lo, hi), k)), pa.array(x.astype(np.int32), mask=x < 0)], names=[SNP, INDIV, DOSAGE])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """SNPs that a task has written: how many, and the sum of their numbers' hashes modulo 2^64."""
+    """SNPs, or pieces of them, that a task has written: how many, and the sum of their numbers' hashes modulo 2^64."""
 
     count: int
     hashes: int
@@ -125,7 +129,7 @@ def _hash_sum(numbers: np.ndarray) -> int:
 
 
 class BedWriter(DataSourceArrowWriter):
-    """Writes lines of SNPs at their places in a file beside the right one, which a commit renames to it once every SNP has been
+    """Writes lines of SNPs, or their pieces of PIECE bytes, at their places in a file beside the right one, which a commit renames to it once every SNP has been
     written, and an abort removes. A task that runs twice writes the same bytes twice; nothing passes through the driver. The
     path must be mounted by all machines."""
 
@@ -135,6 +139,8 @@ class BedWriter(DataSourceArrowWriter):
             raise ValueError("a bed file is written where all machines mount its path")
         self.n, self.snps = int(options["individuals"]), int(options["snps"])
         self.width = -(-self.n // 4)
+        self.step = PIECE if options.get("layout") == "pieces" else max(1, self.width)
+        self.each = max(1, -(-self.width // self.step))
         self.staged = f"{self.path}.{uuid.uuid4().hex}"
         os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         with open(self.staged, "wb") as f:
@@ -146,11 +152,12 @@ class BedWriter(DataSourceArrowWriter):
         with open(self.staged, "r+b") as f:
             for batch in iterator:
                 snps = batch.column(SNP).to_numpy()
-                count, hashes = count + len(snps), hashes + _hash_sum(snps)
-                for snp, codes in zip(snps.tolist(), batch.column("codes").to_pylist(), strict=True):
-                    if not 0 <= snp < self.snps or len(codes) != self.width:
+                pieces = batch.column("piece").to_numpy() if "piece" in batch.schema.names else np.zeros_like(snps)
+                count, hashes = count + len(snps), hashes + _hash_sum(snps * self.each + pieces)
+                for snp, piece, codes in zip(snps.tolist(), pieces.tolist(), batch.column("codes").to_pylist(), strict=True):
+                    if not (0 <= snp < self.snps and 0 <= piece < self.each) or len(codes) != min(self.step, self.width - piece * self.step):
                         raise ValueError(f"not complete: SNP {snp}")
-                    f.seek(len(MAGIC) + snp * self.width)
+                    f.seek(len(MAGIC) + snp * self.width + piece * self.step)
                     f.write(codes)
             f.flush()
             os.fsync(f.fileno())
@@ -158,10 +165,11 @@ class BedWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         count, hashes = (sum(getattr(m, c) for m in messages if m is not None) for c in ("count", "hashes"))
-        due = sum(_hash_sum(np.arange(a, min(a + (1 << 20), self.snps))) for a in range(0, self.snps, 1 << 20))
-        if count != self.snps or (hashes - due) % 2**64:
+        n = self.snps * self.each
+        due = sum(_hash_sum(np.arange(a, min(a + (1 << 20), n))) for a in range(0, n, 1 << 20))
+        if count != n or (hashes - due) % 2**64:
             os.unlink(self.staged)
-            raise ValueError(f"{count} SNPs, not {self.snps}, or some twice")
+            raise ValueError(f"{count} {'SNPs' if self.each == 1 else 'pieces'}, not {n}, or some twice")
         os.replace(self.staged, self.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -171,13 +179,15 @@ class BedWriter(DataSourceArrowWriter):
 
 class BedSource(DataSource):
     """spark.read.format("plink_bed"): geno with NULL for missing dosages, or with the option layout=lines (snp_idx, codes) as it is
-    stored; such lines can be written. Executors open the path themselves."""
+    stored; such lines can be written, also as pieces (snp_idx, piece, codes) with layout=pieces. Executors open the path themselves."""
 
     @classmethod
     def name(cls) -> str:
         return "plink_bed"
 
     def schema(self) -> str:
+        if self.options.get("layout") == "pieces":
+            return f"{SNP} bigint, piece bigint, codes binary"
         return f"{SNP} bigint, codes binary" if self.options.get("layout") == "lines" else f"{SNP} bigint, {INDIV} bigint, {DOSAGE} int"
 
     def reader(self, schema) -> BedReader:
@@ -254,14 +264,11 @@ def write_bed(geno: DataFrame, stem: str, individuals: int, snps: int, bim: Data
     """A fileset. bim: (snp_idx and the columns of BIM), fam: (indiv_idx and those of FAM); of columns that are not given, and
     without the tables, ids are numbered, positions count from 1 and the rest is unknown. SNPs and individuals
     must be complete. The bed file appears, whole, when all else is written; see BedWriter."""
-    from genospark.sources.codec import packed
-
     spark = geno.sparkSession
     _source(spark)
     write_lines(_filled(spark, bim, SNP, snps, _BIM_ELSE, "\t"), stem + ".bim", snps)
     write_lines(_filled(spark, fam, INDIV, individuals, _FAM_ELSE, " "), stem + ".fam", individuals)
-    lines = packed(geno, "plink").select(F.col(SNP).cast("bigint").alias(SNP), "codes")
-    lines.write.format("plink_bed").options(individuals=individuals, snps=snps, layout="lines").mode("append").save(stem + ".bed")
+    pieces(geno, "plink").write.format("plink_bed").options(individuals=individuals, snps=snps, layout="pieces").mode("append").save(stem + ".bed")
 
 
 def _filled(spark: SparkSession, given: DataFrame | None, key: str, n: int, other: dict[str, str], sep: str) -> DataFrame:

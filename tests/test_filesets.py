@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genospark.sources import files, plink
+from genospark.sources import codec, files, plink
 
 
 def geno(spark, m):
@@ -140,3 +140,19 @@ def test_products_of_a_file(spark, tmp_path):
     assert np.allclose([got[k] for k in range(29)], m.T @ x)
     got = {r.i: r.v for r in plink.file_product(spark, stem + ".bed", rows(y), True).collect()}
     assert np.allclose([got[k] for k in range(37)], m @ y)
+
+
+def test_a_long_line_is_written_in_pieces(spark, tmp_path, monkeypatch):
+    """No task collects a line: its bytes are written piece by piece; a piece that is missing is an error."""
+    monkeypatch.setattr(codec, "PIECE", 8)
+    monkeypatch.setattr(plink, "PIECE", 8)
+    m = np.random.default_rng(12).integers(-1, 3, (5, 101))
+    rows = [(i, j, None if m[i, j] < 0 else int(m[i, j])) for i in range(5) for j in range(101)]
+    geno = spark.createDataFrame(rows, "snp_idx long, indiv_idx long, dosage int").repartition(3)
+    assert {len(r.codes) for r in codec.pieces(geno, "plink").collect()} == {8, 2}
+    stem = str(tmp_path / "long")
+    plink.write_bed(geno, stem, 101, 5)
+    assert sorted(plink.read_bed(spark, stem + ".bed").collect(), key=lambda r: (r.snp_idx, r.indiv_idx)) == sorted(rows, key=lambda r: r[:2])
+    assert {r.snp_idx: r.codes for r in codec.packed(geno, "plink").collect()} == {r.snp_idx: r.codes for r in plink.read_lines(spark, stem + ".bed").collect()}
+    with pytest.raises(Exception, match="not complete|pieces"):
+        plink.write_bed(geno.filter("NOT (snp_idx = 2 AND indiv_idx BETWEEN 32 AND 63)"), str(tmp_path / "gap"), 101, 5)
