@@ -176,3 +176,18 @@ def test_integrals_hold_few_rows_at_once():
                 assert abs(got - due) < max(1e-2, 1e-6 * abs(due)), (nu, x)
     x = np.linspace(21, 200, 700)
     assert np.allclose(scalar.struve_np(x, np.full(700, 0.5), -1.0), np.sqrt(2 / (np.pi * x)) * (1 - np.cos(x)), atol=1e-11)
+
+
+def test_dense_products_join_tiles(spark, monkeypatch):
+    """Cells, gaps and negative places as from the join by cell, and exact beyond 2^53; no join of cells is in the plan."""
+    from genospark.operators import products
+
+    monkeypatch.setattr(products, "TILE", 8)
+    r = np.random.default_rng(3)
+    rows = [(int(i) - 5, int(j), int(v)) for i in range(30) for j in range(11) if r.random() < 0.5 and i != 9 for v in r.integers(-(2**28), 2**28, 1)]
+    a = spark.createDataFrame([*rows, rows[0]], "i long, j long, v long").repartition(3)
+    for ta, tb in ((False, True), (True, False)):
+        assert sorted(products.matmul_tiled(a, a, ta, tb).collect()) == sorted(products.matmul(a, a, ta, tb).collect())
+    x = a.withColumn("v", F.col("v") / 7)
+    got, due = (sorted(f(x, a, tb=True).collect()) for f in (products.matmul_tiled, products.matmul))
+    assert [g[:2] for g in got] == [d[:2] for d in due] and np.allclose([g.v for g in got], [d.v for d in due])
