@@ -191,3 +191,18 @@ def test_dense_products_join_tiles(spark, monkeypatch):
     x = a.withColumn("v", F.col("v") / 7)
     got, due = (sorted(f(x, a, tb=True).collect()) for f in (products.matmul_tiled, products.matmul))
     assert [g[:2] for g in got] == [d[:2] for d in due] and np.allclose([g.v for g in got], [d.v for d in due])
+
+
+def test_a_founder_that_many_take_is_sent_to_many_places(spark, monkeypatch):
+    """Salted or not, haplotypes are the same, and no key holds more than its share of pieces."""
+    monkeypatch.setattr(sim, "PIECES", 16)
+    k = spark.range(300)
+    breaks = k.select(F.col("id").alias("indiv_idx"), F.lit(0).alias("hap"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("number")).withColumn("x", F.col("number") * 40.0)
+    origins = breaks.filter("number > 0").select("indiv_idx", "hap", "number", F.when(F.col("indiv_idx") < 280, 0).otherwise(1).cast("bigint").alias("origin"))
+    founders = spark.range(40).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("origin"), F.col("id").alias("snp_idx")).withColumn("allele", ((F.col("snp_idx") + F.col("origin")) % 2).cast("int"))
+    flips = k.select(F.col("id").alias("indiv_idx"), F.lit(0).alias("hap"), (F.col("id") % 40).alias("snp_idx"))
+    positions = spark.range(40).select(F.col("id").alias("snp_idx"), F.col("id").cast("double").alias("pos"))
+    out = sim.haplotypes(breaks, origins, founders, flips, positions)
+    assert "salt" in out._jdf.queryExecution().analyzed().toString()
+    rows = {(r.indiv_idx, r.snp_idx): r.allele for r in out.collect()}
+    assert rows == {(i, s): (s + (i >= 280) + (s == i % 40)) % 2 for i in range(300) for s in range(40)}
