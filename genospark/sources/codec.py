@@ -58,24 +58,61 @@ def packed_bytes(geno: DataFrame, coding: str) -> DataFrame:
     return geno.groupBy(SNP, F.expr(f"{INDIV} div {per}").alias("byte_idx")).agg(F.sum(part).cast("int").alias("code"))
 
 
-#: Bytes of a piece of a line.
-PIECE = 1 << 14
+#: Bytes of a piece of a line, and cells that a task gathers before it packs them.
+PIECE, GATHER = 1 << 14, 1 << 18
 
 
 def pieces(geno: DataFrame, coding: str) -> DataFrame:
-    """(snp_idx, piece, codes): PIECE bytes of a SNP's line at a time, its last piece shorter. Sorted rows become bytes batch by batch, so
-    that no task holds more than a batch and a piece. A byte that has no dosage at all must not lie between others."""
+    """(snp_idx, piece, codes): PIECE bytes of a SNP's line at a time, its last piece shorter. Cells are packed where they are, GATHER at a
+    time; parts of pieces are what is shuffled, and a task joins one piece at a time. A byte that has no dosage at all must not lie between others."""
+    per, base = (5, 3) if coding == "5codes" else (4, 4)
+    known = {0: 0, 1: 1, 2: 2} if coding == "5codes" else CODE_OF[coding]
+    code_of, powers = np.array([known.get(None, 0), *(known[d] for d in range(3))]), base ** np.arange(per)
+    schema = f"{SNP} bigint, piece bigint, places binary, codes binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def taken() -> pa.RecordBatch:
+            snp, at, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            byte = at // per
+            order = np.lexsort((byte, snp))
+            value = (code_of[x + 1] * powers[at - byte * per])[order]
+            snp, byte = snp[order], byte[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(snp) != 0) | (np.diff(byte) != 0)])
+            snp, byte, value = snp[first], byte[first], np.add.reduceat(value, first)
+            piece = byte // PIECE
+            cuts = np.flatnonzero(np.r_[True, (np.diff(snp) != 0) | (np.diff(piece) != 0), True])
+            binaries = lambda v: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
+            columns = [pa.array(snp[cuts[:-1]]), pa.array(piece[cuts[:-1]]), binaries((byte - piece * PIECE).astype(np.int16)), binaries(value.astype(np.uint8))]
+            return pa.RecordBatch.from_arrays(columns, names=[SNP, "piece", "places", "codes"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(tuple(b.column(c).to_numpy() for c in (SNP, INDIV, DOSAGE)))
+                if sum(len(h[0]) for h in held) >= GATHER:
+                    yield taken()
+        if held:
+            yield taken()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 2):
-            snp, piece, code = (t.column(c).to_numpy() for c in (SNP, "piece", "code"))
+            snp, piece = (t.column(c).to_numpy() for c in (SNP, "piece"))
+            places, codes = t.column("places").to_pylist(), t.column("codes").to_pylist()
             cuts = np.flatnonzero(np.r_[True, (np.diff(snp) != 0) | (np.diff(piece) != 0), True])
-            data = code.astype(np.uint8)
-            codes = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(snp[cuts[:-1]]), pa.array(piece[cuts[:-1]]), codes], names=[SNP, "piece", "codes"])
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                line, there = np.zeros(PIECE, np.uint8), np.zeros(PIECE, bool)
+                for k in range(a, e):
+                    at = np.frombuffer(places[k], np.int16)
+                    line[at] += np.frombuffer(codes[k], np.uint8)
+                    there[at] = True
+                yield pa.RecordBatch.from_arrays([pa.array(snp[a : a + 1]), pa.array(piece[a : a + 1]), pa.array([line[there].tobytes()], pa.binary())], names=[SNP, "piece", "codes"])
 
-    rows = packed_bytes(geno, coding).select(F.col(SNP).cast("bigint").alias(SNP), F.expr(f"byte_idx div {PIECE}").cast("bigint").alias("piece"), "byte_idx", "code")
-    dealt = rows.repartition(SNP, "piece").sortWithinPartitions(SNP, "piece", "byte_idx").select(SNP, "piece", "code")
+    valid = F.col(DOSAGE).between(0, 2) | F.col(DOSAGE).isNull()
+    dosage = F.when(valid, F.coalesce(F.col(DOSAGE).cast("int"), F.lit(-1))).otherwise(F.raise_error(F.lit("a dosage beyond 2")).cast("int"))
+    cells = geno.select(F.col(SNP).cast("bigint").alias(SNP), F.col(INDIV).cast("bigint").alias(INDIV), dosage.alias(DOSAGE))
+    dealt = cells.mapInArrow(pack, schema).repartition(SNP, "piece").sortWithinPartitions(SNP, "piece")
     return dealt.mapInArrow(join, f"{SNP} bigint, piece bigint, codes binary")
 
 

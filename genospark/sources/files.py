@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genospark.plans.batches import runs
 from genospark.plans.tables import written
 
 
@@ -79,13 +81,22 @@ def write_lines(rows: DataFrame, path: str, n: int) -> None:
     only the pieces' sizes meet in one place, to say where each begins."""
     spark = rows.sparkSession
     step = 100_000
-    pieces = rows.groupBy(F.expr(f"at div {step}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
-    data = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
-    first, last = F.element_at("l", 1)["at"], F.element_at("l", -1)["at"]
-    due = F.least(F.lit(step), n - F.col("piece") * step)
-    right = (first == F.col("piece") * step) & (F.size("l") == due) & (last == first + due - 1)
-    text = F.when(right, data).otherwise(F.raise_error(F.lit("places are missing or repeated")))
-    made = written(pieces.select("piece", text.cast("binary").alias("data")), "lines")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 1):
+            piece, at = t.column("piece").to_numpy(), t.column("at").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, np.diff(piece) != 0, True])
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                first = int(piece[a]) * step
+                if first < 0 or e - a != min(step, n - first) or (at[a:e] != np.arange(first, first + e - a)).any():
+                    raise ValueError("places are missing or repeated")
+                data = "\n".join([*t.column("line").slice(a, e - a).to_pylist(), ""]).encode()
+                yield pa.RecordBatch.from_arrays([pa.array(piece[a : a + 1]), pa.array([data], pa.binary())], names=["piece", "data"])
+
+    placed = rows.select(F.expr(f"cast(at div {step} as bigint)").alias("piece"), F.col("at").cast("bigint").alias("at"), "line")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // step))
+    dealt = placed.repartition(tasks, "piece").sortWithinPartitions("piece", "at")
+    made = written(dealt.mapInArrow(join, "piece bigint, data binary"), "lines")
     sizes = made.select("piece", F.length("data").cast("bigint").alias("size"))
     upto = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for every 100,000 lines
     starts = sizes.withColumn("at", F.coalesce(F.sum("size").over(upto), F.lit(0)))

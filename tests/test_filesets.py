@@ -156,3 +156,21 @@ def test_a_long_line_is_written_in_pieces(spark, tmp_path, monkeypatch):
     assert {r.snp_idx: r.codes for r in codec.packed(geno, "plink").collect()} == {r.snp_idx: r.codes for r in plink.read_lines(spark, stem + ".bed").collect()}
     with pytest.raises(Exception, match="not complete|pieces"):
         plink.write_bed(geno.filter("NOT (snp_idx = 2 AND indiv_idx BETWEEN 32 AND 63)"), str(tmp_path / "gap"), 101, 5)
+
+
+def test_cells_become_pieces_where_they_are(spark):
+    """No cell and no byte is a row of a shuffle or an aggregate: parts of pieces are, and of text files no list of lines is collected."""
+    from genospark.sources import codec
+
+    cell = spark.range(3 * 50).select(F.expr("id % 3").alias("snp_idx"), F.expr("id div 3").alias("indiv_idx"), F.expr("cast(if(id % 11 = 4, null, id % 3) as int)").alias("dosage"))
+    for coding in ("plink", "2bit", "5codes"):
+        made = codec.pieces(cell.repartition(7), coding)
+        assert "Aggregate" not in made._jdf.queryExecution().analyzed().toString()
+        assert sorted((r.snp_idx, r.piece, bytes(r.codes)) for r in made.collect()) == sorted((s, 0, bytes(c)) for s, c in _bytes_of(codec.packed_bytes(cell, coding)).items())
+
+
+def _bytes_of(codes):
+    out = {}
+    for r in codes.orderBy("snp_idx", "byte_idx").collect():
+        out.setdefault(r.snp_idx, []).append(r.code)
+    return out
