@@ -25,7 +25,6 @@ extra columns are not read.
 
 from __future__ import annotations
 
-import ctypes
 import io
 import uuid
 import zlib
@@ -41,6 +40,7 @@ from pyspark.sql import functions as F
 
 from genospark.llm.common import HOT, kept_in_process, shipped, small_batches
 from genospark.llm.quality import bucket
+from genospark.plans.batches import keep_freed_memory
 from genospark.plans.tables import tidy, written
 
 END = b""
@@ -187,15 +187,6 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def keep_freed_memory() -> None:
-    """Lets this worker's allocator reuse the arrays of one window for the next, where it is glibc's; it
-    would else give them back and have every page cleared anew."""
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-    if mallopt:
-        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
-
-
 class Gru:
     """Parameters and passes. Inputs are codes: head tokens, then buckets."""
 
