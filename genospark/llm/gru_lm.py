@@ -187,6 +187,12 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _firsts(fresh: np.ndarray) -> list[np.ndarray]:
+    """Of each step, the lanes where a document begins."""
+    at, lane = np.nonzero(fresh)
+    return np.split(lane, np.searchsorted(at, np.arange(1, len(fresh))))
+
+
 class Gru:
     """Parameters and passes. Inputs are codes: head tokens, then buckets."""
 
@@ -224,9 +230,10 @@ class Gru:
         emb[: 2 * n] *= -1  # what the two gates take exp of
         rec[: 2 * n] *= -1
         gates = np.take(emb, _padded(x), axis=1, mode="clip").reshape(3 * n, len(x) + 1, lanes)
-        for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t], h.dtype.type(0), h)
+        h = h.copy()
+        for t, first in enumerate(_firsts(fresh)):
+            if len(first):
+                h[:, first] = 0  # nothing else has this step's array yet
             before[:, t] = old = h
             u = rec @ h
             zr = u[: 2 * n] + gates[: 2 * n, t]
@@ -328,8 +335,9 @@ class Gru:
         place = np.full(flat.shape[1], len(at))
         place[use] = np.arange(len(at))
         dh_out = np.take(ds, place, axis=1, mode="clip").reshape(before.shape)
-        dg, du = (np.zeros((3 * n, *before.shape[1:]), flat.dtype) for _ in range(2))
-        dh = np.zeros_like(dh_out[:, 0])
+        dg, du = (np.empty((k * n, *before.shape[1:]), flat.dtype) for k in (3, 1))  # du: of the new states' part, the gates' is that of dg
+        dg[:, -1] = du[:, -1] = 0
+        dh, firsts = np.zeros_like(dh_out[:, 0]), _firsts(fresh)
         for t in range(len(x) - 1, -1, -1):
             z, r, c, uc, old = keep[t]
             g = np.empty((3 * n, x.shape[1]), flat.dtype)
@@ -346,17 +354,18 @@ class Gru:
             dr *= dc
             dg[:, t] = g
             dc *= r
-            du[:, t] = g
+            du[:, t] = dc
             dh *= z
             dh += self.rec @ g
             dh += dh_out[:, t]
-            if fresh[t].any():
-                dh[:, fresh[t]] = 0
-        grads[1] += flat @ du.reshape(3 * n, -1).T
+            if len(firsts[t]):
+                dh[:, firsts[t]] = 0
+        dg, du = dg.reshape(3 * n, -1), du.reshape(n, -1)
+        grads[1][:, : 2 * n], grads[1][:, 2 * n :] = flat @ dg[: 2 * n].T, flat @ du.T
         if len(use):
             own = codes[use]
             firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            grads[0][own[firsts]] = np.add.reduceat(np.take(dg.reshape(3 * n, -1), use, axis=1, mode="clip"), firsts, axis=1).T
+            grads[0][own[firsts]] = np.add.reduceat(np.take(dg, use, axis=1, mode="clip"), firsts, axis=1).T
         return grads, after, loss * float(scale)
 
     def to_bytes(self) -> bytes:

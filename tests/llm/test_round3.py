@@ -230,3 +230,9 @@ def test_passages_whose_halves_occur_apart(spark):
     left = [sum(w in got[d].split() for w in passage.split()) for d, passage in passages.items()]
     assert max(left) < 3
     assert all(got[d] == text for d, text in rows if d % 4 < 3)
+
+
+def test_lanes_where_documents_begin():
+    rng = np.random.default_rng(3)
+    for fresh in (rng.random((6, 5)) < 0.3, np.zeros((4, 3), bool), np.ones((1, 4), bool)):
+        assert [x.tolist() for x in gru_lm._firsts(fresh)] == [np.flatnonzero(f).tolist() for f in fresh]
