@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,11 @@ def test_lanes_where_documents_begin():
     rng = np.random.default_rng(3)
     for fresh in (rng.random((6, 5)) < 0.3, np.zeros((4, 3), bool), np.ones((1, 4), bool)):
         assert [x.tolist() for x in gru_lm._firsts(fresh)] == [np.flatnonzero(f).tolist() for f in fresh]
+
+
+def test_tokens_are_cut_from_one_piece():
+    words = [b"", b"a", "é\x00".encode(), b"", b"\xed\xa0\x80", b"b" * 300]
+    for some in (words, words[:1], words[1:2]):
+        assert gru_lm.split(pa.array(some, pa.binary())) == some
+    assert gru_lm.split(pa.array(words, pa.binary())[2:5]) == words[2:5]
+    assert gru_lm.split(pa.array(words, pa.binary()).dictionary_encode().dictionary) == list(dict.fromkeys(words))
