@@ -410,3 +410,16 @@ def test_running_frequencies(spark, tmp_path, geno, m):
     q.stop()
     got = {r.snp_idx: r.freq for r in spark.table("running_freq").collect()}
     assert np.allclose([got[k] for k in range(13)], m.mean(axis=1) / 2)
+
+
+def stored_size(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.iterdir())
+
+
+def test_all_cells_of_a_matrix(spark, tmp_path):
+    """Each once, also where the last stripe is narrower, and stored in a small part of a byte each."""
+    for snps, individuals in ((7, 600), (5, 256), (3, 1), (0, 4), (4, 0)):
+        got = sorted(tuple(r) for r in model.zero_matrix(spark, snps, individuals).collect())
+        assert got == [(s, i, 0) for s in range(snps) for i in range(individuals)]
+    assert stored_size(model.zero_matrix(spark, 3000, 600), tmp_path / "zero") < 3000 * 600 / 3
