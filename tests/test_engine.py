@@ -423,3 +423,9 @@ def test_all_cells_of_a_matrix(spark, tmp_path):
         got = sorted(tuple(r) for r in model.zero_matrix(spark, snps, individuals).collect())
         assert got == [(s, i, 0) for s in range(snps) for i in range(individuals)]
     assert stored_size(model.zero_matrix(spark, 3000, 600), tmp_path / "zero") < 3000 * 600 / 3
+
+
+def test_all_cells_of_the_pattern(spark, tmp_path):
+    got = {(r.snp_idx, r.indiv_idx): r.dosage for r in sim.patterned(spark, 9, 300).collect()}
+    assert got == {(k % 9, k // 9): sim.PATTERN[k % 17] for k in range(9 * 300)}
+    assert stored_size(sim.patterned(spark, 3000, 600), tmp_path / "pattern") < 3000 * 600 / 3
