@@ -206,3 +206,31 @@ def test_a_founder_that_many_take_is_sent_to_many_places(spark, monkeypatch):
     assert "salt" in out._jdf.queryExecution().analyzed().toString()
     rows = {(r.indiv_idx, r.snp_idx): r.allele for r in out.collect()}
     assert rows == {(i, s): (s + (i >= 280) + (s == i % 40)) % 2 for i in range(300) for s in range(40)}
+
+
+def test_tiles_go_to_groups_of_blocks(spark, monkeypatch):
+    """A tile is sent to each group of blocks of the other side, not to each block; whole numbers travel in the narrowest type."""
+    from genospark.operators import products
+
+    r = np.random.default_rng(4)
+    for places, side in ((6, 4), (11, 2)):
+        monkeypatch.setattr(products, "TILE", 8)
+        monkeypatch.setattr(products, "WIDE", side)
+        monkeypatch.setattr(products, "SIDE", side)
+        m = r.integers(-100, 100, (32 * 8, places))
+        a = cells_of(spark, m)
+        one = products._tiles(a.select("i", F.col("j").alias("k"), F.col("v").alias("x")), "i")
+        assert {x.kind for x in one.collect()} == {"|i1"}
+        met, alone = products._met_tiles(one, one)
+        assert alone == (places <= 8)
+        assert met.count() == 2 * 32 * (32 // side) * -(-places // 8)
+        got = {(x.i, x.j): x.v for x in products.matmul_tiled(a, a, tb=True).collect()}
+        due = m @ m.T
+        assert len(got) == due.size and all(got[i, j] == due[i, j] for i in range(len(m)) for j in range(len(m)))
+    for v in (127, -128, 128, -129, 2**31, -(2**63), 2**63 - 1):
+        tile = products._tiles(spark.createDataFrame([(0, 0, v)], "i long, k long, x long"), "i").first()
+        assert np.frombuffer(tile.data, tile.kind).tolist() == [v]
+
+
+def cells_of(spark, m):
+    return spark.createDataFrame([(i, j, int(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i long, j long, v long").coalesce(2)
