@@ -429,3 +429,14 @@ def test_all_cells_of_the_pattern(spark, tmp_path):
     got = {(r.snp_idx, r.indiv_idx): r.dosage for r in sim.patterned(spark, 9, 300).collect()}
     assert got == {(k % 9, k // 9): sim.PATTERN[k % 17] for k in range(9 * 300)}
     assert stored_size(sim.patterned(spark, 3000, 600), tmp_path / "pattern") < 3000 * 600 / 3
+
+
+def test_a_task_has_few_runs_of_snps(spark, monkeypatch):
+    """All cells once each, and in a task the SNPs of a few runs only."""
+    monkeypatch.setattr(model, "RUN", 16)
+    monkeypatch.setattr(model, "STRIPE", 4)
+    cells = model.every_cell(spark, 101, 31)
+    rows = [tuple(r) for r in cells.collect()]
+    assert len(rows) == 101 * 31 and set(rows) == {(s, i) for s in range(101) for i in range(31)}
+    tasks = cells.groupBy(F.spark_partition_id()).agg(F.countDistinct("snp_idx").alias("n")).collect()
+    assert len(tasks) == 4 and max(r.n for r in tasks) <= 3 * 16
